@@ -29,10 +29,10 @@ LEAST_WORDS, MOST_REPEATED = 10, 20
 LEAST_DOCS = 100
 
 #: The fence is the upper quartile plus FENCE times the spread between the quartiles and median,
-#: and never lower than these values (in thousandths), below which a ratio says nothing.
+#: or plus this slack (in thousandths) where a group hardly varies.
 FENCE = 8
-FLOORS = {"symbols": 200, "repeats": 200, "dup_lines": 80, "word_len": 12_000}
-METRICS = list(FLOORS)
+SLACK = {"symbols": 200, "repeats": 200, "dup_lines": 80, "word_len": 6_000}
+METRICS = list(SLACK)
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -131,7 +131,8 @@ def fences(df: DataFrame) -> DataFrame:
     """(lang, source, max_<metric>...): one row for each group of documents, small groups by fallback."""
     q = cut(quantiles(sketches(df), ["level", "lang", "source", "metric"], {"q1": (1, 4), "q2": (1, 2), "q3": (3, 4)}))
     spread = F.greatest(F.col("q3") - F.col("q2"), F.col("q2") - F.col("q1"))
-    q = q.withColumn("fence", F.col("q3") + FENCE * spread)
+    slack = F.coalesce(*[F.when(F.col("metric") == m, F.lit(v)) for m, v in SLACK.items()])
+    q = q.withColumn("fence", F.col("q3") + F.greatest(FENCE * spread, slack))
     enough = q.where(F.col("docs") >= LEAST_DOCS)
     groups = q.where("level = 2").select("lang", "source", "metric")
     of_lang = enough.where("level = 1").select("lang", "metric", F.col("fence").alias("f1"))
@@ -141,7 +142,7 @@ def fences(df: DataFrame) -> DataFrame:
     out = join_dimension(out, of_lang, ["lang", "metric"])
     out = join_dimension(out, of_all, ["metric"])
     chosen = F.coalesce("f2", "f1", "f0")
-    most = [F.max(F.when(F.col("metric") == m, F.greatest(chosen, F.lit(low)))).alias(f"max_{m}") for m, low in FLOORS.items()]
+    most = [F.max(F.when(F.col("metric") == m, chosen)).alias(f"max_{m}") for m in METRICS]
     return out.groupBy("lang", "source").agg(*most)
 
 
@@ -149,7 +150,7 @@ def verdicts(df: DataFrame, limits: DataFrame) -> DataFrame:
     """``df`` (from ``measured``) with ``kept``."""
     over = F.lit(False)
     for m, c in ratios().items():
-        over = over | (bucket(c) > F.coalesce(F.col(f"max_{m}"), F.lit(FLOORS[m])))
+        over = over | (bucket(c) > F.col(f"max_{m}"))
     out = join_dimension(df, limits, ["lang", "source"]).withColumn("kept", ~F.col("base_failed") & ~over)
     return out.drop(*[f"max_{m}" for m in METRICS])
 
