@@ -23,10 +23,12 @@ from .common import map_texts, slices
 
 NGRAMS, BITS = (3, 4, 5), 18
 #: Labelled documents of either label that are learnt from, at most.
-SAMPLE = 2_500
+SAMPLE = 2_000
 #: A feature must be in this many of them.
 LEAST_DOCS = 5
-SMOOTHING, PENALTY, STEPS = 1.0, 0.02, 80
+#: Features whose log-count ratio is nearer to zero say nothing and are left out.
+LEAST_RATIO = 0.4
+SMOOTHING, PENALTY, STEPS = 1.0, 0.02, 100
 
 
 def features(texts: list[str | None]) -> list[np.ndarray]:
@@ -111,6 +113,9 @@ def fitted(index: np.ndarray, sizes: np.ndarray, y: np.ndarray, share: float) ->
     p = SMOOTHING + np.bincount(index, y[doc], size)
     q = SMOOTHING + np.bincount(index, 1 - y[doc], size)
     ratio = np.where(often, np.log((p / p[often].sum()) / (q / q[often].sum())), 0.0)
+    ratio[np.abs(ratio) < LEAST_RATIO] = 0.0
+    keep = ratio[index] != 0
+    index, doc = index[keep], doc[keep]
     value = ratio[index]
 
     def margins(w: np.ndarray, b: float) -> np.ndarray:
