@@ -27,7 +27,7 @@ SAMPLE = 2_000
 #: A feature must be in this many of them.
 LEAST_DOCS = 5
 #: Features whose log-count ratio is nearer to zero say nothing and are left out.
-LEAST_RATIO = 0.4
+LEAST_RATIO = 0.6
 SMOOTHING, PENALTY, STEPS = 1.0, 0.02, 100
 
 
