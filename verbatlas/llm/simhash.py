@@ -42,7 +42,7 @@ def fingerprint(text: str | None, words_in_shingle: int = 3) -> int:
     for at in range(0, n, 1 << 16):  # bounded memory for very long texts
         some = [flat[i:j] for i, j in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=False)]
         raw = b"".join(map(xxhash.xxh64_digest, some, repeat(SEED)))
-        counts += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(0)
+        counts += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
