@@ -1,4 +1,10 @@
 """All queries over the reference tables, with the SQL that gives the same rows."""
 
+from verbatlas.plans import search_queries
+
+MODULES = [search_queries]
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for module in MODULES:
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.SQL
