@@ -52,9 +52,9 @@ def best_overlaps(pairs: DataFrame, key: str, other: str, most: int = 3) -> Data
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
-def first_match(df: DataFrame, rules: DataFrame, key: str, item: str, label: str, order: str, otherwise: Column) -> DataFrame:
-    """(key, label): of the rules (item, label, order) that own one of a row's items, the first."""
-    hit = df.select(key, F.explode(item).alias("__i")).join(rules, F.col("__i") == rules[item]).groupBy(key).agg(F.min_by(label, order).alias("__l"))
+def first_match(df: DataFrame, rules: DataFrame, key: str, items: str, item: str, label: str, order: str, otherwise: Column) -> DataFrame:
+    """``df`` with ``label``: of the rules (item, label, order) that own one of a row's ``items``, the first."""
+    hit = df.select(key, F.explode(items).alias(item)).join(rules, item).groupBy(key).agg(F.min_by(label, order).alias("__l"))
     return df.join(hit, key, "left").withColumn(label, F.coalesce("__l", otherwise)).drop("__l")
 
 
