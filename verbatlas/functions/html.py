@@ -56,9 +56,9 @@ def embedded_json(x: Column | str, schema: str) -> Column:
 
 
 def blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, pos, kind, text): block elements in order, struck text left out."""
+    """(key, pos, kind, text): block elements in order, struck text left out; one begins where the last is unfinished."""
     kept = F.regexp_replace(html, "(?is)<(strike|s|del)>.*?</\\1>", "")
-    pattern = "(?is)<(p|h[1-6]|li|td|blockquote)[^>]*>((?:(?!<(?:p|h[1-6]|li|td|blockquote)[ >]).)*?)(?:</\\1>|(?=<(?:p|h[1-6]|li|td|blockquote)[ >])|$)"
-    pair = F.arrays_zip(F.regexp_extract_all(kept, F.lit(pattern), F.lit(1)).alias("kind"), F.regexp_extract_all(kept, F.lit(pattern), F.lit(2)).alias("text"))
-    each = pages.select(key, F.posexplode(pair).alias("pos", "b"))
-    return each.select(key, (F.col("pos") + 1).alias("pos"), F.lower("b.kind").alias("kind"), text_of("b.text").alias("text"))
+    pieces = F.filter(F.split(kept, "(?i)(?=<(?:p|h[1-6]|li|td|blockquote)[ >])"), lambda x: x.rlike("^(?i)<(p|h[1-6]|li|td|blockquote)[ >]"))
+    each = pages.select(key, F.posexplode(pieces).alias("pos", "b"))
+    body = F.regexp_replace("b", "(?is)</(p|h[1-6]|li|td|blockquote)>.*$", "")
+    return each.select(key, (F.col("pos") + 1).alias("pos"), F.lower(F.regexp_extract("b", "^<([a-zA-Z0-9]+)", 1)).alias("kind"), text_of(body).alias("text"))

@@ -110,7 +110,7 @@ def is_revoked(x: Column | str) -> Column:
 def suspicions(x: Column | str) -> Column:
     """Which doubts a block raises: it begins in lower case, or ends without punctuation."""
     t = F.trim(col(x))
-    return F.array_compact(F.array(F.when(t.rlike("^[a-zà-ÿ]"), "lower-case start"), F.when(~t.rlike("[.;:!?)»”\"']$"), "no final mark")))
+    return F.array_compact(F.array(F.when(t.rlike("^[a-zà-ÿ]"), "lower-case start"), F.when(~t.rlike("[.;:!?)»”\"']\\z"), "no final mark")))
 
 
 def heading_split(x: Column | str) -> Column:

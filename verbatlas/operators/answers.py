@@ -26,8 +26,9 @@ def copied(texts: DataFrame, sources: DataFrame, key: str, source_key: str, n: i
 
     ``sources`` (source_key, text) is the short side: its windows are joined with those of the texts.
     """
-    have = sources.select(source_key, F.explode(shingles(lexemes("text"), n)).alias("s")).distinct()
-    told = texts.select(key, F.explode(shingles(lexemes("text"), n)).alias("s"))
+    # the words in a projection of their own: inside a lambda they would be computed for every window
+    have = sources.select(source_key, lexemes("text").alias("w")).select(source_key, F.explode(shingles(F.col("w"), n)).alias("s")).distinct()
+    told = texts.select(key, lexemes("text").alias("w")).select(key, F.explode(shingles(F.col("w"), n)).alias("s"))
     return told.join(have, "s").groupBy(key, source_key).agg(F.count_distinct("s").alias("shared"))
 
 

@@ -32,7 +32,7 @@ def of_crime(crime: Column | str, field: int) -> Column:
 
 
 def rounded(x: Column) -> Column:
-    return F.floor(x + 0.5).cast("int")
+    return F.floor(x + 0.5 + 1e-9).cast("int")
 
 
 def sentence(crime: Column | str, vectors: Column | str, aggravating: Column | str, causes: Column | str) -> Column:
@@ -46,14 +46,15 @@ def sentence(crime: Column | str, vectors: Column | str, aggravating: Column | s
     weight = F.aggregate(counted, F.lit(0), lambda s, n: s + n)
     base = F.least(high, low + weight * (high - low) / 8)
     has = lambda name: F.array_contains(col(aggravating), name)
-    second = F.when(has("reincidencia"), base * 7 / 6).otherwise(base)
+    # each step names the one before once: an expression that names it twice would double at every step
+    second = base * F.when(has("reincidencia"), 7.0).otherwise(6.0) / 6
     for name in ("menoridade", "confissao"):
-        second = F.when(has(name), F.greatest(low, second * 5 / 6)).otherwise(second)
+        second = F.greatest(F.when(has(name), low).otherwise(0.0), second * F.when(has(name), 5.0).otherwise(6.0) / 6)
     second = F.least(high, second)
     third = second
     for name, (up, down) in (INCREASES | DECREASES).items():
         admits = col(crime).isin([k for k, v in CRIMES.items() if name in v[5]])
-        third = F.when(admits & F.array_contains(col(causes), name), third * up / down).otherwise(third)
+        third = third * F.when(admits & F.array_contains(col(causes), name), float(up)).otherwise(float(down)) / down
     months = rounded(third)
     regime = F.when(months > CLOSED, "fechado").when(months > SEMI_OPEN, "semiaberto").otherwise("aberto")
     fine = rounded(F.least(fine_high, fine_low + weight * (fine_high - fine_low) / 8))
