@@ -1,3 +1,79 @@
-"""SQL for DuckDB with the rows of the queries that SQL can express."""
+"""SQL for DuckDB with the rows of the queries that SQL can express.
 
-ORACLE_SQL: dict[str, str] = {}
+Op 3, 5, 6, 8, 9 and 10 need a tokenizer, a trained model, base32 digests, XXH64, tests of digits at positions, or audio
+features: they are held against brute force in tests. Op 4 has held-out accuracy.
+"""
+
+from __future__ import annotations
+
+from . import mixing, quality, sharding
+
+WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+HEX = "CAST('0x' || substr(md5({}), 1, 12) AS BIGINT)"
+
+# The table by brute force: in turn i shard i modulo n takes the first free slot in its order.
+OP1 = f"""WITH RECURSIVE shards AS (
+    SELECT i, 'shard-' || lpad(i::VARCHAR, 3, '0') AS shard, md5('shard-' || lpad(i::VARCHAR, 3, '0')) AS h FROM range({sharding.SHARDS}) r(i)),
+  prefer AS (SELECT list(CAST('0x' || substr(h, 1, 12) AS BIGINT) % {sharding.SLOTS} ORDER BY i) AS start, list(CAST('0x' || substr(h, 13, 12) AS BIGINT) % {sharding.SLOTS - 1} + 1 ORDER BY i) AS stride FROM shards),
+  fill(turn, taken, slot) AS (
+    SELECT 0, list_transform(range({sharding.SLOTS}), lambda x: FALSE), NULL::BIGINT
+    UNION ALL
+    SELECT turn + 1, list_concat(list_concat(taken[1:s], [TRUE]), taken[s + 2:]), s FROM (
+      SELECT turn, taken, list_filter(list_transform(range({sharding.SLOTS}), lambda j: (start[turn % {sharding.SHARDS} + 1] + j * stride[turn % {sharding.SHARDS} + 1]) % {sharding.SLOTS}), lambda x: NOT taken[x + 1])[1] AS s
+      FROM fill, prefer WHERE turn < {sharding.SLOTS}))
+  SELECT doc_id, f.slot, shard FROM documents JOIN fill f ON f.slot = {HEX.format("coalesce(doc_id::VARCHAR, text, '')")} % {sharding.SLOTS} JOIN shards ON i = (turn - 1) % {sharding.SHARDS}"""
+
+
+def op2() -> str:
+    n = mixing.NONE
+    upper, symbols = "length(regexp_replace(t, '[^A-Z]', '', 'g'))", "length(regexp_replace(t, '[^#*$%&<>]', '', 'g'))"
+    topic = f"CASE WHEN contains(t, ' | ') THEN 'tabular' WHEN 10 * {symbols} > length(t) THEN 'symbolic' WHEN 2 * {upper} > length(t) THEN 'shouted' WHEN regexp_matches(t, '[0-9]') THEN 'personal' ELSE 'prose' END"
+    out = [
+        f"d AS (SELECT doc_id, text, coalesce(source, '{n}') AS source, coalesce(lang, '{n}') AS lang, {topic} AS topic, len({WORDS}) AS n_tokens FROM (SELECT *, coalesce(text, '') AS t FROM documents))",
+        "w0 AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens, sum(n_tokens)::DOUBLE AS weight FROM d GROUP BY ALL)",
+        "every AS (SELECT sum(tokens) AS total FROM w0)",
+    ]
+    for x in mixing.DIMENSIONS:
+        out.append(f"t_{x} AS (SELECT {x}, p / sum(p) OVER () AS share FROM (SELECT {x}, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens), {mixing.POWERS[x]}) ELSE 0 END AS p FROM w0 GROUP BY 1))")
+    k = 0
+    for _ in range(mixing.ROUNDS):
+        for x in mixing.DIMENSIONS:
+            out.append(f"w{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN own > 0 THEN weight * share * total / own ELSE 0 END AS weight FROM (SELECT *, sum(weight) OVER (PARTITION BY {x}) AS own FROM w{k}) JOIN t_{x} USING ({x}), every)")
+            k += 1
+    out.append(f"r AS (SELECT source, lang, topic, round(coalesce(rate / max(rate) OVER (), 1), 9) AS rate FROM (SELECT *, CASE WHEN tokens > 0 THEN weight / tokens END AS rate FROM w{k}))")
+    u = HEX.format("coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))")
+    return f"WITH {', '.join(out)} SELECT doc_id, source, lang, topic, n_tokens, round(rate, 6) AS rate, {u} / {float(1 << 48)} < rate AS sampled FROM d JOIN r USING (source, lang, topic)"
+
+
+def op7() -> str:
+    b = "CASE WHEN length(bin({0})) > 5 THEN ({0} >> (length(bin({0})) - 5)::INT) << (length(bin({0})) - 5)::INT ELSE {0} END"
+    ratio = {"symbols": "n_symbols", "repeats": "n_repeat_words", "dup_lines": "n_dup_lines", "word_len": "word_chars"}
+    slack = " ".join(f"WHEN '{m}' THEN {v}" for m, v in quality.SLACK.items())
+    each = " UNION ALL ".join(f"SELECT k, lang, source, '{m}' AS metric, {c} * 1000 // greatest(n_words, 1) AS v FROM c" for m, c in ratio.items())
+    levels = {2: ("lang", "source"), 1: ("lang",), 0: ()}
+    parts = []
+    for level, keys in levels.items():
+        cols = ", ".join([k if k in keys else f"NULL::VARCHAR AS {k}" for k in ("lang", "source")])
+        group = ", ".join([*keys, "metric"])
+        parts.append(f"""SELECT {level} AS level, {cols}, metric, max(total) AS docs, min(b) FILTER (WHERE upto * 4 >= total) AS q1, min(b) FILTER (WHERE upto * 2 >= total) AS q2, min(b) FILTER (WHERE upto * 4 >= total * 3) AS q3
+          FROM (SELECT *, sum(n) OVER (PARTITION BY {group}) AS total, sum(n) OVER (PARTITION BY {group} ORDER BY b) AS upto FROM (SELECT {group}, b, count(*) AS n FROM m GROUP BY {group}, b)) GROUP BY {group}""")
+    return f"""WITH w AS (SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+      g AS (SELECT k, i, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT k, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+      twice AS (SELECT k, i FROM (SELECT *, count(*) OVER (PARTITION BY k, s) AS n FROM g) WHERE n > 1),
+      rep AS (SELECT k, count(DISTINCT i + j) AS n FROM twice, range(5) r(j) GROUP BY 1),
+      ln AS (SELECT k, unnest(string_split(t, chr(10))) AS x FROM w),
+      dup AS (SELECT k, count(*) - count(DISTINCT x) AS n FROM ln WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
+      c AS (SELECT k, doc_id, lang, source, len(w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM w LEFT JOIN dup USING (k) LEFT JOIN rep USING (k)),
+      m AS (SELECT *, {b.format('v')} AS b FROM ({each})),
+      q AS ({' UNION ALL '.join(parts)}),
+      f AS (SELECT *, q3 + greatest({quality.FENCE} * greatest(q3 - q2, q2 - q1), CASE metric {slack} END) AS fence FROM q),
+      v AS (SELECT m.k, bool_or(m.b > coalesce(f2.fence, f1.fence, f0.fence)) AS over FROM m
+        LEFT JOIN f f2 ON f2.level = 2 AND f2.docs >= {quality.LEAST_DOCS} AND f2.metric = m.metric AND f2.lang IS NOT DISTINCT FROM m.lang AND f2.source IS NOT DISTINCT FROM m.source
+        LEFT JOIN f f1 ON f1.level = 1 AND f1.docs >= {quality.LEAST_DOCS} AND f1.metric = m.metric AND f1.lang IS NOT DISTINCT FROM m.lang
+        LEFT JOIN f f0 ON f0.level = 0 AND f0.metric = m.metric GROUP BY 1)
+      SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bad AS base_failed, NOT bad AND NOT over AS kept
+      FROM (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS bad FROM c) JOIN v USING (k)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_sharding": OP1, "op2_mixing": op2(), "op7_quality": op7()}
