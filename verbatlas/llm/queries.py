@@ -51,7 +51,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
     each = F.when(F.col("base") == "", F.array().cast("array<string>")).otherwise(F.split("base", ","))
-    counts = [F.size(F.filter(each, lambda s, k=k: s.startswith(f"{k}:"))).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
+
+
+    def number_of(kind: str):
+        return F.size(F.filter(each, lambda s: s.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")
+
+    counts = [number_of(k) for k in pii.KINDS[:4]]
     all_spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_join(in_order(F.concat(each, F.split("terms", ","))), ","))
     return found.select("doc_id", *counts, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), all_spans.alias("spans"))
 

@@ -112,7 +112,7 @@ def fitted(index: np.ndarray, sizes: np.ndarray, y: np.ndarray, share: float) ->
     index, doc = index[keep], doc[keep]
     p = SMOOTHING + np.bincount(index, y[doc], size)
     q = SMOOTHING + np.bincount(index, 1 - y[doc], size)
-    ratio = np.where(often, np.log((p / p[often].sum()) / (q / q[often].sum())), 0.0)
+    ratio = np.where(often, np.log((p / max(1.0, p[often].sum())) / (q / max(1.0, q[often].sum()))), 0.0)
     ratio[np.abs(ratio) < LEAST_RATIO] = 0.0
     keep = ratio[index] != 0
     index, doc = index[keep], doc[keep]
