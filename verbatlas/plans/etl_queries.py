@@ -41,7 +41,7 @@ def q_merge_twice(spark, d):
 
 
 def q_merge_hash_gate(spark, d):
-    docs = t(spark, d, "documents").where("doc_id < 500")
+    docs = t(spark, d, "documents")
     vec = t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
     old = docs.join(vec, "doc_id", "left").select("doc_id", text.sha256("text").alias("h"), "label")
     new = docs.where("doc_id % 7 <> 0").select("doc_id", text.sha256(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("h"), F.lit(None).cast("int").alias("label"))
@@ -109,9 +109,9 @@ def q_marker_fk(spark, d):
 
 
 def q_corpus_diff(spark, d):
-    base = t(spark, d, "documents").where("doc_id < 600")
-    corpus = base.where("doc_id % 11 <> 0").select(F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("text"))
-    source = base.where("doc_id % 13 <> 0").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 17 == 0, F.concat(F.substring("text", 1, 60), F.lit(" new"))).otherwise(F.substring("text", 1, 60)).alias("text"), F.col("doc_id").alias("ordem"), F.col("source").alias("parent"))
+    base = t(spark, d, "documents")
+    corpus = base.where("doc_id % 11 <> 0").select(F.col("doc_id").alias("id"), "text")
+    source = base.where("doc_id % 13 <> 0").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 17 == 0, F.concat("text", F.lit(" new"))).otherwise(F.col("text")).alias("text"), F.col("doc_id").alias("ordem"), F.expr("doc_id div 100").alias("parent"))
     return compare.compared(corpus, source)
 
 
@@ -180,13 +180,13 @@ def q_paragraph_labels(spark, d):
 
 
 def q_text_differences(spark, d):
-    docs = t(spark, d, "documents").where("doc_id < 300").select("doc_id", F.substring("text", 1, 50).alias("a"))
-    x = text.difference(F.col("a"), F.concat(F.substring("a", 1, 20), F.lit("##"), F.substring(F.col("a"), F.lit(25), F.lit(60))))
+    docs = t(spark, d, "documents").select("doc_id", F.col("text").alias("a"))
+    x = text.difference(F.col("a"), F.concat(F.substring("a", 1, 20), F.lit("##"), F.substring(F.col("a"), F.lit(25), F.length("a"))))
     return docs.select("doc_id", F.length(x["prefix"]).alias("prefix"), F.length(x["old"]).alias("old"), F.length(x["new"]).alias("new"), F.length(x["suffix"]).alias("suffix"))
 
 
 def q_suspicions(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("s"))
+    docs = t(spark, d, "documents").select("doc_id", F.col("text").alias("s"))
     return docs.select("doc_id", F.explode(text.suspicions("s")).alias("doubt")).groupBy("doubt").agg(F.count("*").alias("n"))
 
 
@@ -294,7 +294,7 @@ def q_answer_corrections(spark, d):
 
 def q_sentencing(spark, d):
     """Orders as a grid of cases: crime, unfavourable vectors, aggravating facts and causes by arithmetic."""
-    o = t(spark, d, "orders").where("o_orderkey < 2000")
+    o = t(spark, d, "orders")
     crimes = F.array(*map(F.lit, sentence.CRIMES))
     k = F.col("o_orderkey")
     vec = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.when((k + i) % (i + 2) == 0, "desf").otherwise("neutra"))
@@ -309,7 +309,7 @@ def sentencing_sql() -> str:
     desf = " + ".join(f"CASE WHEN (k + {i}) % {i + 2} = 0 THEN {{}} ELSE 0 END".format(1 if i < 8 else "ninth") for i in range(9))
     count = " + ".join(f"CASE WHEN (k + {i}) % {i + 2} = 0 {'AND ninth > 0' if i == 8 else ''} THEN 1 ELSE 0 END" for i in range(9))
     return f"""WITH c(i, low, high, f0, f1, ninth, priv, prox, conc) AS (VALUES {rows}),
-      a AS (SELECT o_orderkey AS k, c.* FROM orders JOIN c ON i = o_orderkey % {len(sentence.CRIMES)} WHERE o_orderkey < 2000),
+      a AS (SELECT o_orderkey AS k, c.* FROM orders JOIN c ON i = o_orderkey % {len(sentence.CRIMES)}),
       w AS (SELECT *, {desf} AS peso, {count} AS negativos FROM a),
       b AS (SELECT *, least(high::DOUBLE, low + peso * (high - low) / 8.0::DOUBLE) AS base FROM w),
       p1 AS (SELECT *, CASE WHEN k % 2 = 0 THEN base * 7 / 6 ELSE base END AS x FROM b),
@@ -353,7 +353,7 @@ def decoded_sql(x: str) -> str:
 SQL = {
     "q_merge_upsert": "SELECT doc_id, CASE WHEN doc_id % 3 <> 1 THEN quality + 10 ELSE quality END AS quality, toxic FROM labels",
     "q_merge_twice": "SELECT doc_id, CASE WHEN doc_id % 3 <> 1 THEN quality + 10 ELSE quality END AS quality, toxic FROM labels",
-    "q_merge_hash_gate": "SELECT doc_id, CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 = 0 THEN NULL ELSE label END AS label FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE doc_id < 500",
+    "q_merge_hash_gate": "SELECT doc_id, CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 = 0 THEN NULL ELSE label END AS label FROM documents LEFT JOIN embeddings ON vec_id = doc_id",
     "q_anti_delete": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F' OR o_orderkey % 4 <> 0",
     "q_removed": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 4 = 0",
     "q_new_keys": "SELECT doc_id FROM labels WHERE doc_id % 3 = 0",
@@ -368,8 +368,8 @@ SQL = {
       WHERE k NOT IN (SELECT p_partkey FROM part WHERE p_retailprice < 1000)""",
     "q_marker_fk": """SELECT DISTINCT item_id, item FROM (SELECT item_id, unnest([item_id::VARCHAR, (item_id * 2)::VARCHAR, 'x-1']) AS item FROM benchmark)
       WHERE item NOT IN (SELECT doc_id::VARCHAR FROM documents WHERE doc_id % 2 = 0)""",
-    "q_corpus_diff": """WITH b AS (SELECT *, doc_id % 11 <> 0 AS c, doc_id % 13 <> 0 AS s FROM documents WHERE doc_id < 600),
-      a AS (SELECT *, max(CASE WHEN c AND s THEN doc_id END) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM b WHERE s)
+    "q_corpus_diff": """WITH b AS (SELECT *, doc_id % 11 <> 0 AS c, doc_id % 13 <> 0 AS s FROM documents),
+      a AS (SELECT *, max(CASE WHEN c AND s THEN doc_id END) OVER (PARTITION BY doc_id // 100 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM b WHERE s)
       SELECT doc_id AS id, CASE WHEN NOT c THEN 'add' ELSE 'change' END AS verdict, CASE WHEN NOT c THEN before END AS anchor FROM a WHERE NOT c OR doc_id % 17 = 0
       UNION ALL SELECT doc_id, 'gone', NULL FROM b WHERE c AND NOT s""",
     "q_status_transition": """SELECT o_orderkey, o_orderstatus AS before, 'P' AS after, o_orderstatus = 'F' AS lost, FALSE AS gained FROM orders
@@ -379,9 +379,10 @@ SQL = {
     "q_clean_footnotes": f"""SELECT doc_id, CASE WHEN hit THEN regexp_replace(l, '[0-9]$', '') ELSE l END AS line, hit::INT AS removed FROM (
       SELECT doc_id, l, regexp_matches(l, '[a-zà-ÿA-ZÀ-Ý)\\]"''»][.;:!?][0-9]{{1,2}}$') AS hit FROM (SELECT doc_id, {FIRST_LINE} || CASE WHEN doc_id % 2 = 0 THEN '3' ELSE '' END AS l FROM documents))""",
     "q_roman": "SELECT n, v AS value FROM (VALUES (0, 1), (1, 4), (2, 9), (3, 14), (4, 40), (5, 90), (6, 400), (7, 1994), (8, 42)) x(n, v)",
-    "q_text_differences": """WITH a AS (SELECT doc_id, substr(text, 1, 50) AS a FROM documents WHERE doc_id < 300), b AS (SELECT *, substr(a, 1, 20) || '##' || substr(a, 25) AS b FROM a),
-      p AS (SELECT *, least(length(a), length(b)) AS n FROM b),
-      q AS (SELECT *, coalesce(list_min(list_filter(range(1, n + 1), lambda i: a[i] <> b[i])), n + 1) - 1 AS h, coalesce(list_min(list_filter(range(1, n + 1), lambda i: a[length(a) + 1 - i] <> b[length(b) + 1 - i])), n + 1) - 1 AS t0 FROM p),
+    "q_text_differences": """WITH a AS (SELECT doc_id, text AS a FROM documents), b AS (SELECT *, substr(a, 1, 20) || '##' || substr(a, 25) AS b FROM a),
+      p AS (SELECT *, string_split(a, '') AS x, string_split(b, '') AS y, least(length(a), length(b)) AS n FROM b),
+      q AS (SELECT *, coalesce(nullif(list_position(list_transform(list_zip(x[1:n], y[1:n]), lambda p: p[1] <> p[2]), TRUE), 0), n + 1) - 1 AS h,
+        coalesce(nullif(list_position(list_transform(list_zip(list_reverse(x)[1:n], list_reverse(y)[1:n]), lambda p: p[1] <> p[2]), TRUE), 0), n + 1) - 1 AS t0 FROM p),
       r AS (SELECT *, least(t0, n - h) AS t FROM q) SELECT doc_id, h AS prefix, length(a) - h - t AS old, length(b) - h - t AS new, t AS suffix FROM r""",
     "q_lexeme_counts": "SELECT w, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(strip_accents(lower(text)), '[^a-z0-9]+')) AS w FROM documents) WHERE w <> '' GROUP BY 1 HAVING count(*) >= 200",
     "q_scope_include_exclude": "SELECT page_id, 'Dispõe' AS species FROM pages WHERE regexp_matches(lower(url), 'example\\.(com|org)') AND NOT contains(lower(url), 'adult')",
@@ -405,6 +406,6 @@ SQL = {
       SELECT c_custkey, cpf <> repeat(cpf[1], 11) AND {CHECK(9)} = {CPF_DIGIT.format(10)} AND {CHECK(10)} = {CPF_DIGIT.format(11)} AS valid,
         cpf[1:3] || '.' || cpf[4:6] || '.' || cpf[7:9] || '-' || cpf[10:11] AS masked FROM c""",
     "q_suspicions": """SELECT doubt, count(*) AS n FROM (SELECT unnest([CASE WHEN regexp_matches(s, '^[a-zà-ÿ]') THEN 'lower-case start' END, CASE WHEN NOT regexp_matches(s, '[.;:!?)»”"'']$') THEN 'no final mark' END]) AS doubt
-      FROM (SELECT trim(substr(text, 1, 40), ' ') AS s FROM documents)) WHERE doubt IS NOT NULL GROUP BY 1""",
+      FROM (SELECT trim(text, ' ') AS s FROM documents)) WHERE doubt IS NOT NULL GROUP BY 1""",
 }
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}
