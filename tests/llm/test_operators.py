@@ -506,6 +506,30 @@ def test_terms_that_disclose(spark, monkeypatch, sent):
     assert "[NAME]" in clean[0] and "[EMAIL]" in clean[0] and "Zorblatt" not in clean[0] and clean[10] == filler[6]
 
 
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_a_told_term_is_marked_in_the_whole_text(spark, monkeypatch, sent):
+    monkeypatch.setattr(pii, "TERMS_SENT", sent)
+    far = "so it goes on with many other plain words until the end of this quite long note"
+    told = [f"note {w} that Zorblatt can be reached at zed@corp.example for the common text {far} says ZORBLATT, Zorblatt's and Anne-Zorblatt" for w in ("alpha", "beta", "gamma")]
+    told.append(f"only {far} and {far} zed@corp.example {far} and {far} by Zorblatt")
+    filler = ["plain words here and there for a longer common text number " + str(i) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(told + filler)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["terms"] or "" for r in pii.spans_of(df).collect()}
+    for i, t in enumerate(told):
+        want = {f"term:{m.start()}:{m.end()}" for m in re.finditer("zorblatt", t, re.I)}
+        assert len(want) == (1 if i == 3 else 4) and want <= set(spans[i].split(","))
+    clean = pii.sanitised(df.selectExpr("doc_id", "text", "0L n_chars")).collect()
+    assert len(clean) == 64 and not any("zorblatt" in r["text"].lower() for r in clean)
+
+
+def test_near_words_have_no_bound_in_characters():
+    words = [c * 300 for c in "abcdefghijklmn"]
+    for gap in (" ", " " * 700, " -- " * 200):
+        text = gap.join([*words, "zed@corp.example", *words[::-1]])
+        near = [m[1] for m in pii.meetings(text, pii.base_spans(text))]
+        assert near == words[-12:] + words[::-1][:12]
+
+
 def test_sanitised_rows(docs):
     out = pii.sanitised(docs.select("doc_id", "text", "lang", "source", "n_chars", "kept")).collect()
     assert Counter(r["doc_id"] for r in out) == Counter(i for i, *_ in TEXTS)

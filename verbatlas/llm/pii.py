@@ -5,9 +5,10 @@ Over all documents, n(e), n(t) and n(t, e) count those that hold the entity, tho
 term t, and those with t within WINDOW words of e. The term's pointwise mutual information with the
 entity, log(n(t, e) N / (n(t) n(e))), is compared with the entity's information log(N / n(e)): a term
 that gives ALPHA of it or more discloses the entity. It must meet the entity in LEAST_SUPPORT
-different surroundings, so that one sentence, copied however often, proves nothing. Such terms
-are further spans (kind ``term``) in documents that hold the entity near them; sanitised texts
-have a general name for a name or number, and nothing for another word.
+different surroundings, so that one sentence, copied however often, proves nothing. Every occurrence
+of such a term in a document that holds the entity, near it or not and also as a part of a compound,
+is a further span (kind ``term``); sanitised texts have a general name for a name or number, and
+nothing for another word.
 
 Defined results: a null or empty text has no span (and stays null or empty). Spans are in code
 points, end exclusive, ordered by start, then kind. Repeated rows repeat, and rows without
@@ -19,13 +20,14 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import islice, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts
+from .common import SALTS, cut, map_texts, slices
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -33,11 +35,13 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
+PART = re.compile(r"[^\W_]+")
 
 #: Words on either side of an entity that count as near it; the share of the entity's information
 #: that a term may give; and the different surroundings that a term and entity must share.
 WINDOW, ALPHA, LEAST_SUPPORT = 12, 0.8, 3
-#: Candidate terms up to this many are sent to the tasks that count documents.
+#: Candidate terms up to this many are sent to the tasks that count documents, and up to this many
+#: disclosing pairs to those that mark occurrences.
 TERMS_SENT = 100_000
 
 #: What stands for a span in a sanitised text.
@@ -97,43 +101,78 @@ def entity_of(kind: str, value: str) -> str:
     return f"{kind}:{hashlib.sha256(plain.encode()).hexdigest()[:24]}"
 
 
-def meetings(text: str, spans: list[tuple[int, str, int]]) -> list[tuple[str, str, int, int, str]]:
-    """(entity, term, start, end, surrounding) of the terms near each entity, outside all base spans."""
-    out, reach = [], []  # the spans merged, to look up what overlaps a word
+def merged(spans: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
+    """What the ordered spans cover, as intervals that do not touch."""
+    reach: list[tuple[int, int]] = []
     for a, _, b in spans:
         if reach and a <= reach[-1][1]:
             reach[-1] = (reach[-1][0], max(b, reach[-1][1]))
         else:
             reach.append((a, b))
+    return reach
+
+
+def words_before(text: str, start: int) -> list[re.Match]:
+    """The last WINDOW words before a place, from ever earlier beginnings until there are enough."""
+    step = 16 * WINDOW
+    while True:
+        lo = max(0, start - step)
+        words = [*TERM.finditer(text, lo, start)]
+        if lo == 0:
+            return words[-WINDOW:]
+        if len(words) > WINDOW:  # the first may have lost its beginning
+            return words[-WINDOW:]
+        step *= 2
+
+
+def meetings(text: str, spans: list[tuple[int, str, int]]) -> list[tuple[str, str, int, int, str]]:
+    """(entity, term, start, end, surrounding) of the terms near each entity, outside all base spans."""
+    out, reach = [], merged(spans)
 
     def free(m: re.Match) -> bool:
         i = bisect_left(reach, (m.end(), 0)) - 1  # the last that begins before the word's end
         return i < 0 or reach[i][1] <= m.start()
 
     for start, kind, end in spans:
-        lo, hi = max(0, start - 40 * WINDOW), end + 40 * WINDOW  # whole words of any usual length
-        before = [m for m in TERM.finditer(text, lo, start) if m.start() > lo or lo == 0][-WINDOW:]
-        after = [m for m in TERM.finditer(text, end, min(len(text), hi)) if m.end() < hi][:WINDOW]
-        near = [m for m in before + after if free(m)]
+        near = [m for m in (*words_before(text, start), *islice(TERM.finditer(text, end), WINDOW)) if free(m)]
         around = hashlib.sha256(" ".join(m[0].lower() for m in near).encode()).hexdigest()[:16]
         entity = entity_of(kind, text[start:end])
         out += [(entity, m[0].lower(), m.start(), m.end(), around) for m in near if len(m[0]) > 1]
     return out
 
 
+def occurrences(text: str, spans: list[tuple[int, str, int]], terms: set[str]) -> list[tuple[int, str, int]]:
+    """Spans of the ``terms`` in the whole text outside the base spans; in a compound, of its longest parts that are terms."""
+    out = []
+    for (_, lo), (hi, _) in pairwise([(0, 0), *merged(spans), (len(text), len(text))]):
+        for m in TERM.finditer(text, lo, hi):
+            if m[0].lower() in terms:
+                out.append((m.start(), "term", m.end()))
+                continue
+            parts = [x.span() for x in PART.finditer(text, *m.span())]
+            i = 0
+            while len(parts) > 1 and i < len(parts):
+                ends = [j for j in range(len(parts), i, -1) if text[parts[i][0] : parts[j - 1][1]].lower() in terms]
+                if ends:
+                    out.append((parts[i][0], "term", parts[ends[0] - 1][1]))
+                i = ends[0] if ends else i + 1
+    return out
+
+
 def found(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``base`` string (the spans, joined) and ``near``, the terms near the entities."""
+    """``docs`` with ``base`` string (the spans, joined), the entities ``held`` and ``near``, the terms near them."""
     meeting = pa.struct([("e", pa.string()), ("t", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("around", pa.string())])
 
     def make():
         def work(texts: list) -> list[list]:
             spans = [base_spans(t) for t in texts]
             near = [[dict(zip(("e", "t", "a", "b", "around"), m, strict=True)) for m in meetings(t, s)] if s else [] for t, s in zip(texts, spans, strict=True)]
-            return [[joined(s) for s in spans], near]
+            held = [sorted({entity_of(k, t[a:b]) for a, k, b in s}) for t, s in zip(texts, spans, strict=True)]
+            return [[joined(s) for s in spans], held, near]
 
         return work
 
-    return map_texts(docs, "text", {"base": pa.string(), "near": pa.list_(meeting)}, "base string, near array<struct<e:string,t:string,a:int,b:int,around:string>>", make)
+    return map_texts(docs, "text", {"base": pa.string(), "held": pa.list_(pa.string()), "near": pa.list_(meeting)}, "base string, held array<string>, near array<struct<e:string,t:string,a:int,b:int,around:string>>", make)
 
 
 def documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -177,14 +216,59 @@ def disclosing(docs: DataFrame, rows: DataFrame, alpha: float = ALPHA, support:
     return scored.where(F.col("pmi") >= alpha * F.col("ic")).select("e", "t", "pmi", (F.col("pmi") / F.greatest("ic", F.lit(1e-9))).alias("share"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, th): with a hash of the text, as ids may be missing or repeated."""
+    return docs.select("doc_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"))
+
+
+def told_in(docs: DataFrame, alpha: float = ALPHA, support: int = LEAST_SUPPORT) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, th, base, held), and (e, t) of the terms that disclose an entity."""
+    rows = cut(found(keyed(docs)).select("doc_id", "th", "base", "held", "near"))
+    return rows.drop("near"), cut(disclosing(docs, rows, alpha, support).select("e", "t"))
+
+
+def marked(df: DataFrame, rows: DataFrame, told: DataFrame) -> DataFrame:
+    """``df`` (doc_id, th, text, ...) with ``base`` and ``terms``, every occurrence of the terms told for its entities.
+
+    Up to TERMS_SENT pairs go to the tasks. Beyond that, the terms are joined by document, from the
+    entities that it holds, with a salt as one entity may be in many documents.
+    """
+    sent = told.limit(TERMS_SENT + 1).collect()
+    by_entity = None
+    if len(sent) <= TERMS_SENT:
+        by_entity = defaultdict(set)
+        for e, t in sent:
+            by_entity[e].add(t)
+        by_entity = dict(by_entity)
+    else:
+        held = rows.where("base <> ''").select("doc_id", "th", F.explode("held").alias("e")).distinct()
+        held = held.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS)).cast("int"))
+        pairs = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        df = with_terms(df, cut(held.join(pairs, ["e", "salt"]).groupBy("doc_id", "th").agg(F.collect_set("t").alias("terms"))))
+    keep = [c for c in df.columns if c not in ("base", "terms")]
+
+    def task(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = part.column("text").to_pylist()
+                own = part.column("terms").to_pylist() if by_entity is None else [None] * len(texts)
+                base, terms = [], []
+                for t, mine in zip(texts, own, strict=True):
+                    spans = base_spans(t)
+                    mine = set(mine or ()).union(*[by_entity.get(entity_of(k, t[a:b]), ()) for a, k, b in spans] if by_entity else [])
+                    base.append(joined(spans))
+                    terms.append(joined(occurrences(t, spans, mine)) or None if mine else None)
+                columns = [*[part.column(c) for c in keep], pa.array(base, pa.string()), pa.array(terms, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "base", "terms"])
+
+    types = dict(df.dtypes)
+    return df.mapInArrow(task, ", ".join([*[f"`{c}` {types[c]}" for c in keep], "base string, terms string"]))
+
+
 def term_spans(docs: DataFrame, alpha: float = ALPHA, support: int = LEAST_SUPPORT) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, th, base), and (doc_id, th, terms) of documents with disclosing terms."""
-    seen = docs.select("doc_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"))
-    rows = cut(found(seen).select("doc_id", "th", "base", "near"))
-    told = cut(disclosing(docs, rows, alpha, support))
-    near = rows.where("base <> ''").select("doc_id", "th", F.explode("near").alias("m")).select("doc_id", "th", "m.e", "m.t", "m.a", "m.b")
-    spans = near.join(told.select("e", "t"), ["e", "t"]).select("doc_id", "th", F.format_string("term:%d:%d", "a", "b").alias("s")).distinct()
-    return rows.drop("near"), cut(spans.groupBy("doc_id", "th").agg(F.array_join(F.sort_array(F.collect_list("s")), ",").alias("terms")))
+    rows, told = told_in(docs, alpha, support)
+    return rows.drop("held"), cut(marked(keyed(docs), rows, told).where("terms IS NOT NULL").select("doc_id", "th", "terms").distinct())
 
 
 def with_terms(df: DataFrame, terms: DataFrame) -> DataFrame:
@@ -199,8 +283,7 @@ def with_terms(df: DataFrame, terms: DataFrame) -> DataFrame:
 
 def spans_of(docs: DataFrame) -> DataFrame:
     """(doc_id, base, terms) of every row."""
-    rows, terms = term_spans(docs)
-    return with_terms(rows, terms).select("doc_id", "base", "terms")
+    return marked(keyed(docs), *told_in(docs)).select("doc_id", "base", "terms")
 
 
 def cleaned(text: str, spans: list[tuple[int, str, int]]) -> str:
@@ -220,18 +303,18 @@ def cleaned(text: str, spans: list[tuple[int, str, int]]) -> str:
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` without personal data and ``n_chars`` its new length; no other row changes."""
     columns = docs.columns
-    _, terms = term_spans(docs)
+    rows, told = told_in(docs)
     th = F.coalesce(F.xxhash64("text"), F.lit(0))
     others = [c for c in columns if c not in ("text", "n_chars")]
     plain = docs.select(*[F.col(c).alias(f"__in_{c}") for c in others], "doc_id", th.alias("th"), "text")
-    df = with_terms(plain, terms)
+    df = marked(plain, rows, told)
 
     def task(batches):
         for batch in batches:
-            texts, more = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "terms"))
+            texts, base, more = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "base", "terms"))
             new = []
-            for t, m in zip(texts, more, strict=True):
-                spans = base_spans(t) + parsed(m or "")
+            for t, s, m in zip(texts, base, more, strict=True):
+                spans = parsed(s) + parsed(m or "")
                 new.append(cleaned(t, spans) if spans else t)
             i = batch.schema.get_field_index("text")
             yield batch.set_column(i, "text", pa.array(new, pa.string()))
