@@ -228,6 +228,23 @@ def test_leaves():
     assert html_leaves.parsed(None).leaves == [] and html_leaves.parsed("<p>open <!-- never closed").leaves[0].text == "open"
 
 
+def test_vectors_read_whole_blocks_and_paths():
+    def vectors(*pages):
+        return [html_blocks.Vectors().of(html_leaves.parsed(p).leaves)[-1] for p in pages]
+
+    long = "word " * 200
+    a, b = vectors(f"<p>{long}one two three", f"<p>{long}six ten four")
+    assert (a != b).any()
+    names = " ".join("abcdefgh")
+    a, b = vectors(f"<div class='{names} ad'>x", f"<div class='{names} body'>x")
+    assert (a != b).any()
+    inner = "<div>" * 12 + "x"
+    a, b = vectors(f"<aside>{inner}", f"<article>{inner}")
+    assert (a != b).any()
+    deep = html_leaves.parsed("<article>" + "<div>" * 3000 + "in" + "</div>" * 3000 + "out</article>after").leaves
+    assert [(x.text, x.path.depth) for x in deep] == [("in", 3001), ("out", 1), ("after", 0)]
+
+
 def test_gradients_by_differences():
     rng = np.random.default_rng(0)
     w = {k: v.astype(np.float64) for k, v in html_blocks.new_weights(rng).items()}

@@ -3,8 +3,8 @@
 A page becomes a sequence of leaves (see ``html_leaves``). A leaf's vector has its tag path, hashed
 part by part, its words, hashed, and a few measures (length, linked share, punctuation, place). A
 numpy LSTM reads the sequence from both ends, so a block's label depends on the whole page, and a
-logistic layer gives the probability of main text. Pages longer than the memory for one batch are
-read in steps that carry the state on; nothing is cut off.
+logistic layer gives the probability of main text. A page is read whole, in memory in proportion to
+its leaves; nothing is cut off.
 
 The model is trained here, from pages that ``practice_pages`` writes in many layouts with known
 labels (the tables have none). The text is the blocks labelled as main, a line each.
@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_texts
-from .html_leaves import Leaf, parsed
+from .html_leaves import Leaf, Node, parsed
 
 PATH_DIMS, WORD_DIMS, HIDDEN = 96, 32, 24
-MEASURES, FIRST_WORDS = 8, 24
+#: A block's words weigh together as so many do at most.
+MEASURES, MOST_WEIGHT = 8, 24
 DIMS = PATH_DIMS + WORD_DIMS + MEASURES
 #: Leaves whose vectors are held at once.
 LEAVES_AT_ONCE = 60_000
@@ -50,42 +51,57 @@ class Hashes(dict):
 
 
 class Vectors:
-    """Leaves to vectors; the hashed paths and words met before are kept up to a bound."""
+    """Leaves to vectors; the hashed tags and words met before are kept up to a bound."""
 
     def __init__(self) -> None:
-        self.paths: dict[tuple[str, ...], np.ndarray] = {}
+        self.tags: dict[str, list[int]] = {}
         self.words = Hashes()
 
-    def path(self, path: tuple[str, ...]) -> np.ndarray:
-        v = self.paths.get(path)
-        if v is None:
-            v = np.zeros(PATH_DIMS, np.float32)
-            for p in path[-12:]:
-                tag, *names = p.split(".")
-                for part in (tag, *("." + n for n in names)):
-                    v[hashed(part, PATH_DIMS)] = 1
-            if path:
-                v[hashed("leaf:" + path[-1].split(".")[0], PATH_DIMS)] = 1
-            if len(self.paths) > 20_000:
-                self.paths.clear()
-            self.paths[path] = v
+    def tag(self, own: str) -> list[int]:
+        """Places of a tag and its names, the first for the tag as a leaf's own."""
+        at = self.tags.get(own)
+        if at is None:
+            tag, *names = own.split(".")
+            at = [hashed(x, PATH_DIMS) for x in ("leaf:" + tag, tag, *("." + n for n in names))]
+            if len(self.tags) > 20_000:
+                self.tags.clear()
+            self.tags[own] = at
+        return at
+
+    def path(self, node: Node) -> np.ndarray:
+        """Of all tags above; each tag adds its own to what its parent has."""
+        todo = []
+        while node.vector is None and node.parent is not None:
+            todo.append(node)
+            node = node.parent
+        v = np.zeros(PATH_DIMS, np.float32) if node.vector is None else node.vector
+        for x in reversed(todo):
+            v = v.copy()
+            v[self.tag(x.own)[1:]] = 1
+            x.vector = v
         return v
 
+    def words_of(self, text: str) -> np.ndarray:
+        """Counts of the hashed words of the whole text; of more than MOST_WEIGHT words, in proportion."""
+        k = [self.words[w] for w in text.lower().split()]
+        return np.bincount(k, minlength=WORD_DIMS) * (min(len(k), MOST_WEIGHT) / 8 / max(1, len(k)))
+
     def of(self, leaves: list[Leaf]) -> np.ndarray:
         n = len(leaves)
         out = np.zeros((n, DIMS), np.float32)
         if not n:
             return out
-        out[:, :PATH_DIMS] = [self.path(x.path) for x in leaves]
-        words = [x.text[:400].lower().split()[:FIRST_WORDS] for x in leaves]  # of a feature; no text is cut
-        number = [k + WORD_DIMS * i for i, w in enumerate(words) for k in map(self.words.__getitem__, w)]
-        out[:, PATH_DIMS:-MEASURES] = np.bincount(number, minlength=n * WORD_DIMS).reshape(n, -1) / 8
+        for i, x in enumerate(leaves):
+            out[i, :PATH_DIMS] = self.path(x.path)
+            if x.path.parent is not None:
+                out[i, self.tag(x.path.own)[0]] = 1
+            out[i, PATH_DIMS:-MEASURES] = self.words_of(x.text)
         size = np.array([len(x.text) for x in leaves])
         stops = np.array([x.text.count(".") + x.text.count(",") + x.text.count(";") for x in leaves])
         place = np.arange(n)
         out[:, -MEASURES:] = np.stack([
             np.log1p(size) / 8, np.array([x.linked for x in leaves]) / size, stops / size * 10, size > 80,
-            place / max(1, n - 1), 1 / (1 + place), np.array([min(len(x.path), 12) for x in leaves]) / 12, np.ones(n),
+            place / max(1, n - 1), 1 / (1 + place), np.array([min(x.path.depth, 12) for x in leaves]) / 12, np.ones(n),
         ], axis=1)
         return out
 

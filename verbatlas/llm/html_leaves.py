@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 TOKEN = re.compile(
@@ -25,8 +26,20 @@ BOUNDS = {"li": {"ul", "ol", "menu"}, "tr": {"table"}, "td": {"table", "tr"}, "t
 BLOCKS_END_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 
 
+class Node:
+    """A tag of a page and those above it: one step each, so that a page of any depth takes memory by its tags."""
+
+    __slots__ = ("depth", "hidden", "own", "parent", "vector")
+
+    def __init__(self, parent: Node | None, own: str) -> None:
+        self.parent, self.own = parent, own  # the tag with its class and id words: "div.ad.box"
+        self.depth = parent.depth + 1 if parent else 0
+        self.hidden = bool(parent and (parent.hidden or own == "head" or own.startswith(("head.", "title"))))
+        self.vector = None  # kept here by whoever reads the path
+
+
 class Leaf(NamedTuple):
-    path: tuple[str, ...]  # of tags, outermost first; a tag with its class and id words: "div.ad.box"
+    path: Node  # the innermost tag that isn't inline
     text: str
     linked: int  # characters of the text inside links
 
@@ -55,7 +68,9 @@ def parsed(page: str | None) -> Page:
     page = page or ""
     leaves: list[Leaf] = []
     links, metas, title = [], [], ""
-    stack: list[tuple[str, str]] = []
+    root = Node(None, "")
+    stack: list[tuple[str, Node]] = []
+    opened: Counter = Counter()  # tags on the stack, so that it isn't searched in vain
     buffer: list[str] = []
     linked = in_link = at = 0
 
@@ -64,14 +79,14 @@ def parsed(page: str | None) -> Page:
         if buffer:
             text = tidy("".join(buffer))
             if text:
-                path = tuple(s for t, s in stack if t not in INLINE)
-                leaves.append(Leaf(path, text, min(linked, len(text))))
+                leaves.append(Leaf(stack[-1][1] if stack else root, text, min(linked, len(text))))
             buffer.clear()
         linked = 0
 
     def close_to(k: int) -> None:
         nonlocal in_link
         in_link -= sum(t == "a" for t, _ in stack[k:])
+        opened.subtract(t for t, _ in stack[k:])
         del stack[k:]
 
     for m in TOKEN.finditer(page):
@@ -87,7 +102,7 @@ def parsed(page: str | None) -> Page:
         tag = tag.lower()
         if m["end"]:
             if tag in INLINE:
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                     if stack[k][0] == tag:
                         close_to(k)
                         break
@@ -96,7 +111,7 @@ def parsed(page: str | None) -> Page:
                 continue
             if tag == "title" and buffer:
                 title = title or tidy("".join(buffer))
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[k][0] == tag:
                     flush()
                     close_to(k)
@@ -119,7 +134,7 @@ def parsed(page: str | None) -> Page:
         if tag not in INLINE:
             flush()
             ends = ENDS.get(tag, set()) | ({"p"} if tag in BLOCKS_END_P else set())
-            if ends:
+            if any(opened[x] for x in ends):
                 bounds = BOUNDS.get(tag, set())
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in ends:
@@ -127,11 +142,15 @@ def parsed(page: str | None) -> Page:
                         break
                     if stack[k][0] in bounds or (stack[k][0] not in INLINE and "p" in ends):
                         break
-        if len(stack) < 512 and not m["attrs"].endswith("/"):
-            words = WORDS.findall(f"{own.get('class', '')} {own.get('id', '')} {own.get('role', '')}".lower())[:8]
-            stack.append((tag, ".".join([tag, *words])))
+        if not m["attrs"].endswith("/"):
+            node = stack[-1][1] if stack else root
+            if tag not in INLINE:
+                words = WORDS.findall(f"{own.get('class', '')} {own.get('id', '')} {own.get('role', '')}".lower())
+                node = Node(node, ".".join([tag, *words]))
+            stack.append((tag, node))
+            opened[tag] += 1
             in_link += tag == "a"
     if at < len(page):
         buffer.append(page[at:])
     flush()
-    return Page([x for x in leaves if not any(p.startswith(("head.", "title")) or p == "head" for p in x.path)], title, links, metas)
+    return Page([x for x in leaves if not x.path.hidden], title, links, metas)
