@@ -228,6 +228,28 @@ def test_leaves():
     assert html_leaves.parsed(None).leaves == [] and html_leaves.parsed("<p>open <!-- never closed").leaves[0].text == "open"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>x</title><body><p>the text",
+        "<head><meta name=a content=b><title>x</title><p>the text",
+        "<head><title>x</title>the text",
+        "<body><svg class='i' /><p>the text",
+        "<body><svg-icon name=a><p>the text</p></svg-icon>",
+        "<body><svg><path d='x'><p>the text",
+        "<body><p><object data=x>the text</object>",
+        "<body><p>the <math><mi>text</mi></math>",
+    ],
+)
+def test_no_page_is_lost_by_its_form(page):
+    assert [x.text for x in html_leaves.parsed(page).leaves] == ["the text"]
+
+
+def test_what_is_no_text_stays_out():
+    page = html_leaves.parsed("<head><title>T <b>x</title><script>var a</script><style>p{}</style></head><p>a<svg><text>no</text></svg><select><option>no</select><script src=x>no")
+    assert [x.text for x in page.leaves] == ["a"]
+
+
 def test_vectors_read_whole_blocks_and_paths():
     def vectors(*pages):
         return [html_blocks.Vectors().of(html_leaves.parsed(p).leaves)[-1] for p in pages]

@@ -5,20 +5,45 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|object|select|math)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
+#: Elements without text for a reader. The first run to the page's end if they have no end tag; the others have then no content.
+RAW, CLOSED = ("script", "style", "noscript", "textarea", "iframe"), frozenset(("template", "svg", "select"))
+
+
+@lru_cache(maxsize=8)
+def tokens(closed: frozenset[str] = CLOSED) -> re.Pattern:
+    return re.compile(
+        r"<!--.*?(?:-->|\Z)"
+        rf"|<(?P<raw>{'|'.join([*RAW, *sorted(closed)])})(?=[\s/>])(?:(?P<lone>[^>]*/>)|[^>]*>.*?(?:(?P<shut></(?P=raw)\s*>)|\Z))"
+        r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
+        r"|<[!?/][^>]*>",
+        re.S | re.I,
+    )
+
+
+def found(page: str) -> Iterator[re.Match]:
+    """The tokens of a page; after an end tag was missing once, such elements are no longer searched for it."""
+    closed, at = CLOSED, 0
+    while m := tokens(closed).search(page, at):
+        if m["raw"] and m["raw"].lower() in closed and not m["lone"] and not m["shut"]:
+            closed, at = closed - {m["raw"].lower()}, m.start()
+            continue
+        yield m
+        at = m.end()
+
+
 ATTR = re.compile(r"\b(class|id|role|href|name|content)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS = re.compile(r"[a-z]+")
 
 #: Tags that stand inside a line of text; every other tag bounds a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr object".split()) | frozenset(
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics annotation".split()
+)
+#: Tags that may stand in a head; any other opening tag, or text, ends one that is open.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag ends an open one of these, up to the nearest tag that holds such a list.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -89,9 +114,15 @@ def parsed(page: str | None) -> Page:
         opened.subtract(t for t, _ in stack[k:])
         del stack[k:]
 
-    for m in TOKEN.finditer(page):
+    def end_head() -> None:
+        flush()
+        close_to(next(k for k, (t, _) in enumerate(stack) if t == "head"))
+
+    for m in found(page):
         if m.start() > at:
             piece = page[at : m.start()]
+            if stack and stack[-1][0] == "head" and not piece.isspace():
+                end_head()
             buffer.append(piece)
             if in_link:
                 linked += len(piece)
@@ -117,6 +148,8 @@ def parsed(page: str | None) -> Page:
                     close_to(k)
                     break
             continue
+        if opened["head"] and not opened["title"] and tag not in IN_HEAD and tag != "head":
+            end_head()
         own = attributes(m["attrs"])
         if tag == "br":
             buffer.append(" ")
@@ -151,6 +184,8 @@ def parsed(page: str | None) -> Page:
             opened[tag] += 1
             in_link += tag == "a"
     if at < len(page):
+        if stack and stack[-1][0] == "head" and not page[at:].isspace():
+            end_head()
         buffer.append(page[at:])
     flush()
     return Page([x for x in leaves if not x.path.hidden], title, links, metas)
