@@ -21,6 +21,16 @@ def test_first_place_of_the_term_leg(spark):
     assert hit["id"] == 7 and round(hit["score"], 6) == 0.04918
 
 
+def test_ids_that_no_document_has_take_no_place(spark):
+    docs = spark.createDataFrame([(1, "a", "apple pie"), (2, "b", "apple tart")], "id long, title string, text string")
+    vectors = spark.createDataFrame([(9, [1.0, 0.0]), (2, [0.9, 0.1]), (1, [0.0, 1.0])], "id long, vector array<double>")
+    terms = spark.createDataFrame([(1, "apple", [])], "term_id int, term string, variants array<string>")
+    edges = spark.createDataFrame([(1, 8, "principal", 9), (1, 2, "related", 1)], "term_id int, id long, role string, weight int")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, vector array<double>")
+    hits = search.hybrid(docs, vectors, terms, edges, "apple", asked).orderBy("place").collect()
+    assert [(r["id"], r["term_pos"], r["vector_pos"]) for r in hits] == [(2, 1, 1), (1, None, 2)]
+
+
 def test_norms_named(spark):
     found = rows(spark, "q_norm_named")
     assert found[0]["became"] and found[0]["norm"] == "Lei 15.164/2025"

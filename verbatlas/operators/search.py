@@ -194,6 +194,11 @@ def fused_by_joins(legs: dict[str, DataFrame], weights: dict[str, float] | None
     return out.withColumn("score", F.round(score, 6)).select("query_id", "id", "score", *[f"{n}_pos" for n in legs])
 
 
+def of_documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of a leg's source whose id is a document's."""
+    return rows.join(docs.select("id"), "id", "left_semi")
+
+
 def in_final_order(hits: DataFrame, most: int = 12) -> DataFrame:
     """Curated hits first (principal, then weight), then by score; ``place`` numbers them."""
     order = [
@@ -220,17 +225,17 @@ def hybrid(
     """(query_id, place, id, score, term, role, weight, term_pos, lexical_pos, vector_pos).
 
     ``docs`` (id, title, text, ...) are narrowed by ``only`` before each leg; ``vectors`` (id, vector) and
-    ``edges`` (term_id, id, role, weight) keep ids of these. Without a query vector its leg is empty.
+    ``edges`` (term_id, id, role, weight) always keep ids of these alone, before they are ranked: an id that no
+    document has is never returned and never takes a place. Without a query vector its leg is empty.
     """
     spark = docs.sparkSession
     narrowed = docs.where(only) if only is not None else docs
     ids = narrowed.select("id")
     queries = spark.range(1).select(F.lit(1).alias("query_id"), F.lit(query).alias("query"))
-    curated = term_leg(queries, terms, edges if only is None else edges.join(ids, "id", "left_semi"), cap=None)
+    curated = term_leg(queries, terms, of_documents(edges, ids), cap=None)
     legs = {"term": curated, "lexical": lexical_leg(narrowed, query, cap=cap)}
     if vector is not None and vectors is not None:
-        near = vectors if only is None else vectors.join(ids, "id", "left_semi")
-        legs["vector"] = vector_leg(near, vector, cap)
+        legs["vector"] = vector_leg(of_documents(vectors, ids), vector, cap)
     scores = fused(legs, weights, k)
     if "vector" not in legs:
         scores = scores.withColumn("vector_pos", F.lit(None).cast("int"))

@@ -136,10 +136,11 @@ def q_fusion_floor(spark, d):
 
 def legs(spark, d):
     queries = spark.range(1).select(F.lit(1).alias("query_id"), F.lit(ASK).alias("query"))
+    docs = documents(spark, d)
     return {
-        "term": s.term_leg(queries, vocabulary(spark), edges(spark, d), cap=None),
-        "lexical": s.lexical_leg(documents(spark, d), ASK),
-        "vector": s.vector_leg(vectors(spark, d), asked(spark, d)),
+        "term": s.term_leg(queries, vocabulary(spark), s.of_documents(edges(spark, d), docs), cap=None),
+        "lexical": s.lexical_leg(docs, ASK),
+        "vector": s.vector_leg(s.of_documents(vectors(spark, d), docs), asked(spark, d)),
     }
 
 
