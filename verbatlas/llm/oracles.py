@@ -47,33 +47,34 @@ def op2() -> str:
 
 def op7() -> str:
     b = "CASE WHEN length(bin({0})) > 5 THEN ({0} >> (length(bin({0})) - 5)::INT) << (length(bin({0})) - 5)::INT ELSE {0} END"
-    ratio = {"symbols": "n_symbols", "repeats": "n_repeat_words", "dup_lines": "n_dup_lines", "word_len": "word_chars"}
-    slack = " ".join(f"WHEN '{m}' THEN {v}" for m, v in quality.SLACK.items())
-    each = " UNION ALL ".join(f"SELECT k, lang, source, '{m}' AS metric, {c} * 1000 // greatest(n_words, 1) AS v FROM c" for m, c in ratio.items())
+    ratio = {"symbols": (f"greatest(n_symbols - {quality.FREE_SYMBOLS}, 0)", "n_words"), "repeats": ("n_repeat_words", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "word_len": ("word_chars", "n_words")}
+    each = " UNION ALL ".join(f"SELECT k, lang, source, '{m}' AS metric, {c} * 1000 // greatest({d}, 1) AS v FROM c WHERE NOT bad" for m, (c, d) in ratio.items())
+    width = "1 << greatest(length(bin({0})) - 5, 0)::INT"
     levels = {2: ("lang", "source"), 1: ("lang",), 0: ()}
     parts = []
     for level, keys in levels.items():
         cols = ", ".join([k if k in keys else f"NULL::VARCHAR AS {k}" for k in ("lang", "source")])
         group = ", ".join([*keys, "metric"])
-        parts.append(f"""SELECT {level} AS level, {cols}, metric, max(total) AS docs, min(b) FILTER (WHERE upto * 4 >= total) AS q1, min(b) FILTER (WHERE upto * 2 >= total) AS q2, min(b) FILTER (WHERE upto * 4 >= total * 3) AS q3
+        parts.append(f"""SELECT {level} AS level, {cols}, metric, max(total) AS docs, min(b) FILTER (WHERE upto * 4 >= total) AS q1, min(b) FILTER (WHERE upto * 4 >= total * 3) AS q3, min(b) FILTER (WHERE upto * {quality.TAIL[1]} >= total * {quality.TAIL[0]}) AS tail
           FROM (SELECT *, sum(n) OVER (PARTITION BY {group}) AS total, sum(n) OVER (PARTITION BY {group} ORDER BY b) AS upto FROM (SELECT {group}, b, count(*) AS n FROM m GROUP BY {group}, b)) GROUP BY {group}""")
     return f"""WITH w AS (SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
       g AS (SELECT k, i, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT k, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
       twice AS (SELECT k, i FROM (SELECT *, count(*) OVER (PARTITION BY k, s) AS n FROM g) WHERE n > 1),
       rep AS (SELECT k, count(DISTINCT i + j) AS n FROM twice, range(5) r(j) GROUP BY 1),
       ln AS (SELECT k, unnest(string_split(t, chr(10))) AS x FROM w),
-      dup AS (SELECT k, count(*) - count(DISTINCT x) AS n FROM ln WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
-      c AS (SELECT k, doc_id, lang, source, len(w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-        coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM w LEFT JOIN dup USING (k) LEFT JOIN rep USING (k)),
+      dup AS (SELECT k, count(*) - count(DISTINCT x) AS n, count(*) AS lines FROM ln WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
+      c0 AS (SELECT k, doc_id, lang, source, len(w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        coalesce(dup.n, 0) AS n_dup_lines, coalesce(dup.lines, 0) AS n_lines, coalesce(rep.n, 0) AS n_repeat_words FROM w LEFT JOIN dup USING (k) LEFT JOIN rep USING (k)),
+      c AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS bad FROM c0),
       m AS (SELECT *, {b.format('v')} AS b FROM ({each})),
       q AS ({' UNION ALL '.join(parts)}),
-      f AS (SELECT *, q3 + greatest({quality.FENCE} * greatest(q3 - q2, q2 - q1), CASE metric {slack} END) AS fence FROM q),
+      f AS (SELECT *, CASE WHEN metric IN {quality.SPREAD_METRICS} THEN q3 + {quality.FENCE} * (q3 - q1 + ({width.format('q3')})) ELSE tail + ({width.format('tail')}) END AS fence FROM q),
       v AS (SELECT m.k, bool_or(m.b > coalesce(f2.fence, f1.fence, f0.fence)) AS over FROM m
         LEFT JOIN f f2 ON f2.level = 2 AND f2.docs >= {quality.LEAST_DOCS} AND f2.metric = m.metric AND f2.lang IS NOT DISTINCT FROM m.lang AND f2.source IS NOT DISTINCT FROM m.source
         LEFT JOIN f f1 ON f1.level = 1 AND f1.docs >= {quality.LEAST_DOCS} AND f1.metric = m.metric AND f1.lang IS NOT DISTINCT FROM m.lang
         LEFT JOIN f f0 ON f0.level = 0 AND f0.metric = m.metric GROUP BY 1)
-      SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bad AS base_failed, NOT bad AND NOT over AS kept
-      FROM (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS bad FROM c) JOIN v USING (k)"""
+      SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bad AS base_failed, NOT bad AND NOT coalesce(over, FALSE) AS kept
+      FROM c LEFT JOIN v USING (k)"""
 
 
 ORACLE_SQL: dict[str, str] = {"op1_sharding": OP1, "op2_mixing": op2(), "op7_quality": op7()}

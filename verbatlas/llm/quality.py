@@ -1,7 +1,13 @@
 """Quality rules whose cutoffs adapt to the language and source of a document.
 
 A base rule with fixed cutoffs comes first. The method's verdict then compares four ratios of a
-document with fences that mergeable quantile sketches give for its (lang, source).
+document that passes it with fences that mergeable quantile sketches, of the documents that pass it, give for its
+(lang, source). What the sketch says is the cutoff, within the width of a bucket, its resolution:
+
+- symbols (beyond the first FREE_SYMBOLS of a text) and characters to a word: the upper quartile plus FENCE times the
+  spread between the quartiles, so that up to a quarter of a source can be junk;
+- words in repeated windows to all words, and repeated lines to all lines: the quantile TAIL, as an ordinary text has
+  some of them.
 
 The sketch is a log-linear histogram: a non-negative number keeps its five leading bits, so a
 bucket's width is at most 1/16 of its value, and buckets with their counts are plain rows. Sketches
@@ -25,16 +31,17 @@ from .common import cut, join_dimension, map_texts
 #: Fewest words of a document, and the most of 100 words that may stand in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 10, 20
 
-#: A group needs this many documents for a sketch of its own.
-LEAST_DOCS = 100
+#: A group needs this many documents for a sketch of its own: the quantile TAIL has one of them above it.
+LEAST_DOCS = 200
 
-#: The fence is the upper quartile plus FENCE times the spread between the quartiles and median,
-#: or plus this slack (in thousandths) where a group hardly varies.
-FENCE = 8
-SLACK = {"symbols": 200, "repeats": 200, "dup_lines": 80, "word_len": 6_000}
-METRICS = list(SLACK)
+#: Times the spread between the quartiles; the quantile (a of b) of the other metrics; symbols that don't count.
+FENCE, TAIL, FREE_SYMBOLS = 4, (995, 1000), 3
+SPREAD_METRICS, TAIL_METRICS = ("symbols", "word_len"), ("repeats", "dup_lines")
+METRICS = ["symbols", "repeats", "dup_lines", "word_len"]
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+#: Those, and the lines with a word.
+MEASURED = [*COUNTS, "n_lines"]
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 
 
@@ -64,8 +71,8 @@ def repeated_words(words: list[bytes], window: int = 5) -> int:
     return int((np.cumsum(marks[:-1]) > 0).sum())
 
 
-def counts_of(text: str | None) -> tuple[int, int, int, int, int]:
-    """The values of COUNTS for one text."""
+def counts_of(text: str | None) -> tuple[int, int, int, int, int, int]:
+    """The values of MEASURED for one text."""
     text = text or ""
     words = text.encode("utf-8", "surrogatepass").split()  # bytes split at ASCII white space only
     lines = [x for x in text.split("\n") if x.strip(SPACES)]
@@ -75,16 +82,17 @@ def counts_of(text: str | None) -> tuple[int, int, int, int, int]:
         sum(map(text.count, SYMBOLS)),
         len(lines) - len(set(lines)),
         repeated_words(words),
+        len(lines),
     )
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with COUNTS as longs and ``base_failed``."""
+    """``docs`` with MEASURED as longs and ``base_failed``."""
 
     def make():
-        return lambda texts: list(zip(*map(counts_of, texts), strict=True)) if texts else [[]] * len(COUNTS)
+        return lambda texts: list(zip(*map(counts_of, texts), strict=True)) if texts else [[]] * len(MEASURED)
 
-    out = map_texts(docs, "text", dict.fromkeys(COUNTS, pa.int64()), ", ".join(f"{c} long" for c in COUNTS), make)
+    out = map_texts(docs, "text", dict.fromkeys(MEASURED, pa.int64()), ", ".join(f"{c} long" for c in MEASURED), make)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
@@ -92,19 +100,28 @@ def measured(docs: DataFrame) -> DataFrame:
 def ratios() -> dict[str, Column]:
     """In thousandths, rounded down: whole numbers, so that no engine rounds them differently."""
     return {
-        "symbols": F.expr("n_symbols * 1000 div greatest(n_words, 1)"),
+        "symbols": F.expr(f"greatest(n_symbols - {FREE_SYMBOLS}, 0) * 1000 div greatest(n_words, 1)"),
         "repeats": F.expr("n_repeat_words * 1000 div greatest(n_words, 1)"),
-        "dup_lines": F.expr("n_dup_lines * 1000 div greatest(n_words, 1)"),
+        "dup_lines": F.expr("n_dup_lines * 1000 div greatest(n_lines, 1)"),
         "word_len": F.expr("word_chars * 1000 div greatest(n_words, 1)"),
     }
 
 
+def dropped_bits(v: Column) -> Column:
+    return F.greatest(F.length(F.bin(v)) - 5, F.lit(0))
+
+
 def bucket(v: Column) -> Column:
     """The lower end of a number's bucket: its five leading bits, the rest zero."""
-    drop = F.greatest(F.length(F.bin(v)) - 5, F.lit(0))
+    drop = dropped_bits(v)
     return F.call_function("shiftleft", F.call_function("shiftright", v, drop), drop)
 
 
+def width(v: Column) -> Column:
+    """The width of a number's bucket."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), dropped_bits(v))
+
+
 def sketches(df: DataFrame, levels: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """(level, keys..., metric, bucket, n): the histogram of every group at every level, merged upwards."""
     one = F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.col(m)).alias("bucket")) for m in METRICS])
@@ -128,11 +145,12 @@ def quantiles(sketch: DataFrame, keys: list[str], at: dict[str, tuple[int, int]]
 
 
 def fences(df: DataFrame) -> DataFrame:
-    """(lang, source, max_<metric>...): one row for each group of documents, small groups by fallback."""
-    q = cut(quantiles(sketches(df), ["level", "lang", "source", "metric"], {"q1": (1, 4), "q2": (1, 2), "q3": (3, 4)}))
-    spread = F.greatest(F.col("q3") - F.col("q2"), F.col("q2") - F.col("q1"))
-    slack = F.coalesce(*[F.when(F.col("metric") == m, F.lit(v)) for m, v in SLACK.items()])
-    q = q.withColumn("fence", F.col("q3") + F.greatest(FENCE * spread, slack))
+    """(lang, source, max_<metric>...): one row for each group of documents that pass the base rule, small
+    groups by fallback."""
+    at = {"q1": (1, 4), "q3": (3, 4), "tail": TAIL}
+    q = cut(quantiles(sketches(df.where("NOT base_failed")), ["level", "lang", "source", "metric"], at))
+    by_spread = F.col("q3") + FENCE * (F.col("q3") - F.col("q1") + width(F.col("q3")))
+    q = q.withColumn("fence", F.when(F.col("metric").isin(*SPREAD_METRICS), by_spread).otherwise(F.col("tail") + width(F.col("tail"))))
     enough = q.where(F.col("docs") >= LEAST_DOCS)
     groups = q.where("level = 2").select("lang", "source", "metric")
     of_lang = enough.where("level = 1").select("lang", "metric", F.col("fence").alias("f1"))
@@ -156,7 +174,7 @@ def verdicts(df: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, COUNTS, base_failed and kept of every row; the texts are read once."""
+    """doc_id, lang, source, MEASURED, base_failed and kept of every row; the texts are read once."""
     rows = cut(measured(docs.select("doc_id", "lang", "source", "text")).drop("text"))
     return verdicts(rows, cut(fences(rows)))
 
