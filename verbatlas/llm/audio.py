@@ -3,14 +3,18 @@
 A payload of 8-bit samples is wrapped in a mono WAV file and read back. Features: polyphase
 resampling by UP/DOWN with a windowed-sinc filter, overlapped frames, a log-mel filterbank, and
 segments of speech-like energy by hysteresis (a segment opens above the higher level and closes
-below the lower one). The log-mel frames are stored as tensors of fixed shape, (FRAMES, MELS), each
-with its time span; the last is padded with the lowest level.
+below the lower one). The log-mel frames are stored as Arrow tensors of fixed shape, (FRAMES, MELS),
+each with its time span; the last is padded with the lowest level. They are an Arrow IPC stream in a
+binary column (``packed``), as Spark has no tensor type; the features are computed from what is read back
+from it (``unpacked``).
 
 Everything is computed from one text's bytes alone, in pieces of fixed size, so equal texts have
-equal values, and a text of any length uses bounded memory beside its own bytes.
+equal values; a text's frames and tensors take memory in proportion to it (about its own size), the
+resampled signal and its spectra a fixed amount.
 
-Defined results: a null or empty text is one unit of padding. Repeated rows repeat; an empty table
-gives an empty result; columns with the names of the new ones are replaced.
+Defined results: a null or empty text is one unit of padding. A signal whose frames all have one level
+(such as padding alone) has no segment. Repeated rows repeat; an empty table gives an empty result; columns
+with the names of the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ NEW_RATE = RATE * UP // DOWN
 WINDOW, HOP, MELS = 256, 128, 20
 #: Frames in a tensor; resampled samples computed at once.
 FRAMES, PIECE = 32, 1 << 17
-#: Levels of the hysteresis, in dB above the quietest and below the loudest frame's mean.
+#: Levels of the hysteresis, as shares of the way from the quietest to the loudest frame's mean level; the lowest level in dB.
 OPEN_AT, CLOSE_AT, FLOOR_DB = 0.6, 0.4, -100.0
 
 
@@ -120,6 +124,8 @@ def log_mel(x: np.ndarray) -> np.ndarray:
 def segments(level: np.ndarray) -> list[tuple[int, int]]:
     """[first, last) frames of the runs that rise above the higher level and last until the lower."""
     lo, hi = float(level.min()), float(level.max())
+    if lo == hi:
+        return []
     above, below = level >= lo + OPEN_AT * (hi - lo), level < lo + CLOSE_AT * (hi - lo)
     event = np.where(above, 1, np.where(below, -1, 0))
     set_at = np.maximum.accumulate(np.where(event != 0, np.arange(len(level)), -1))
@@ -136,46 +142,74 @@ def tensors(mel: np.ndarray) -> np.ndarray:
     return out.reshape(n, FRAMES, MELS)
 
 
-def feature(mel: np.ndarray) -> str:
-    """A short account: frames, each filter's mean level in tenths of dB, and the segments' spans in ms."""
+MS = 1000 * HOP / NEW_RATE  # from one frame to the next
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS), dim_names=["frame", "mel"])
+
+
+def packed(mel: np.ndarray) -> bytes:
+    """The frames as an Arrow IPC stream: a tensor and its span (from_ms, to_ms), which ends with the last frame."""
+    parts = tensors(mel)
+    at = np.arange(len(parts)) * FRAMES
+    values = pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(parts.ravel()), FRAMES * MELS))
+    batch = pa.RecordBatch.from_arrays([pa.array(at * MS), pa.array(np.minimum(at + FRAMES, len(mel)) * MS), values], names=["from_ms", "to_ms", "mel"])
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, batch.schema) as w:
+        w.write_batch(batch)
+    return out.getvalue()
+
+
+def unpacked(data: bytes) -> pa.Table:
+    """(from_ms, to_ms, mel): the tensors of a text."""
+    with pa.ipc.open_stream(data) as r:
+        return r.read_all()
+
+
+def frames_of(tensors: pa.Table) -> np.ndarray:
+    """The frames again, without the padding of the last tensor."""
+    mel = tensors.column("mel").combine_chunks()
+    n = round(tensors.column("to_ms")[-1].as_py() / MS)
+    return mel.to_numpy_ndarray().reshape(-1, MELS)[:n]
+
+
+def spans_ms(mel: np.ndarray) -> list[tuple[float, float]]:
+    """The segments' beginnings and ends in milliseconds."""
+    return [(a * MS, b * MS) for a, b in segments(mel.mean(axis=1, dtype=np.float64))]
+
+
+def feature(mel: np.ndarray, spans: list[tuple[float, float]]) -> str:
+    """A short account: frames, each filter's mean level in tenths of dB, and the number of segments with their time in ms."""
     means = np.rint(mel.mean(axis=0, dtype=np.float64) * 10).astype(int)
-    ms = 1000 * HOP / NEW_RATE
-    spans = [f"{round(a * ms)}-{round(b * ms)}" for a, b in segments(mel.mean(axis=1, dtype=np.float64))]
-    return f"rate={NEW_RATE};frames={len(mel)};mel={','.join(map(str, means))};segments={len(spans)}:{hashlib.sha256(','.join(spans).encode()).hexdigest()[:16]}"
+    return f"rate={NEW_RATE};frames={len(mel)};mel={','.join(map(str, means))};segments={len(spans)};active_ms={round(sum(b - a for a, b in spans))}"
 
 
-def media(docs: DataFrame, with_tensors: bool = False) -> DataFrame:
+#: What ``media`` adds: Spark's type of each column.
+COLUMNS = {
+    "n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media": "binary", "mel": "binary", "n_tensors": "long",
+    "segments": "array<struct<from_ms:double,to_ms:double>>", "feature": "string",
+}
+
+
+def media(docs: DataFrame) -> DataFrame:
     """``docs`` with media columns computed from ``text``.
 
-    n_bytes, payload_bytes, payload_sha256 (read back), tail_crc32, media_bytes, media_sha256,
-    feature; with ``with_tensors`` also ``media`` binary (the WAV file) and ``mel``, an array of
-    {from_ms, to_ms, values}, values of FRAMES * MELS floats in row order (see ``tensor_column``).
+    n_bytes, payload_bytes, payload_sha256 and tail_crc32 (of the payload, read back from the file), ``media`` binary (the
+    WAV file), ``mel`` binary (the tensors with their time spans, see ``unpacked``), n_tensors, ``segments``
+    (from_ms, to_ms) and feature, both from the stored tensors.
     """
-    span = pa.struct([("from_ms", pa.float64()), ("to_ms", pa.float64()), ("values", pa.list_(pa.float32()))])
-    names = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
-    more = {"media": "binary", "mel": "array<struct<from_ms:double,to_ms:double,values:array<float>>>"} if with_tensors else {}
-    types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), more.get("mel"): pa.list_(span)}
+    types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), COLUMNS["segments"]: pa.list_(pa.struct([("from_ms", pa.float64()), ("to_ms", pa.float64())]))}
 
     def one(text: str | None) -> tuple:
         payload, n = payload_of(text)
         wav = stored(payload)
         back = read_back(wav)
-        mel = log_mel(np.frombuffer(back, np.uint8))
-        row = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(wav), hashlib.sha256(wav).hexdigest(), feature(mel))
-        if not with_tensors:
-            return row
-        ms = 1000 * HOP / NEW_RATE
-        spans = [{"from_ms": i * FRAMES * ms, "to_ms": min((i + 1) * FRAMES, len(mel)) * ms, "values": t.ravel()} for i, t in enumerate(tensors(mel))]
-        return *row, wav, spans
+        mel = packed(log_mel(np.frombuffer(back, np.uint8)))
+        kept = unpacked(mel)
+        frames = frames_of(kept)
+        spans = spans_ms(frames)
+        own = [{"from_ms": a, "to_ms": b} for a, b in spans]
+        return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), wav, mel, kept.num_rows, own, feature(frames, spans)
 
     def make():
         return lambda texts: list(zip(*map(one, texts), strict=True))
 
-    all_names = names | more
-    return map_texts(docs, "text", {c: types[t] for c, t in all_names.items()}, ", ".join(f"{c} {t}" for c, t in all_names.items()), make)
-
-
-def tensor_column(values: pa.ListArray) -> pa.FixedShapeTensorArray:
-    """A column of ``values`` as Arrow's fixed-shape tensors, without copying."""
-    flat = pa.FixedSizeListArray.from_arrays(values.flatten(), FRAMES * MELS)
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS), dim_names=["frame", "mel"]), flat)
+    return map_texts(docs, "text", {c: types[t] for c, t in COLUMNS.items()}, ", ".join(f"{c} {t}" for c, t in COLUMNS.items()), make)

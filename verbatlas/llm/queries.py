@@ -69,8 +69,13 @@ def in_order(spans):
 
 
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return audio.media(docs).drop("text")
+    out = audio.media(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ms = lambda x: F.round(x, 0).cast("long").cast("string")
+    spans = F.array_join(F.transform("segments", lambda s: F.concat(ms(s["from_ms"]), F.lit("-"), ms(s["to_ms"]))), ",")
+    return out.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+        "n_tensors", F.sha2("mel", 256).alias("tensors_sha256"), spans.alias("spans_ms"),
+    )
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_sentencepiece, op4_toxicity, op5_html, op6_warc, op7_quality, op8_simhash, op9_pii, op10_audio)}
