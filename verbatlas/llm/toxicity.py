@@ -6,9 +6,13 @@ penalty weighs these values (as in Wang and Manning, 2012). Learning takes a bou
 labelled documents of either label, the first by hash of the id; the intercept is then set where the
 fewest of them are wrong, each label weighed by its share among all labelled documents.
 
+Spark counts the sample's features by label; only those whose ratio says something, and each document's list of
+them, go to the driver, where the weights are fitted.
+
 Defined results: a null or empty text has no n-gram, and the score that the intercept gives. Rows
 without an id are held out of learning. Labels that are null, or differ for one id, are not learnt
-from. Without labels of both kinds every score is the share of label 1 (0 without labels).
+from; of an id that rows repeat, the text with the smallest MD5 is. Ids are compared as text. Without labels
+of both kinds every score is the share of label 1 (0 without labels).
 Equal texts have equal scores; repeated rows repeat; an empty table gives an empty result.
 """
 
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices
+from .common import cut, map_texts, slices
 
 NGRAMS, BITS = (3, 4, 5), 18
 #: Labelled documents of either label that are learnt from, at most.
@@ -62,21 +66,55 @@ def bucket_of(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, y, text) of the documents to learn from, 2 * size at most; how many each label has."""
+    """(id string, y int, text) of the documents to learn from, one row of each id and 2 * size at most; how many
+    each label has."""
     named = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
         .where(bucket_of(F.col("doc_id")) != 0)
-        .groupBy("doc_id")
-        .agg(F.min("toxic").alias("y"), F.max("toxic").alias("y2"))
+        .groupBy(F.col("doc_id").cast("string").alias("id"))
+        .agg(F.min("toxic").cast("int").alias("y"), F.max("toxic").cast("int").alias("y2"))
         .where("y = y2 AND y IN (0, 1)")
-        .select("doc_id", "y")
+        .select("id", "y")
     )
     counts = {r["y"]: r["count"] for r in named.groupBy("y").count().collect()}
-    order = [F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id")]
+    order = [F.md5(F.col("id").cast("binary")), F.col("id")]
     first = [named.where(F.col("y") == y).orderBy(*order).limit(size) for y in (0, 1)]
-    chosen = first[0].unionByName(first[1])  # 2 * size rows at most: broadcast
-    texts = docs.select(F.col("doc_id").alias("__id"), "text")
-    return texts.join(F.broadcast(chosen), F.col("__id") == F.col("doc_id")).select("doc_id", "y", "text"), counts
+    chosen = first[0].unionByName(first[1]).withColumnRenamed("id", "__id")  # 2 * size rows at most: broadcast
+    texts = docs.select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    met = texts.join(F.broadcast(chosen), F.col("__id") == F.col("id"))
+    return met.groupBy("id", "y").agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text")), counts
+
+
+def lists_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the lists in ``f``, one after another, and the lists' sizes."""
+    lists = rows.column("f").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+
+
+def featured(chosen: DataFrame) -> DataFrame:
+    """(id, y, f): each document's features."""
+
+    def task(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = [f.astype(np.int32) for f in features(part.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int32()))], names=["id", "y", "f"])
+
+    return chosen.select("id", "y", "text").mapInArrow(task, "id string, y int, f array<int>")
+
+
+def ratios(rows: DataFrame) -> np.ndarray:
+    """The log-count ratio of every feature: 0 if it is in under LEAST_DOCS documents, or nearer to zero than LEAST_RATIO."""
+    each = rows.select("y", F.explode("f").alias("f")).groupBy("f").agg((SMOOTHING + F.sum("y")).alias("p"), (SMOOTHING + F.sum(1 - F.col("y"))).alias("q"))
+    often = cut(each.where(F.col("p") + F.col("q") - 2 * SMOOTHING >= LEAST_DOCS))
+    all_p, all_q = often.agg(F.sum("p"), F.sum("q")).first()
+    out = np.zeros(1 << BITS)
+    if all_p:
+        ratio = F.log((F.col("p") / F.lit(all_p)) / (F.col("q") / F.lit(all_q)))
+        told = often.select("f", ratio.alias("r")).where(F.abs("r") >= LEAST_RATIO).toArrow()  # 2**BITS rows at most
+        out[told.column("f").to_numpy()] = told.column("r").to_numpy()
+    return out
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
@@ -87,35 +125,24 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         n = sum(counts.values())
         p = counts.get(1, 0) / n if n else 0.0
         return zero, float(np.log(max(p, 1e-6) / max(1 - p, 1e-6)))
+    rows = cut(featured(chosen))
+    ratio = ratios(rows)
+    sent = docs.sparkSession.sparkContext.broadcast(ratio != 0)
 
-    def featured(batches):
+    def told(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                found = [f.astype(np.int32) for f in features(part.column(2).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "y", "f"])
+            found = [f[sent.value[f]] for f in batch.column(2).to_numpy(zero_copy_only=False)]
+            yield batch.set_column(2, "f", pa.array(found, pa.list_(pa.int32())))
 
-    rows = chosen.mapInArrow(featured, "doc_id long, y int, f array<int>").toArrow().sort_by([("doc_id", "ascending")])
-    if not rows.num_rows:
+    kept = rows.mapInArrow(told, rows.schema).toArrow().sort_by([("id", "ascending")])
+    if not kept.num_rows:
         return zero, 0.0
-    lists = rows.column("f").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    index = lists.flatten().to_numpy()
-    sizes = np.diff(lists.offsets.to_numpy())
-    y = rows.column("y").to_numpy().astype(np.float64)
-    return fitted(index, sizes, y, counts[1] / (counts[0] + counts[1]))
-
-
-def fitted(index: np.ndarray, sizes: np.ndarray, y: np.ndarray, share: float) -> tuple[np.ndarray, float]:
-    size, doc = 1 << BITS, np.repeat(np.arange(len(y)), sizes)
-    often = np.bincount(index, minlength=size) >= LEAST_DOCS
-    keep = often[index]
-    index, doc = index[keep], doc[keep]
-    p = SMOOTHING + np.bincount(index, y[doc], size)
-    q = SMOOTHING + np.bincount(index, 1 - y[doc], size)
-    ratio = np.where(often, np.log((p / max(1.0, p[often].sum())) / (q / max(1.0, q[often].sum()))), 0.0)
-    ratio[np.abs(ratio) < LEAST_RATIO] = 0.0
-    keep = ratio[index] != 0
-    index, doc = index[keep], doc[keep]
+    return fitted(*lists_of(kept), kept.column("y").to_numpy().astype(np.float64), ratio, counts[1] / (counts[0] + counts[1]))
+
+
+def fitted(index: np.ndarray, sizes: np.ndarray, y: np.ndarray, ratio: np.ndarray, share: float) -> tuple[np.ndarray, float]:
+    """Weights (times the ratios) and intercept from the documents' features, all with a ratio."""
+    size, doc = len(ratio), np.repeat(np.arange(len(y)), sizes)
     value = ratio[index]
 
     def margins(w: np.ndarray, b: float) -> np.ndarray:
