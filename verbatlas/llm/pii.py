@@ -1,18 +1,20 @@
 """Personal data: pattern spans, and terms that disclose a protected entity by co-occurrence.
 
-Four kinds are found by pattern (email, ip, card, phone). Each distinct value is a protected entity e.
-Over all documents, n(e), n(t) and n(t, e) count those that hold the entity, those that hold the
-term t, and those with t within WINDOW words of e. The term's pointwise mutual information with the
-entity, log(n(t, e) N / (n(t) n(e))), is compared with the entity's information log(N / n(e)): a term
-that gives ALPHA of it or more discloses the entity. It must meet the entity in LEAST_SUPPORT
-different surroundings, so that one sentence, copied however often, proves nothing. Every occurrence
-of such a term in a document that holds the entity, near it or not and also as a part of a compound,
-is a further span (kind ``term``); sanitised texts have a general name for a name or number, and
+Four kinds are found by pattern (email, ip, card, phone). What is protected are classes of them: the exact
+value, its group (an e-mail's domain, the first two parts of an ip, a card's issuer digits, a phone's area), its
+kind, and personal data of any kind. Over all documents, n(c), n(t) and n(t, c) count those that hold the class c,
+those that hold the term t, and those that hold t with c: within WINDOW words of it for values and groups, anywhere
+in the document for kinds. The term's pointwise mutual information with the class, log(n(t, c) N / (n(t) n(c))), is
+compared with the class's information log(N / n(c)): a term that gives ALPHA of it or more discloses the
+class. Both must meet in LEAST_SUPPORT different surroundings, so that one sentence, copied however often, proves
+nothing. Every occurrence of such a term in a document that holds the class, near it or not and also as a part of a
+compound, is a further span (kind ``term``); sanitised texts have a general name for a name or number, and
 nothing for another word.
 
 Defined results: a null or empty text has no span (and stays null or empty). Spans are in code
 points, end exclusive, ordered by start, then kind. Repeated rows repeat, and rows without
-``doc_id`` are handled like others. An empty table gives an empty result.
+``doc_id`` are handled like others. A class that every document holds is disclosed by no term. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ from collections import Counter, defaultdict
 from itertools import islice, pairwise
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, cut, map_texts, slices
+from .common import cut, map_texts, slices
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -37,9 +40,11 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 PART = re.compile(r"[^\W_]+")
 
-#: Words on either side of an entity that count as near it; the share of the entity's information
-#: that a term may give; and the different surroundings that a term and entity must share.
-WINDOW, ALPHA, LEAST_SUPPORT = 12, 0.8, 3
+#: Words on either side of an entity that count as near it; the share of a class's information
+#: that a term may give; and the different surroundings that a term and a class must share.
+WINDOW, ALPHA, LEAST_SUPPORT = 12, 0.7, 3
+#: The class of all personal data.
+ANY = "any"
 #: Candidate terms up to this many are sent to the tasks that count documents, and up to this many
 #: disclosing pairs to those that mark occurrences.
 TERMS_SENT = 100_000
@@ -95,10 +100,17 @@ def parsed(spans: str) -> list[tuple[int, str, int]]:
     return [(int(a), k, int(b)) for k, a, b in (x.split(":") for x in spans.split(","))] if spans else []
 
 
-def entity_of(kind: str, value: str) -> str:
-    """A short key of an entity: its kind and the hash of its value without case and separators."""
+def classes_of(kind: str, value: str) -> list[str]:
+    """The value and its group, as short keys: the kind and a hash, without case and separators."""
     plain = value.lower() if kind in ("email", "ip") else re.sub(r"[^0-9]", "", value)
-    return f"{kind}:{hashlib.sha256(plain.encode()).hexdigest()[:24]}"
+    group = {"email": plain.rpartition("@")[2], "ip": ".".join(plain.split(".")[:2]), "card": plain[:6], "phone": plain[:-7] or plain}[kind]
+    return [f"{kind}{level}:{hashlib.sha256(x.encode()).hexdigest()[:20]}" for level, x in (("", plain), ("-group", group))]
+
+
+def held_by(text: str, spans: list[tuple[int, str, int]]) -> list[str]:
+    """The classes that a text holds."""
+    own = {c for a, k, b in spans for c in classes_of(k, text[a:b])}
+    return sorted(own | {k for _, k, _ in spans} | ({ANY} if spans else set()))
 
 
 def merged(spans: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
@@ -125,54 +137,79 @@ def words_before(text: str, start: int) -> list[re.Match]:
         step *= 2
 
 
-def meetings(text: str, spans: list[tuple[int, str, int]]) -> list[tuple[str, str, int, int, str]]:
-    """(entity, term, start, end, surrounding) of the terms near each entity, outside all base spans."""
-    out, reach = [], merged(spans)
+def gaps(text: str, spans: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
+    """The stretches of a text outside its base spans."""
+    return [(lo, hi) for (_, lo), (hi, _) in pairwise([(0, 0), *merged(spans), (len(text), len(text))]) if lo < hi]
+
+
+def meetings(text: str, spans: list[tuple[int, str, int]]) -> tuple[list[tuple[str, str, int, bool]], list[str], int]:
+    """What a text says of its classes, outside all base spans: (class, term, surrounding, whether first in this
+    text) near each value; the distinct terms of the whole text; and the surrounding of its first value."""
+    out, reach, seen, first = [], merged(spans), set(), None
 
     def free(m: re.Match) -> bool:
         i = bisect_left(reach, (m.end(), 0)) - 1  # the last that begins before the word's end
         return i < 0 or reach[i][1] <= m.start()
 
     for start, kind, end in spans:
-        near = [m for m in (*words_before(text, start), *islice(TERM.finditer(text, end), WINDOW)) if free(m)]
-        around = hashlib.sha256(" ".join(m[0].lower() for m in near).encode()).hexdigest()[:16]
-        entity = entity_of(kind, text[start:end])
-        out += [(entity, m[0].lower(), m.start(), m.end(), around) for m in near if len(m[0]) > 1]
-    return out
+        near = [m[0].lower() for m in (*words_before(text, start), *islice(TERM.finditer(text, end), WINDOW)) if free(m)]
+        around = xxhash.xxh64_intdigest(" ".join(near)) >> 1
+        first = around if first is None else first
+        for c in classes_of(kind, text[start:end]):
+            for t in near:
+                if len(t) > 1 and (c, t, around) not in seen:
+                    out.append((c, t, around, (c, t) not in seen))
+                    seen |= {(c, t, around), (c, t)}
+    said = {m.lower() for lo, hi in gaps(text, spans) for m in TERM.findall(text, lo, hi) if len(m) > 1} if spans else set()
+    return out, sorted(said), first or 0
+
+
+def runs(text: str, m: re.Match, most: int) -> list[list[tuple[int, int, str]]]:
+    """For each part of a compound, where the runs of up to ``most`` parts from it on stand, and their words."""
+    parts = [x.span() for x in PART.finditer(text, *m.span())]
+    if len(parts) < 2:
+        return []
+    return [[(a, b, text[a:b].lower()) for _, b in parts[i : i + most]] for i, (a, _) in enumerate(parts)]
+
+
+def n_parts(term: str) -> int:
+    return len(PART.findall(term))
 
 
 def occurrences(text: str, spans: list[tuple[int, str, int]], terms: set[str]) -> list[tuple[int, str, int]]:
     """Spans of the ``terms`` in the whole text outside the base spans; in a compound, of its longest parts that are terms."""
-    out = []
-    for (_, lo), (hi, _) in pairwise([(0, 0), *merged(spans), (len(text), len(text))]):
+    out, most = [], max(map(n_parts, terms), default=0)
+    for lo, hi in gaps(text, spans):
         for m in TERM.finditer(text, lo, hi):
             if m[0].lower() in terms:
                 out.append((m.start(), "term", m.end()))
                 continue
-            parts = [x.span() for x in PART.finditer(text, *m.span())]
-            i = 0
-            while len(parts) > 1 and i < len(parts):
-                ends = [j for j in range(len(parts), i, -1) if text[parts[i][0] : parts[j - 1][1]].lower() in terms]
-                if ends:
-                    out.append((parts[i][0], "term", parts[ends[0] - 1][1]))
-                i = ends[0] if ends else i + 1
+            done = 0
+            for own in runs(text, m, most):
+                hit = [(a, b) for a, b, w in own if a >= done and w in terms]
+                if hit:
+                    out.append((hit[-1][0], "term", hit[-1][1]))
+                    done = hit[-1][1]
     return out
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``base`` string (the spans, joined), the entities ``held`` and ``near``, the terms near them."""
-    meeting = pa.struct([("e", pa.string()), ("t", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("around", pa.string())])
+    """``docs`` with ``base`` string (the spans, joined), the classes ``held``, and what ``meetings`` gives: ``near``,
+    ``said``, ``around``."""
+    meeting = pa.struct([("c", pa.string()), ("t", pa.string()), ("around", pa.int64()), ("first", pa.bool_())])
 
     def make():
         def work(texts: list) -> list[list]:
             spans = [base_spans(t) for t in texts]
-            near = [[dict(zip(("e", "t", "a", "b", "around"), m, strict=True)) for m in meetings(t, s)] if s else [] for t, s in zip(texts, spans, strict=True)]
-            held = [sorted({entity_of(k, t[a:b]) for a, k, b in s}) for t, s in zip(texts, spans, strict=True)]
-            return [[joined(s) for s in spans], held, near]
+            met = [meetings(t, s) if s else ([], [], 0) for t, s in zip(texts, spans, strict=True)]
+            near = [[dict(zip(("c", "t", "around", "first"), m, strict=True)) for m in n] for n, _, _ in met]
+            held = [held_by(t, s) if s else [] for t, s in zip(texts, spans, strict=True)]
+            return [[joined(s) for s in spans], held, near, [x[1] for x in met], [x[2] for x in met]]
 
         return work
 
-    return map_texts(docs, "text", {"base": pa.string(), "held": pa.list_(pa.string()), "near": pa.list_(meeting)}, "base string, held array<string>, near array<struct<e:string,t:string,a:int,b:int,around:string>>", make)
+    fields = {"base": pa.string(), "held": pa.list_(pa.string()), "near": pa.list_(meeting), "said": pa.list_(pa.string()), "around": pa.int64()}
+    return map_texts(docs, "text", fields, "base string, held array<string>, near array<struct<c:string,t:string,around:long,first:boolean>>, said array<string>, around long", make)
 
 
 def documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -197,23 +234,33 @@ def documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return counts.join(terms, "t", "left_semi") if wanted is None else counts
 
 
+def together(rows: DataFrame, support: int = LEAST_SUPPORT) -> DataFrame:
+    """(c, t, n_tc) of the classes and terms that meet in ``support`` different surroundings or more."""
+    rows = rows.where("base <> ''")
+    near = rows.select(F.explode("near").alias("m")).groupBy("m.c", "m.t", "m.around").agg(F.count_if("m.first").alias("n"))
+    near = near.groupBy("c", "t").agg(F.sum("n").alias("n_tc"), F.count("*").alias("k"))
+    # kinds: a row for each term of a document, with a mark for each kind that it holds
+    kinds = [ANY, *KINDS[:4]]
+    said = rows.select(F.explode("said").alias("t"), "around", *[F.array_contains("held", k).cast("long").alias(k) for k in kinds])
+    said = said.groupBy("t", "around").agg(*[F.sum(k).alias(k) for k in kinds])
+    said = said.groupBy("t").agg(*[F.sum(k).alias(k) for k in kinds], *[F.count_if(F.col(k) > 0).alias(f"k_{k}") for k in kinds])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("c"), F.col(k).alias("n_tc"), F.col(f"k_{k}").alias("k")) for k in kinds]))
+    of_kind = said.where(f"k_{ANY} >= {int(support)}").select("t", each.alias("x")).select("x.c", "t", "x.n_tc", "x.k")
+    return near.unionByName(of_kind).where(F.col("k") >= support).drop("k")
+
+
 def disclosing(docs: DataFrame, rows: DataFrame, alpha: float = ALPHA, support: int = LEAST_SUPPORT) -> DataFrame:
-    """(e, t, pmi, share) of the terms that disclose an entity. ``rows``: from ``found``, without text."""
-    met = rows.where("base <> ''").select("doc_id", "th", F.explode("near").alias("m")).select("doc_id", "th", "m.e", "m.t", "m.around")
-    enough = met.select("e", "t", "around").distinct().groupBy("e", "t").agg(F.count("*").alias("k")).where(F.col("k") >= support).drop("k")
-    enough = cut(enough)
-    pairs = cut(met.join(enough, ["e", "t"]).select("e", "t", "doc_id", "th").distinct().groupBy("e", "t").agg(F.count("*").alias("n_te")))
+    """(c, t, pmi, share) of the terms that disclose a class. ``rows``: from ``found``, without text."""
+    pairs = cut(together(rows, support))
     if pairs.isEmpty():
-        return pairs.select("e", "t", F.lit(0.0).alias("pmi"), F.lit(0.0).alias("share"))
-    n_e = met.select("e", "doc_id", "th").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
+        return pairs.select("c", "t", F.lit(0.0).alias("pmi"), F.lit(0.0).alias("share"))
+    n_c = rows.where("base <> ''").select(F.explode("held").alias("c")).groupBy("c").agg(F.count("*").alias("n_c"))
     n_t = documents_with(docs, cut(pairs.select("t").distinct()))
-    total = rows.count()
-    scored = pairs.join(n_e, "e").join(n_t, "t").select(
-        "e", "t",
-        F.log(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e"))).alias("pmi"),
-        F.log(F.lit(float(total)) / F.col("n_e")).alias("ic"),
-    )
-    return scored.where(F.col("pmi") >= alpha * F.col("ic")).select("e", "t", "pmi", (F.col("pmi") / F.greatest("ic", F.lit(1e-9))).alias("share"))
+    total = F.lit(float(rows.count()))
+    scored = pairs.join(n_c, "c").join(n_t, "t").select(
+        "c", "t", F.log(F.col("n_tc") * total / (F.col("n_t") * F.col("n_c"))).alias("pmi"), F.log(total / F.col("n_c")).alias("ic")
+    )
+    return scored.where((F.col("ic") > 0) & (F.col("pmi") >= alpha * F.col("ic"))).select("c", "t", "pmi", (F.col("pmi") / F.col("ic")).alias("share"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -222,40 +269,59 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def told_in(docs: DataFrame, alpha: float = ALPHA, support: int = LEAST_SUPPORT) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, th, base, held), and (e, t) of the terms that disclose an entity."""
-    rows = cut(found(keyed(docs)).select("doc_id", "th", "base", "held", "near"))
-    return rows.drop("near"), cut(disclosing(docs, rows, alpha, support).select("e", "t"))
+    """The rows (doc_id, th, base, held), and (c, t) of the terms that disclose a class."""
+    rows = cut(found(keyed(docs)).select("doc_id", "th", "base", "held", "near", "said", "around"))
+    return rows.select("doc_id", "th", "base", "held"), cut(disclosing(docs, rows, alpha, support).select("c", "t"))
+
+
+def said_in(df: DataFrame, most: int) -> DataFrame:
+    """(doc_id, th, t): the terms of each document that holds personal data, and its compounds' runs of up to ``most`` parts."""
+
+    def task(batches):
+        for batch in batches:
+            for i, h, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                spans, own = base_spans(t), set()
+                if not spans:
+                    continue
+                for lo, hi in gaps(t, spans):
+                    for m in TERM.finditer(t, lo, hi):
+                        own.add(m[0].lower())
+                        own.update(w for x in runs(t, m, most) for _, _, w in x)
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(own), batch.schema.field(0).type), pa.array([h] * len(own), pa.int64()), pa.array(sorted(own), pa.string())], names=["doc_id", "th", "t"])
+
+    return df.select("doc_id", "th", "text").mapInArrow(task, f"doc_id {dict(df.dtypes)['doc_id']}, th long, t string")
 
 
 def marked(df: DataFrame, rows: DataFrame, told: DataFrame) -> DataFrame:
-    """``df`` (doc_id, th, text, ...) with ``base`` and ``terms``, every occurrence of the terms told for its entities.
+    """``df`` (doc_id, th, text, ...) with ``base`` and ``terms``, every occurrence of the terms told for its classes.
 
-    Up to TERMS_SENT pairs go to the tasks. Beyond that, the terms are joined by document, from the
-    entities that it holds, with a salt as one entity may be in many documents.
+    Up to TERMS_SENT pairs go to the tasks. Beyond that, the documents' own terms are joined with the pairs, and
+    those kept whose class the document holds: rows in proportion to the documents that hold personal data.
     """
     sent = told.limit(TERMS_SENT + 1).collect()
-    by_entity = None
+    by_class = None
     if len(sent) <= TERMS_SENT:
-        by_entity = defaultdict(set)
-        for e, t in sent:
-            by_entity[e].add(t)
-        by_entity = dict(by_entity)
+        by_class = defaultdict(set)
+        for c, t in sent:
+            by_class[c].add(t)
+        by_class = dict(by_class)
     else:
-        held = rows.where("base <> ''").select("doc_id", "th", F.explode("held").alias("e")).distinct()
-        held = held.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS)).cast("int"))
-        pairs = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        df = with_terms(df, cut(held.join(pairs, ["e", "salt"]).groupBy("doc_id", "th").agg(F.collect_set("t").alias("terms"))))
+        size = F.size(F.filter(F.split("t", "[-'’]"), lambda x: x != ""))
+        own = said_in(df, told.agg(F.max(size)).first()[0] or 1).distinct()
+        held = rows.where("base <> ''").select("doc_id", "th", F.explode("held").alias("c")).distinct()
+        met = own.join(told, "t").join(held.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("c").alias("__c")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")) & (F.col("c") == F.col("__c")))
+        df = with_terms(df, cut(met.groupBy("doc_id", "th").agg(F.collect_set("t").alias("terms"))))
     keep = [c for c in df.columns if c not in ("base", "terms")]
 
     def task(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = part.column("text").to_pylist()
-                own = part.column("terms").to_pylist() if by_entity is None else [None] * len(texts)
+                own = part.column("terms").to_pylist() if by_class is None else [None] * len(texts)
                 base, terms = [], []
                 for t, mine in zip(texts, own, strict=True):
                     spans = base_spans(t)
-                    mine = set(mine or ()).union(*[by_entity.get(entity_of(k, t[a:b]), ()) for a, k, b in spans] if by_entity else [])
+                    mine = set(mine or ()).union(*[by_class.get(c, ()) for c in held_by(t, spans)] if by_class and spans else [])
                     base.append(joined(spans))
                     terms.append(joined(occurrences(t, spans, mine)) or None if mine else None)
                 columns = [*[part.column(c) for c in keep], pa.array(base, pa.string()), pa.array(terms, pa.string())]
@@ -265,12 +331,6 @@ def marked(df: DataFrame, rows: DataFrame, told: DataFrame) -> DataFrame:
     return df.mapInArrow(task, ", ".join([*[f"`{c}` {types[c]}" for c in keep], "base string, terms string"]))
 
 
-def term_spans(docs: DataFrame, alpha: float = ALPHA, support: int = LEAST_SUPPORT) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, th, base), and (doc_id, th, terms) of documents with disclosing terms."""
-    rows, told = told_in(docs, alpha, support)
-    return rows.drop("held"), cut(marked(keyed(docs), rows, told).where("terms IS NOT NULL").select("doc_id", "th", "terms").distinct())
-
-
 def with_terms(df: DataFrame, terms: DataFrame) -> DataFrame:
     """``df`` (doc_id, th, ...) with ``terms``; few are broadcast, more are joined by shuffling."""
     n = terms.count()
