@@ -25,12 +25,13 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from itertools import islice, pairwise
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, slices
+from .common import cut, join_dimension, map_texts, slices
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -45,8 +46,9 @@ PART = re.compile(r"[^\W_]+")
 WINDOW, ALPHA, LEAST_SUPPORT = 12, 0.7, 3
 #: The class of all personal data.
 ANY = "any"
-#: Candidate terms up to this many are sent to the tasks that count documents, and up to this many
-#: disclosing pairs to those that mark occurrences.
+#: Bits of the bitmap of candidate terms that is sent to the tasks that count documents.
+BITMAP = 1 << 24
+#: Up to this many disclosing pairs are sent to the tasks that mark occurrences.
 TERMS_SENT = 100_000
 
 #: What stands for a span in a sanitised text.
@@ -212,26 +214,34 @@ def found(docs: DataFrame) -> DataFrame:
     return map_texts(docs, "text", fields, "base string, held array<string>, near array<struct<c:string,t:string,around:long,first:boolean>>, said array<string>, around long", make)
 
 
+def bitmap_of(terms: DataFrame) -> np.ndarray:
+    """BITMAP bits, true at the hashes of the ``terms``; Spark makes it in pieces of 4 KB."""
+    h = F.pmod(F.xxhash64("t"), F.lit(BITMAP))
+    pieces = terms.groupBy((h / 32768).cast("int").alias("no")).agg(F.bitmap_construct_agg(h % 32768).alias("bits")).collect()
+    out = np.zeros(BITMAP, bool)
+    for no, bits in pieces:
+        out[no * 32768 : (no + 1) * 32768] = np.unpackbits(np.frombuffer(bytes(bits), np.uint8), bitorder="little")
+    return out
+
+
 def documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(t, n_t): over all documents, how many hold each of the candidate ``terms``.
+    """(t, n_t): over all documents, how many hold each of the candidate ``terms``, and a few others.
 
-    Up to TERMS_SENT terms go to the tasks, which then count only those; beyond that, tasks count
-    every term of their batches and the counts are joined with the candidates.
+    Tasks have a bitmap of the candidates' hashes, of one size whatever their number, and leave out what can be none.
     """
-    sent = frozenset(r[0] for r in terms.limit(TERMS_SENT + 1).collect())
-    wanted = sent if len(sent) <= TERMS_SENT else None
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(terms))
 
     def count(batches):
         for batch in batches:
             n: Counter = Counter()
             for t in batch.column(0).to_pylist():
                 if t:
-                    own = {x.lower() for x in set(TERM.findall(t))}
-                    n.update(own if wanted is None else own & wanted)
+                    n.update({x.lower() for x in set(TERM.findall(t))})
+            bits = sent.value
+            n = {t: k for t, k in n.items() if bits[xxhash.xxh64_intdigest(t, 42) % BITMAP]}
             yield pa.RecordBatch.from_arrays([pa.array([*n], pa.string()), pa.array([*n.values()], pa.int64())], names=["t", "n"])
 
-    counts = docs.select("text").mapInArrow(count, "t string, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
-    return counts.join(terms, "t", "left_semi") if wanted is None else counts
+    return docs.select("text").mapInArrow(count, "t string, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
 
 
 def together(rows: DataFrame, support: int = LEAST_SUPPORT) -> DataFrame:
@@ -254,10 +264,10 @@ def disclosing(docs: DataFrame, rows: DataFrame, alpha: float = ALPHA, support:
     pairs = cut(together(rows, support))
     if pairs.isEmpty():
         return pairs.select("c", "t", F.lit(0.0).alias("pmi"), F.lit(0.0).alias("share"))
-    n_c = rows.where("base <> ''").select(F.explode("held").alias("c")).groupBy("c").agg(F.count("*").alias("n_c"))
-    n_t = documents_with(docs, cut(pairs.select("t").distinct()))
+    n_c = cut(rows.where("base <> ''").select(F.explode("held").alias("c")).groupBy("c").agg(F.count("*").alias("n_c")))
+    n_t = cut(documents_with(docs, pairs.select("t")))  # written, so that a term that many classes meet can be split below
     total = F.lit(float(rows.count()))
-    scored = pairs.join(n_c, "c").join(n_t, "t").select(
+    scored = join_dimension(pairs, n_c, ["c"]).join(n_t, "t").select(
         "c", "t", F.log(F.col("n_tc") * total / (F.col("n_t") * F.col("n_c"))).alias("pmi"), F.log(total / F.col("n_c")).alias("ic")
     )
     return scored.where((F.col("ic") > 0) & (F.col("pmi") >= alpha * F.col("ic"))).select("c", "t", "pmi", (F.col("pmi") / F.col("ic")).alias("share"))
