@@ -3,22 +3,25 @@
 A response record (its named fields and the HTTP message) gives two records. Both name it in
 WARC-Refers-To and keep its target, date and payload digest:
 
-- metadata (application/json): the source's WARC fields, the HTTP status and headers, and the page's
-  title, links and meta entries;
+- metadata (application/json): the source's WARC fields and the HTTP headers as lists of [name, value], in their
+  order and with repeated names, the HTTP status, and the page's title, links and meta entries;
 - conversion (text/plain): the blocks of text of the whole page, a line each.
 
 Each record has its own id and block digest; ids are name-based, so a second run, or a lost executor,
-makes the same records. Records are whole rows of bytes, and ``write`` writes them as WARC files
-through Spark's own writer.
+makes the same records. Records are whole rows of bytes, and ``write`` writes them as WARC files, a
+gzip member for each, through Spark's own writer.
 
 Defined results: a null page is an empty payload, a null url the target ``urn:page:<page_id>``.
-Payloads that aren't UTF-8 are read with replacement characters. Repeated rows give repeated
-records; an empty table gives none; columns other than those named are not read.
+Payloads that aren't UTF-8 are read with replacement characters. A null record, and one that can't be read, gives
+one row of record_type ``malformed`` whose other columns but page_id are null. Equal rows give equal records with
+equal ids: drop duplicates first where ids must be unique. An empty table gives none; page_id may have any
+type; columns other than those named are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import uuid
@@ -81,7 +84,7 @@ def record_from(data: bytes) -> Record:
     if not gap or not version.startswith("WARC/"):
         raise ValueError("no WARC record")
     fields = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)]
-    size = next((int(v) for k, v in fields if k.lower() == "content-length"), None)
+    size = next((int(v) for k, v in fields if k.lower() == "content-length" and v.isascii() and v.isdigit()), None)
     if size is None or len(rest) < size:
         raise ValueError("a record without its length or its whole block")
     return Record(fields, rest[:size])
@@ -103,7 +106,7 @@ def derived(source: Record) -> tuple[Record, Record]:
     origin, target, date = source.field("WARC-Record-ID"), source.field("WARC-Target-URI"), source.field("WARC-Date")
     payload_digest = source.field("WARC-Payload-Digest") or digest(payload)
     about = {
-        "warc": dict(source.fields), "http": {"status": status, "headers": dict(headers)},
+        "warc": source.fields, "http": {"status": status, "headers": headers},
         "html": {"title": page.title, "links": page.links, "metas": page.metas}, "payload": {"length": len(payload), "digest": payload_digest},
     }
 
@@ -132,7 +135,7 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
                 raw = [response(i, u, h, date).to_bytes() for i, u, h in zip(ids, urls, bodies, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], names=["page_id", "record"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(task, "page_id long, record binary")
+    return pages.select("page_id", "url", "html").mapInArrow(task, f"page_id {dict(pages.dtypes)['page_id']}, record binary")
 
 
 FIELDS = {
@@ -141,32 +144,55 @@ FIELDS = {
 }
 
 
+#: The record_type of a row for what can't be read.
+MALFORMED = "malformed"
+
+
 def derivatives(records: DataFrame) -> DataFrame:
     """Two rows for every response in ``records`` (page_id, record): page_id, FIELDS, content_length,
-    source_payload_digest, record. Other types of records are skipped."""
+    source_payload_digest, record; one row for what is no record. Other types of records are skipped."""
 
     def task(batches):
         for batch in batches:
             for part in slices(batch, "record"):
-                rows = []
-                for i, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    source = record_from(raw)
+                rows: list[tuple[int, Record | None, str | None]] = []
+                for i, raw in enumerate(part.column(1).to_pylist()):
+                    try:
+                        source = record_from(raw or b"")
+                    except ValueError:
+                        rows.append((i, None, None))
+                        continue
                     if source.field("WARC-Type") == "response":
                         rows += [(i, r, source.field("WARC-Payload-Digest")) for r in derived(source)]
-                text = [[r.field(f) for _, r, _ in rows] for f in FIELDS.values()]
+                text = [[r.field(f) if r else MALFORMED if f == "WARC-Type" else None for _, r, _ in rows] for f in FIELDS.values()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i for i, _, _ in rows], pa.int64()), *[pa.array(t, pa.string()) for t in text],
-                     pa.array([len(r.block) for _, r, _ in rows], pa.int64()), pa.array([d for _, _, d in rows], pa.string()),
-                     pa.array([r.to_bytes() for _, r, _ in rows], pa.binary())],
+                    [part.column(0).take(pa.array([i for i, _, _ in rows], pa.int64())), *[pa.array(t, pa.string()) for t in text],
+                     pa.array([r and len(r.block) for _, r, _ in rows], pa.int64()), pa.array([d for _, _, d in rows], pa.string()),
+                     pa.array([r and r.to_bytes() for _, r, _ in rows], pa.binary())],
                     names=["page_id", *FIELDS, "content_length", "source_payload_digest", "record"],
                 )
 
-    ddl = ", ".join(f"{f} string" for f in FIELDS)
-    return records.select("page_id", "record").mapInArrow(task, f"page_id long, {ddl}, content_length long, source_payload_digest string, record binary")
+    ddl, kind = ", ".join(f"{f} string" for f in FIELDS), dict(records.dtypes)["page_id"]
+    return records.select("page_id", "record").mapInArrow(task, f"page_id {kind}, {ddl}, content_length long, source_payload_digest string, record binary")
+
+
+def member(record: bytes) -> bytes:
+    """A record with the line ends that close it as a gzip member, whose last byte is zero: the high byte of its
+    size; after a record of 16 MB or more, an empty member ends so."""
+    out = gzip.compress(record + CRLF + CRLF, mtime=0)
+    return out if out.endswith(b"\0") else out + gzip.compress(b"", mtime=0)
+
 
+def write(records: DataFrame, path: str) -> None:
+    """WARC files under ``path``, each record a gzip member of its own; rows without a record are left out.
+
+    Spark's text writer puts the bytes down as they are: a member's last byte, zero, is its separator.
+    """
+
+    def task(batches):
+        for batch in batches:
+            for part in slices(batch, "record"):
+                yield pa.RecordBatch.from_arrays([pa.array([member(r)[:-1] for r in part.column(0).to_pylist()], pa.binary())], names=["value"])
 
-def write(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """WARC files under ``path``: a record's closing line ends are the separator of Spark's text writer.
-    The records' blocks must be UTF-8, as derivatives are."""
-    text = records.select(F.decode("record", "UTF-8").alias("value"))
-    text.write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+    rows = records.where("record IS NOT NULL").select("record").mapInArrow(task, "value binary")
+    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none").text(path)
