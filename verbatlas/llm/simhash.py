@@ -130,8 +130,9 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
     rows = cut(fingerprints(seen, words_in_shingle).select("doc_id", "th", "fp"))
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(classes.select("fp")))
-    rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = cut(classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    # written, so that the join has a plain exchange on each side and a giant component can be split
+    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     of_class = cut(rooted.join(named, "root").select("fp", "root", "component_id"))
     return rows.join(of_class, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
