@@ -5,42 +5,23 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
-#: Elements without text for a reader. The first run to the page's end if they have no end tag; the others have then no content.
-RAW, CLOSED = ("script", "style", "noscript", "textarea", "iframe"), frozenset(("template", "svg", "select"))
-
-
-@lru_cache(maxsize=8)
-def tokens(closed: frozenset[str] = CLOSED) -> re.Pattern:
-    return re.compile(
-        r"<!--.*?(?:-->|\Z)"
-        rf"|<(?P<raw>{'|'.join([*RAW, *sorted(closed)])})(?=[\s/>])(?:(?P<lone>[^>]*/>)|[^>]*>.*?(?:(?P<shut></(?P=raw)\s*>)|\Z))"
-        r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
-        r"|<[!?/][^>]*>",
-        re.S | re.I,
-    )
-
-
-def found(page: str) -> Iterator[re.Match]:
-    """The tokens of a page; after an end tag was missing once, such elements are no longer searched for it."""
-    closed, at = CLOSED, 0
-    while m := tokens(closed).search(page, at):
-        if m["raw"] and m["raw"].lower() in closed and not m["lone"] and not m["shut"]:
-            closed, at = closed - {m["raw"].lower()}, m.start()
-            continue
-        yield m
-        at = m.end()
-
+#: A page's tokens. Scripts, styles and comments run to the page's end if they have no end; nothing else is left out here.
+TOKENS = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(?P<raw>script|style)(?=[\s/>])(?:[^>]*/>|[^>]*>.*?(?:</(?P=raw)\s*>|\Z))"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
+    r"|<[!?/][^>]*>",
+    re.S | re.I,
+)
 
 ATTR = re.compile(r"\b(class|id|role|href|name|content)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS = re.compile(r"[a-z]+")
 
 #: Tags that stand inside a line of text; every other tag bounds a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr object".split()) | frozenset(
-    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics annotation".split()
+    "svg g defs symbol use path circle rect line polygon polyline ellipse text tspan math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics annotation".split()
 )
 #: Tags that may stand in a head; any other opening tag, or text, ends one that is open.
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
@@ -88,7 +69,8 @@ def parsed(page: str | None) -> Page:
     """The leaves of a page, its title, the targets of its links and its named meta entries.
 
     Markup errors never stop it: an end tag without its opening is skipped, an element without an end
-    goes on to its parent's. Comments, scripts, styles and the contents of form fields are no text.
+    goes on to its parent's. Comments, scripts and styles are no text. Two line breaks with nothing between them
+    bound a block, one is white space.
     """
     page = page or ""
     leaves: list[Leaf] = []
@@ -98,9 +80,11 @@ def parsed(page: str | None) -> Page:
     opened: Counter = Counter()  # tags on the stack, so that it isn't searched in vain
     buffer: list[str] = []
     linked = in_link = at = 0
+    broken = -1  # where the text behind the last line break of the block begins in the buffer
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, broken
+        broken = -1
         if buffer:
             text = tidy("".join(buffer))
             if text:
@@ -118,7 +102,7 @@ def parsed(page: str | None) -> Page:
         flush()
         close_to(next(k for k, (t, _) in enumerate(stack) if t == "head"))
 
-    for m in found(page):
+    for m in TOKENS.finditer(page):
         if m.start() > at:
             piece = page[at : m.start()]
             if stack and stack[-1][0] == "head" and not piece.isspace():
@@ -152,7 +136,11 @@ def parsed(page: str | None) -> Page:
             end_head()
         own = attributes(m["attrs"])
         if tag == "br":
-            buffer.append(" ")
+            if broken >= 0 and not html.unescape("".join(buffer[broken:])).strip():
+                flush()
+            else:
+                buffer.append(" ")
+                broken = len(buffer)
             continue
         if tag == "meta":
             if own.get("name"):
