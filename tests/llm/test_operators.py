@@ -109,34 +109,61 @@ def rake(cells, powers, rounds):
     return w, share
 
 
+def full_rate(want, cells):
+    upto, steps = 0, sorted({int(np.floor(np.log(want[c] / cells[c]) * 16)) for c in cells})
+    for s in steps:
+        own = [c for c in cells if int(np.floor(np.log(want[c] / cells[c]) * 16)) == s]
+        upto += sum(cells[c] for c in own)
+        if upto >= mixing.FULL * sum(cells.values()):
+            return max(want[c] / cells[c] for c in own)
+
+
 @pytest.mark.parametrize("in_task", [20_000, 0])
 def test_raking_reaches_the_marginals(spark, monkeypatch, in_task):
     monkeypatch.setattr(mixing, "CELLS_IN_TASK", in_task)
-    cells = {(s, la, t): (hash((s, la, t)) * 0 + (ord(s) * 7 + ord(la) * 3 + ord(t)) % 50 + 1) for s, la, t in itertools.product("abc", "xy", "pq")}
+    monkeypatch.setattr(mixing, "TOLERANCE", 1e-6)
+    cells = {(s, la, t): (ord(s) * 7 + ord(la) * 3 + ord(t)) % 50 + 1 for s, la, t in itertools.product("abc", "xy", "pq")}
     df = spark.createDataFrame([(*c, n) for c, n in cells.items()], "source string, lang string, topic string, tokens long")
-    got = {(r.source, r.lang, r.topic): r for r in mixing.raked(df, rounds=8).collect()}
-    want, share = rake(cells, list(mixing.POWERS.values()), 8)
-    top = max(want[c] / cells[c] for c in cells)
+    got = {(r.source, r.lang, r.topic): r for r in mixing.raked(df).collect()}
+    want, share = rake(cells, list(mixing.POWERS.values()), 30)
+    top = full_rate(want, cells)
     for c in cells:
-        assert got[c].weight == pytest.approx(want[c], rel=1e-9) and got[c].rate == pytest.approx(want[c] / cells[c] / top, abs=1e-8)
+        assert got[c].weight == pytest.approx(want[c], rel=1e-5) and got[c].rate == pytest.approx(min(1, want[c] / cells[c] / top), abs=1e-5)
+        assert got[c].residual <= 1e-6
     total = sum(cells.values())
-    for v, p in share[2].items():
-        assert sum(r.weight for r in got.values() if r.topic == v) == pytest.approx(p * total, rel=1e-6)
+    for k, d in enumerate(mixing.DIMENSIONS):
+        for v, p in share[k].items():
+            assert sum(r.weight for r in got.values() if r[d] == v) == pytest.approx(p * total, rel=2e-6)
 
 
 def test_given_shares_are_met(spark):
     df = spark.createDataFrame([("a", "x", "p", 900), ("b", "x", "p", 100)], "source string, lang string, topic string, tokens long")
     r = {x.source: x for x in mixing.raked(df, shares={"source": {"a": 0.5, "b": 0.5}}).collect()}
     assert r["a"].rate == pytest.approx(1 / 9, abs=1e-6) and r["b"].rate == 1.0
+    df = spark.createDataFrame([("a", "x", "p", 900), ("b", "y", "p", 100)], "source string, lang string, topic string, tokens long")
+    out = mixing.raked(df, shares={"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.5, "y": 0.5}}).first()  # no weights meet these
+    assert out["residual"] > 0.1
+
+
+def test_a_tiny_cell_does_not_shrink_the_sample(spark):
+    df = spark.createDataFrame([("a", "x", "p", 6000), ("b", "x", "p", 4000), ("c", "x", "p", 1)], "source string, lang string, topic string, tokens long")
+    r = {x.source: x.rate for x in mixing.raked(df, shares={"source": {"a": 0.5, "b": 0.4, "c": 0.1}}).collect()}
+    assert r["c"] == r["b"] == 1.0 and r["a"] == pytest.approx(5 / 6, abs=1e-6)
 
 
 def test_mixed_rows(docs, empty, monkeypatch):
+    texts = Counter()
+    for i, t, *_ in TEXTS:
+        key = str(i) if i is not None else hashlib.md5((t or "").encode()).hexdigest()
+        texts[i, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), int(hashlib.md5(key.encode()).hexdigest()[:12], 16) / 2**48] += 1
     out = mixing.mixed(docs).collect()
-    assert len(out) == len(TEXTS) and all(0 <= r["rate"] <= 1 for r in out)
-    for r in out:
-        assert r["n_tokens"] == len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
-        key = str(r["doc_id"]) if r["doc_id"] is not None else hashlib.md5((r["text"] or "").encode()).hexdigest()
-        assert r["sampled"] == (int(hashlib.md5(key.encode()).hexdigest()[:12], 16) / 2**48 < r["rate"])
+    assert len(out) == len(TEXTS) and all(0 <= r["rate"] <= 1 for r in out) and "text" not in out[0].asDict()
+    got = Counter()
+    for (i, n, u), k in texts.items():
+        own = [r for r in out if r["doc_id"] == i and r["n_tokens"] == n]
+        assert any(r["sampled"] == (u < r["rate"]) for r in own)
+        got[i, n] += k
+    assert got == Counter((r["doc_id"], r["n_tokens"]) for r in out)
     assert mixing.mixed(empty).count() == 0
     kept = mixing.sampled(docs)
     assert kept.columns == docs.columns and kept.count() == sum(r["sampled"] for r in out)

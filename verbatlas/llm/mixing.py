@@ -2,9 +2,12 @@
 
 The tokens (words) of the documents are summed for every cell of source, language and topic. The
 cells' weights are raked: scaled to the target of each source, then of each language, then of each
-topic, ROUNDS times over. A document's rate is its cell's weight over its cell's tokens, divided by
-the highest rate of all cells, so it is a probability; it is sampled if a number from the hash of
-its id is below. The expected tokens of the sample then have the target marginals.
+topic, in rounds, until no marginal is further from its target than TOLERANCE (or MOST_ROUNDS are
+over; ``residual`` has the largest relative difference). A document's rate is its cell's weight over its
+cell's tokens, divided by the rate that cells with FULL of all tokens don't exceed, and 1 at most; so it is
+a probability, and a tiny cell that is lifted much doesn't shrink the sample of all others: it is taken whole, and
+falls short of its target. A document is sampled if a number from the hash of its id is below its rate.
+The expected tokens of the sample then have the target marginals, but for the cells taken whole.
 
 A target is given as shares, or follows from the tokens' own shares raised to a power below one,
 which lifts small groups. Where a table has no topics, ``topic_of`` gives a text's register.
@@ -25,7 +28,12 @@ from .common import WORD, cut, hex_of, join_dimension
 DIMENSIONS = ["source", "lang", "topic"]
 #: The power of a dimension's token shares that gives its target shares.
 POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
-ROUNDS = 8
+#: The largest relative difference of a marginal from its target, and the rounds after which raking stops at any rate.
+TOLERANCE, MOST_ROUNDS = 1e-9, 60
+#: Rounds between two looks at the difference.
+ROUNDS = 6
+#: The share of all tokens whose cells' rates are not capped, at least.
+FULL = 0.99
 #: Up to this many cells are raked in one task; more are shuffled by each dimension in turn.
 CELLS_IN_TASK = 20_000
 NONE = "(none)"
@@ -34,19 +42,17 @@ NONE = "(none)"
 def topic_of(text: Column) -> Column:
     """A text's register, by its characters: tabular, symbolic, shouted, personal or prose."""
     t = F.coalesce(text, F.lit(""))
-    upper = F.length(F.regexp_replace(t, "[^A-Z]", ""))
-    symbols = F.length(F.regexp_replace(t, "[^#*$%&<>]", ""))
     return (
         F.when(F.contains(t, F.lit(" | ")), "tabular")
-        .when(10 * symbols > F.length(t), "symbolic")
-        .when(2 * upper > F.length(t), "shouted")
+        .when(10 * F.regexp_count(t, F.lit("[#*$%&<>]")) > F.length(t), "symbolic")
+        .when(2 * F.regexp_count(t, F.lit("[A-Z]")) > F.length(t), "shouted")
         .when(t.rlike("[0-9]"), "personal")
         .otherwise("prose")
     )
 
 
 def n_tokens(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD + "+")), F.lit(0)).cast("long")
 
 
 def dimensions(df: DataFrame, topic: Column | None = None) -> dict[str, Column]:
@@ -60,11 +66,12 @@ def targets(cells: DataFrame, d: str, power: float) -> Column:
     return F.when(own > 0, F.pow(own.cast("double"), F.lit(power))).otherwise(0.0)
 
 
-def raked(cells: DataFrame, powers: dict[str, float] | None = None, shares: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (DIMENSIONS, tokens) with ``weight``, and ``rate``: weight over tokens, at most 1.
+def raked(cells: DataFrame, powers: dict[str, float] | None = None, shares: dict[str, dict[str, float]] | None = None, most: int = MOST_ROUNDS) -> DataFrame:
+    """``cells`` (DIMENSIONS, tokens) with ``weight``, ``rate`` and ``residual``.
 
     ``shares`` gives a dimension's target shares by value (missing values: none); a dimension without
-    them follows ``powers``.
+    them follows ``powers``. Shares of values without a row go to the others; targets that no weights can meet leave
+    a residual.
     """
     powers = POWERS | (powers or {})
     small = cells.count() <= CELLS_IN_TASK
@@ -90,25 +97,53 @@ def raked(cells: DataFrame, powers: dict[str, float] | None = None, shares: dict
         df = df.withColumn(f"__sum_{d}", total(df, F.col(f"to_{d}") / F.col(f"__n_{d}")))
         df = df.withColumn(f"to_{d}", F.col(f"to_{d}") / F.greatest(F.col(f"__sum_{d}"), F.lit(1e-300))).drop(f"__n_{d}", f"__sum_{d}")
     df = df.withColumn("__all", total(df, F.col("weight")))
-    for k in range(rounds):
-        for d in DIMENSIONS:
-            own = F.sum("weight").over(Window.partitionBy(d))
-            df = df.withColumn("__own", own).withColumn("weight", F.when(F.col("__own") > 0, F.col("weight") * F.col(f"to_{d}") * F.col("__all") / F.col("__own")).otherwise(0.0)).drop("__own")
-        if not small or k % 4 == 3:
-            df = cut(df)
+    residual, done = 1.0, 0
+    while residual > TOLERANCE and done < most:
+        for _ in range(min(ROUNDS, most - done)):
+            done += 1
+            for d in DIMENSIONS:
+                df = df.withColumn("__own", F.sum("weight").over(Window.partitionBy(d)))
+                df = df.withColumn("weight", F.when(F.col("__own") > 0, F.col("weight") * F.col(f"to_{d}") * F.col("__all") / F.col("__own")).otherwise(0.0)).drop("__own")
+            if not small:
+                df = cut(df)
+        df = cut(df)
+        off = [F.abs(F.sum("weight").over(Window.partitionBy(d)) - F.col(f"to_{d}") * F.col("__all")) / F.greatest(F.col(f"to_{d}") * F.col("__all"), F.lit(1e-300)) for d in DIMENSIONS]
+        now = df.select(F.greatest(*off).alias("off"), F.greatest(*[F.col(f"to_{d}") for d in DIMENSIONS]).alias("to")).where("to > 0").agg(F.max("off")).first()[0] or 0.0
+        if now >= residual and done > ROUNDS:  # no weights meet the targets, or the numbers' last digits are reached
+            residual = now
+            break
+        residual = now
     df = df.withColumn("rate", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")))
-    if every is not None:
-        df = df.withColumn("__top", F.max("rate").over(every))
-    else:
-        df = df.withColumn("__top", F.lit(df.agg(F.max("rate")).first()[0]))
-    rate = F.round(F.coalesce(F.col("rate") / F.col("__top"), F.lit(1.0)), 9)
-    return df.withColumn("rate", rate).drop("__top", "__all", *[f"to_{d}" for d in DIMENSIONS])
-
-
-def rates(docs: DataFrame, topic: Column | None = None, **raking) -> tuple[DataFrame, int]:
-    """(DIMENSIONS, tokens, docs, weight, rate), a row for each cell, written; and how many cells."""
-    cells = docs.select(*[c.alias(d) for d, c in dimensions(docs, topic).items()], n_tokens(F.col("text")).alias("n"))
-    cells = cut(cells.groupBy(*DIMENSIONS).agg(F.sum("n").alias("tokens"), F.count("*").alias("docs")))
+    rate = F.round(F.coalesce(F.least(F.col("rate") / F.lit(full_rate(df)), F.lit(1.0)), F.lit(1.0)), 9)
+    return df.withColumns({"rate": rate, "residual": F.lit(residual)}).drop("__all", *[f"to_{d}" for d in DIMENSIONS])
+
+
+def full_rate(cells: DataFrame) -> float:
+    """The rate that becomes 1: of the cells in order of it, with FULL of all tokens, the highest. The order is
+    by steps of a sixteenth of its logarithm, so that it is a sum over few hundred rows."""
+    step = F.floor(F.log(F.col("rate")) * 16)
+    sums = cells.where("rate > 0").groupBy(step.alias("step")).agg(F.sum("tokens").alias("tokens"), F.max("rate").alias("rate")).orderBy("step").collect()
+    need, upto = FULL * sum(r["tokens"] for r in sums), 0
+    for r in sums:
+        upto += r["tokens"]
+        if upto >= need:
+            return r["rate"]
+    return 1.0
+
+
+def measured(docs: DataFrame, topic: Column | None = None) -> DataFrame:
+    """``docs`` without ``text``, with DIMENSIONS (never null), n_tokens and ``__u``, the number that decides."""
+    own = dimensions(docs, topic)
+    new = {d: own[d] for d in DIMENSIONS} | {"n_tokens": n_tokens(F.col("text")), "__u": drawn(F.col("doc_id"), F.col("text"))}
+    return docs.withColumns({f"__new_{k}": c for k, c in new.items()}).select(
+        *[c for c in docs.columns if c not in (*new, "text", "rate", "sampled")], *[F.col(f"__new_{k}").alias(k) for k in new]
+    )
+
+
+def rates(rows: DataFrame, **raking) -> tuple[DataFrame, int]:
+    """(DIMENSIONS, tokens, docs, weight, rate, residual), a row for each cell of ``measured`` rows, written; and
+    how many cells."""
+    cells = cut(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
     out = cut(raked(cells, **raking))
     return out, out.count()
 
@@ -118,19 +153,20 @@ def drawn(doc_id: Column, text: Column) -> Column:
     return hex_of(F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))) / F.lit(float(1 << 48))
 
 
+def decided(rows: DataFrame, table: DataFrame, n: int) -> DataFrame:
+    """``measured`` rows with ``rate`` and ``sampled``. The cells' rates are broadcast if few."""
+    out = join_dimension(rows, table.select(*DIMENSIONS, "rate"), DIMENSIONS, n)
+    return out.withColumn("sampled", F.col("__u") < F.col("rate")).drop("__u")
+
+
 def mixed(docs: DataFrame, topic: Column | None = None, **raking) -> DataFrame:
-    """``docs`` with topic, n_tokens, rate and sampled. The cells' rates are broadcast if few."""
-    table, n = rates(docs, topic, **raking)
-    own = dimensions(docs, topic)
-    new = {f"__{d}": own[d] for d in DIMENSIONS}
-    df = docs.withColumns(new | {"n_tokens": n_tokens(F.col("text"))})
-    dim = table.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.col("rate").alias("__rate"))
-    out = join_dimension(df, dim, [f"__{d}" for d in DIMENSIONS], n)
-    out = out.withColumns({"topic": F.col("__topic"), "rate": F.col("__rate"), "sampled": drawn(F.col("doc_id"), F.col("text")) < F.col("__rate")})
-    return out.drop("__rate", *[f"__{d}" for d in DIMENSIONS])
+    """``docs`` without its texts, which are read once, with topic, n_tokens, rate and sampled."""
+    rows = cut(measured(docs, topic))
+    return decided(rows, *rates(rows, **raking))
 
 
 def sampled(docs: DataFrame, topic: Column | None = None, **raking) -> DataFrame:
-    """The sampled rows of ``docs``, with its own columns."""
+    """The sampled rows of ``docs``, with its own columns. The texts are read twice and never shuffled."""
+    table, n = rates(measured(docs.select("doc_id", "text", "source", "lang"), topic), **raking)
     kept = docs.select(*[F.col(c).alias(f"__in_{c}") for c in docs.columns], "doc_id", "text", "source", "lang")
-    return mixed(kept, topic, **raking).where("sampled").select(*[F.col(f"__in_{c}").alias(c) for c in docs.columns])
+    return decided(measured(kept, topic), table, n).where("sampled").select(*[F.col(f"__in_{c}").alias(c) for c in docs.columns])

@@ -24,6 +24,10 @@ OP1 = f"""WITH RECURSIVE shards AS (
   SELECT doc_id, f.slot, shard FROM documents JOIN fill f ON f.slot = {HEX.format("coalesce(doc_id::VARCHAR, text, '')")} % {sharding.SLOTS} JOIN shards ON i = (turn - 1) % {sharding.SHARDS}"""
 
 
+#: Rounds of raking after which no digit that the query returns changes on these tables.
+SQL_ROUNDS = 18
+
+
 def op2() -> str:
     n = mixing.NONE
     upper, symbols = "length(regexp_replace(t, '[^A-Z]', '', 'g'))", "length(regexp_replace(t, '[^#*$%&<>]', '', 'g'))"
@@ -36,11 +40,14 @@ def op2() -> str:
     for x in mixing.DIMENSIONS:
         out.append(f"t_{x} AS (SELECT {x}, p / sum(p) OVER () AS share FROM (SELECT {x}, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens), {mixing.POWERS[x]}) ELSE 0 END AS p FROM w0 GROUP BY 1))")
     k = 0
-    for _ in range(mixing.ROUNDS):
+    for _ in range(SQL_ROUNDS):
         for x in mixing.DIMENSIONS:
             out.append(f"w{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN own > 0 THEN weight * share * total / own ELSE 0 END AS weight FROM (SELECT *, sum(weight) OVER (PARTITION BY {x}) AS own FROM w{k}) JOIN t_{x} USING ({x}), every)")
             k += 1
-    out.append(f"r AS (SELECT source, lang, topic, round(coalesce(rate / max(rate) OVER (), 1), 9) AS rate FROM (SELECT *, CASE WHEN tokens > 0 THEN weight / tokens END AS rate FROM w{k}))")
+    out.append(f"r0 AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN tokens > 0 THEN weight / tokens END AS rate FROM w{k})")
+    out.append("steps AS (SELECT floor(ln(rate) * 16) AS step, sum(tokens) AS tokens, max(rate) AS rate FROM r0 WHERE rate > 0 GROUP BY 1)")
+    out.append(f"top AS (SELECT min_by(rate, step) AS top FROM (SELECT *, sum(tokens) OVER (ORDER BY step) AS upto, sum(tokens) OVER () AS every FROM steps) WHERE upto >= {mixing.FULL} * every)")
+    out.append("r AS (SELECT source, lang, topic, round(coalesce(least(rate / top, 1), 1), 9) AS rate FROM r0, top)")
     u = HEX.format("coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))")
     return f"WITH {', '.join(out)} SELECT doc_id, source, lang, topic, n_tokens, round(rate, 6) AS rate, {u} / {float(1 << 48)} < rate AS sampled FROM d JOIN r USING (source, lang, topic)"
 
