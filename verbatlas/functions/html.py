@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import col
 
-# Character references that the pages use.
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+#: A character reference with its semicolon, and the characters that the 252 names of HTML 4 stand for.
+REFERENCE = "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+NAMED = {n: chr(c) for n, c in name2codepoint.items()} | {"apos": "'"}
 
 
 def unescaped(x: Column | str) -> Column:
+    """Numeric references and those by name become characters, each once; unknown names stay."""
     t = col(x)
-    for a, b in ENTITIES:  # the ampersand last, so that nothing is decoded twice
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return t
+    named = F.create_map(*[F.lit(y) for pair in NAMED.items() for y in pair])
+
+    def one(piece: Column) -> Column:
+        ref = F.regexp_extract(piece, "^" + REFERENCE, 1)
+        code = F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, 3, 9), 16, 10)).when(ref.startswith("#"), F.substring(ref, 2, 9)).cast("int")
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).when(ref.startswith("#"), "\ufffd").otherwise(F.try_element_at(named, ref))
+        return F.when((ref != "") & char.isNotNull(), F.concat(char, F.substring(piece, F.length(ref) + 3, F.length(piece)))).otherwise(piece)
+
+    pieces = F.split(t, f"(?={REFERENCE})")
+    return F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(pieces, one), "")).otherwise(t)
 
 
 def text_of(x: Column | str) -> Column:

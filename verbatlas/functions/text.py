@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and what they become.
-ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
+#: The small letters from U+00DF to U+017F whose canonical decomposition begins with a letter a-z, and those letters; behind
+#: them the combining marks U+0300 to U+036F, which become nothing. Letters that don't decompose (ł, ø, ß) stay.
+ACCENTED = "".join(c for c in map(chr, range(0xDF, 0x180)) if c.islower() and unicodedata.decomposition(c) and unicodedata.normalize("NFD", c)[0] in "abcdefghijklmnopqrstuvwxyz")
+PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in ACCENTED)
+MARKS = "".join(map(chr, range(0x300, 0x370)))
 
 # Kinds of legal acts that announce a number.
 ACTS = "Lei|Leis|Decreto|Decreto-Lei|Decreto-lei|Súmula|Portaria|Resolução|Emenda|Ato|Projeto|Provimento|Medida Provisória"
@@ -19,14 +23,21 @@ def col(x: Column | str) -> Column:
 
 def norm(x: Column | str) -> Column:
     """Lower case without accents, for comparing; ligatures and ordinal signs stay."""
-    return F.translate(F.lower(col(x)), ACCENTED, PLAIN)
+    return F.translate(F.lower(col(x)), ACCENTED + MARKS, PLAIN)
+
+
+def plain(x: str) -> str:
+    """The same for a Python string, such as a query."""
+    return x.lower().translate(str.maketrans(ACCENTED, PLAIN, MARKS))
 
 
 def norm_all(xs: Column | str) -> Column:
+    """Every element in normal form, as an index over an array needs it."""
     return F.transform(col(xs), norm)
 
 
 def joined(xs: Column | str, sep: str = " ") -> Column:
+    """The elements in one text, '' for none."""
     return F.coalesce(F.array_join(col(xs), sep), F.lit(""))
 
 
@@ -49,6 +60,7 @@ def collapsed(x: Column | str) -> Column:
 
 # --- cleaning: each step gives the new text and how many places it changed ------------------------
 
+# Where a small o, or a degree sign, stands for an ordinal sign.
 ORDINAL_STEPS = [
     ("([0-9])[o°](?![a-zà-ÿ])", "$1º"),
     (f"(?U)\\b({ACTS})(\\s+)n[o°](?=\\s*[0-9])", "$1$2nº"),
@@ -66,6 +78,7 @@ def ordinals(x: Column | str) -> tuple[Column, Column]:
     return text, n
 
 
+# A footnote's number behind the last mark; the title, or the division in capitals, behind the last sentence.
 FOOTNOTE = "([a-zà-ÿA-ZÀ-Ý)\\]\"'»])([.;:!?])([0-9]{1,2})$"
 
 
@@ -80,20 +93,26 @@ TRAILING_TITLE = "(?<=[.;:!?)»”\"'][0-9]{0,2})\\s+([A-ZÁÀÂÃÉÊÍÓÔÕÚ
 TRAILING_DIVISION = "(?<=[.;:!?)»”\"'])\\s+([A-ZÀ-Ý][A-ZÀ-Ý\\s]{4,44})$"
 
 
-def marginal_title(x: Column | str) -> tuple[Column, Column]:
-    """(text without it, title): a capitalised fragment after the last sentence is the next block's
-    title, unless it is a sanction, a note, a reference, cut short or all capitals."""
+def title_objections(title: Column) -> Column:
+    """Why a fragment is no title: the names of all reasons, in alphabetical order."""
+    reasons = {
+        "capitals": title == F.upper(title),
+        "cut short": title.rlike("[,;:]$"),
+        "note": title.rlike("[(\\[]"),
+        "reference": title.rlike("(?i)(?<![\\p{L}\\p{N}_])(arts?|incs?)\\s*\\.?\\s*[0-9]|§|\\bn[ºo]\\s*[0-9]|[0-9]{3,}"),
+        "sanction": title.rlike("\\bPena\\s*[–—-]"),
+    }
+    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in reasons.items()]))
+
+
+def marginal_title(x: Column | str) -> tuple[Column, Column, Column]:
+    """(text without it, title, objections): a capitalised fragment after the last sentence is the next block's
+    title, unless something speaks against it; then the text stays whole."""
     t = F.rtrim(col(x))
-    title = F.trim(F.regexp_extract(t, TRAILING_TITLE, 1))
-    rejected = (
-        (title == "")
-        | title.rlike("\\bPena\\s*[–—-]")
-        | title.rlike("[(\\[]")
-        | title.rlike("(?i)(?<![\\p{L}\\p{N}_])(arts?|incs?)\\s*\\.?\\s*[0-9]|§|\\bn[ºo]\\s*[0-9]|[0-9]{3,}")
-        | title.rlike("[,;:]$")
-        | (title == F.upper(title))
-    )
-    return F.when(rejected, col(x)).otherwise(F.rtrim(F.regexp_replace(t, TRAILING_TITLE, ""))), F.when(~rejected, title)
+    found = F.nullif(F.trim(F.regexp_extract(t, TRAILING_TITLE, 1)), F.lit(""))
+    against = F.coalesce(title_objections(found), F.array().cast("array<string>"))
+    taken = found.isNotNull() & (F.size(against) == 0)
+    return F.when(taken, F.rtrim(F.regexp_replace(t, TRAILING_TITLE, ""))).otherwise(col(x)), F.when(taken, found), against
 
 
 def trailing_division(x: Column | str) -> tuple[Column, Column]:
@@ -113,23 +132,37 @@ def suspicions(x: Column | str) -> Column:
     return F.array_compact(F.array(F.when(t.rlike("^[a-zà-ÿ]"), "lower-case start"), F.when(~t.rlike("[.;:!?)»”\"']\\z"), "no final mark")))
 
 
+# How a division is announced, and the words (in normal form) that a title in capitals leaves small.
+HEADING = "^(TÍTULO|CAPÍTULO|SEÇÃO|SUBSEÇÃO)\\s+([IVXLC]+(?:-[A-Z])?|[0-9]+)\\s*[–—-]\\s*(.+)$"
+CONNECTIVES = "de da do das dos e ou a o as os ao aos em no na nos nas num numa contra para por pelo pela pelos pelas sobre com sem entre que se ante desde perante sob".split()
+LONGEST_TITLE = 140
+
+
 def heading_split(x: Column | str) -> Column:
-    """struct(heading, title): a section name and the title of its first block, run together.
+    """struct(heading, title, rule): a division's name and the title of its first block, run together.
 
-    The heading keeps all words up to the last that begins a new capitalised phrase: a word with a
-    capital that follows a lower-case word of more than three letters, and isn't the last word's repeat.
+    Only 'DIVISION numeral – name' is cut. A name has capitals but in connectives, so the first other small word
+    belongs to the title, which begins at the last capital before it (rule ``sentence-case``). A name that
+    repeats one of its words at its end has that word as title (``repetition``). All else is left whole,
+    ``uncut``, for a person to look at.
     """
-    words = F.split(F.trim(col(x)), "\\s+")
-    at = F.filter(
-        F.sequence(F.lit(2), F.greatest(F.size(words), F.lit(2))),
-        lambda i: F.coalesce(F.try_element_at(words, i).rlike("^[A-ZÀ-Ý][a-zà-ÿ]"), F.lit(False))
-        & F.coalesce(F.try_element_at(words, i - 1).rlike("^[A-ZÀ-Ý]?[a-zà-ÿ]{3,}$"), F.lit(False))
-        & ~F.coalesce(F.try_element_at(words, i - 1).rlike("^(?i)(da|de|do|das|dos|e|a|o)$"), F.lit(False)),
+    whole = col(x)
+    form = F.trim(whole).rlike(HEADING)
+    head = F.concat(F.regexp_extract(F.trim(whole), HEADING, 1), F.lit(" "), F.regexp_extract(F.trim(whole), HEADING, 2), F.lit(" – "))
+    words = F.split(F.regexp_extract(F.trim(whole), HEADING, 3), "\\s+")
+    each = F.transform(words, lambda w, i: F.struct(i.alias("i"), w.rlike("^[A-ZÁÀÂÃÉÊÍÓÔÕÚÜÇ]").alias("capital"), norm(F.regexp_replace(w, "[^\\p{L}]", "")).isin(CONNECTIVES).alias("small")))
+    first = F.array_min(F.transform(F.filter(each, lambda w: (w["i"] > 0) & ~w["capital"] & ~w["small"]), lambda w: w["i"]))
+    begin = F.array_max(F.transform(F.filter(each, lambda w: (w["i"] < first) & ~w["small"]), lambda w: w["i"]))
+    from_word = lambda i: F.array_join(F.slice(words, i + 1, F.size(words)), " ")
+    by_case = F.coalesce(form & (begin > 0) & (F.length(from_word(F.coalesce(begin, F.lit(0)))) <= LONGEST_TITLE), F.lit(False))
+    last = F.element_at(each, -1)
+    earlier = F.transform(F.slice(words, F.lit(1), F.size(words) - 1), norm)
+    again = form & (F.size(words) > 1) & last["capital"] & ~last["small"] & F.array_contains(earlier, norm(F.element_at(words, -1)))
+    at = F.when(by_case, begin).when(again, F.size(words) - 1)
+    cut = F.struct(
+        F.concat(head, F.array_join(F.slice(words, F.lit(1), at), " ")).alias("heading"), from_word(at).alias("title"), F.when(by_case, "sentence-case").otherwise("repetition").alias("rule")
     )
-    cut = F.try_element_at(at, F.lit(-1))
-    heading = F.when(cut.isNull(), F.trim(col(x))).otherwise(F.array_join(F.slice(words, F.lit(1), cut - 1), " "))
-    title = F.when(cut.isNotNull(), F.array_join(F.slice(words, F.coalesce(cut, F.lit(1)), F.size(words)), " "))
-    return F.struct(heading.alias("heading"), title.alias("title"))
+    return F.when(at.isNotNull(), cut).otherwise(F.struct(whole.alias("heading"), F.lit(None).cast("string").alias("title"), F.lit("uncut").alias("rule")))
 
 
 ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
@@ -192,9 +225,10 @@ def citation(*parts: Column | str) -> Column:
     return F.concat_ws(", ", *[F.nullif(F.trim(col(p)), F.lit("")) for p in parts])
 
 
-def embedding_text(heading: Column, title: Column, caput: Column, text: Column, most: int = 8000) -> Column:
-    """What is embedded: the most specific heading, the title, the caput and the text, a line each."""
-    return F.substring(F.concat_ws("\n", heading, title, caput, text), 1, most)
+def embedding_text(heading: Column, title: Column, caput: Column, text: Column) -> Column:
+    """What is embedded and hashed: the most specific heading, the title, the caput and the text, a line each. A
+    model's limit is the embedder's matter, so that a change anywhere changes the hash."""
+    return F.concat_ws("\n", heading, title, caput, text)
 
 
 def difference(a: Column | str, b: Column | str) -> Column:

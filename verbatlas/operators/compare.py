@@ -18,17 +18,18 @@ LAW_CONTEXT = "\\b(lei|decreto|codigo|medida provisoria)\\b"
 def compared(corpus: DataFrame, source: DataFrame, key: str = "id", text: str = "text", order: str = "ordem") -> DataFrame:
     """(key, verdict, anchor): blocks to change, to add behind an anchor, or gone from the source.
 
-    Texts are compared in canonical form. The anchor of a new block is the last block before it, in the
-    source's order, that the corpus has.
+    Texts are compared in canonical form, by hashes: no text crosses a shuffle. Null texts are equal. The anchor of a
+    new block is the last block before it, in the source's order, that the corpus has.
     """
-    c = corpus.select(F.col(key), canonical(text).alias("__c"), F.lit(True).alias("__in"))
-    s = source.select(F.col(key), canonical(text).alias("__s"), F.col(order).alias("__o"), F.col("parent"))
-    both = c.join(s, key, "full_outer")
+    c = corpus.select(F.col(key), F.sha2(canonical(text).cast("binary"), 256).alias("__c"), F.lit(True).alias("__in"))
+    s = source.select(F.col(key), F.sha2(canonical(text).cast("binary"), 256).alias("__s"), F.col(order).alias("__o"), "parent")
     w = Window.partitionBy("parent").orderBy("__o").rowsBetween(Window.unboundedPreceding, -1)
-    anchor = F.last(F.when(F.col("__in"), F.col(key)), ignorenulls=True).over(w)
-    verdict = F.when(F.col("__in").isNull(), "add").when(F.col("__o").isNull(), "gone").when(F.col("__c") != F.col("__s"), "change")
-    out = both.withColumn("verdict", verdict).withColumn("anchor", anchor)
-    return out.where("verdict IS NOT NULL").select(key, "verdict", F.when(F.col("verdict") == "add", F.col("anchor")).alias("anchor"))
+    here = s.join(c, key, "left").withColumn("anchor", F.last(F.when(F.col("__in"), F.col(key)), ignorenulls=True).over(w))
+    verdict = F.when(F.col("__in").isNull(), "add").when(~F.col("__c").eqNullSafe(F.col("__s")), "change")
+    here = here.withColumn("verdict", verdict).where("verdict IS NOT NULL")
+    gone = corpus.select(key).join(source.select(key), key, "left_anti").select(key, F.lit("gone").alias("verdict"))
+    here = here.select(key, "verdict", F.when(F.col("verdict") == "add", F.col("anchor")).alias("anchor"))
+    return here.unionByName(gone, allowMissingColumns=True)
 
 
 def transitions(old: DataFrame, new: DataFrame, key: str, status: str, citable: list[str]) -> DataFrame:

@@ -18,22 +18,30 @@ def last_of_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``new`` replace those of ``old`` with the same key, but for the columns in ``keep``; others
-    are added. Columns that ``new`` lacks keep their value (null in added rows)."""
-    o, n = old.withColumn("__old", F.lit(True)).alias("o"), new.withColumn("__new", F.lit(True)).alias("n")
-    both = o.join(n, keys, "full_outer")
-    taken = F.col("n.__new").isNotNull()
-    out = list(keys)
-    picked = [F.col(k) for k in keys]
+    are added. Columns that ``new`` lacks keep their value (null in added rows).
+
+    Null is a key like any other. A key that ``new``, or ``old``, has twice stops the job, as a primary key would: take
+    ``last_of_key`` first. Both sides are stacked and grouped by the key: one shuffle.
+    """
+    o = old.select(*keys, F.struct(*old.columns).alias("o"))
+    n = new.select(*keys, F.struct(*new.columns).alias("n"))
+    both = o.unionByName(n, allowMissingColumns=True).groupBy(*keys).agg(
+        F.first("o", ignorenulls=True).alias("o"), F.first("n", ignorenulls=True).alias("n"), F.greatest(F.count("o"), F.count("n")).alias("times")
+    )
+    named = F.concat(F.lit("a key is there twice: "), F.to_json(F.struct(*keys)))
+    both = both.where(F.when(F.col("times") > 1, F.raise_error(named).cast("boolean")).otherwise(True))
+    taken, had = F.col("n").isNotNull(), F.col("o").isNotNull()
+    picked = []
     for c in old.columns:
-        if c in out:
-            continue
-        if c in new.columns and c not in keep:
-            picked.append(F.when(taken, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c))
-        elif c in new.columns:
-            picked.append(F.when(F.col("o.__old"), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c))
-        else:
+        if c in keys:
+            picked.append(F.col(c))
+        elif c not in new.columns:
             picked.append(F.col(f"o.{c}").alias(c))
-    return both.select(*picked).select(*old.columns)
+        elif c in keep:
+            picked.append(F.when(had, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c))
+        else:
+            picked.append(F.when(taken, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c))
+    return both.select(*picked)
 
 
 def upsert_gated(old: DataFrame, new: DataFrame, keys: list[str], hash_col: str, gated: str) -> DataFrame:

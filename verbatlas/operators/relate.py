@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verbatlas.functions.lineage import cut
 from verbatlas.functions.text import norm
 
 
@@ -87,8 +88,16 @@ def incorporated(df: DataFrame, articles: DataFrame, key: str, touched: str, nor
 
 
 def grouped_names(df: DataFrame, name: str, key: str, order: str) -> DataFrame:
-    """(norm, name, ids): names with one normal form together, in their first spelling."""
-    return df.groupBy(norm(name).alias("norm")).agg(F.min_by(name, order).alias("name"), F.sort_array(F.collect_list(key)).alias("ids"))
+    """(norm, name, n, first_id): names with one normal form together, in their first spelling. The ids of a name
+    are found by a join on ``norm``; they are not gathered, as a name may be on any number of rows."""
+    return df.groupBy(norm(name).alias("norm")).agg(F.min_by(name, order).alias("name"), F.count("*").alias("n"), F.min(key).alias("first_id"))
+
+
+def one_or_none(df: DataFrame) -> DataFrame:
+    """The only row, or none; a second one stops the job."""
+    rows = df.limit(2).agg(F.collect_list(F.struct(*df.columns)).alias("r"))
+    checked = F.when(F.size("r") > 1, F.raise_error(F.lit("more than one row"))).otherwise(F.col("r"))
+    return rows.select(F.inline(checked))
 
 
 def aligned(parts: dict[str, DataFrame], origin: str = "origin") -> DataFrame:
@@ -109,14 +118,21 @@ def few_with_primaries(cards: DataFrame, group: str, primary: str, pos: str, mos
     return kept.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(pos)))
 
 
-def ancestors(df: DataFrame, key: str, parent: str, most: int = 12) -> DataFrame:
-    """(key, ancestor, depth): every row with itself and all above it; by joins, a level at a time."""
-    edges = df.select(F.col(key).alias("__c"), F.col(parent).alias("__p"))
-    level = df.select(F.col(key), F.col(key).alias("ancestor"), F.lit(0).alias("depth"))
-    out = level
-    for d in range(1, most + 1):
-        level = level.join(edges, F.col("ancestor") == F.col("__c")).where("__p IS NOT NULL").select(key, F.col("__p").alias("ancestor"), F.lit(d).alias("depth"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+def ancestors(df: DataFrame, key: str, parent: str) -> DataFrame:
+    """(key, ancestor, depth): every row with itself and all above it, however many.
+
+    Reach doubles in each round: a row whose ancestors are known up to a level is joined with those of the one
+    there, and what is known is written. A cycle stops the job.
+    """
+    own = df.select(F.col(key), F.col(key).alias("ancestor"), F.lit(0).alias("depth"))
+    known = cut(df.where(F.col(parent).isNotNull()).select(F.col(key), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")))
+    reach = 1
+    while True:
+        if not known.where(F.col(key) == F.col("ancestor")).isEmpty():
+            raise ValueError("a row is above itself")
+        above = known.select(F.col(key).alias("__a"), F.col("ancestor").alias("__b"), F.col("depth").alias("__d"))
+        more = known.where(F.col("depth") == reach).join(above, F.col("ancestor") == F.col("__a"))
+        more = cut(more.select(key, F.col("__b").alias("ancestor"), (F.col("depth") + F.col("__d")).alias("depth")))
+        if more.isEmpty():
+            return own.unionByName(known)
+        known, reach = known.unionByName(more), 2 * reach

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbatlas.functions.text import lexemes, norm
+from verbatlas.functions.text import lexemes, norm, plain
 
 #: Constants of the fusion.
 K, CAP, CONTAINED = 60, 200, 12
@@ -64,8 +64,7 @@ def term_leg(queries: DataFrame, terms: DataFrame, edges: DataFrame, cap: int |
 def parse_query(query: str) -> dict[str, list]:
     """A search phrase as people write it: all words; "a phrase"; -without; this or that."""
     out: dict[str, list] = {"must": [], "not": [], "phrases": [], "any": []}
-    plain = query.lower().translate(str.maketrans("áàâãäéèêëíìîïóòôõöúùûüçñ", "aaaaaeeeeiiiiooooouuuucn"))
-    items = [(m[1], m[2], m[3]) for m in re.finditer(r'(-?)(?:"([^"]*)"|(\S+))', plain)]
+    items = [(m[1], m[2], m[3]) for m in re.finditer(r'(-?)(?:"([^"]*)"|(\S+))', plain(query))]
     groups: list[list[str]] = []
     join = False
     for minus, phrase, word in items:
@@ -254,10 +253,13 @@ def above_floor(hits: DataFrame, k: int = K, least_weight: float = 1.0, fewest:
 
 def header_hits(headers: DataFrame, blocks: DataFrame, query: str, cap: int = CAP) -> DataFrame:
     """(query_id, id, pos): the first block of each header (header_id, title) that meets the query,
-    ranked by the header's weight. All headers are ranked; the cap is by rank."""
+    ranked by the header's weight. All headers are ranked; the cap is by rank. Only the blocks of the headers met, ``cap`` at
+    most and therefore broadcast, are aggregated."""
     leg = lexical_leg(headers.select(F.col("header_id").alias("id"), F.lit("").alias("title"), F.col("title").alias("text")), query, cap=cap)
-    first = blocks.groupBy("header_id").agg(F.min_by("id", "ordem").alias("first"))
-    hit = leg.withColumnRenamed("id", "header_id").join(first, "header_id")
+    leg = leg.withColumnRenamed("id", "header_id")
+    of_hits = blocks.join(F.broadcast(leg.select("header_id")), "header_id", "left_semi")
+    first = of_hits.groupBy("header_id").agg(F.min_by("id", "ordem").alias("first"))
+    hit = first.join(F.broadcast(leg), "header_id")
     return hit.select("query_id", F.col("first").alias("id"), "pos")
 
 

@@ -96,7 +96,7 @@ def q_dangling(spark, d):
 
 def q_anti_array_fk(spark, d):
     """Arrays of part keys against parts with a price below 1000."""
-    p = t(spark, d, "part").where("p_retailprice < 1000")
+    p = t(spark, d, "part").where("p_retailprice < 1200")
     items = F.array((F.col("o_orderkey") % 2000).cast("string"), (F.col("o_orderkey") * 7 % 2000).cast("string"))
     return integrity.dangling_items(t(spark, d, "orders"), "o_orderkey", items, p, "p_partkey")
 
@@ -133,35 +133,43 @@ def q_slug(spark, d):
     return t(spark, d, "pages").select("page_id", text.slug("url").alias("slug"))
 
 
-ORDINALS = ["Art. 1o da Lei no 9.099", "no 1º grau", "§ 2° do Decreto no 12.848", "nos termos do no 1.234", "1o lugar", "Lei no art. 3"]
+def lines(spark, d):
+    """(doc_id, pos, line) of all documents' whole texts."""
+    return t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
 def q_clean_ordinals(spark, d):
-    x, n = text.ordinals("x")
-    return inline(spark, ORDINALS).select("n", x.alias("cleaned"), n.alias("places"))
+    """Every line, of which some are made to announce an act or an ordinal."""
+    head = F.when(F.col("pos") % 5 == 0, "Art. 1o da Lei no 9.099, no 1º grau ").when(F.col("pos") % 5 == 1, "§ 2° do Decreto no 12.848, nos termos do no 1.234 ").otherwise("")
+    x, n = text.ordinals("line")
+    made = lines(spark, d).select("doc_id", "pos", F.concat(head, "line").alias("line"))
+    return made.select("doc_id", "pos", F.md5(x.cast("binary")).alias("cleaned"), n.alias("places"))
 
 
 def q_clean_footnotes(spark, d):
     x, n = text.without_footnote("line")
-    docs = t(spark, d, "documents").select("doc_id", F.concat(F.substring_index("text", "\n", 1), F.when(F.col("doc_id") % 2 == 0, "3").otherwise("")).alias("line"))
-    return docs.select("doc_id", x.alias("line"), n.alias("removed"))
+    made = lines(spark, d).select("doc_id", "pos", F.concat("line", F.when(F.col("doc_id") % 2 == 0, "3").otherwise("")).alias("line"))
+    return made.select("doc_id", "pos", F.md5(x.cast("binary")).alias("line"), n.alias("removed"))
 
 
 TITLES = ["Pena suspensa. Fixação da pena", "art. 33 da lei. Pena - reclusão", "fica em vigor. Disposições Gerais.", "do crime; Dano em coisa de valor artístico", "só isto", "prescrição.4 Modo de conversão", "efeito. PARTE ESPECIAL"]
 
 
 def q_marginal_title(spark, d):
-    body, title = text.marginal_title("x")
+    body, title, against = text.marginal_title("x")
     rest, division = text.trailing_division("x")
-    return inline(spark, TITLES).select("n", body.alias("body"), title.alias("title"), rest.alias("rest"), division.alias("division"))
+    return inline(spark, TITLES).select("n", body.alias("body"), title.alias("title"), F.array_join(against, ",").alias("against"), rest.alias("rest"), division.alias("division"))
 
 
-HEADINGS = ["CAPÍTULO III – Da Aplicação da Pena Fixação da pena", "Seção II Das Disposições Gerais", "TÍTULO I Dos Crimes contra a Pessoa Homicídio simples"]
+HEADINGS = [
+    "CAPÍTULO III – Da Aplicação da Pena Fixação da pena", "Seção II Das Disposições Gerais", "TÍTULO I – Dos Crimes contra a Pessoa Homicídio simples", "CAPÍTULO I – Do Furto Furto",
+    "CAPÍTULO II – Dos Crimes contra o Respeito aos Mortos", "CAPÍTULO V – Dos Crimes contra a Honra Calúnia", "SEÇÃO 4 - Da Prova", "TÍTULO IX-A – Das Penas Penas",
+]
 
 
 def q_heading_split(spark, d):
     h = text.heading_split("x")
-    return inline(spark, HEADINGS).select("n", h["heading"].alias("heading"), h["title"].alias("title"))
+    return inline(spark, HEADINGS).select("n", h["heading"].alias("heading"), h["title"].alias("title"), h["rule"].alias("rule"))
 
 
 ROMANS = ["I", "IV", "IX", "XIV", "XL", "XC", "CD", "MCMXCIV", "xlii"]
@@ -217,9 +225,16 @@ def q_norm_named(spark, d):
     return inline(spark, STATUSES).select("n", compare.became_norm("x").alias("became"), compare.norm_named("x").alias("norm"))
 
 
+OPENINGS = [
+    "Regulamenta a Lei de segurança pública", "Institui o conselho de Defesa Civil", "Fica instituído o plano de segurança", "Altera o código penal", "Prorroga o prazo do plano de segurança",
+    "Aprova o regulamento da polícia penal", "Revoga o decreto de segurança", "Homologa situação de emergência, defesa civil", "Declara de utilidade a defesa civil", "Dispõe sobre segurança",
+    "Dispõe sobre segurança no trânsito", "Institui a semana do livro",
+]
+
+
 def q_scope_include_exclude(spark, d):
-    p = t(spark, d, "pages")
-    return p.where(compare.in_scope("url", "example\\.(com|org)", "adult")).select("page_id", intent.species("url").alias("species"))
+    rows = inline(spark, OPENINGS)
+    return rows.where(compare.in_scope("x", "seguranca|defesa civil|penal", "transito")).select("n", intent.species("x").alias("species"))
 
 
 DATES = ["31/01/2025", "2025-02-03T10:00", "1/2/25", "", "30/02/2025"]
@@ -238,7 +253,8 @@ def q_html_text(spark, d):
 
 
 def q_html_toc(spark, d):
-    return html.headings(t(spark, d, "pages"))
+    """With the items of the menus as second headings, so that two levels occur."""
+    return html.headings(t(spark, d, "pages").select("page_id", F.replace(F.replace("html", F.lit("<li>"), F.lit("<h2>")), F.lit("</li>"), F.lit("</h2>")).alias("html")))
 
 
 def q_html_links(spark, d):
@@ -345,11 +361,12 @@ TEXT_SQL = f"regexp_replace({TEXT_SQL}, '<[^>]*>', ' ', 'g')"
 
 
 def decoded_sql(x: str) -> str:
-    for a, b in html.ENTITIES:
+    for a, b in [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]:
         x = f"replace({x}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
     return x
 
 
+LINES_SQL = "SELECT doc_id, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)"
 SQL = {
     "q_merge_upsert": "SELECT doc_id, CASE WHEN doc_id % 3 <> 1 THEN quality + 10 ELSE quality END AS quality, toxic FROM labels",
     "q_merge_twice": "SELECT doc_id, CASE WHEN doc_id % 3 <> 1 THEN quality + 10 ELSE quality END AS quality, toxic FROM labels",
@@ -365,7 +382,7 @@ SQL = {
     "q_repeated_keys": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2 HAVING count(*) > 1",
     "q_dangling": "SELECT user_id, count(*) AS n FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 3) GROUP BY 1",
     "q_anti_array_fk": """SELECT DISTINCT o_orderkey, k::VARCHAR AS item FROM (SELECT o_orderkey, unnest([o_orderkey % 2000, o_orderkey * 7 % 2000]) AS k FROM orders)
-      WHERE k NOT IN (SELECT p_partkey FROM part WHERE p_retailprice < 1000)""",
+      WHERE k NOT IN (SELECT p_partkey FROM part WHERE p_retailprice < 1200)""",
     "q_marker_fk": """SELECT DISTINCT item_id, item FROM (SELECT item_id, unnest([item_id::VARCHAR, (item_id * 2)::VARCHAR, 'x-1']) AS item FROM benchmark)
       WHERE item NOT IN (SELECT doc_id::VARCHAR FROM documents WHERE doc_id % 2 = 0)""",
     "q_corpus_diff": """WITH b AS (SELECT *, doc_id % 11 <> 0 AS c, doc_id % 13 <> 0 AS s FROM documents),
@@ -374,10 +391,16 @@ SQL = {
       UNION ALL SELECT doc_id, 'gone', NULL FROM b WHERE c AND NOT s""",
     "q_status_transition": """SELECT o_orderkey, o_orderstatus AS before, 'P' AS after, o_orderstatus = 'F' AS lost, FALSE AS gained FROM orders
       WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 = 0 AND o_orderstatus <> 'P'""",
-    "q_sha256_hash": "SELECT doc_id, sha256(substr(lang || chr(10) || source || chr(10) || text, 1, 8000)) AS h FROM documents",
+    "q_sha256_hash": "SELECT doc_id, sha256(lang || chr(10) || source || chr(10) || text) AS h FROM documents",
     "q_slug": "SELECT page_id, regexp_replace(regexp_replace(strip_accents(lower(url)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages",
-    "q_clean_footnotes": f"""SELECT doc_id, CASE WHEN hit THEN regexp_replace(l, '[0-9]$', '') ELSE l END AS line, hit::INT AS removed FROM (
-      SELECT doc_id, l, regexp_matches(l, '[a-zà-ÿA-ZÀ-Ý)\\]"''»][.;:!?][0-9]{{1,2}}$') AS hit FROM (SELECT doc_id, {FIRST_LINE} || CASE WHEN doc_id % 2 = 0 THEN '3' ELSE '' END AS l FROM documents))""",
+    "q_clean_footnotes": f"""SELECT doc_id, pos, md5(CASE WHEN hit THEN regexp_replace(r, '[0-9]+$', '') ELSE l END) AS line, hit::INT AS removed FROM (
+      SELECT *, rtrim(l, ' ') AS r, regexp_matches(rtrim(l, ' '), '[a-zà-ÿA-ZÀ-Ý)\\]"''»][.;:!?][0-9]{{1,2}}$') AS hit FROM (SELECT doc_id, pos, line || CASE WHEN doc_id % 2 = 0 THEN '3' ELSE '' END AS l FROM ({LINES_SQL})))""",
+    "q_clean_ordinals": f"""WITH l AS (SELECT doc_id, pos, CASE pos % 5 WHEN 0 THEN 'Art. 1o da Lei no 9.099, no 1º grau ' WHEN 1 THEN '§ 2° do Decreto no 12.848, nos termos do no 1.234 ' ELSE '' END || line AS x FROM ({LINES_SQL})),
+      a AS (SELECT *, replace(replace(replace(replace(replace(x, 'Art. 1o da', 'Art. 1º da'), 'Lei no 9', 'Lei nº 9'), '§ 2° do', '§ 2º do'), 'Decreto no 12', 'Decreto nº 12'), 'do no 1.234', 'do nº 1.234') AS y FROM l)
+      SELECT doc_id, pos, md5(y) AS cleaned, CASE pos % 5 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 0 END AS places FROM a""",
+    "q_heading_split": """SELECT * FROM (VALUES (0, 'CAPÍTULO III – Da Aplicação da Pena', 'Fixação da pena', 'sentence-case'), (1, 'Seção II Das Disposições Gerais', NULL, 'uncut'),
+      (2, 'TÍTULO I – Dos Crimes contra a Pessoa', 'Homicídio simples', 'sentence-case'), (3, 'CAPÍTULO I – Do Furto', 'Furto', 'repetition'), (4, 'CAPÍTULO II – Dos Crimes contra o Respeito aos Mortos', NULL, 'uncut'),
+      (5, 'CAPÍTULO V – Dos Crimes contra a Honra Calúnia', NULL, 'uncut'), (6, 'SEÇÃO 4 - Da Prova', NULL, 'uncut'), (7, 'TÍTULO IX-A – Das Penas', 'Penas', 'repetition')) v(n, heading, title, rule)""",
     "q_roman": "SELECT n, v AS value FROM (VALUES (0, 1), (1, 4), (2, 9), (3, 14), (4, 40), (5, 90), (6, 400), (7, 1994), (8, 42)) x(n, v)",
     "q_text_differences": """WITH a AS (SELECT doc_id, text AS a FROM documents), b AS (SELECT *, substr(a, 1, 20) || '##' || substr(a, 25) AS b FROM a),
       p AS (SELECT *, string_split(a, '') AS x, string_split(b, '') AS y, least(length(a), length(b)) AS n FROM b),
@@ -385,10 +408,13 @@ SQL = {
         coalesce(nullif(list_position(list_transform(list_zip(list_reverse(x)[1:n], list_reverse(y)[1:n]), lambda p: p[1] <> p[2]), TRUE), 0), n + 1) - 1 AS t0 FROM p),
       r AS (SELECT *, least(t0, n - h) AS t FROM q) SELECT doc_id, h AS prefix, length(a) - h - t AS old, length(b) - h - t AS new, t AS suffix FROM r""",
     "q_lexeme_counts": "SELECT w, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(strip_accents(lower(text)), '[^a-z0-9]+')) AS w FROM documents) WHERE w <> '' GROUP BY 1 HAVING count(*) >= 200",
-    "q_scope_include_exclude": "SELECT page_id, 'Dispõe' AS species FROM pages WHERE regexp_matches(lower(url), 'example\\.(com|org)') AND NOT contains(lower(url), 'adult')",
+    "q_scope_include_exclude": """SELECT * FROM (VALUES (0, 'Regulamenta'), (1, 'Institui'), (2, 'Institui'), (3, 'Altera'), (4, 'Altera'), (5, 'Aprova'), (6, 'Revoga'), (7, 'Emergência'), (8, 'Declara'), (9, 'Dispõe')) v(n, species)""",
     "q_parsed_dates": "SELECT n, d AS day, d IS NULL OR d > DATE '2025-01-31' AS kept FROM (VALUES (0, DATE '2025-01-31'), (1, DATE '2025-02-03'), (2, NULL), (3, NULL), (4, NULL)) v(n, d)",
     "q_html_text": f"SELECT page_id, sha256(trim(regexp_replace(regexp_replace({decoded_sql(TEXT_SQL)}, '[ \\t]+', ' ', 'g'), ' *\\n[ \\n]*', chr(10), 'g'), ' ')) AS text FROM pages",
-    "q_html_toc": f"""SELECT page_id, 1 AS pos, 1 AS level, trim({decoded_sql("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")}) AS title FROM pages WHERE regexp_matches(html, '(?is)<h1[^>]*>(.*?)</h1>')""",
+    "q_html_toc": f"""WITH p AS (SELECT page_id, replace(replace(html, '<li>', '<h2>'), '</li>', '</h2>') AS h FROM pages),
+      a AS (SELECT page_id, regexp_extract_all(h, '(?is)<h([1-4])[^>]*>(.*?)</h[1-4]>', 1) AS l, regexp_extract_all(h, '(?is)<h([1-4])[^>]*>(.*?)</h[1-4]>', 2) AS x FROM p),
+      u AS (SELECT page_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l)::INT AS level, unnest(x) AS x FROM a)
+      SELECT page_id, pos, level, trim({decoded_sql("regexp_replace(x, '<[^>]*>', '', 'g')")}) AS title FROM u""",
     "q_html_links": """WITH a AS (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\s+href="([^"]*)"[^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(html, '(?is)<a\\s+href="([^"]*)"[^>]*>(.*?)</a>', 2) AS l FROM pages)
       SELECT page_id, unnest(range(1, len(h) + 1)) AS pos, regexp_extract(url, '^([a-z]+://[^/]+)', 1) || unnest(h) AS target, trim(unnest(l)) AS label FROM a""",
     "q_listing_regex": """WITH a AS (SELECT page_id, regexp_extract_all(html, '<li><a href="/([^"]*)">([^<]*)</a></li>', 1) AS p, regexp_extract_all(html, '<li><a href="/([^"]*)">([^<]*)</a></li>', 2) AS l FROM pages)

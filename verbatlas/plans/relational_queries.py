@@ -18,7 +18,7 @@ def q_view_three_way(spark, d):
 
 def q_maybe_single(spark, d):
     """One row or none, by key; two rows would be an error."""
-    return t(spark, d, "customer").where("c_custkey = 7").limit(2).select("c_custkey", "c_name")
+    return relate.one_or_none(t(spark, d, "customer").where("c_custkey = 7").select("c_custkey", "c_name"))
 
 
 def q_order_preserving_lookup(spark, d):
@@ -51,7 +51,7 @@ def q_overlap_join(spark, d):
     """Customers of every 50th key, as queries, against all."""
     a = brands(spark, d)
     out = relate.overlapping(a.where("cust % 50 = 0"), a.select(F.col("cust").alias("other"), F.col("brands").alias("theirs")), "cust", "other", "brands", "theirs")
-    return out.where("cust < other")
+    return out.where("cust <> other")
 
 
 def q_overlap_rank(spark, d):
@@ -122,7 +122,7 @@ def q_pivot_counts(spark, d):
 
 def q_group_vocab(spark, d):
     g = relate.grouped_names(t(spark, d, "part").withColumn("p_name", F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))), "p_name", "p_partkey", "p_partkey")
-    return g.select("norm", "name", F.size("ids").alias("n"), F.get("ids", F.lit(0)).alias("first_id"))
+    return g
 
 
 def q_distinct_on(spark, d):
@@ -143,9 +143,12 @@ def q_time_bucket_runs(spark, d):
     return e.groupBy("user_id", "run", "bucket").agg(F.count("*").alias("n"))
 
 
+WEEK_MS = 7 * 24 * 3_600_000
+
+
 def q_rate_limit(spark, d):
     e = t(spark, d, "events")
-    out = ordered.over_rate(e, "user_id", F.unix_millis(F.col("ts").cast("timestamp")), 3, 3_600_000)
+    out = ordered.over_rate(e, "user_id", F.unix_millis(F.col("ts").cast("timestamp")), 3, WEEK_MS)
     return out.where("refused").select("event_id", "user_id", "in_window")
 
 
@@ -267,9 +270,9 @@ def q_distinct_years(spark, d):
 
 
 def q_anti_join(spark, d):
-    """Users without a purchase: an anti-join."""
+    """Users without a large purchase: an anti-join."""
     e = t(spark, d, "events")
-    return e.select("user_id").distinct().join(e.where("event_type = 'purchase'"), "user_id", "left_anti")
+    return e.select("user_id").distinct().join(e.where("event_type = 'purchase' AND value > 200"), "user_id", "left_anti")
 
 
 def q_intent(spark, d):
@@ -289,7 +292,7 @@ SQL = {
     "q_nested_children": """SELECT o_orderkey, count(l_orderkey) AS n_lines, coalesce(string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey), '') AS listed
       FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""",
     "q_child_counts": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
-    "q_overlap_join": f"WITH b AS ({B}) SELECT a.cust, b.cust AS other, count(*) AS shared FROM b a JOIN b ON a.p_brand = b.p_brand AND a.cust < b.cust WHERE a.cust % 50 = 0 GROUP BY 1, 2",
+    "q_overlap_join": f"WITH b AS ({B}) SELECT a.cust, b.cust AS other, count(*) AS shared FROM b a JOIN b ON a.p_brand = b.p_brand AND a.cust <> b.cust WHERE a.cust % 50 = 0 GROUP BY 1, 2",
     "q_overlap_rank": f"WITH b AS ({B}) SELECT *, row_number() OVER (PARTITION BY cust ORDER BY shared DESC, other) AS rank FROM (SELECT a.cust, b.cust AS other, count(*) AS shared FROM b a JOIN b ON a.p_brand = b.p_brand AND a.cust <> b.cust WHERE a.cust % 50 = 0 GROUP BY 1, 2) QUALIFY rank <= 3",
     "q_first_match_lookup": """WITH r AS (SELECT p_brand, min(p_partkey) AS rank FROM part GROUP BY 1),
       h AS (SELECT l_orderkey, min_by('first: ' || r.p_brand, rank) AS label FROM lineitem JOIN part ON l_partkey = p_partkey JOIN r ON r.p_brand = part.p_brand GROUP BY 1)
@@ -313,7 +316,7 @@ SQL = {
       c AS (SELECT *, CASE WHEN lag(bucket) OVER (PARTITION BY user_id {ORD}) IS DISTINCT FROM bucket THEN 1 ELSE 0 END AS c FROM b),
       r AS (SELECT *, sum(c) OVER (PARTITION BY user_id {ORD} ROWS UNBOUNDED PRECEDING) AS run FROM c)
       SELECT user_id, run, bucket, count(*) AS n FROM r GROUP BY 1, 2, 3""",
-    "q_rate_limit": "SELECT event_id, user_id, in_window FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) RANGE BETWEEN 3599999 PRECEDING AND CURRENT ROW) AS in_window FROM events) WHERE in_window > 3",
+    "q_rate_limit": f"SELECT event_id, user_id, in_window FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) RANGE BETWEEN {WEEK_MS - 1} PRECEDING AND CURRENT ROW) AS in_window FROM events) WHERE in_window > 3",
     "q_quota": "SELECT strftime(ts, '%Y-%m-%d') AS period, least(count(*), 50) AS permitted, count(*) AS asked FROM events WHERE event_type = 'purchase' GROUP BY 1",
     "q_republication_dedupe": f"SELECT user_id, event_type, event_id, count(*) OVER (PARTITION BY user_id, event_type) - 1 AS replaced FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type {ORD}) = 1",
     "q_carry_forward": """SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS question,
@@ -350,6 +353,6 @@ SQL = {
     "q_impact_counts": "SELECT p_partkey, count(DISTINCT l_orderkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey WHERE p_brand = 'Brand#1' GROUP BY 1",
     "q_run_summary": "SELECT user_id, bool_and(event_type <> 'error') AS ok, sum(value::DECIMAL(18,2))::DOUBLE AS total, min(ts::DATE) AS oldest FROM events GROUP BY 1",
     "q_distinct_years": "SELECT DISTINCT year(o_orderdate) AS year FROM orders",
-    "q_anti_join": "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')",
+    "q_anti_join": "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 200)",
 }
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}

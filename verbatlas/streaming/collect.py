@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatlas.operators.merge import last_of_key, upsert
+from verbatlas.operators.merge import last_of_key
 
 
 def stream(spark: SparkSession, path: str, schema: str, files_at_once: int = 8) -> DataFrame:
@@ -31,24 +31,37 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return out.select("user_id", F.col("w.start").alias("from"), F.col("w.end").alias("to"), "n")
 
 
+def version(path: str, n: int) -> str:
+    """The folder that batch ``n`` writes: one of two, in turn."""
+    return f"{path}/v{n % 2}"
+
+
 def upsert_into(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges a batch into versions of a Parquet table under ``path``.
+    """A foreachBatch function that merges a batch into a Parquet table of two folders under ``path``.
 
-    Version n is written by batch n from the newest version below n, so a batch that is run again writes
-    the same version: exactly one effect.
+    Batch n reads what batch n - 1 wrote and overwrites the other folder, so a batch that is run again does the
+    same: exactly one effect. Of a key's rows, stored or new, the latest by ``order`` stays; a late row
+    replaces no newer one, and of equals the batch's does. ``newest`` reads the table.
     """
 
     def merge(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        at = lambda k: f"{path}/v{k}"
-        done = [k for k in range(n) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{at(k)}/_SUCCESS"))]
-        rows = last_of_key(batch, keys, F.col(order).desc())
-        (upsert(spark.read.parquet(at(done[-1])), rows, keys) if done else rows).write.mode("overwrite").parquet(at(n))
+        rows = batch.withColumn("__new", F.lit(1))
+        if n:
+            before = batch.sparkSession.read.parquet(version(path, n - 1)).drop("__batch")
+            rows = rows.unionByName(before.withColumn("__new", F.lit(0)))
+        rows = last_of_key(rows, keys, F.col(order).desc_nulls_last(), F.col("__new").desc()).drop("__new")
+        rows.withColumn("__batch", F.lit(n)).write.mode("overwrite").parquet(version(path, n))
 
     return merge
 
 
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """The table as its latest batch left it."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/v*")
+    last = rows.agg(F.max("__batch")).first()[0]
+    return spark.read.parquet(version(path, last or 0)).drop("__batch")
+
+
 def run_once(df: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """All that has landed, in micro-batches, then stop: the shape of a daily job."""
     df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
