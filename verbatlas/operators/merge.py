@@ -6,6 +6,8 @@ and swapped in after validation. All are joins on the key, and applying one twic
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,3 +88,35 @@ def within_quota(calls: DataFrame, period: Column, order: list[Column], cap: int
     w = Window.partitionBy("__period").orderBy(*order)
     out = calls.withColumn("__period", period).withColumn("used", F.row_number().over(w))
     return out.withColumn("permitted", F.col("used") <= cap).withColumn("period", F.col("__period")).drop("__period")
+
+
+def replaced_groups(table: DataFrame, incoming: DataFrame, group: list[str]) -> DataFrame:
+    """The table with the rows of every incoming group deleted and the incoming ones in their place."""
+    return table.join(incoming.select(*group).distinct(), group, "left_anti").unionByName(incoming)
+
+
+def embedded(table: DataFrame, key: str, text: str, vector: str, embed: Callable[[list[str]], list[list[float]]], batch: int = 96, tries: int = 4, first_wait: float = 1.0) -> DataFrame:
+    """``table`` with vectors where it had none: only those rows are embedded, in batches of ``batch`` texts, tried again
+    after ever longer waits; the last failure stops the job. Rows with a vector are left as they are."""
+    have, lack = table.where(F.col(vector).isNotNull()), table.where(F.col(vector).isNull())
+
+    def task(batches):
+        import time
+
+        for df in batches:
+            for at in range(0, len(df), batch):
+                part = df.iloc[at : at + batch].copy()
+                for n in range(tries):
+                    try:
+                        found = embed([t or "" for t in part[text]])
+                        break
+                    except Exception:
+                        if n == tries - 1:
+                            raise
+                        time.sleep(first_wait * 2**n)
+                if len(found) != len(part):
+                    raise ValueError("another number of vectors than texts")
+                part[vector] = [list(map(float, v)) for v in found]
+                yield part
+
+    return have.unionByName(lack.mapInPandas(task, lack.schema))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbatlas.functions.text import ACCENTED, MARKS, PLAIN
 from verbatlas.operators.merge import last_of_key
 
 
@@ -65,3 +66,48 @@ def newest(spark: SparkSession, path: str) -> DataFrame:
 def run_once(df: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """All that has landed, in micro-batches, then stop: the shape of a daily job."""
     df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def recent(events: DataFrame, now: Column, back: str = "7 days", at: str = "ts") -> DataFrame:
+    """Rows no older than the look-back of a run at ``now``: what a daily job reads again, to catch what landed late."""
+    return events.where(F.col(at) >= now - F.expr(f"INTERVAL {back}"))
+
+
+def refusals(events: DataFrame, key: str = "user_id", at: str = "ts", most: int = 3, seconds: int = 3600, late: str = "1 hour") -> DataFrame:
+    """(key, at, in_window, refused) of a stream: attempts beyond ``most`` in the time up to each one.
+
+    The state of a key is its attempts of the last ``seconds``, no more. Rows of a micro-batch are taken by time; a key
+    that is quiet for that long is forgotten.
+    """
+    import pandas as pd
+
+    width = pd.Timedelta(seconds=seconds)
+
+    def step(k, frames, state):
+        past = [pd.Timestamp(x, unit="us") for x in state.get[0]] if state.exists else []
+        new = pd.concat(list(frames)) if not state.hasTimedOut else None
+        if new is None:
+            state.remove()
+            return
+        out = []
+        for t in sorted(new[at]):
+            past = [p for p in past if p > t - width] + [t]
+            out.append((k[0], t, len(past), len(past) > most))
+        state.update(([int(p.value // 1000) for p in past],))
+        state.setTimeoutTimestamp(max(int(past[-1].value // 1_000_000) + 1000 * seconds, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[key, at, "in_window", "refused"])
+
+    kind = dict(events.dtypes)[key]
+    return (
+        events.select(key, at).withWatermark(at, late).groupBy(key)
+        .applyInPandasWithState(step, f"{key} {kind}, {at} timestamp, in_window long, refused boolean", "past array<long>", "append", "EventTimeTimeout")
+    )
+
+
+def register(spark: SparkSession) -> None:
+    """The normal forms as SQL functions of the session: norm, norm_arr, arr_join."""
+    marks = "".join(f"\\u{ord(c):04x}" for c in ACCENTED + MARKS)
+    body = f"translate(lower(x), '{marks}', '{PLAIN}')"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION norm(x STRING) RETURNS STRING RETURN {body}")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION norm_arr(xs ARRAY<STRING>) RETURNS ARRAY<STRING> RETURN transform(xs, x -> {body})")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION arr_join(xs ARRAY<STRING>, sep STRING) RETURNS STRING RETURN coalesce(array_join(xs, sep), '')")
