@@ -302,8 +302,9 @@ def said_in(df: DataFrame, most: int) -> DataFrame:
     return df.select("doc_id", "th", "text").mapInArrow(task, f"doc_id {dict(df.dtypes)['doc_id']}, th long, t string")
 
 
-def marked(df: DataFrame, rows: DataFrame, told: DataFrame) -> DataFrame:
-    """``df`` (doc_id, th, text, ...) with ``base`` and ``terms``, every occurrence of the terms told for its classes.
+def marked(df: DataFrame, rows: DataFrame, told: DataFrame, clean: bool = False) -> DataFrame:
+    """``df`` (doc_id, th, text, ...) with ``base`` and ``terms``, every occurrence of the terms told for its classes; with
+    ``clean`` instead with its texts cleaned of both, in the same task.
 
     Up to TERMS_SENT pairs go to the tasks. Beyond that, the documents' own terms are joined with the pairs, and
     those kept whose class the document holds: rows in proportion to the documents that hold personal data.
@@ -328,17 +329,20 @@ def marked(df: DataFrame, rows: DataFrame, told: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 texts = part.column("text").to_pylist()
                 own = part.column("terms").to_pylist() if by_class is None else [None] * len(texts)
-                base, terms = [], []
+                found = []
                 for t, mine in zip(texts, own, strict=True):
                     spans = base_spans(t)
                     mine = set(mine or ()).union(*[by_class.get(c, ()) for c in held_by(t, spans)] if by_class and spans else [])
-                    base.append(joined(spans))
-                    terms.append(joined(occurrences(t, spans, mine)) or None if mine else None)
-                columns = [*[part.column(c) for c in keep], pa.array(base, pa.string()), pa.array(terms, pa.string())]
+                    found.append((spans, occurrences(t, spans, mine) if mine else []))
+                if clean:
+                    new = [cleaned(t, a + b) if a or b else t for t, (a, b) in zip(texts, found, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else part.column(c) for c in keep], names=keep)
+                    continue
+                columns = [*[part.column(c) for c in keep], pa.array([joined(a) for a, _ in found], pa.string()), pa.array([joined(b) or None for _, b in found], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "base", "terms"])
 
     types = dict(df.dtypes)
-    return df.mapInArrow(task, ", ".join([*[f"`{c}` {types[c]}" for c in keep], "base string, terms string"]))
+    return df.mapInArrow(task, ", ".join([*[f"`{c}` {types[c]}" for c in keep], *([] if clean else ["base string, terms string"])]))
 
 
 def with_terms(df: DataFrame, terms: DataFrame) -> DataFrame:
@@ -377,18 +381,6 @@ def sanitised(docs: DataFrame) -> DataFrame:
     th = F.coalesce(F.xxhash64("text"), F.lit(0))
     others = [c for c in columns if c not in ("text", "n_chars")]
     plain = docs.select(*[F.col(c).alias(f"__in_{c}") for c in others], "doc_id", th.alias("th"), "text")
-    df = marked(plain, rows, told)
-
-    def task(batches):
-        for batch in batches:
-            texts, base, more = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "base", "terms"))
-            new = []
-            for t, s, m in zip(texts, base, more, strict=True):
-                spans = parsed(s) + parsed(m or "")
-                new.append(cleaned(t, spans) if spans else t)
-            i = batch.schema.get_field_index("text")
-            yield batch.set_column(i, "text", pa.array(new, pa.string()))
-
-    out = df.mapInArrow(task, df.schema)
+    out = marked(plain, rows, told, clean=True)
     kept = {c: F.col(f"__in_{c}") for c in others} | {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*[kept[c].alias(c) for c in columns])
