@@ -182,10 +182,11 @@ def roman_value(x: Column | str) -> Column:
 
 
 def article_number(x: Column | str) -> Column:
-    """struct(base, suffix) of '7-A'; null where the form is another."""
-    ok = col(x).rlike("^[0-9]+(-[A-Z])?$")
-    base = F.regexp_extract(col(x), "^([0-9]+)", 1)
-    return F.when(ok, F.struct(F.expr("1") * base.cast("int"), F.nullif(F.regexp_extract(col(x), "-([A-Z])$", 1), F.lit("")))).cast("struct<base:int,suffix:string>")
+    """struct(base, suffix) of '7', '7-A' or '359-M-B'; null where the form is another."""
+    t = F.trim(col(x))
+    ok = t.rlike("^[0-9]+(-[A-Za-z]+)*$")
+    base = F.regexp_extract(t, "^([0-9]+)", 1).try_cast("int")
+    return F.when(ok, F.struct(base.alias("base"), F.upper(F.nullif(F.regexp_extract(t, "^[0-9]+-(.+)$", 1), F.lit(""))).alias("suffix")))
 
 
 def article_of(x: Column | str) -> Column:
@@ -201,7 +202,7 @@ def paragraph(x: Column | str) -> Column:
     tail = F.regexp_extract(col(x), "§\\s*[0-9]+\\s*[ºo°]?\\s*(-[A-Z])", 1)
     number = F.when(only, "único").otherwise(F.concat(n, tail))
     suffix = F.when(only, "pu").otherwise(F.concat(F.lit("p"), F.lower(F.concat(n, tail))))
-    label = F.when(only, "parágrafo único").otherwise(F.concat(F.lit("§ "), n, F.when(n.try_cast("int") < 10, "º").otherwise(""), tail))
+    label = F.when(only, "Parágrafo único").otherwise(F.concat(F.lit("§ "), n, F.when(n.try_cast("int") < 10, "º").otherwise(""), tail))
     return F.when(only | (n != ""), F.struct(number.alias("number"), suffix.alias("suffix"), label.alias("label")))
 
 
@@ -216,13 +217,17 @@ def without_marker(x: Column | str, kind: Column | str) -> Column:
     )
 
 
-def ordinal(n: Column | str) -> Column:
-    """Articles up to nine have an ordinal, later ones a cardinal number."""
-    return F.when(col(n) < 10, F.concat(col(n).cast("string"), F.lit("º"))).otherwise(col(n).cast("string"))
+def ordinal(number: Column | str) -> Column:
+    """Articles from one to nine have an ordinal, with or without a letter; other forms stay."""
+    t = col(number).cast("string")
+    return F.when(t.rlike("^[1-9](-[A-Za-z])?$"), F.regexp_replace(t, "^([1-9])", "$1º")).otherwise(t)
 
 
-def citation(*parts: Column | str) -> Column:
-    return F.concat_ws(", ", *[F.nullif(F.trim(col(p)), F.lit("")) for p in parts])
+def citation(number: Column | str, chain: Column, law: Column | str) -> Column:
+    """'art. 33, § 4º, I, a, da Lei nº 11.343/2006'; without a chain 'art. 33 da Lei nº 11.343/2006'."""
+    head = F.concat(F.lit("art. "), ordinal(number))
+    parts = F.filter(F.coalesce(chain, F.array().cast("array<string>")), lambda c: F.trim(c) != "")
+    return F.when(F.size(parts) > 0, F.concat_ws(", ", F.concat(F.array(head), parts, F.array(col(law))))).otherwise(F.concat_ws(" ", head, col(law)))
 
 
 def embedding_text(heading: Column, title: Column, caput: Column, text: Column) -> Column:

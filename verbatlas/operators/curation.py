@@ -23,8 +23,7 @@ LEFT_OVER = r"\bNE\s*:"
 def curated(spark: SparkSession, path: str, schema: str, at: str | None = None, least: int = 1) -> DataFrame:
     """Rows of a curation file (YAML, or JSON), below the key ``at`` if given, read by the driver.
 
-    A file that is missing, that holds no list, fewer than ``least`` rows, a key that the schema lacks, or a value of
-    another type stops the job.
+    A file that is missing, that holds no list, fewer than ``least`` rows, or a key that the schema lacks stops the job.
     """
     raw = Path(path).read_text(encoding="utf-8")
     if path.endswith(".json"):

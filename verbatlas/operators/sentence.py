@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -144,7 +142,3 @@ def facts_in(question: Column | str) -> Column:
     drugs = crime.isin([k for k, v in CRIMES.items() if v[4]])
     found.append(F.when(drugs & (F.coalesce(grams_in(question), F.lit(0.0)) >= EXPRESSIVE), F.lit("quantidade expressiva")))
     return F.array_sort(F.array_compact(F.array(*found)))
-
-
-def any_true(*tests: Column) -> Column:
-    return reduce(lambda a, b: a | b, tests, F.lit(False))

@@ -401,6 +401,16 @@ SQL = {
     "q_heading_split": """SELECT * FROM (VALUES (0, 'CAPÍTULO III – Da Aplicação da Pena', 'Fixação da pena', 'sentence-case'), (1, 'Seção II Das Disposições Gerais', NULL, 'uncut'),
       (2, 'TÍTULO I – Dos Crimes contra a Pessoa', 'Homicídio simples', 'sentence-case'), (3, 'CAPÍTULO I – Do Furto', 'Furto', 'repetition'), (4, 'CAPÍTULO II – Dos Crimes contra o Respeito aos Mortos', NULL, 'uncut'),
       (5, 'CAPÍTULO V – Dos Crimes contra a Honra Calúnia', NULL, 'uncut'), (6, 'SEÇÃO 4 - Da Prova', NULL, 'uncut'), (7, 'TÍTULO IX-A – Das Penas', 'Penas', 'repetition')) v(n, heading, title, rule)""",
+    "q_marginal_title": """SELECT * FROM (VALUES (0, 'Pena suspensa.', 'Fixação da pena', '', 'Pena suspensa. Fixação da pena', NULL), (1, 'art. 33 da lei. Pena - reclusão', NULL, 'sanction', 'art. 33 da lei. Pena - reclusão', NULL),
+      (2, 'fica em vigor. Disposições Gerais.', NULL, '', 'fica em vigor. Disposições Gerais.', NULL), (3, 'do crime;', 'Dano em coisa de valor artístico', '', 'do crime; Dano em coisa de valor artístico', NULL), (4, 'só isto', NULL, '', 'só isto', NULL),
+      (5, 'prescrição.4', 'Modo de conversão', '', 'prescrição.4 Modo de conversão', NULL), (6, 'efeito. PARTE ESPECIAL', NULL, 'capitals', 'efeito.', 'PARTE ESPECIAL')) v(n, body, title, against, rest, division)""",
+    "q_paragraph_labels": "SELECT * FROM (VALUES (0, '1', 'p1', '§ 1º'), (1, '12', 'p12', '§ 12'), (2, '2-A', 'p2-a', '§ 2º-A'), (3, 'único', 'pu', 'Parágrafo único'), (4, NULL, NULL, NULL)) v(n, number, suffix, label)",
+    "q_fact_extraction": """SELECT * FROM (VALUES (0, 'lei_11343_2006_art33', 'confissao,proximidade,quantidade expressiva', 2000.0::DOUBLE), (1, NULL, '', NULL), (2, 'dl_2848_1940_art155', 'repousoNoturno,tentativa', NULL), (3, NULL, '', NULL),
+      (4, NULL, '', NULL), (5, 'dl_2848_1940_art157', 'armaDeFogo,concurso,reincidencia', NULL), (6, 'lei_11343_2006_art35', '', 500.0)) v(n, crime, facts, grams)""",
+    "q_change_filter": """SELECT * FROM (VALUES (0, 'lei_11343_2006', 'lei_11343_2006_art33'), (1, 'lei_11343_2006', 'lei_11343_2006_art33,lei_11343_2006_art35,lei_11343_2006_art40'), (2, '', ''), (3, '', ''), (4, 'lei_11343_2006,dl_2848_1940', ''),
+      (5, 'dl_2848_1940', 'dl_2848_1940_art359-l'), (6, '', '')) v(n, targets, articles)""",
+    "q_norm_named": "SELECT * FROM (VALUES (0, TRUE, 'Lei 15.164/2025'), (1, FALSE, NULL), (2, TRUE, 'LC 200/2023'), (3, TRUE, 'DL 2.848/1940')) v(n, became, norm)",
+    "q_html_blocks": "SELECT page_id, lower(k) AS kind, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<(p|h[1-6]|li|td|blockquote)[ >]', 1)) AS k FROM pages) GROUP BY 1, 2",
     "q_roman": "SELECT n, v AS value FROM (VALUES (0, 1), (1, 4), (2, 9), (3, 14), (4, 40), (5, 90), (6, 400), (7, 1994), (8, 42)) x(n, v)",
     "q_text_differences": """WITH a AS (SELECT doc_id, text AS a FROM documents), b AS (SELECT *, substr(a, 1, 20) || '##' || substr(a, 25) AS b FROM a),
       p AS (SELECT *, string_split(a, '') AS x, string_split(b, '') AS y, least(length(a), length(b)) AS n FROM b),

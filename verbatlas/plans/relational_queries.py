@@ -285,6 +285,8 @@ def q_intent(spark, d):
 B = "SELECT o_custkey AS cust, p_brand FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2"
 ORD = "ORDER BY ts DESC, event_id DESC"
 SQL = {
+    "q_intent": """SELECT * FROM (VALUES (0, 'dispositivo', '33', 'lei_11343_2006', FALSE, 'art 33 da lei de drogas'), (1, 'doutrina', NULL, NULL, FALSE, 'o que diz a doutrina sobre furto'), (2, 'processual', NULL, NULL, FALSE, 'prazo para resposta a acusacao'),
+      (3, 'dispositivo', '217-A', 'dl_2848_1940', FALSE, 'artigo 217-a do codigo penal'), (4, 'aberta', NULL, NULL, FALSE, 'trafico privilegiado'), (5, 'processual', NULL, NULL, FALSE, 'recurso no cpp')) v(n, kind, article, law, state, rewritten)""",
     "q_view_three_way": "SELECT s_suppkey, s_name, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "q_maybe_single": "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 7",
     "q_order_preserving_lookup": "SELECT place, c_custkey, c_name FROM customer JOIN (VALUES (0, 42), (1, 7), (2, 100), (3, 3), (4, 999999)) v(place, k) ON c_custkey = k",

@@ -249,6 +249,9 @@ SQL = {
         JOIN (SELECT l_orderkey, min_by(l_orderkey * 10 + l_linenumber, l_linenumber) AS id FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
       b AS (SELECT id, row_number() OVER (ORDER BY id) AS pos FROM (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS id FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1) QUALIFY pos <= 200)
       SELECT coalesce(h.id, b.id) AS id, round(coalesce(2.0 / (60 + h.pos), 0) + coalesce(1.0 / (60 + b.pos), 0), 6) AS score, h.pos AS head_pos, b.pos AS body_pos FROM h FULL JOIN b ON h.id = b.id""",
+    "q_cover_density": f"""WITH w AS (SELECT doc_id AS id, {WORDS.format('text')} AS w FROM documents), p AS (SELECT id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w),
+      q AS (SELECT *, lag(x) OVER (PARTITION BY id ORDER BY i) AS bx, lag(i) OVER (PARTITION BY id ORDER BY i) AS bi FROM p WHERE x IN ('pathetic', 'idiot'))
+      SELECT id, round(sum(1.0::DOUBLE / (i - bi + 1)), 6) AS density FROM q WHERE x <> bx GROUP BY 1""",
     "q_direct_address": """SELECT asked, l_orderkey AS parent_id, l_linenumber AS ordem, l_partkey, 0.0::DOUBLE AS score FROM lineitem JOIN (VALUES (3, 1), (1, 2), (2, 3)) v(k, asked) ON l_orderkey = k
       ORDER BY asked, l_linenumber LIMIT 12""",
     "q_norm_group": "SELECT md5(strip_accents(lower(text))) AS same, count(*) AS n FROM documents GROUP BY 1",

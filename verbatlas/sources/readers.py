@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from verbatlas.functions.blocks import block
+from verbatlas.functions.text import roman_value
+from verbatlas.operators.integrity import complete_only
+from verbatlas.operators.ordered import groups_from_starts
+
+# The fields of a law's file and of a year's file.
 LAW = (
     "lei string, nome string, fonte string, total_artigos int, artigos array<struct<id:string, artigo:string, contexto:struct<titulo:string, capitulo:string, secao:string>, caput:string,"
     " paragrafos:array<struct<numero:string, texto:string, incisos:array<struct<numero:string, texto:string, alineas:array<string>>>>>, incisos:array<struct<numero:string, texto:string, alineas:array<string>>>>>"
@@ -19,32 +25,38 @@ def laws(spark: SparkSession, path: str) -> DataFrame:
 
 
 def flattened(law: DataFrame) -> DataFrame:
-    """(id, artigo_id, pai_id, tipo, numero, texto, ordem): every caput, paragraph, item and letter, in
-    document order; ids are their parent's with a suffix."""
+    """(lei, id, artigo_id, pai_id, tipo, numero, texto, ordem): every caput, paragraph, item and letter, in the law's
+    document order; ids are their parent's with a suffix.
+
+    A paragraph's number is the one its text begins with, as '§ 4º-A' lands with the number 4; an id that comes out
+    twice stops the job. An article's own items stand before its paragraphs. A law is one group.
+    """
     a = law.select("lei", F.posexplode("artigos").alias("i", "a"))
     base = a.select("lei", F.col("a.id").alias("artigo_id"), "i", "a")
-    caput = base.select("artigo_id", F.col("artigo_id").alias("id"), F.lit(None).cast("string").alias("pai_id"), F.lit("caput").alias("tipo"), F.lit(None).cast("string").alias("numero"), F.col("a.caput").alias("texto"), F.array("i", F.lit(0), F.lit(0), F.lit(0), F.lit(0)).alias("k"))
-    p = base.select("artigo_id", "i", F.posexplode("a.paragrafos").alias("j", "p"))
-    p = p.withColumn("pid", F.concat_ws("_", "artigo_id", F.when(F.col("p.numero").rlike("(?i)[uú]nico"), "pu").otherwise(F.concat(F.lit("p"), F.regexp_extract("p.numero", "([0-9]+)", 1)))))
-    par = p.select("artigo_id", F.col("pid").alias("id"), F.col("artigo_id").alias("pai_id"), F.lit("paragrafo").alias("tipo"), F.col("p.numero").alias("numero"), F.col("p.texto").alias("texto"), F.array("i", F.lit(2), F.col("j") + 1, F.lit(0), F.lit(0)).alias("k"))
-    own = base.select("artigo_id", F.col("artigo_id").alias("up"), F.array("i", F.lit(1), F.lit(0)).alias("k0"), F.posexplode("a.incisos").alias("m", "x"))
-    of_par = p.select("artigo_id", F.col("pid").alias("up"), F.array("i", F.lit(2), F.col("j") + 1).alias("k0"), F.posexplode("p.incisos").alias("m", "x"))
-    inc = own.unionByName(of_par).withColumn("iid", F.concat(F.col("up"), F.lit("_i"), F.lower("x.numero")))
-    items = inc.select("artigo_id", F.col("iid").alias("id"), F.col("up").alias("pai_id"), F.lit("inciso").alias("tipo"), F.col("x.numero").alias("numero"), F.col("x.texto").alias("texto"), F.concat("k0", F.array(F.col("m") + 1, F.lit(0))).alias("k"))
-    let = inc.select("artigo_id", "iid", "k0", "m", F.posexplode("x.alineas").alias("n", "t"))
+    zero, none = F.lit(0), F.lit(None).cast("string")
+    caput = base.select("lei", "artigo_id", F.col("artigo_id").alias("id"), none.alias("pai_id"), F.lit("caput").alias("tipo"), none.alias("numero"), F.col("a.caput").alias("texto"), F.array("i", zero, zero, zero, zero).alias("k"))
+    p = base.select("lei", "artigo_id", "i", F.posexplode("a.paragrafos").alias("j", "p"))
+    own = block("p.texto")
+    landed = F.concat(F.lit("_p"), F.when(F.col("p.numero").rlike("(?i)[uú]nico"), "u").otherwise(F.regexp_extract("p.numero", "([0-9]+)", 1)))
+    p = p.withColumn("pid", F.concat("artigo_id", F.when(own["kind"] == "paragrafo", own["key"]).otherwise(landed)))
+    par = p.select("lei", "artigo_id", F.col("pid").alias("id"), F.col("artigo_id").alias("pai_id"), F.lit("paragrafo").alias("tipo"), F.col("p.numero").alias("numero"), F.col("p.texto").alias("texto"), F.array("i", F.lit(2), F.col("j") + 1, zero, zero).alias("k"))
+    of_article = base.select("lei", "artigo_id", F.col("artigo_id").alias("up"), F.array("i", F.lit(1), zero).alias("k0"), F.posexplode("a.incisos").alias("m", "x"))
+    of_par = p.select("lei", "artigo_id", F.col("pid").alias("up"), F.array("i", F.lit(2), F.col("j") + 1).alias("k0"), F.posexplode("p.incisos").alias("m", "x"))
+    inc = of_article.unionByName(of_par).withColumn("iid", F.concat(F.col("up"), F.lit("_inc"), F.coalesce(roman_value("x.numero").cast("string"), F.lower("x.numero"))))
+    items = inc.select("lei", "artigo_id", F.col("iid").alias("id"), F.col("up").alias("pai_id"), F.lit("inciso").alias("tipo"), F.col("x.numero").alias("numero"), F.col("x.texto").alias("texto"), F.concat("k0", F.array(F.col("m") + 1, zero)).alias("k"))
+    let = inc.select("lei", "artigo_id", "iid", "k0", "m", F.posexplode("x.alineas").alias("n", "t"))
     letter = F.char(F.col("n") + 97)
-    letters = let.select("artigo_id", F.concat("iid", F.lit("_"), letter).alias("id"), F.col("iid").alias("pai_id"), F.lit("alinea").alias("tipo"), letter.alias("numero"), F.col("t").alias("texto"), F.concat("k0", F.array(F.col("m") + 1, F.col("n") + 1)).alias("k"))
+    letters = let.select("lei", "artigo_id", F.concat("iid", F.lit("_al"), letter).alias("id"), F.col("iid").alias("pai_id"), F.lit("alinea").alias("tipo"), letter.alias("numero"), F.col("t").alias("texto"), F.concat("k0", F.array(F.col("m") + 1, F.col("n") + 1)).alias("k"))
     rows = caput.unionByName(par).unionByName(items).unionByName(letters)
-    from pyspark.sql import Window
-
-    return rows.withColumn("ordem", F.row_number().over(Window.partitionBy("artigo_id").orderBy("k"))).drop("k")
+    twice = F.count("*").over(Window.partitionBy("lei", "id"))
+    once = F.when(twice > 1, F.raise_error(F.concat(F.lit("an id comes out twice: "), F.col("id")))).otherwise(F.col("id"))
+    out = rows.withColumn("ordem", F.row_number().over(Window.partitionBy("lei").orderBy("k"))).withColumn("id", once)
+    return out.select("lei", "id", "artigo_id", "pai_id", "tipo", "numero", "texto", "ordem")
 
 
 def yearly(spark: SparkSession, folder: str, year: int | None = None) -> DataFrame:
     """Decrees of the yearly files (YYYY.json) that are complete and not empty."""
     name = str(year) if year else "[0-9][0-9][0-9][0-9]"
-    from verbatlas.operators.integrity import complete_only
-
     files = spark.read.schema(YEAR).option("multiLine", True).json(f"{folder}/{name}.json")
     return complete_only(files).select("ano", F.explode("decretos").alias("d")).select("ano", "d.*")
 
@@ -61,6 +73,17 @@ def landed_json(spark: SparkSession, path: str, schema: str, key: list[str]) ->
     return spark.read.schema(schema).option("multiLine", True).json(path).dropDuplicates(key)
 
 
+def until_stop(pages: DataFrame, listing: str, page: str, items: str, full: int | None = None) -> DataFrame:
+    """The landed pages of each listing up to its end: the first page that is empty, missing, or, where ``full`` is
+    given, has fewer items than that (which still counts). What lies behind it belongs to another harvest."""
+    w = Window.partitionBy(listing).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
+    n = F.coalesce(F.size(items), F.lit(0))
+    ended = (n <= 0) if full is None else (n < full)
+    gap = F.col(page) != F.lag(page, 1).over(Window.partitionBy(listing).orderBy(page)) + 1
+    out = pages.withColumns({"__end": F.max(ended).over(w), "__gap": F.max(F.coalesce(gap, F.lit(False))).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    return out.where(~F.coalesce(F.col("__end"), F.lit(False)) & ~F.col("__gap") & (n > 0)).drop("__end", "__gap")
+
+
 def precedents_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV in UTF-8 with a mark, quoted line ends and a header."""
     out = spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
@@ -86,22 +109,28 @@ def xml_fields(x: Column | str, paths: dict[str, str]) -> list[Column]:
 
 
 def zipped_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, text) of the entries of ZIP files, unpacked in the tasks that read them."""
+    """(path, name, text, problem) of the entries of ZIP files, unpacked in the tasks that read them. A file that is no
+    archive, or breaks off, gives a row with its problem."""
 
     def unpack(batches):
         import io
         import zipfile
+        import zlib
 
         import pandas as pd
 
         for df in batches:
             for p, data in zip(df["path"], df["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    for n in sorted(z.namelist()):
-                        if not n.endswith("/"):
-                            yield pd.DataFrame({"path": [p], "name": [n], "text": [decoded(z.read(n))]})
+                name = None
+                try:
+                    with zipfile.ZipFile(io.BytesIO(data)) as z:
+                        for name in sorted(z.namelist()):
+                            if not name.endswith("/"):
+                                yield pd.DataFrame({"path": [p], "name": [name], "text": [decoded(z.read(name))], "problem": [None]})
+                except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError) as e:
+                    yield pd.DataFrame({"path": [p], "name": [name], "text": [None], "problem": [str(e)]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "path string, name string, text string")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "path string, name string, text string, problem string")
 
 
 def decoded(data: bytes) -> str:
@@ -155,8 +184,6 @@ def lines_of_words(words: DataFrame, gap: float = 12.0) -> DataFrame:
 def paragraphs_of_lines(lines: DataFrame, starts: str = "^(Art\\.|§|Parágrafo único|[IVXLCDM]+ ?[-–—]|[a-z]\\)|TÍTULO|CAPÍTULO|SEÇÃO)") -> DataFrame:
     """(doc, block, text): logical paragraphs; a line that begins a block starts one, words broken by a
     hyphen at a line's end are joined."""
-    from verbatlas.operators.ordered import groups_from_starts
-
     order = ["page", "col", "line"]
     marked = groups_from_starts(lines, ["doc"], order, F.col("text").rlike(starts), "block")
     rows = marked.groupBy("doc", "block").agg(F.sort_array(F.collect_list(F.struct(*order, "text"))).alias("x"))

@@ -73,11 +73,11 @@ def recent(events: DataFrame, now: Column, back: str = "7 days", at: str = "ts")
     return events.where(F.col(at) >= now - F.expr(f"INTERVAL {back}"))
 
 
-def refusals(events: DataFrame, key: str = "user_id", at: str = "ts", most: int = 3, seconds: int = 3600, late: str = "1 hour") -> DataFrame:
+def refusals(events: DataFrame, key: str = "user_id", at: str = "ts", most: int = 3, seconds: int = 3600, late: str | None = "1 hour") -> DataFrame:
     """(key, at, in_window, refused) of a stream: attempts beyond ``most`` in the time up to each one.
 
     The state of a key is its attempts of the last ``seconds``, no more. Rows of a micro-batch are taken by time; a key
-    that is quiet for that long is forgotten.
+    that is quiet for that long is forgotten. ``late`` is None where the stream has a watermark already.
     """
     import pandas as pd
 
@@ -97,9 +97,10 @@ def refusals(events: DataFrame, key: str = "user_id", at: str = "ts", most: int
         state.setTimeoutTimestamp(max(int(past[-1].value // 1_000_000) + 1000 * seconds, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, at, "in_window", "refused"])
 
-    kind = dict(events.dtypes)[key]
+    kind, rows = dict(events.dtypes)[key], events.select(key, at)
+    rows = rows.withWatermark(at, late) if late else rows
     return (
-        events.select(key, at).withWatermark(at, late).groupBy(key)
+        rows.groupBy(key)
         .applyInPandasWithState(step, f"{key} {kind}, {at} timestamp, in_window long, refused boolean", "past array<long>", "append", "EventTimeTimeout")
     )
 
