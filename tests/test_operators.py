@@ -78,6 +78,31 @@ def test_an_index_gives_what_a_scan_gives(spark, tmp_path):
     assert {r["id"] for r in hits} == plain
 
 
+def test_a_vector_index_finds_what_a_scan_finds(spark, monkeypatch):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = e.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+    exact = {(r["query_id"], r["id"]) for r in search.vector_leg(e, asked, 10).collect()}
+    monkeypatch.setattr(search, "QUERIES_AT_ONCE", 4)  # in blocks
+    assert {(r["query_id"], r["id"]) for r in search.vector_leg(e, asked, 10).collect()} == exact
+    centres = search.centroids_of(e)
+    index = search.indexed_vectors(e, centres)
+    assert index.where("cell IS NOT NULL").count() == e.count()
+    got = {(r["query_id"], r["id"]) for r in search.probed_leg(index, asked, centres, cap=10).collect()}
+    assert len(got & exact) >= 0.9 * len(exact)
+
+
+def test_overlaps_by_either_way(spark, monkeypatch):
+    rows = [(k, [f"i{(k * j) % 7}" for j in range(k % 5)]) for k in range(40)]
+    df = spark.createDataFrame(rows, "k int, x array<string>")
+    other = df.select(F.col("k").alias("o"), F.col("x").alias("y"))
+    want = {(a, b, len(set(x) & set(y))) for a, x in rows for b, y in rows if set(x) & set(y)}
+    assert {tuple(r) for r in relate.overlapping(df, other, "k", "o", "x", "y").collect()} == want
+    rare = [(k, [f"i{k // 2}"]) for k in range(40)]
+    df = spark.createDataFrame(rare, "k int, x array<string>")
+    other = df.select(F.col("k").alias("o"), F.col("x").alias("y"))
+    assert {tuple(r) for r in relate.overlapping(df, other, "k", "o", "x", "y").collect()} == {(a, b, 1) for a, _ in rare for b, _ in rare if a // 2 == b // 2}
+
+
 def test_natural_and_priority_orders(spark):
     df = spark.createDataFrame([(x,) for x in ("10", "7-B", "7", "7-A", "x", "359-M-B", "359-M-A")], "n string")
     assert [r[0] for r in df.orderBy(*consult.natural("n")).collect()] == ["7", "7-A", "7-B", "10", "359-M-A", "359-M-B", "x"]

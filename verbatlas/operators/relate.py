@@ -41,11 +41,32 @@ def like_any(query: str, *fields: str, digits: str | None = None) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
+#: Rows of the stated side of an overlap that are sent to the tasks at once.
+BLOCK = 2_000
+
+
 def overlapping(a: DataFrame, b: DataFrame, a_key: str, b_key: str, items_a: str, items_b: str) -> DataFrame:
-    """(a_key, b_key, shared): pairs whose arrays meet, by an equi-join of their distinct items."""
-    left = a.select(a_key, F.explode(F.array_distinct(items_a)).alias("__i"))
-    right = b.select(b_key, F.explode(F.array_distinct(items_b)).alias("__i"))
-    return left.join(right, "__i").groupBy(a_key, b_key).agg(F.count("*").alias("shared"))
+    """(a_key, b_key, shared): pairs whose arrays meet; ``a`` is the stated side, of which each key is there once.
+
+    How many rows an equi-join of the items would make is counted first. If that is fewer than all pairs, as items are
+    selective, they are joined. If items are so common that nearly every pair meets anyway, blocks of ``a`` are broadcast
+    and each pair is looked at once, without a hot key and without a shuffle. Both give the same rows.
+    """
+    left = a.select(F.col(a_key).alias("__a"), F.array_distinct(items_a).alias("__x")).where("size(__x) > 0")
+    right = b.select(F.col(b_key).alias("__b"), F.array_distinct(items_b).alias("__y")).where("size(__y) > 0")
+    n, m = left.count(), right.count()
+    of = lambda df, c: df.select(F.explode(c).alias("i")).groupBy("i").agg(F.count("*").alias(c))
+    joined = of(left, "__x").join(of(right, "__y"), "i").agg(F.sum(F.col("__x").cast("double") * F.col("__y"))).first()[0] or 0.0
+    if joined <= n * m:
+        one, other = left.select("__a", F.explode("__x").alias("i")), right.select("__b", F.explode("__y").alias("i"))
+        return one.join(other, "i").groupBy(F.col("__a").alias(a_key), F.col("__b").alias(b_key)).agg(F.count("*").alias("shared"))
+    parts = -(-n // BLOCK)
+    out = []
+    for k in range(parts):
+        block = F.broadcast(left.where(F.pmod(F.xxhash64("__a"), F.lit(parts)) == k))
+        shared = F.size(F.array_intersect("__x", "__y")).cast("long")
+        out.append(right.join(block).select(F.col("__a").alias(a_key), F.col("__b").alias(b_key), shared.alias("shared")).where("shared > 0"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def best_overlaps(pairs: DataFrame, key: str, other: str, most: int = 3) -> DataFrame:
