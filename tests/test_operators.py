@@ -6,8 +6,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from verbatlas.functions import display, text
-from verbatlas.operators import answers, compare, consult, curation, integrity, merge, relate, reports, search, sentence
+from verbatlas.functions import display, html, text
+from verbatlas.operators import answers, compare, consult, curation, integrity, merge, ordered, relate, reports, search, sentence
 from verbatlas.streaming import collect
 
 
@@ -261,6 +261,23 @@ def test_bodies_have_no_orphans(spark, tmp_path):
     assert reports.body_of(spark, str(tmp_path), "a").first()["html"] == "<p>1" and reports.body_of(spark, str(tmp_path), "b").count() == 0
 
 
+def test_norms_names_and_arrays(spark):
+    assert one(spark, compare.norms_named("x"), x="Altera a Lei nº 11.343, de 2006, e o Decreto-Lei 2.848, de 1940; a Lei nº 11.343, de 2006") == ["Lei 11.343/2006", "DL 2.848/1940"]
+    df = spark.createDataFrame([(1, "CÓDIGO PENAL"), (2, "o código penal militar de 1969"), (3, "x"), (4, "codigo penal")], "k int, t string")
+    names = spark.createDataFrame([("código penal", "cp"), ("Código Penal Militar", "cpm")], "n string, v string")
+    assert {r["k"]: r["v"] for r in compare.matched_names(df, names, "t", "n", "v").collect()} == {1: "cp", 2: "cpm", 3: None, 4: "cp"}
+    rows = spark.createDataFrame([(1, 2, ["b", "c"]), (1, 1, ["a", "b"]), (2, 1, None)], "k int, o int, x array<string>")
+    assert [(r["k"], r["x"]) for r in relate.joined_arrays(rows.where("x IS NOT NULL"), "k", "x", "o").collect()] == [(1, ["a", "b", "c"])]
+    assert relate.having_any(rows, "x", ["c", "z"]).count() == 1
+    turns = spark.createDataFrame([(1, 1, "T", None), (1, 2, None, "own"), (1, 3, None, "x")], "g int, o int, y string, own string")
+    assert [(r["o"], r["own"], r["carried"]) for r in ordered.carried_conflicts(turns, ["g"], ["o"], F.col("y"), F.col("own")).collect()] == [(2, "own", "T")]
+
+
+def test_html_is_sanitised(spark):
+    bad = """<p onclick="x()" style='a'>ok<script>alert(1)</script><a href="javascript:x">a</a><a href=JaVaScript:x>b</a><a href="https://x/">c</a><a href='#t'>d</a><img src=data:x><iframe src=x>y</iframe><!-- z --><form><input></form><svg><g onload=x></g></svg></p>"""
+    assert one(spark, html.sanitised("x"), x=bad) == """<p>ok<a>a</a><a>b</a><a href="https://x/">c</a><a href='#t'>d</a><img></p>"""
+
+
 def test_a_brief_is_whole_or_stops(spark):
     cases = spark.createDataFrame([("c1", {"drug": "true"}), ("c2", {})], "case string, facts map<string,string>")
     theses = spark.createDataFrame([("t1", {"drug": "true"}, "see {{cite:a}}", ["b"], "pending"), ("t2", {}, "{{cite:b}} and {{cite:a}}", None, None)], "thesis string, trigger map<string,string>, template string, grounds array<string>, review string")

@@ -57,6 +57,23 @@ def norm_named(status: Column | str) -> Column:
     return F.when(number != "", F.concat(label, F.lit(" "), number, F.when(year != "", F.concat(F.lit("/"), year)).otherwise("")))
 
 
+def norms_named(text: Column | str) -> Column:
+    """All norms that a text names, each once, in order, as ``norm_named`` writes them."""
+    plain = norm(text)
+    pieces = F.slice(F.split(plain, f"(?<![a-z-])(?={NORM})"), 1, 1_000_000)
+    return F.array_distinct(F.filter(F.transform(pieces, norm_named), lambda x: x.isNotNull()))
+
+
+def matched_names(df: DataFrame, names: DataFrame, text: str, name: str, value: str) -> DataFrame:
+    """``df`` with ``value``: of the name that equals its text in normal form, else of the longest one that the text
+    holds; null for none. ``names`` is a curated table, every row of which a text is held against."""
+    n = names.select(norm(name).alias("__n"), F.col(value).alias("__v"))
+    t = norm(text)
+    best = F.max_by("__v", F.struct((F.col("__n") == F.col("__t")).alias("a"), F.length("__n").alias("b"), F.col("__v").alias("c")))
+    met = df.select(t.alias("__t")).distinct().join(n, F.contains("__t", F.col("__n"))).groupBy("__t").agg(best.alias(value))
+    return df.withColumn("__t", t).join(met, "__t", "left").drop("__t")
+
+
 def targets_of(text: Column | str, targets: dict[str, str]) -> Column:
     """The ids of the laws that a summary says it changes. ``targets``: id to pattern over the normal form.
 

@@ -64,6 +64,25 @@ def enriched(hits: DataFrame, view: DataFrame) -> DataFrame:
     return F.broadcast(hits).join(view, "id")
 
 
+def acts_found(headers: DataFrame, blocks: DataFrame, vectors: DataFrame | None, query: str, vector: DataFrame | None = None, year: int | None = None, most: int = 40) -> DataFrame:
+    """Acts for a question: (query_id, place, id, score, by_header, head_pos, lexical_pos, vector_pos, header_id, title, day, ordem, text).
+
+    ``headers`` (header_id, title, year, day), ``blocks`` (id, header_id, ordem, text), ``vectors`` (id, vector). A header that meets
+    the query counts for its first block and weighs double. The year narrows headers, and with them all legs, before they are ranked.
+    """
+    heads = headers if year is None else headers.where(F.col("year") == year)
+    mine = blocks.join(heads.select("header_id"), "header_id", "left_semi")
+    legs = {"head": search.header_hits(heads, mine, query), "lexical": search.lexical_leg(mine, query, title=None)}
+    if vectors is not None and vector is not None:
+        legs["vector"] = search.vector_leg(search.of_documents(vectors, mine), vector)
+    scores = search.fused(legs, {"head": 2.0})
+    if "vector" not in legs:
+        scores = scores.withColumn("vector_pos", F.lit(None).cast("int"))
+    full = enriched(scores, mine).join(heads.select("header_id", "title", "day"), "header_id").withColumn("by_header", F.col("head_pos").isNotNull())
+    out = decree_order(full).where(F.col("place") <= most)
+    return out.select("query_id", "place", "id", "score", "by_header", "head_pos", "lexical_pos", "vector_pos", "header_id", "title", "day", "ordem", "text")
+
+
 def decree_floor(hits: DataFrame, k: int = search.K, least_weight: float = 1.0, most: int = 4, fewest: int = 2) -> DataFrame:
     """The first ``most`` hits above a single leg's best score; if there are none, the first ``fewest``, marked ``weak``."""
     floor = F.lit(round(least_weight / (k + 1), 6))

@@ -19,6 +19,12 @@ def carried_to_next(df: DataFrame, group: list[str], order: list[str], value: Co
     return df.withColumn(name, F.lag(value).over(Window.partitionBy(*group).orderBy(*order)))
 
 
+def carried_conflicts(df: DataFrame, group: list[str], order: list[str], yields: Column, own: Column) -> DataFrame:
+    """Rows that have a value of their own although the row before yields another: (…, own, carried). Such rows keep their own."""
+    out = carried_to_next(df.withColumn("own", own), group, order, yields)
+    return out.where(F.col("carried").isNotNull() & F.col("own").isNotNull() & (F.col("carried") != F.col("own")))
+
+
 def filled_forward(df: DataFrame, group: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
     """Each value, where it is null, from the last row that has one."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -69,6 +69,19 @@ def overlapping(a: DataFrame, b: DataFrame, a_key: str, b_key: str, items_a: str
     return reduce(DataFrame.unionByName, out)
 
 
+def having_any(df: DataFrame, items: str, wanted: list) -> DataFrame:
+    """Rows whose array is there and has one of the wanted items."""
+    kind = dict(df.dtypes)[items]
+    return df.where(F.col(items).isNotNull() & F.coalesce(F.arrays_overlap(items, F.array(*map(F.lit, wanted)).cast(kind)), F.lit(False)))
+
+
+def joined_arrays(df: DataFrame, key: str, items: str, order: str) -> DataFrame:
+    """(key, items): the arrays of a key's rows one after another in ``order``, each item once, where it comes first. A key has the
+    rows of one curated entry, which are few."""
+    rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, items))).alias("x"))
+    return rows.select(key, F.array_distinct(F.flatten(F.transform("x", lambda r: r[items]))).alias(items))
+
+
 def best_overlaps(pairs: DataFrame, key: str, other: str, most: int = 3) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.col("shared").desc(), other)
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)

@@ -33,6 +33,17 @@ def q_decree_order(spark, d):
     return consult.decree_order(hits).select("query_id", "id", "place")
 
 
+def q_acts_found(spark, d):
+    """Orders of a year as acts, line items as their blocks."""
+    o, li = t(spark, d, "orders"), t(spark, d, "lineitem")
+    heads = o.select(F.col("o_orderkey").alias("header_id"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("title"), F.year("o_orderdate").alias("year"), F.to_date("o_orderdate").alias("day"))
+    lines = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("header_id"), F.col("l_linenumber").alias("ordem"), F.concat_ws(" ", "l_returnflag", F.when(F.col("l_quantity") > 49, "urgent f")).alias("text"))
+    return consult.acts_found(heads, lines, None, "urgent f", year=YEAR).select("place", "id", "score", "by_header", "head_pos", "lexical_pos", "header_id", "title", "day")
+
+
+YEAR = 1995
+
+
 def q_law_priority(spark, d):
     """Orders as blocks, their status as the law, in the order of priority of laws; unknown laws last."""
     o = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("law"), (F.col("o_custkey") % 40).cast("string").alias("article"), F.col("o_orderkey").alias("ordem"))
@@ -243,6 +254,13 @@ SQL = {
     "q_decree_floor": f"""WITH h AS ({hybrid_sql('the and that', most=60)}), s AS (SELECT *, score > {round(1 / 61, 6)} AS strong FROM h), n AS (SELECT *, row_number() OVER (PARTITION BY strong ORDER BY place) AS n, NOT bool_or(strong) OVER () AS weak FROM s)
       SELECT id, place, score, weak FROM n WHERE CASE WHEN weak THEN n <= 2 ELSE strong AND n <= 4 END""",
     "q_decree_order": """SELECT o_custkey AS query_id, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY starts_with(o_orderpriority, '1') DESC, round(o_totalprice / 100000, 0) DESC, o_orderdate::DATE DESC, o_orderkey % 7, o_orderkey) AS place FROM orders""",
+    "q_acts_found": f"""WITH o AS (SELECT * FROM orders WHERE year(o_orderdate) = {YEAR}),
+      l AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS k, l_linenumber AS n, l_quantity > 49 AS u, (l_returnflag = 'F')::INT AS f FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)),
+      h AS (SELECT k.id, pos FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS pos FROM o WHERE starts_with(o_orderpriority, '1') AND o_orderstatus = 'F' QUALIFY pos <= 200) JOIN (SELECT k, min_by(id, n) AS id FROM l GROUP BY 1) k ON k = o_orderkey),
+      x AS (SELECT id, row_number() OVER (ORDER BY {search.BODY} * (2 + f) DESC, id) AS pos FROM l WHERE u QUALIFY pos <= 200),
+      s AS (SELECT coalesce(h.id, x.id) AS id, round(coalesce(2.0 / (60 + h.pos), 0) + coalesce(1.0 / (60 + x.pos), 0), 6) AS score, h.pos AS head_pos, x.pos AS lexical_pos FROM h FULL JOIN x ON h.id = x.id)
+      SELECT row_number() OVER (ORDER BY head_pos IS NOT NULL DESC, score DESC, o_orderdate::DATE DESC, n, s.id) AS place, s.id, score, head_pos IS NOT NULL AS by_header, head_pos, lexical_pos, k AS header_id,
+        o_orderpriority || ' ' || o_orderstatus AS title, o_orderdate::DATE AS day FROM s JOIN l ON l.id = s.id JOIN o ON o_orderkey = k QUALIFY place <= 40""",
     "q_law_priority": """SELECT row_number() OVER (ORDER BY p, id) AS place, id, law, 0.0::DOUBLE AS score FROM (
       SELECT o_orderkey AS id, o_orderstatus AS law, CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END AS p FROM orders WHERE o_custkey % 40 IN (33, 7) ORDER BY p, id LIMIT 50)""",
     "q_natural_order": """WITH p AS (SELECT p_partkey, p_type, p_partkey % 23 + 1 AS b, CASE p_partkey % 3 WHEN 1 THEN '-A' WHEN 2 THEN '-B' ELSE '' END AS s FROM part)
