@@ -19,6 +19,7 @@ import heapq
 import re
 from functools import lru_cache
 from itertools import pairwise
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,6 @@ from .common import map_texts
 MARK = "▁"
 #: Parts kept in a task's memory: two generations of this many, each of at most MOST_CACHED characters.
 CACHE, MOST_CACHED = 300_000, 48
-NEVER = np.iinfo(np.int64).max
 #: Characters whose texts are encoded and checked together.
 ROUND = 2 << 20
 
@@ -59,29 +59,16 @@ class Encoder:
         names = [sp.id_to_piece(i) for i in range(size)]
         plain = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.ids = {names[i]: i for i in plain}
-        self.scores = {names[i]: sp.get_score(i) for i in plain}
+        self.order = {names[i]: -sp.get_score(i) for i in plain}  # the highest score first
+        self.raw = {p: np.uint32(i).tobytes() for p, i in self.ids.items()}
         self.bytes = {int(names[i][3:5], 16): i for i in range(size) if sp.is_byte(i)}
         self.begin, self.end = (np.uint32(i).tobytes() for i in (sp.bos_id(), sp.eos_id()))
         if any(a != MARK and b == MARK for p in self.ids for a, b in pairwise(p)) or any("\n" in p and len(p) > 1 for p in self.ids):
             raise ValueError("a piece of this vocabulary reaches over a cut")
         if len(self.bytes) != 256:
             raise ValueError("this vocabulary has no byte pieces")
-        # for merged_all: pieces by number, and all pairs of pieces that make a piece, in the order of their keys
-        self.names = names
-        self.spelled = {p for p in self.ids if len(p) == 1 and ord(p) < 1 << 16}
-        self.chars = np.zeros(1 << 16, np.int64)
-        for p in self.spelled:
-            self.chars[ord(p)] = self.ids[p]
-        ranks = {s: r for r, s in enumerate(sorted(set(self.scores.values()), reverse=True))}
-        pairs = sorted(
-            (self.ids[p[:i]] * size + self.ids[p[i:]], ranks[self.scores[p]], self.ids[p])
-            for p in self.ids
-            for i in range(1, len(p))
-            if p[:i] in self.ids and p[i:] in self.ids
-        )
-        self.pair_keys, self.pair_ranks, self.pair_pieces = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
         # a further cut: between a letter and a mark of punctuation that no piece has after a letter
-        letters = {c for c in self.spelled if c.isalpha()}
+        letters = {p for p in self.ids if len(p) == 1 and p.isalpha()}
         joined = {b for p in self.ids for a, b in pairwise(p) if a in letters}
         w, stops = (re.escape("".join(sorted(x))) for x in (letters, set(",.;:!?") - joined))
         self.cuts = re.compile(f"{MARK}+[{w}]++(?=[{MARK}\n{stops}]|\\Z)|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n").findall
@@ -89,14 +76,10 @@ class Encoder:
 
     def merged(self, part: str) -> list[str]:
         """The symbols of a part, when no adjacent pair is in the vocabulary any more."""
-        scores, symbols = self.scores, list(part)
+        order, symbols = self.order, list(part)
         n = len(symbols)
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        agenda = []
-        for i in range(n - 1):
-            pair = symbols[i] + symbols[i + 1]
-            if pair in scores:
-                agenda.append((-scores[pair], i, i + 1, pair))
+        agenda = [(order[pair], i, i + 1, pair) for i, pair in enumerate(map(add, symbols, symbols[1:])) if pair in order]
         heapq.heapify(agenda)
         while agenda:
             _, i, j, pair = heapq.heappop(agenda)
@@ -107,65 +90,20 @@ class Encoder:
             after[j] = -2
             if k >= 0:
                 before[k] = i
-                pair = symbols[i] + symbols[k]
-                if pair in scores:
-                    heapq.heappush(agenda, (-scores[pair], i, k, pair))
+                new = pair + symbols[k]
+                if new in order:
+                    heapq.heappush(agenda, (order[new], i, k, new))
             h = before[i]
             if h >= 0:
-                pair = symbols[h] + symbols[i]
-                if pair in scores:
-                    heapq.heappush(agenda, (-scores[pair], h, i, pair))
+                new = symbols[h] + pair
+                if new in order:
+                    heapq.heappush(agenda, (order[new], h, i, new))
         return [s for s in symbols if s]
 
-    def part_ids(self, part: str) -> list[int]:
-        out: list[int] = []
-        for s in self.merged(part):
-            i = self.ids.get(s)
-            out += [self.bytes[b] for b in s.encode()] if i is None else [i]
-        return out
-
-    def merged_all(self, parts: list[str]) -> list[bytes]:
-        """The ids of many short parts, each character of which is a piece: their agendas are arrays,
-        worked off side by side, in each turn the first pair of every part."""
-        ends = np.cumsum([len(p) for p in parts])
-        symbols = self.chars[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)]
-        owner = np.repeat(np.arange(len(parts)), np.diff(ends, prepend=0))
-        live, done = owner, []  # parts still with a pair, and the symbols of those without
-
-        def ranked(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Rank (NEVER if none) and piece of the pairs that begin at i."""
-            key = symbols[i] * len(self.names) + symbols[i + 1]
-            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            return np.where((self.pair_keys[at] == key) & (live[i] == live[i + 1]), self.pair_ranks[at], NEVER), self.pair_pieces[at]
-
-        rank, piece = (np.append(x, NEVER) for x in ranked(np.arange(len(symbols) - 1)))
-        while len(symbols):
-            first = np.flatnonzero(np.diff(live, prepend=-1))
-            least = np.minimum.reduceat(rank, first)
-            sizes = np.diff(first, append=len(symbols))
-            spread = np.repeat(least, sizes)
-            ended = spread == NEVER
-            done.append((live[ended], symbols[ended]))
-            best = np.flatnonzero((rank == spread) & ~ended)
-            left = best[np.diff(live[best], prepend=-1) != 0]  # of equal scores the leftmost
-            symbols[left] = piece[left]
-            stays = ~ended
-            stays[left + 1] = False
-            to = np.cumsum(stays) - 1
-            left = to[left]
-            symbols, live, rank, piece = symbols[stays], live[stays], rank[stays], piece[stays]
-            if len(symbols) < 2:
-                rank[:] = NEVER
-                continue
-            near = np.unique(np.concatenate([left, left - 1]))
-            near = near[(near >= 0) & (near < len(symbols) - 1)]
-            rank[near], piece[near] = ranked(near)
-            rank[-1] = NEVER
-        owner, symbols = (np.concatenate(x) for x in zip(*done, strict=True))
-        order = np.argsort(owner, kind="stable")
-        raw = symbols[order].astype(np.uint32).tobytes()
-        to = (4 * np.cumsum(np.bincount(owner, minlength=len(parts)))).tolist()
-        return [raw[i:j] for i, j in zip([0, *to], to, strict=False)]
+    def part_ids(self, part: str) -> bytes:
+        """The ids of a part's symbols; one without a piece is spelled in bytes."""
+        raw = self.raw
+        return b"".join([raw[s] if s in raw else b"".join([np.uint32(self.bytes[b]).tobytes() for b in s.encode()]) for s in self.merged(part)])
 
     def checked(self, parts: list[str], ids: list[bytes]) -> None:
         """Compares the parts' ids with the library's for all of them, set between line feeds."""
@@ -176,11 +114,7 @@ class Encoder:
 
     def learn(self, fresh: list[str]) -> None:
         """Encodes parts that are not kept yet, has them checked, and keeps them."""
-        short = [p for p in fresh if len(p) <= MOST_CACHED and self.spelled.issuperset(p)]
-        new = dict(zip(short, self.merged_all(short), strict=True)) if short else {}
-        for p in fresh:
-            if p not in new:
-                new[p] = np.array(self.part_ids(p), np.uint32).tobytes()
+        new = {p: self.part_ids(p) for p in fresh}
         self.checked([*new], [*new.values()])
         self.kept.update(new)
 
