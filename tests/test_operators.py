@@ -62,6 +62,16 @@ def test_displays(spark):
 # --- search -----------------------------------------------------------------------------------------
 
 
+def test_rules_written_twice_agree(spark):
+    """What is computed by the driver for a query and by tasks for a collection."""
+    words = ["Ação", "condenados", "privilégio", "a", "rei", "leis", "constitucionalmente", "ŽIVOT", "x1", "naturezas"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [r[0] for r in df.select(text.norm("w")).collect()] == [text.plain(w) for w in words]
+    stemmed = [r[0] for r in df.select(search.stem(text.norm("w"))).collect()]
+    assert [s for w, s in zip(words, stemmed, strict=True) if text.plain(w) not in search.STOP] == [search.stems(w)[0] for w in words if text.plain(w) not in search.STOP]
+    assert search.parse_query('Ações "pena de" -réu')["not"] == ["reu"]
+
+
 def test_clamped_sizes():
     assert [search.clamped(x) for x in ("5", 0, 99, "x", None, "nan", 3.9, float("inf"))] == [5, 1, 40, 8, 8, 8, 3, 8]
 

@@ -87,10 +87,17 @@ def latest_among_last(df: DataFrame, key: str, order: list[Column], last: int) -
 
 def over_rate(df: DataFrame, key: str, at_ms: Column, most: int, window_ms: int) -> DataFrame:
     """``df`` with ``in_window`` and ``refused``: over ``most`` attempts in the time up to each one,
-    refused attempts counted too."""
-    w = Window.partitionBy(key).orderBy("__ms").rangeBetween(-(window_ms - 1), 0)
-    out = df.withColumn("__ms", at_ms).withColumn("in_window", F.count("*").over(w))
-    return out.withColumn("refused", F.col("in_window") > most).drop("__ms")
+    refused attempts counted too.
+
+    A key's attempts are dealt by stretches of ``window_ms``, and each attempt is also context in the next stretch, so that
+    a key with a third of all attempts is spread over as many tasks as it has stretches.
+    """
+    out = df.withColumn("__ms", at_ms)
+    stretch = F.floor(F.col("__ms") / window_ms)
+    out = out.withColumn("__s", F.explode(F.array(F.struct(stretch.alias("n"), F.lit(True).alias("own")), F.struct((stretch + 1).alias("n"), F.lit(False).alias("own")))))
+    w = Window.partitionBy(key, "__s.n").orderBy("__ms").rangeBetween(-(window_ms - 1), 0)
+    out = out.withColumn("in_window", F.count("*").over(w)).where("__s.own")
+    return out.withColumn("refused", F.col("in_window") > most).drop("__ms", "__s")
 
 
 def republished(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

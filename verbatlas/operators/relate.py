@@ -19,6 +19,12 @@ def faceted(df: DataFrame, chosen: dict[str, list], text: str = "", fields: list
     return df.where(reduce(lambda a, b: a & b, tests, F.lit(True)))
 
 
+def listed(df: DataFrame, text: str, fields: list[str], curated: Column | None = None) -> DataFrame:
+    """Rows whose fields, one after another, hold the text; only curated ones if that is asked for."""
+    out = faceted(df, {}, text, fields)
+    return out if curated is None else out.where(F.coalesce(curated, F.lit(False)))
+
+
 def facet_counts(df: DataFrame, facets: list[str]) -> DataFrame:
     """(facet, value, n) of all facets, in one pass and one shuffle."""
     each = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("facet"), F.col(f).cast("string").alias("value")) for f in facets])).alias("f"))

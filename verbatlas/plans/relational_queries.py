@@ -91,6 +91,10 @@ def q_facet_filter(spark, d):
     return relate.faceted(c, {"c_mktsegment": ["MACHINERY", "FURNITURE"], "c_nationkey": [1, 2, 3]}, "customer#0000000", ["c_name", "c_mktsegment"]).select("c_custkey")
 
 
+def q_curated_toggle(spark, d):
+    return relate.listed(t(spark, d, "part"), "Econ", ["p_name", "p_type"], F.col("p_size") > 25).select("p_partkey")
+
+
 def q_facet_sums(spark, d):
     p = t(spark, d, "part")
     return p.groupBy("p_type").agg(F.count("*").alias("n"), F.sum("p_size").alias("size"), F.round(F.sum("p_retailprice"), 2).alias("price"))
@@ -303,6 +307,7 @@ SQL = {
       WHEN 2 THEN json_extract(props, '$.k')::VARCHAR = '99' WHEN 3 THEN TRUE ELSE FALSE END""",
     "q_facets": "SELECT 'o_orderstatus' AS facet, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2",
     "q_facet_filter": "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('MACHINERY', 'FURNITURE') AND c_nationkey IN (1, 2, 3) AND contains(lower(c_name || ' ' || c_mktsegment), 'customer#0000000')",
+    "q_curated_toggle": "SELECT p_partkey FROM part WHERE p_size > 25 AND contains(strip_accents(lower(p_name || ' ' || p_type)), 'econ')",
     "q_facet_sums": "SELECT p_type, count(*) AS n, sum(p_size) AS size, round(sum(p_retailprice), 2) AS price FROM part GROUP BY 1",
     "q_all_words_filter": "SELECT p_partkey, p_name FROM part WHERE contains(strip_accents(lower(p_name)), 'red') AND contains(strip_accents(lower(p_name)), 'widget')",
     "q_prefix_or_contains": "SELECT p_partkey FROM part WHERE starts_with(p_name, 'hot') OR contains(p_name, 'bolt')",
