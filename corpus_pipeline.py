@@ -2,6 +2,11 @@
 
 STAGES lists (name, function). Each function takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's docs. ``run`` applies them to ``documents``.
+
+Defined results: columns other than those of documents are dropped at the first stage, so none can clash with a new one. A null or
+empty text has no word and fails the rules; of rows that repeat an id with another text, each is judged by itself; of equal
+rows, and of the documents of one group, that with the smallest id stays (the smallest text hash among equal ids; a group without
+ids keeps one row too). Null languages and sources are values of their own. Every stage gives an empty table for an empty one.
 """
 
 from __future__ import annotations
