@@ -23,7 +23,9 @@ def col(x: Column | str) -> Column:
 
 def norm(x: Column | str) -> Column:
     """Lower case without accents, for comparing; ligatures and ordinal signs stay."""
-    return F.translate(F.lower(col(x)), ACCENTED + MARKS, PLAIN)
+    small = F.lower(col(x))
+    plain_already = F.octet_length(small) == F.length(small)  # one byte for each character: nothing to look up
+    return F.when(plain_already, small).otherwise(F.translate(small, ACCENTED + MARKS, PLAIN))
 
 
 def plain(x: str) -> str:

@@ -47,31 +47,40 @@ def like_any(query: str, *fields: str, digits: str | None = None) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
-#: Rows of the stated side of an overlap that are sent to the tasks at once.
-BLOCK = 2_000
+#: Rows of the stated side of an overlap that are sent to the tasks at once; distinct items up to which sets are bitmaps.
+BLOCK, MOST_ITEMS = 2_000, 512
 
 
 def overlapping(a: DataFrame, b: DataFrame, a_key: str, b_key: str, items_a: str, items_b: str) -> DataFrame:
-    """(a_key, b_key, shared): pairs whose arrays meet; ``a`` is the stated side, of which each key is there once.
+    """(a_key, b_key, shared): pairs whose arrays meet; ``a`` is the stated side. A key is there once on each side.
 
-    How many rows an equi-join of the items would make is counted first. If that is fewer than all pairs, as items are
-    selective, they are joined. If items are so common that nearly every pair meets anyway, blocks of ``a`` are broadcast
-    and each pair is looked at once, without a hot key and without a shuffle. Both give the same rows.
+    Items are counted first. If they are selective, or more than MOST_ITEMS, they are joined. If they are few, and so common that a
+    join would make more rows than there are pairs, each array becomes a bitmap of the items; blocks of ``a`` are
+    broadcast, and each pair is one comparison of bits, without a hot key and without a shuffle. Both give the same rows.
     """
-    left = a.select(F.col(a_key).alias("__a"), F.array_distinct(items_a).alias("__x")).where("size(__x) > 0")
-    right = b.select(F.col(b_key).alias("__b"), F.array_distinct(items_b).alias("__y")).where("size(__y) > 0")
-    n, m = left.count(), right.count()
-    of = lambda df, c: df.select(F.explode(c).alias("i")).groupBy("i").agg(F.count("*").alias(c))
-    joined = of(left, "__x").join(of(right, "__y"), "i").agg(F.sum(F.col("__x").cast("double") * F.col("__y"))).first()[0] or 0.0
-    if joined <= n * m:
-        one, other = left.select("__a", F.explode("__x").alias("i")), right.select("__b", F.explode("__y").alias("i"))
-        return one.join(other, "i").groupBy(F.col("__a").alias(a_key), F.col("__b").alias(b_key)).agg(F.count("*").alias("shared"))
+    left = a.select(F.col(a_key).alias("__a"), F.explode(F.array_distinct(items_a)).alias("i"))
+    right = b.select(F.col(b_key).alias("__b"), F.explode(F.array_distinct(items_b)).alias("i"))
+    n, m = left.select("__a").distinct().count(), right.select("__b").distinct().count()
+    of = lambda df, name: df.groupBy("i").agg(F.count("*").alias(name))
+    items = cut(of(left, "n").join(of(right, "m"), "i"))
+    kinds, joined = items.agg(F.count("*"), F.sum(F.col("n").cast("double") * F.col("m"))).first()
+    if kinds > MOST_ITEMS or (joined or 0.0) <= n * m:
+        return left.join(right, "i").groupBy(F.col("__a").alias(a_key), F.col("__b").alias(b_key)).agg(F.count("*").alias("shared"))
+    place = items.select("i", (F.row_number().over(Window.orderBy("i")) - 1).alias("at"))  # MOST_ITEMS rows at most
+    words = range(-(-kinds // 64))
+
+    def bitmaps(df: DataFrame, key: str, name: str) -> DataFrame:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at") % 64)
+        met = df.join(F.broadcast(place), "i")
+        return met.groupBy(key).agg(*[F.bit_or(F.when(F.floor(F.col("at") / 64) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"{name}{w}") for w in words])
+
+    one, other = cut(bitmaps(left, "__a", "x")), bitmaps(right, "__b", "y")
+    shared = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x{w}").bitwiseAND(F.col(f"y{w}"))) for w in words]).cast("long")
     parts = -(-n // BLOCK)
     out = []
     for k in range(parts):
-        block = F.broadcast(left.where(F.pmod(F.xxhash64("__a"), F.lit(parts)) == k))
-        shared = F.size(F.array_intersect("__x", "__y")).cast("long")
-        out.append(right.join(block).select(F.col("__a").alias(a_key), F.col("__b").alias(b_key), shared.alias("shared")).where("shared > 0"))
+        block = F.broadcast(one.where(F.pmod(F.xxhash64("__a"), F.lit(parts)) == k))
+        out.append(other.join(block).select(F.col("__a").alias(a_key), F.col("__b").alias(b_key), shared.alias("shared")).where("shared > 0"))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -117,8 +117,11 @@ def weighted_frequency(title: Column, body: Column, parsed: dict[str, list]) ->
 def lexical_leg(docs: DataFrame, query: str, query_id: int = 1, title: str | None = "title", body: str = "text", cap: int | None = CAP) -> DataFrame:
     """(query_id, id, lex, pos) of the documents (id, title, body) that meet the query."""
     parsed = parse_query(query)
-    t = lexemes(title) if title else F.array().cast("array<string>")
-    words = docs.select("id", t.alias("t"), lexemes(body).alias("b"))
+    folded = docs.select("id", (norm(title) if title else F.lit("")).alias("t"), norm(body).alias("b"))
+    for w in parsed["must"]:  # a word is also a part of the text: most texts are out before they are split
+        folded = folded.where(F.contains("b", F.lit(w)) | F.contains("t", F.lit(w)))
+    split = lambda c: F.filter(F.split(c, "[^a-z0-9]+"), lambda w: w != "")
+    words = folded.select("id", (split("t") if title else F.array().cast("array<string>")).alias("t"), split("b").alias("b"))
     hit = words.where(matches(F.concat("t", "b"), parsed))
     scored = hit.select(F.lit(query_id).alias("query_id"), "id", F.round(weighted_frequency(F.col("t"), F.col("b"), parsed), 6).alias("lex"))
     return ranked(scored, F.col("lex").desc(), F.col("id"), cap=cap)
