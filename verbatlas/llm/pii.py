@@ -215,12 +215,12 @@ def found(docs: DataFrame) -> DataFrame:
 
 
 def bitmap_of(terms: DataFrame) -> np.ndarray:
-    """BITMAP bits, true at the hashes of the ``terms``; Spark makes it in pieces of 4 KB."""
+    """BITMAP bits in bytes, set at the hashes of the ``terms``; Spark makes it in pieces of 4 KB."""
     h = F.pmod(F.xxhash64("t"), F.lit(BITMAP))
     pieces = terms.groupBy((h / 32768).cast("int").alias("no")).agg(F.bitmap_construct_agg(h % 32768).alias("bits")).collect()
-    out = np.zeros(BITMAP, bool)
+    out = np.zeros(BITMAP // 8, np.uint8)
     for no, bits in pieces:
-        out[no * 32768 : (no + 1) * 32768] = np.unpackbits(np.frombuffer(bytes(bits), np.uint8), bitorder="little")
+        out[no * 4096 : (no + 1) * 4096] = np.frombuffer(bytes(bits), np.uint8)
     return out
 
 
@@ -232,13 +232,14 @@ def documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(terms))
 
     def count(batches):
-        for batch in batches:
+        for part in (p for b in batches for p in slices(b, "text", 16 << 20)):
             n: Counter = Counter()
-            for t in batch.column(0).to_pylist():
-                if t:
-                    n.update({x.lower() for x in set(TERM.findall(t))})
-            bits = sent.value
-            n = {t: k for t, k in n.items() if bits[xxhash.xxh64_intdigest(t, 42) % BITMAP]}
+            for t in part.column(0):
+                if t.is_valid:
+                    n.update({x.lower() for x in set(TERM.findall(t.as_py()))})
+            h = np.array([xxhash.xxh64_intdigest(t, 42) % BITMAP for t in n], np.int64)
+            can = sent.value[h >> 3] >> (h & 7) & 1
+            n = {t: k for (t, k), on in zip(n.items(), can.tolist(), strict=True) if on}
             yield pa.RecordBatch.from_arrays([pa.array([*n], pa.string()), pa.array([*n.values()], pa.int64())], names=["t", "n"])
 
     return docs.select("text").mapInArrow(count, "t string, n long").groupBy("t").agg(F.sum("n").alias("n_t"))

@@ -30,9 +30,9 @@ from .common import map_texts
 
 MARK = "▁"
 #: Parts kept in a task's memory: two generations of this many, each of at most MOST_CACHED characters.
-CACHE, MOST_CACHED = 300_000, 48
+CACHE, MOST_CACHED = 200_000, 48
 #: Characters whose texts are encoded and checked together.
-ROUND = 2 << 20
+ROUND = 1 << 19
 
 
 def default_model() -> str:
@@ -123,7 +123,8 @@ class Encoder:
         if len(self.kept) > CACHE:
             self.kept = Kept(self.kept)
         parts = [self.cuts(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        fresh = [*set().union(*parts).difference(self.kept, self.kept.before)]
+        kept, before = self.kept, self.kept.before
+        fresh = [p for p in set().union(*parts) if p not in kept and p not in before]
         if fresh:
             self.learn(fresh)
         out = [b"".join([self.begin, *map(self.kept.__getitem__, p), self.end]) for p in parts]
