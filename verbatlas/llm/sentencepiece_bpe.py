@@ -30,9 +30,9 @@ from .common import map_texts
 
 MARK = "▁"
 #: Parts kept in a task's memory: two generations of this many, each of at most MOST_CACHED characters.
-CACHE, MOST_CACHED = 200_000, 48
+CACHE, MOST_CACHED = 300_000, 48
 #: Characters whose texts are encoded and checked together.
-ROUND = 1 << 19
+ROUND = 1 << 20
 
 
 def default_model() -> str:
