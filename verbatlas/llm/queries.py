@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, html_blocks, mixing, pii, quality, sentencepiece_bpe, sharding, simhash, toxicity, warc
+from . import audio, html_blocks, merkle, mixing, pii, quality, sentencepiece_bpe, sharding, simhash, toxicity, warc
 from .common import table
 
 SHARD_NAMES = [f"shard-{i:03d}" for i in range(sharding.SHARDS)]
@@ -78,7 +78,19 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_sentencepiece, op4_toxicity, op5_html, op6_warc, op7_quality, op8_simhash, op9_pii, op10_audio)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = [F.col("n_chars").cast("long") + 1 if i == 3 else c for i, c in enumerate(fields)]
+    changed = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False)) & F.col("n_chars").isNotNull()
+    rows = docs.select("doc_id", "lang", merkle.leaf(*fields).alias("leaf"), F.when(changed, merkle.leaf(*tampered)).alias("claimed"))
+    made = merkle.manifest(rows, "lang", "doc_id").withColumn("claimed", F.coalesce("claimed", "leaf"))
+    out = merkle.refolded(made, "claimed")
+    text = lambda c: F.lower(F.hex(c))
+    return out.select("doc_id", *[text(c).alias(c) for c in ("leaf", "subroot", "root")], F.sha2(text("proof"), 256).alias("proof_sha256"), text("folded_root").alias("folded_root"), (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_sentencepiece, op4_toxicity, op5_html, op6_warc, op7_quality, op8_simhash, op9_pii, op10_audio, op11_merkle)}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
