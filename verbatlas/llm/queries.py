@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, html_blocks, merkle, mixing, pii, quality, sentencepiece_bpe, sharding, simhash, toxicity, warc
+from . import audio, html_blocks, merkle, mixing, pii, quality, sentencepiece_bpe, sharding, simhash, toxicity, turns, warc
 from .common import table
 
 SHARD_NAMES = [f"shard-{i:03d}" for i in range(sharding.SHARDS)]
@@ -90,7 +90,15 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[text(c).alias(c) for c in ("leaf", "subroot", "root")], F.sha2(text("proof"), 256).alias("proof_sha256"), text("folded_root").alias("folded_root"), (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_sentencepiece, op4_toxicity, op5_html, op6_warc, op7_quality, op8_simhash, op9_pii, op10_audio, op11_merkle)}
+def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = turns.summary(turns.edits(turns.damaged(rows))).withColumnRenamed("conv_id", "__conv")
+    out = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("__conv")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", *turns.FAULTS, "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_sentencepiece, op4_toxicity, op5_html, op6_warc, op7_quality, op8_simhash, op9_pii, op10_audio, op11_merkle, op12_turns)}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
