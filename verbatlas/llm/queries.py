@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, html_blocks, merkle, mixing, pii, quality, sentencepiece_bpe, sharding, simhash, toxicity, turns, warc
+from . import audio, html_blocks, langid, merkle, mixing, pii, quality, sentencepiece_bpe, sharding, simhash, toxicity, turns, warc
 from .common import table
 
 SHARD_NAMES = [f"shard-{i:03d}" for i in range(sharding.SHARDS)]
@@ -98,7 +98,14 @@ def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_sentencepiece, op4_toxicity, op5_html, op6_warc, op7_quality, op8_simhash, op9_pii, op10_audio, op11_merkle, op12_turns)}
+def op13_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    out = langid.identified(docs, learn=fold != 2, calibrate=fold == 3)
+    return out.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted", F.round("entropy", 4).alias("entropy"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_sentencepiece, op4_toxicity, op5_html, op6_warc, op7_quality, op8_simhash, op9_pii, op10_audio, op11_merkle, op12_turns, op13_langid)}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
