@@ -307,7 +307,7 @@ def calibration(rows: DataFrame) -> tuple[list[float], float]:
     blocks: list[list[float]] = []  # (right, all, steps), pooled until their shares ascend
     for i in range(LAST + 1):
         right, n = counts.get(i, (0, 0))
-        blocks.append([right + 0.01, n + 0.02, 1])
+        blocks.append([right + 1e-3, n + 2e-3, 1])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
