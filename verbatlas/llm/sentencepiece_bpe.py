@@ -20,6 +20,7 @@ import re
 from functools import lru_cache
 from itertools import pairwise
 from operator import add
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ from pyspark.sql import DataFrame
 from .common import map_texts
 
 MARK = "▁"
-#: Parts kept in a task's memory: two generations of this many, each of at most MOST_CACHED characters.
-CACHE, MOST_CACHED = 300_000, 48
+#: Bytes of the parts kept in a Python worker's memory, in each of two generations; and the characters of a part that is kept, at most.
+KEPT_BYTES, MOST_CACHED = 32 << 20, 48
+#: What a part's place in a dictionary takes, besides itself and its ids.
+PLACE_BYTES = 100
 #: Characters whose texts are encoded and checked together.
 ROUND = 1 << 20
 
@@ -41,15 +44,31 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class Kept(dict):
-    """Ids of parts; those of the generation before move over when they are met again."""
-
-    def __init__(self, before: dict | None = None):
-        self.before = dict(before or ())
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self[part] = self.before[part]
-        return ids
+class Kept:
+    """Ids of parts, in two generations bounded by bytes. When the younger one is full it becomes the older, whose parts are forgotten
+    unless they were met since; nothing is copied."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def put(self, part: str, ids: bytes) -> None:
+        if len(part) <= MOST_CACHED:
+            self.young[part] = ids
+            self.size += getsizeof(part) + getsizeof(ids) + PLACE_BYTES
+            if self.size > KEPT_BYTES:
+                self.young, self.old, self.size = {}, self.young, 0
+
+    def met(self, parts: set[str]) -> dict[str, bytes]:
+        """Those of the parts that are known, which stay known."""
+        young, old = self.young, self.old
+        out = {p: young[p] for p in parts if p in young}
+        again = {p: old[p] for p in parts if p not in out and p in old}
+        for p, ids in again.items():
+            self.put(p, ids)
+        out.update(again)
+        return out
 
 
 class Encoder:
@@ -112,26 +131,22 @@ class Encoder:
         if theirs.tobytes() != b"".join([feed + i for i in ids]):
             raise ValueError(f"the agenda and the library differ on one of {parts[:3]!r}...")
 
-    def learn(self, fresh: list[str]) -> None:
+    def learn(self, fresh: list[str]) -> dict[str, bytes]:
         """Encodes parts that are not kept yet, has them checked, and keeps them."""
         new = {p: self.part_ids(p) for p in fresh}
         self.checked([*new], [*new.values()])
-        self.kept.update(new)
+        for p, ids in new.items():
+            self.kept.put(p, ids)
+        return new
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids with begin and end, as little-endian unsigned 32-bit numbers."""
-        if len(self.kept) > CACHE:
-            self.kept = Kept(self.kept)
         parts = [self.cuts(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        kept, before = self.kept, self.kept.before
-        fresh = [p for p in set().union(*parts) if p not in kept and p not in before]
-        if fresh:
-            self.learn(fresh)
-        out = [b"".join([self.begin, *map(self.kept.__getitem__, p), self.end]) for p in parts]
-        for p in fresh:
-            if len(p) > MOST_CACHED:
-                del self.kept[p]
-        return out
+        every = set().union(*parts)
+        ids = self.kept.met(every)
+        if len(ids) < len(every):
+            ids |= self.learn([p for p in every if p not in ids])
+        return [b"".join([self.begin, *map(ids.__getitem__, p), self.end]) for p in parts]
 
     def decode(self, ids: list[bytes]) -> list[str]:
         return self.sp.decode([np.frombuffer(i, np.uint32).tolist() for i in ids])
