@@ -13,7 +13,7 @@ nothing for another word.
 
 Defined results: a null or empty text has no span (and stays null or empty). Spans are in code
 points, end exclusive, ordered by start, then kind. Repeated rows repeat, and rows without
-``doc_id`` are handled like others. A class that every document holds is disclosed by no term. An empty table
+``doc_id`` are handled like others. Only doc_id and the text are read; columns with the names of new ones can't clash. A class that every document holds is disclosed by no term. An empty table
 gives an empty result.
 """
 
@@ -23,6 +23,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from itertools import islice, pairwise
 
 import numpy as np
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_dimension, map_texts, slices
+from .common import cut, join_dimension, slices
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -51,6 +52,9 @@ BITMAP = 1 << 24
 #: Up to this many disclosing pairs are sent to the tasks that mark occurrences.
 TERMS_SENT = 100_000
 
+#: Meetings handed on at once, and pairs of term and surrounding after which a task forgets which it has handed on.
+NEAR_AT_ONCE, SEEN = 8192, 50_000
+
 #: What stands for a span in a sanitised text.
 GENERAL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 
@@ -144,26 +148,38 @@ def gaps(text: str, spans: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
     return [(lo, hi) for (_, lo), (hi, _) in pairwise([(0, 0), *merged(spans), (len(text), len(text))]) if lo < hi]
 
 
-def meetings(text: str, spans: list[tuple[int, str, int]]) -> tuple[list[tuple[str, str, int, bool]], list[str], int]:
+def meetings(text: str, spans: list[tuple[int, str, int]]) -> tuple[Iterator[tuple[str, str, int, bool]], list[str], int]:
     """What a text says of its classes, outside all base spans: (class, term, surrounding, whether first in this
-    text) near each value; the distinct terms of the whole text; and the surrounding of its first value."""
-    out, reach, seen, first = [], merged(spans), set(), None
+    text) near each value, class by class; the distinct terms of the whole text; and the surrounding of its first value."""
+    reach = merged(spans)
 
     def free(m: re.Match) -> bool:
         i = bisect_left(reach, (m.end(), 0)) - 1  # the last that begins before the word's end
         return i < 0 or reach[i][1] <= m.start()
 
-    for start, kind, end in spans:
-        near = [m[0].lower() for m in (*words_before(text, start), *islice(TERM.finditer(text, end), WINDOW)) if free(m)]
-        around = xxhash.xxh64_intdigest(" ".join(near)) >> 1
-        first = around if first is None else first
-        for c in classes_of(kind, text[start:end]):
-            for t in near:
-                if len(t) > 1 and (c, t, around) not in seen:
-                    out.append((c, t, around, (c, t) not in seen))
-                    seen |= {(c, t, around), (c, t)}
+    def near(start: int, end: int) -> tuple[list[str], int]:
+        words = [m[0].lower() for m in (*words_before(text, start), *islice(TERM.finditer(text, end), WINDOW)) if free(m)]
+        return words, xxhash.xxh64_intdigest(" ".join(words)) >> 1
+
+    def met() -> Iterator[tuple[str, str, int, bool]]:
+        by_class: dict[str, list[int]] = {}
+        for i, (start, kind, end) in enumerate(spans):
+            for c in classes_of(kind, text[start:end]):
+                by_class.setdefault(c, []).append(i)
+        for c, own in by_class.items():
+            seen, told = set(), set()
+            for i in own:
+                words, around = near(spans[i][0], spans[i][2])
+                for t in words:
+                    if len(t) > 1 and (t, around) not in told:
+                        yield c, t, around, t not in seen
+                        seen.add(t)
+                        told.add((t, around))
+                if len(told) > SEEN:  # what is said again is summed up by Spark
+                    told.clear()
+
     said = {m.lower() for lo, hi in gaps(text, spans) for m in TERM.findall(text, lo, hi) if len(m) > 1} if spans else set()
-    return out, sorted(said), first or 0
+    return met(), sorted(said), near(spans[0][0], spans[0][2])[1] if spans else 0
 
 
 def runs(text: str, m: re.Match, most: int) -> list[list[tuple[int, int, str]]]:
@@ -196,22 +212,37 @@ def occurrences(text: str, spans: list[tuple[int, str, int]], terms: set[str]) -
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``base`` string (the spans, joined), the classes ``held``, and what ``meetings`` gives: ``near``,
-    ``said``, ``around``."""
-    meeting = pa.struct([("c", pa.string()), ("t", pa.string()), ("around", pa.int64()), ("first", pa.bool_())])
-
-    def make():
-        def work(texts: list) -> list[list]:
-            spans = [base_spans(t) for t in texts]
-            met = [meetings(t, s) if s else ([], [], 0) for t, s in zip(texts, spans, strict=True)]
-            near = [[dict(zip(("c", "t", "around", "first"), m, strict=True)) for m in n] for n, _, _ in met]
-            held = [held_by(t, s) if s else [] for t, s in zip(texts, spans, strict=True)]
-            return [[joined(s) for s in spans], held, near, [x[1] for x in met], [x[2] for x in met]]
-
-        return work
-
-    fields = {"base": pa.string(), "held": pa.list_(pa.string()), "near": pa.list_(meeting), "said": pa.list_(pa.string()), "around": pa.int64()}
-    return map_texts(docs, "text", fields, "base string, held array<string>, near array<struct<c:string,t:string,around:long,first:boolean>>, said array<string>, around long", make)
+    """A row for each of ``docs`` (doc_id, text, th): ``base`` (the spans, joined), the classes ``held``, its terms ``said`` and its ``around``; and
+    a row for each of its ``meetings``: ``c``, ``t``, ``around``, ``first``. A text with very many values is many rows, not one."""
+    lists, kind = pa.list_(pa.string()), dict(docs.dtypes)["doc_id"]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for b in batches for p in slices(b, "text")):
+            ids = part.schema.field("doc_id").type
+            types = {"doc_id": ids, "th": pa.int64(), "base": pa.string(), "held": lists, "said": lists, "around": pa.int64(), "c": pa.string(), "t": pa.string(), "first": pa.bool_()}
+
+            def batch(n: int, **cols: list | pa.Array) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([cols[x] if isinstance(cols.get(x), pa.Array) else pa.array(cols[x], t) if x in cols else pa.nulls(n, t) for x, t in types.items()], names=[*types])  # noqa: B023
+
+            rows: list[tuple] = []
+            near: list[tuple] = []
+            for t in part.column("text").to_pylist():
+                spans = base_spans(t)
+                met, said, around = meetings(t, spans) if spans else ((), [], 0)
+                rows.append((joined(spans), held_by(t, spans) if spans else [], said, around))
+                for m in met:
+                    near.append(m)
+                    if len(near) == NEAR_AT_ONCE:
+                        c, word, at, first = zip(*near, strict=True)
+                        yield batch(len(near), c=c, t=word, around=at, first=first)
+                        near = []
+            base, held, said, around = zip(*rows, strict=True)
+            yield batch(len(rows), doc_id=part.column("doc_id"), th=part.column("th"), base=base, held=held, said=said, around=around)
+            if near:
+                c, word, at, first = zip(*near, strict=True)
+                yield batch(len(near), c=c, t=word, around=at, first=first)
+
+    return docs.select("doc_id", "text", "th").mapInArrow(task, f"doc_id {kind}, th long, base string, held array<string>, said array<string>, around long, c string, t string, first boolean")
 
 
 def bitmap_of(terms: DataFrame) -> np.ndarray:
@@ -247,8 +278,8 @@ def documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def together(rows: DataFrame, support: int = LEAST_SUPPORT) -> DataFrame:
     """(c, t, n_tc) of the classes and terms that meet in ``support`` different surroundings or more."""
+    near = rows.where("c IS NOT NULL").groupBy("c", "t", "around").agg(F.count_if("first").alias("n"))
     rows = rows.where("base <> ''")
-    near = rows.select(F.explode("near").alias("m")).groupBy("m.c", "m.t", "m.around").agg(F.count_if("m.first").alias("n"))
     near = near.groupBy("c", "t").agg(F.sum("n").alias("n_tc"), F.count("*").alias("k"))
     # kinds: a row for each term of a document, with a mark for each kind that it holds
     kinds = [ANY, *KINDS[:4]]
@@ -267,7 +298,7 @@ def disclosing(docs: DataFrame, rows: DataFrame, alpha: float = ALPHA, support:
         return pairs.select("c", "t", F.lit(0.0).alias("pmi"), F.lit(0.0).alias("share"))
     n_c = cut(rows.where("base <> ''").select(F.explode("held").alias("c")).groupBy("c").agg(F.count("*").alias("n_c")))
     n_t = cut(documents_with(docs, pairs.select("t")))  # written, so that a term that many classes meet can be split below
-    total = F.lit(float(rows.count()))
+    total = F.lit(float(rows.where("c IS NULL").count()))
     scored = join_dimension(pairs, n_c, ["c"]).join(n_t, "t").select(
         "c", "t", F.log(F.col("n_tc") * total / (F.col("n_t") * F.col("n_c"))).alias("pmi"), F.log(total / F.col("n_c")).alias("ic")
     )
@@ -281,8 +312,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def told_in(docs: DataFrame, alpha: float = ALPHA, support: int = LEAST_SUPPORT) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, th, base, held), and (c, t) of the terms that disclose a class."""
-    rows = cut(found(keyed(docs)).select("doc_id", "th", "base", "held", "near", "said", "around"))
-    return rows.select("doc_id", "th", "base", "held"), cut(disclosing(docs, rows, alpha, support).select("c", "t"))
+    rows = cut(found(keyed(docs)))
+    return rows.where("c IS NULL").select("doc_id", "th", "base", "held"), cut(disclosing(docs, rows, alpha, support).select("c", "t"))
 
 
 def said_in(df: DataFrame, most: int) -> DataFrame:
