@@ -5,14 +5,15 @@ WARC-Refers-To and keep its target, date and payload digest:
 
 - metadata (application/json): the source's WARC fields and the HTTP headers as lists of [name, value], in their
   order and with repeated names, the HTTP status, and the page's title, links and meta entries;
-- conversion (text/plain): the blocks of text of the whole page, a line each.
+- conversion (text/plain): the blocks of text of the whole page, a line each. Chunked and compressed (gzip, deflate) payloads are decoded first, and
+  read by the charset of the byte order mark, the Content-Type or the page's meta entry, which the metadata names; digests are those of the source as it is.
 
 Each record has its own id and block digest; ids are name-based, so a second run, or a lost executor,
 makes the same records. Records are whole rows of bytes, and ``write`` writes them as WARC files, a
 gzip member for each, through Spark's own writer.
 
 Defined results: a null page is an empty payload, a null url the target ``urn:page:<page_id>``.
-Payloads that aren't UTF-8 are read with replacement characters. A null record, and one that can't be read, gives
+Bytes that aren't of the charset are read as replacement characters; payloads that are broken, or in an unknown coding, as far as they go. A null record, and one that can't be read, gives
 one row of record_type ``malformed`` whose other columns but page_id are null. Equal rows give equal records with
 equal ids: drop duplicates first where ids must be unique. An empty table gives none; page_id may have any
 type; columns other than those named are not read.
@@ -21,10 +22,13 @@ type; columns other than those named are not read.
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import json
+import re
 import uuid
+import zlib
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -95,19 +99,99 @@ def http_message(block: bytes) -> tuple[int, list[tuple[str, str]], bytes]:
     head, _, payload = block.partition(b"\r\n\r\n")
     first, *lines = head.decode("latin-1").split("\r\n")
     parts = first.split(" ", 2)
-    status = int(parts[1]) if len(parts) > 1 and parts[1].isdigit() else 0
+    status = int(parts[1]) if len(parts) > 1 and re.fullmatch("[0-9]{1,9}", parts[1]) else 0
     return status, [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)], payload
 
 
+def unchunked(payload: bytes) -> bytes:
+    """The bytes of a payload in chunks; of a broken one those before the break."""
+    out, at = [], 0
+    while (end := payload.find(CRLF, at)) >= 0:
+        size = payload[at:end].partition(b";")[0].strip()
+        if not re.fullmatch(b"[0-9a-fA-F]{1,8}", size) or not (n := int(size, 16)):
+            break
+        out.append(payload[end + 2 : end + 2 + n])
+        at = end + 2 + n + len(CRLF)
+    return b"".join(out)
+
+
+def inflated(payload: bytes, bits: int) -> bytes:
+    """The bytes of a compressed payload; of a broken one those before the break. MOST_INFLATED at most, so that no small record is a huge page."""
+    out, rest = [], payload
+    total = 0
+    while rest and total < MOST_INFLATED:
+        z = zlib.decompressobj(bits)
+        try:
+            part = z.decompress(rest, MOST_INFLATED - total)
+        except zlib.error:
+            if bits == zlib.MAX_WBITS and not out:  # "deflate" without the zlib header is common
+                return inflated(payload, -zlib.MAX_WBITS)
+            break
+        out.append(part)
+        total += len(part)
+        rest = z.unused_data if bits > zlib.MAX_WBITS else b""  # gzip may have several members
+    return b"".join(out)
+
+
+#: Bytes that a compressed payload gives at most.
+MOST_INFLATED = 256 << 20
+INFLATE = {"gzip": zlib.MAX_WBITS | 16, "x-gzip": zlib.MAX_WBITS | 16, "deflate": zlib.MAX_WBITS}
+CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9._:-]+)", re.I)
+MARKS = [(codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")]
+#: Bytes of a page in which its own name of a charset is looked for.
+HEAD_BYTES = 1024
+
+
+def known(charset: str) -> str:
+    """Python's name of a text encoding, or none."""
+    try:
+        found = codecs.lookup(charset)
+        b"a".decode(found.name)
+    except (LookupError, ValueError):
+        return ""
+    return "cp1252" if found.name in ("iso8859-1", "ascii") else found.name  # as browsers read them
+
+
+def body(headers: list[tuple[str, str]], payload: bytes) -> tuple[bytes, list[str]]:
+    """A payload without its transfer and content encodings, and those that were taken off, in that order."""
+    def named(name: str) -> list[str]:
+        return [x.strip().lower() for k, v in headers if k.lower() == name for x in v.split(",") if x.strip()]
+
+    done = []
+    for coding in [*reversed(named("transfer-encoding")), *reversed(named("content-encoding"))]:
+        if coding == "chunked":
+            payload = unchunked(payload)
+        elif coding in INFLATE:
+            payload = inflated(payload, INFLATE[coding])
+        else:
+            continue
+        done.append(coding)
+    return payload, done
+
+
+def text_of(headers: list[tuple[str, str]], payload: bytes) -> tuple[str, str]:
+    """The text of a decoded payload and the charset by which it was read: that of its byte order mark, of the Content-Type or of the page's own
+    meta entry, else UTF-8; bytes that aren't of it are replaced."""
+    for mark, charset in MARKS:
+        if payload.startswith(mark):
+            return payload[len(mark) :].decode(charset, "replace"), charset
+    said = [m[1] for k, v in headers if k.lower() == "content-type" and (m := CHARSET.search(v))]
+    said += [m[1] for m in CHARSET.finditer(payload[:HEAD_BYTES].decode("latin-1"))]
+    charset = next((c for c in map(known, said) if c), "utf-8")
+    return payload.decode(charset, "replace"), charset
+
+
 def derived(source: Record) -> tuple[Record, Record]:
     """The metadata and conversion record of a response."""
     status, headers, payload = http_message(source.block)
-    page = parsed(payload.decode("utf-8", "replace"))
+    plain, codings = body(headers, payload)
+    text, charset = text_of(headers, plain)
+    page = parsed(text)
     origin, target, date = source.field("WARC-Record-ID"), source.field("WARC-Target-URI"), source.field("WARC-Date")
     payload_digest = source.field("WARC-Payload-Digest") or digest(payload)
     about = {
         "warc": source.fields, "http": {"status": status, "headers": headers},
-        "html": {"title": page.title, "links": page.links, "metas": page.metas}, "payload": {"length": len(payload), "digest": payload_digest},
+        "html": {"title": page.title, "links": page.links, "metas": page.metas}, "payload": {"length": len(payload), "digest": payload_digest, "codings": codings, "charset": charset},
     }
 
     def linked(kind: str, content: str, block: bytes) -> Record:
@@ -118,10 +202,10 @@ def derived(source: Record) -> tuple[Record, Record]:
         ]
         return Record(fields, block)
 
-    text = "\n".join(x.text for x in page.leaves)
+    lines = "\n".join(x.text for x in page.leaves)
     return (
         linked("metadata", "application/json", json.dumps(about, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace")),
-        linked("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace")),
+        linked("conversion", "text/plain; charset=utf-8", lines.encode("utf-8", "replace")),
     )
 
 
@@ -159,11 +243,11 @@ def derivatives(records: DataFrame) -> DataFrame:
                 for i, raw in enumerate(part.column(1).to_pylist()):
                     try:
                         source = record_from(raw or b"")
-                    except ValueError:
+                        made = derived(source) if source.field("WARC-Type") == "response" else ()
+                    except (ValueError, LookupError, OverflowError, RecursionError):  # whatever is wrong with a record, others go on
                         rows.append((i, None, None))
                         continue
-                    if source.field("WARC-Type") == "response":
-                        rows += [(i, r, source.field("WARC-Payload-Digest")) for r in derived(source)]
+                    rows += [(i, r, source.field("WARC-Payload-Digest")) for r in made]
                 text = [[r.field(f) if r else MALFORMED if f == "WARC-Type" else None for _, r, _ in rows] for f in FIELDS.values()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array([i for i, _, _ in rows], pa.int64())), *[pa.array(t, pa.string()) for t in text],
