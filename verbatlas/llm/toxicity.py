@@ -6,14 +6,14 @@ penalty weighs these values (as in Wang and Manning, 2012). Learning takes a bou
 labelled documents of either label, the first by hash of the id; the intercept is then set where the
 fewest of them are wrong, each label weighed by its share among all labelled documents.
 
-Spark counts the sample's features by label; only those whose ratio says something, and each document's list of
-them, go to the driver, where the weights are fitted.
+Spark counts the sample's features by label; only those whose ratio says something, the most telling first until the documents hold
+MOST_ENTRIES of them, and each document's list of them, go to the driver, where the weights are fitted.
 
 Defined results: a null or empty text has no n-gram, and the score that the intercept gives. Rows
 without an id are held out of learning. Labels that are null, or differ for one id, are not learnt
 from; of an id that rows repeat, the text with the smallest MD5 is. Ids are compared as text. Without labels
 of both kinds every score is the share of label 1 (0 without labels).
-Equal texts have equal scores; repeated rows repeat; an empty table gives an empty result.
+Other columns of either table are left out, whatever their names. Equal texts have equal scores; repeated rows repeat; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ LEAST_DOCS = 5
 #: Features whose log-count ratio is nearer to zero say nothing and are left out.
 LEAST_RATIO = 0.6
 SMOOTHING, PENALTY, STEPS = 1.0, 0.02, 100
+#: Entries of the documents' lists that the driver gets, at most: beyond, the features that say least are left out.
+MOST_ENTRIES = 16_000_000
 
 
 def features(texts: list[str | None]) -> list[np.ndarray]:
@@ -112,8 +114,12 @@ def ratios(rows: DataFrame) -> np.ndarray:
     out = np.zeros(1 << BITS)
     if all_p:
         ratio = F.log((F.col("p") / F.lit(all_p)) / (F.col("q") / F.lit(all_q)))
-        told = often.select("f", ratio.alias("r")).where(F.abs("r") >= LEAST_RATIO).toArrow()  # 2**BITS rows at most
-        out[told.column("f").to_numpy()] = told.column("r").to_numpy()
+        entries = (F.col("p") + F.col("q") - 2 * SMOOTHING).cast("long").alias("n")
+        told = often.select("f", ratio.alias("r"), entries).where(F.abs("r") >= LEAST_RATIO).toArrow()  # 2**BITS rows at most
+        f, r, n = (told.column(c).to_numpy() for c in ("f", "r", "n"))
+        order = np.lexsort((f, -np.abs(r)))
+        kept = order[np.cumsum(n[order]) <= MOST_ENTRIES]
+        out[f[kept]] = r[kept]
     return out
 
 
