@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,8 +57,12 @@ def sha256(x: Column | str) -> Column:
     return F.sha2(col(x).cast("binary"), 256)
 
 
+#: White space that isn't a single space.
+SPACES = " [ \\t\\r\\n\\x0B\\f\\u00A0]+|[\\t\\r\\n\\x0B\\f\\u00A0][ \\t\\r\\n\\x0B\\f\\u00A0]*"
+
+
 def collapsed(x: Column | str) -> Column:
-    return F.trim(F.regexp_replace(col(x), "[ \\t\\r\\n\\x0B\\f\\u00A0]+", " "))
+    return F.trim(F.regexp_replace(col(x), SPACES, " "))
 
 
 # --- cleaning: each step gives the new text and how many places it changed ------------------------
@@ -87,8 +92,10 @@ FOOTNOTE = "([a-zà-ÿA-ZÀ-Ý)\\]\"'»])([.;:!?])([0-9]{1,2})$"
 def without_footnote(x: Column | str) -> tuple[Column, Column]:
     """A footnote mark, one or two digits glued to the last punctuation, goes."""
     t = F.rtrim(col(x))
-    has = t.rlike(FOOTNOTE)
-    return F.when(has, F.regexp_replace(t, FOOTNOTE, "$1$2")).otherwise(col(x)), has.cast("int")
+    end = F.substring(t, -5, 5)  # longer than any that the pattern meets
+    has = end.rlike(FOOTNOTE)
+    without = F.concat(F.substring(t, F.lit(1), F.length(t) - F.length(end)), F.regexp_replace(end, FOOTNOTE, "$1$2"))
+    return F.when(has, without).otherwise(col(x)), has.cast("int")
 
 
 TRAILING_TITLE = "(?<=[.;:!?)»”\"'][0-9]{0,2})\\s+([A-ZÁÀÂÃÉÊÍÓÔÕÚÜÇ][^.;:!?]{2,130})$"
@@ -260,14 +267,52 @@ def difference(a: Column | str, b: Column | str) -> Column:
     )
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` where ``x`` is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+#: Every letter with one combining mark U+0300 to U+036F that has a character of its own, and that character.
+PAIRS = {d: c for c in map(chr, range(0xC0, 0x2000)) if len(d := "".join(chr(int(h, 16)) for h in unicodedata.decomposition(c).split() if "<" not in h)) == 2 and d[1] in MARKS and unicodedata.normalize("NFC", d) == c}
+#: Marks on one letter that are composed, at most.
+MOST_MARKS = 3
+
+
+def composed(x: Column | str) -> Column:
+    """A text whose letters with combining marks are single characters, where there are such (as in Unicode's form C). Texts without
+    a mark, nearly all, are only looked through."""
+    table = F.map_from_arrays(F.lit([*PAIRS]), F.lit([*PAIRS.values()]))
+    marks = f"[{MARKS[0]}-{MARKS[-1]}]"
+
+    def compose(piece: Column) -> Column:
+        for _ in range(MOST_MARKS):  # the letter before the first mark, and that mark
+
+            def step(p: Column) -> Column:
+                at = F.regexp_instr(p, F.lit(marks))
+                to = F.element_at(table, F.substring(p, at - 1, F.lit(2)))
+                return F.when((at > 1) & to.isNotNull(), F.concat(F.substring(p, F.lit(1), at - 2), to, F.substring(p, at + 1, F.length(p)))).otherwise(p)
+
+            piece = once(piece, step)
+        return piece
+
+    t = col(x)
+    pieces = F.split(t, f"(?<={marks})(?!{marks})")
+    return F.when(t.rlike(marks), F.array_join(F.transform(pieces, compose), "")).otherwise(t)
+
+
+# Characters that a source and its copy write differently.
+SIGNS, ONE_SIGN = "–—‒−“”„«»‘’´`", "-" * 4 + '"' * 5 + "'" * 4
+
+
 def canonical(x: Column | str) -> Column:
-    """A text as it is compared with its source: one form of dashes, quotes, ordinals and spaces, no
-    footnote, one word for blocks that are vetoed or revoked."""
-    t = F.regexp_replace(col(x), "[–—‒−]", "-")
-    t = F.regexp_replace(F.regexp_replace(t, "[“”„«»]", '"'), "[‘’´`]", "'")
-    t = ordinals(t)[0]
-    t = F.regexp_replace(without_footnote(t)[0], "[°]", "º")
-    t = F.when(t.rlike("(?i)^\\(?\\s*vetado"), "(vetado)").when(t.rlike("(?i)^\\(?\\s*revogad"), "(revogado)").otherwise(t)
+    """A text as it is compared with its source: composed letters, one form of dashes, quotes, ordinals and spaces, no
+    footnote, one word for blocks that are vetoed or revoked. What a step uses more than once is computed once before it."""
+    t = F.translate(composed(x), SIGNS, ONE_SIGN)
+    for pattern, to in ORDINAL_STEPS:
+        t = F.regexp_replace(t, pattern, to)
+    t = once(t, lambda y: without_footnote(y)[0])
+    t = F.translate(t, "°", "º")
+    t = once(t, lambda y: F.when(y.rlike("(?i)^\\(?\\s*vetado"), "(vetado)").when(y.rlike("(?i)^\\(?\\s*revogad"), "(revogado)").otherwise(y))
     return F.lower(collapsed(t))
 
 

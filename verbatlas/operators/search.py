@@ -3,7 +3,7 @@
 A leg is (query_id, id, pos, ...): at most ``cap`` rows of a query, ranked in a total order that ends with the
 id. Legs are ranked before they are fused, so rows of one never move another's positions. Filters on
 the collection go into every leg before its ranking. All functions take a batch of queries; a single
-query is a batch of one, and small enough a batch (a parameter of the caller) is broadcast.
+query is a batch of one. Batches of vectors are counted and taken in blocks, each of which is broadcast.
 """
 
 from __future__ import annotations
@@ -115,9 +115,10 @@ def weighted_frequency(title: Column, body: Column, parsed: dict[str, list]) ->
 
 
 def lexical_leg(docs: DataFrame, query: str, query_id: int = 1, title: str | None = "title", body: str = "text", cap: int | None = CAP) -> DataFrame:
-    """(query_id, id, lex, pos) of the documents (id, title, body) that meet the query."""
+    """(query_id, id, lex, pos) of the documents (id, title, body) that meet the query; null texts are empty."""
     parsed = parse_query(query)
-    folded = docs.select("id", (norm(title) if title else F.lit("")).alias("t"), norm(body).alias("b"))
+    some = lambda c: F.coalesce(norm(c), F.lit("")) if c else F.lit("")
+    folded = docs.select("id", some(title).alias("t"), some(body).alias("b"))
     for w in parsed["must"]:  # a word is also a part of the text: most texts are out before they are split
         folded = folded.where(F.contains("b", F.lit(w)) | F.contains("t", F.lit(w)))
     split = lambda c: F.filter(F.split(c, "[^a-z0-9]+"), lambda w: w != "")

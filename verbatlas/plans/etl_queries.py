@@ -111,7 +111,10 @@ def q_marker_fk(spark, d):
 def q_corpus_diff(spark, d):
     base = t(spark, d, "documents")
     corpus = base.where("doc_id % 11 <> 0").select(F.col("doc_id").alias("id"), "text")
-    source = base.where("doc_id % 13 <> 0").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 17 == 0, F.concat("text", F.lit(" new"))).otherwise(F.col("text")).alias("text"), F.col("doc_id").alias("ordem"), F.expr("doc_id div 100").alias("parent"))
+    # every nineteenth source text has its accents apart, as some publishers write them: no change
+    apart = F.replace(F.replace("text", F.lit("é"), F.lit("e\u0301")), F.lit("ü"), F.lit("u\u0308"))
+    words = F.when(F.col("doc_id") % 19 == 0, apart).otherwise(F.col("text"))
+    source = base.where("doc_id % 13 <> 0").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 17 == 0, F.concat(words, F.lit(" new"))).otherwise(words).alias("text"), F.col("doc_id").alias("ordem"), F.expr("doc_id div 100").alias("parent"))
     return compare.compared(corpus, source)
 
 
