@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verbatlas.functions import display, html, text
-from verbatlas.operators import answers, compare, consult, curation, integrity, merge, ordered, relate, reports, search, sentence
+from verbatlas.operators import answers, compare, consult, curation, index, integrity, merge, ordered, relate, reports, search, sentence
 from verbatlas.streaming import collect
 
 
@@ -67,8 +67,6 @@ def test_rules_written_twice_agree(spark):
     words = ["Ação", "condenados", "privilégio", "a", "rei", "leis", "constitucionalmente", "ŽIVOT", "x1", "naturezas"]
     df = spark.createDataFrame([(w,) for w in words], "w string")
     assert [r[0] for r in df.select(text.norm("w")).collect()] == [text.plain(w) for w in words]
-    stemmed = [r[0] for r in df.select(search.stem(text.norm("w"))).collect()]
-    assert [s for w, s in zip(words, stemmed, strict=True) if text.plain(w) not in search.STOP] == [search.stems(w)[0] for w in words if text.plain(w) not in search.STOP]
     assert search.parse_query('Ações "pena de" -réu')["not"] == ["reu"]
 
 
@@ -76,13 +74,11 @@ def test_clamped_sizes():
     assert [search.clamped(x) for x in ("5", 0, 99, "x", None, "nan", 3.9, float("inf"))] == [5, 1, 40, 8, 8, 8, 3, 8]
 
 
-def test_an_index_gives_what_a_scan_gives(spark, tmp_path):
+def test_a_stemmed_index_gives_what_a_scan_gives(spark, tmp_path):
     docs = spark.createDataFrame([(1, "Penas", "as penas privativas de liberdade"), (2, "x", "liberdade e, muito depois de tudo, a pena"), (3, "x", "a pena é a liberdade; pena, liberdade"), (4, None, None), (5, "liberdade", "sem")], "id long, title string, text string")
-    search.write_postings(search.postings(docs), str(tmp_path / "i"), 8)
-    wanted = search.stems("pena de liberdade")
-    assert wanted == ["pen", "liberdad"]
-    index = search.read_postings(spark, str(tmp_path / "i"), wanted, 8)
-    hits = search.indexed_leg(index, "pena de liberdade").orderBy("pos").collect()
+    own = index.Index(spark, str(tmp_path / "i"), buckets=4, blocks=2, stemmed=True)
+    index.added(own, docs)
+    hits = index.lexical(own, "pena de liberdade", density=True).orderBy("pos").collect()
     assert [r["id"] for r in hits] == [3, 1, 2] and all(r["density"] > 0 for r in hits)
     plain = {r["id"] for r in docs.fillna("").where(F.lower("text").contains("liberdad") & F.lower(F.concat("title", F.lit(" "), "text")).contains("pena")).collect()}
     assert {r["id"] for r in hits} == plain

@@ -5,20 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written in the folder that spark.checkpoint.dir names, and read from there.
-
-    Where none is named, a folder of the warehouse, which a cluster shares, or in a local session a temporary one.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors share: that which spark.checkpoint.dir names; where none is named, one of the warehouse, or in a local session a
+    temporary one."""
     sc = spark.sparkContext
+    where = sc.getConf().get("spark.checkpoint.dir")
+    if not where:
+        local = sc.master.startswith("local[") or sc.master == "local"
+        where = tempfile.mkdtemp(prefix="verbatlas-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex}"
+    return where
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written in the shared folder, and read from there."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        where = sc.getConf().get("spark.checkpoint.dir")
-        if not where:
-            local = sc.master.startswith("local[") or sc.master == "local"
-            where = tempfile.mkdtemp(prefix="verbatlas-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex}"
-        sc.setCheckpointDir(where)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -8,7 +8,7 @@ is one file, put there by a rename, so that a reader sees the old index or the n
 A posting row is a lexeme in a block of documents: their ids, weights and positions, and the highest weight. A document's block follows
 from its length and the hash of its id, so long documents, whose weights are high, share blocks. A search for the first ``cap`` reads the
 highest weights alone, bounds every block by them, looks into the best blocks, and then only into those whose bound is not below
-the score that it has; the rows are those of a scan.
+the score of the last row that these give; the rows are those of a scan.
 """
 
 from __future__ import annotations
@@ -16,7 +16,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from typing import NamedTuple
+from zlib import crc32
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,13 @@ MOST_SEGMENTS = 8
 FIRST_BLOCKS = 24
 
 
+class State(NamedTuple):
+    version: int
+    last: int  # the highest number of a segment so far
+    segments: list[int]
+    id_type: str
+
+
 @dataclass(frozen=True)
 class Index:
     """Where an index is and how it is written. ``blocks`` is the number of blocks for each class of lengths: documents by class over 100 to 200 is
@@ -44,25 +54,25 @@ class Index:
     title: str | None = "title"
     body: str = "text"
 
+    def state(self) -> State:
+        """What the newest version says; the first, without a segment, where nothing was written. A few numbers for each version are read."""
+        try:
+            rows = self.spark.read.schema("segment int, version int, id_type string").parquet(f"{self.path}/live").collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = []
+        if not rows:
+            return State(0, 0, [], "")
+        version = max(r["version"] for r in rows)
+        return State(version, max(r["segment"] for r in rows), sorted(r["segment"] for r in rows if r["version"] == version), rows[0]["id_type"])
+
     def segments(self) -> list[int]:
         """The segments that count, oldest first."""
-        try:
-            rows = self.spark.read.schema("segment int, version int").parquet(f"{self.path}/live")
-            newest = rows.agg(F.max("version")).first()[0]
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(e):
-                return []
-            raise
-        return sorted(r[0] for r in rows.where(F.col("version") == newest).select("segment").collect()) if newest is not None else []
-
-    def last(self) -> tuple[int, int]:
-        """The highest numbers of a version and a segment so far."""
-        if not self.segments():
-            return 0, 0
-        return tuple(self.spark.read.schema("segment int, version int").parquet(f"{self.path}/live").agg(F.max("version"), F.max("segment")).first())
-
-    def publish(self, version: int, segments: list[int]) -> None:
-        rows = self.spark.createDataFrame([(x,) for x in segments], "segment int").withColumn("version", F.lit(version))
+        return self.state().segments
+
+    def publish(self, version: int, segments: list[int], kind: str) -> None:
+        rows = self.spark.range(1).select(F.explode(F.lit(segments).cast("array<int>")).alias("segment"), F.lit(version).alias("version"), F.lit(kind).alias("id_type"))
         rows.coalesce(1).write.mode("append").parquet(f"{self.path}/live")
 
     def read(self, what: str, segments: list[int], schema: str) -> DataFrame:
@@ -74,10 +84,6 @@ class Index:
         return self.read("gone", segments, f"id {id_type}").select("id", F.col("segment").alias("before"))
 
 
-def id_type(index: Index) -> str:
-    return dict(index.spark.read.parquet(f"{index.path}/s={index.segments()[0]}/docs").dtypes)["id"]
-
-
 def postings_of(index: Index, docs: DataFrame) -> DataFrame:
     """(id, size, lexeme, t, b, at): of each document's lexemes how often they are in the title and the body, and where, titles first."""
     some = lambda c: lexemes(F.coalesce(F.col(c), F.lit("")) if c else F.lit(""))  # noqa: E731  null is empty
@@ -98,7 +104,7 @@ def write(index: Index, number: int, each: DataFrame, docs: DataFrame, gone: Dat
     block = F.floor(F.log2(F.col("size") + 1)).cast("long") * 65536 + F.pmod(F.xxhash64("id"), F.lit(index.blocks))
     weight = s.TITLE * F.col("t") + s.BODY * F.col("b")
     rows = each.groupBy("lexeme", block.alias("block")).agg(F.max(weight).alias("top"), F.collect_list(F.struct("id", "size", "t", "b", "at")).alias("postings"))
-    bucket = F.pmod(F.xxhash64("lexeme"), F.lit(index.buckets)).cast("int")
+    bucket = (F.crc32(F.col("lexeme").cast("binary")) % index.buckets).cast("int")
     rows.withColumn("bucket", bucket).repartition(index.buckets, "bucket").sortWithinPartitions("bucket", "lexeme", "block").write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(f"{at}/postings")
     docs.select("id").write.mode("overwrite").parquet(f"{at}/docs")
     gone.select("id").write.mode("overwrite").parquet(f"{at}/gone")
@@ -106,7 +112,7 @@ def write(index: Index, number: int, each: DataFrame, docs: DataFrame, gone: Dat
 
 def live_docs(index: Index) -> DataFrame:
     """(id, segment) of the documents that count."""
-    segments, kind = index.segments(), id_type(index)
+    _, _, segments, kind = index.state()
     return without_gone(index, index.read("docs", segments, f"id {kind}"), segments, kind)
 
 
@@ -119,37 +125,32 @@ def without_gone(index: Index, rows: DataFrame, segments: list[int], kind: str)
 
 def added(index: Index, docs: DataFrame, most: int = MOST_SEGMENTS) -> None:
     """Takes in documents (id, title, text) with one row for each id; those whose id the index has replace them."""
-    segments = index.segments()
-    version, number = index.last()
+    version, number, segments, _ = index.state()
     each = cut(postings_of(index, docs))
     ids = docs.select("id")
     gone = live_docs(index).select("id").join(ids, "id", "left_semi") if segments else ids.limit(0)
     write(index, number + 1, each, ids, gone)
-    index.publish(version + 1, [*segments, number + 1])
+    index.publish(version + 1, [*segments, number + 1], dict(docs.dtypes)["id"])
     if len(segments) + 1 > most:
         merged(index)
 
 
 def removed(index: Index, ids: DataFrame) -> None:
     """Takes out the documents with these ids."""
-    segments = index.segments()
-    version, number = index.last()
-    kind = id_type(index)
+    version, number, segments, kind = index.state()
     none = index.spark.createDataFrame([], f"id {kind}, size int, lexeme string, t int, b int, at array<int>")
     write(index, number + 1, none, none, ids.select(F.col("id").cast(kind)).distinct())
-    index.publish(version + 1, [*segments, number + 1])
+    index.publish(version + 1, [*segments, number + 1], kind)
 
 
 def merged(index: Index) -> None:
     """One segment of all that counts; the older ones stay for those who read them."""
-    segments = index.segments()
+    version, number, segments, kind = index.state()
     if len(segments) < 2:
         return
-    version, number = index.last()
-    kind = id_type(index)
     each = without_gone(index, occurrences(index, segments, kind), segments, kind).drop("segment", "block")
     write(index, number + 1, each, live_docs(index), live_docs(index).limit(0))
-    index.publish(version + 1, [number + 1])
+    index.publish(version + 1, [number + 1], kind)
 
 
 def schema_of(kind: str) -> str:
@@ -161,15 +162,16 @@ def rows_of(index: Index, segments: list[int], kind: str, words: list[str] | Non
     rows = index.read("postings", segments, schema_of(kind))
     if words is None:
         return rows
-    of = F.pmod(F.xxhash64("w"), F.lit(index.buckets)).cast("int")
-    mine = [r[0] for r in index.spark.createDataFrame([(w,) for w in words], "w string").select(of).distinct().collect()]
+    mine = sorted({crc32(w.encode()) % index.buckets for w in words})
     return rows.where(F.col("bucket").isin(mine) & F.col("lexeme").isin(words))
 
 
-def occurrences(index: Index, segments: list[int], kind: str, words: list[str] | None = None, blocks: DataFrame | None = None) -> DataFrame:
+def occurrences(index: Index, segments: list[int], kind: str, words: list[str] | None = None, blocks: DataFrame | list[int] | None = None) -> DataFrame:
     """(lexeme, block, segment, id, size, t, b, at)."""
     rows = rows_of(index, segments, kind, words)
-    if blocks is not None:
+    if isinstance(blocks, list):
+        rows = rows.where(F.col("block").isin(blocks))
+    elif blocks is not None:
         rows = rows.join(blocks.select("block"), "block", "left_semi")
     return rows.select("lexeme", "block", "segment", F.explode("postings").alias("p")).select("lexeme", "block", "segment", "p.*")
 
@@ -181,25 +183,21 @@ def lexical(index: Index, query: str, query_id: int = 1, cap: int | None = s.CAP
     if index.stemmed:
         own = lambda words: stems_of(index.spark, words, s.STOP)
         parsed = {k: own(v) for k, v in parsed.items() if k in ("must", "not")} | {k: [x for x in map(own, parsed[k]) if x] for k in ("phrases", "any")}
-    segments = index.segments()
+    _, _, segments, kind = index.state()
     if not segments:
         raise ValueError(f"no index at {index.path}")
-    kind = id_type(index)
     wanted = list(dict.fromkeys([*parsed["must"], *(w for g in parsed["any"] for w in g)]))
     if not wanted:
         return without_words(index, parsed, segments, kind, query_id, cap, only)
     if cap is None or only is not None or density:
         return s.ranked(scored(index, parsed, segments, kind, None, only, density).withColumn("query_id", F.lit(query_id)), *order(density), cap=cap).select("query_id", "id", *(["density"] if density else []), "lex", "pos")
-    bounds = cut(bounded(index, parsed, segments, kind, wanted))
-    first = bounds.orderBy(F.desc("bound"), "block").limit(FIRST_BLOCKS)
-    first = cut(first)
-    best = cut(scored(index, parsed, segments, kind, F.broadcast(first), None, False))  # FIRST_BLOCKS rows
-    floor = best.orderBy(F.desc("lex")).limit(cap).agg(F.count("*"), F.min("lex")).first()
-    rest = bounds.join(F.broadcast(first.select("block")), "block", "left_anti")
-    if floor[0] >= cap:
-        rest = rest.where(F.round("bound", 6) >= floor[1])
-    every = best.unionByName(scored(index, parsed, segments, kind, rest, None, False))
-    return s.ranked(every.withColumn("query_id", F.lit(query_id)), *order(False), cap=cap).select("query_id", "id", "lex", "pos")
+    bounds = bounded(index, parsed, segments, kind, wanted)
+    first = [r["block"] for r in bounds.orderBy(F.desc("bound"), "block").limit(FIRST_BLOCKS).collect()]
+    found = scored(index, parsed, segments, kind, first, None, False)
+    if len(first) == FIRST_BLOCKS:  # there may be more
+        n, least = found.orderBy(F.desc("lex")).limit(cap).agg(F.count("*"), F.min("lex")).first()
+        found = scored(index, parsed, segments, kind, bounds.where(F.round("bound", 6) >= (least if n >= cap else 0.0)), None, False)
+    return s.ranked(found.withColumn("query_id", F.lit(query_id)), *order(False), cap=cap).select("query_id", "id", "lex", "pos")
 
 
 def order(density: bool) -> list[Column]:
@@ -215,7 +213,7 @@ def bounded(index: Index, parsed: dict, segments: list[int], kind: str, wanted:
     return tops.groupBy("block").agg(F.sum("top").alias("bound"), *tests).where(reduce(lambda a, b: a & b, map(F.col, names))).select("block", "bound")
 
 
-def scored(index: Index, parsed: dict, segments: list[int], kind: str, blocks: DataFrame | None, only: DataFrame | None, density: bool) -> DataFrame:
+def scored(index: Index, parsed: dict, segments: list[int], kind: str, blocks: DataFrame | list[int] | None, only: DataFrame | None, density: bool) -> DataFrame:
     """(id, lex) of the hits in ``blocks`` (all), as a scan scores them."""
     must, some = parsed["must"], [w for g in parsed["any"] for w in g]
     wanted = list(dict.fromkeys([*must, *some]))

@@ -9,6 +9,7 @@ query is a batch of one. Batches of vectors are counted and taken in blocks, eac
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -128,65 +129,12 @@ def lexical_leg(docs: DataFrame, query: str, query_id: int = 1, title: str | Non
     return ranked(scored, F.col("lex").desc(), F.col("id"), cap=cap)
 
 
-# Words that a Portuguese text search leaves out, in normal form, and the endings that its words lose.
+# Words that a Portuguese text search leaves out, in normal form.
 STOP = frozenset(
     "a ao aos aquela aquelas aquele aqueles aquilo as ate com como da das de dela delas dele deles depois do dos e ela elas ele eles em entre era eram essa essas esse esses esta estas este estes eu foi foram"
     " ha isso isto ja lhe lhes mais mas me mesmo meu meus minha minhas muito na nao nas nem no nos nossa nossas nosso nossos num numa o os ou para pela pelas pelo pelos por qual quando que quem sao se seja sem ser"
     " seu seus so sua suas tambem te tem tendo ter teu teus tu tua tuas um uma voce voces".split()
 )
-ENDINGS = "amentos imentos amento imento adoras adores aciones acoes ucoes encias adora ador acao ucao encia ancia ismos istas ismo ista osos osas oso osa veis vel mente idades idade ivas ivos iva ivo ados adas idos idas ado ada ido ida ar er ir as es is os a e o s".split()
-ENDING = f"(?<=^[a-z0-9]{{3,60}})(?:{'|'.join(ENDINGS)})$"
-
-
-def stem(word: Column) -> Column:
-    """A word without its longest ending that leaves three letters; a light stemmer for Portuguese."""
-    return F.regexp_replace(word, ENDING, "")
-
-
-def stems(query: str) -> list[str]:
-    """The stems of a query's words that aren't left out, each once, by the same rules."""
-    words = [w for w in re.findall("[a-z0-9]+", plain(query)) if w not in STOP]
-    return list(dict.fromkeys(re.sub(f"^([a-z0-9]{{3,60}}?)(?:{'|'.join(ENDINGS)})$", r"\1", w) for w in words))
-
-
-def postings(docs: DataFrame, title: str | None = "title", body: str = "text", stemmed: bool = True) -> DataFrame:
-    """(lexeme, id, weight, positions): the inverted index of a collection, to be written once, by lexeme.
-
-    Titles come first and weigh TITLE, bodies BODY; positions count all words, those left out too.
-    """
-    parts = [(c, w) for c, w in ((title, TITLE), (body, BODY)) if c]
-
-    def weighted(column: str, weight: float) -> Column:
-        return F.transform(lexemes(column), lambda x: F.struct(x.alias("x"), F.lit(weight).alias("w")))
-
-    words = [weighted(c, w) for c, w in parts]
-    each = docs.select("id", F.posexplode(F.concat(*words)).alias("at", "v")).where(~F.col("v.x").isin(*STOP))
-    each = each.select("id", "at", (stem(F.col("v.x")) if stemmed else F.col("v.x")).alias("lexeme"), F.col("v.w").alias("w"))
-    return each.groupBy("lexeme", "id").agg(F.round(F.sum("w"), 6).alias("weight"), F.sort_array(F.collect_list("at")).alias("positions"))
-
-
-def write_postings(rows: DataFrame, path: str, buckets: int = 256) -> None:
-    """The index under ``path``, a folder for each bucket of lexemes, sorted: a query reads its own buckets, and of their files
-    the row groups of its lexemes."""
-    n = F.pmod(F.xxhash64("lexeme"), F.lit(buckets)).cast("int")
-    rows.withColumn("bucket", n).repartition(buckets, "bucket").sortWithinPartitions("bucket", "lexeme", "id").write.mode("overwrite").partitionBy("bucket").parquet(path)
-
-
-def read_postings(spark: SparkSession, path: str, words: list[str], buckets: int = 256) -> DataFrame:
-    """The rows of the given lexemes: their buckets alone are listed and read."""
-    of = F.pmod(F.xxhash64("w"), F.lit(buckets)).cast("int")
-    mine = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(of.alias("b")).distinct().collect()]
-    return spark.read.parquet(path).where(F.col("bucket").isin(mine) & F.col("lexeme").isin(words)).drop("bucket")
-
-
-def indexed_leg(index: DataFrame, query: str, query_id: int = 1, cap: int | None = CAP) -> DataFrame:
-    """(query_id, id, density, lex, pos) of the documents that have all of a query's stems, from an index's rows: by cover
-    density, then weight. A query's documents meet by id, a row for each of its few stems."""
-    wanted = stems(query)
-    rows = index.where(F.col("lexeme").isin(wanted)).groupBy("id").agg(F.collect_list("positions").alias("at"), F.sum("weight").alias("lex"))
-    hit = rows.where(F.size("at") == len(wanted))
-    scored = hit.select(F.lit(query_id).alias("query_id"), "id", F.round(cover_density(F.col("at")), 6).alias("density"), F.round("lex", 6).alias("lex"))
-    return ranked(scored, F.col("density").desc(), F.col("lex").desc(), F.col("id"), cap=cap)
 
 
 def cover_density(positions: Column) -> Column:
@@ -345,20 +293,21 @@ def clamped(asked: object, default: int = 8, most: int = 40) -> int:
 
 def hybrid(
     docs: DataFrame, vectors: DataFrame | None, terms: DataFrame, edges: DataFrame, query: str, vector: DataFrame | None = None,
-    most: int = 12, only: Column | None = None, weights: dict[str, float] | None = None, k: int = K, cap: int = CAP,
+    most: int = 12, only: Column | None = None, weights: dict[str, float] | None = None, k: int = K, cap: int = CAP, words: Callable[[DataFrame | None], DataFrame] | None = None,
 ) -> DataFrame:
     """(query_id, place, id, score, term, role, weight, term_pos, lexical_pos, vector_pos).
 
     ``docs`` (id, title, text, ...) are narrowed by ``only`` before each leg; ``vectors`` (id, vector) and
     ``edges`` (term_id, id, role, weight) always keep ids of these alone, before they are ranked: an id that no
-    document has is never returned and never takes a place. Without a query vector its leg is empty.
+    document has is never returned and never takes a place. Without a query vector its leg is empty. ``words`` gives the lexical leg from a
+    written index of the documents, for the ids that it is given or all; without it their texts are scanned.
     """
     spark = docs.sparkSession
     narrowed = docs.where(only) if only is not None else docs
     ids = narrowed.select("id")
     queries = spark.range(1).select(F.lit(1).alias("query_id"), F.lit(query).alias("query"))
     curated = term_leg(queries, terms, of_documents(edges, ids), cap=None)
-    legs = {"term": curated, "lexical": lexical_leg(narrowed, query, cap=cap)}
+    legs = {"term": curated, "lexical": words(ids if only is not None else None) if words else lexical_leg(narrowed, query, cap=cap)}
     if vector is not None and vectors is not None:
         legs["vector"] = vector_leg(of_documents(vectors, ids), vector, cap)
     scores = fused(legs, weights, k)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from verbatlas.functions import blocks, display
 from verbatlas.operators import consult, curation, merge, ordered, reports, search
+from verbatlas.operators import index as written
 from verbatlas.plans.etl_queries import inline
-from verbatlas.plans.search_queries import ASK, documents, hybrid_sql, run, t
+from verbatlas.plans.search_queries import ASK, documents, hybrid_sql, index_of, run, t
 
 LAWS = ["O", "P"]
 
@@ -96,9 +97,10 @@ INDEXED = "idiot pathetic"
 
 
 def q_index_lookup(spark, d):
-    """Documents with all words of a question, from the token rows; the stemmer left out, so that SQL can follow."""
-    rows = search.postings(documents(spark, d), stemmed=False).where(F.col("lexeme").isin(INDEXED.split()))
-    hit = rows.groupBy("id").agg(F.count("*").alias("words"), F.round(F.sum("weight"), 6).alias("weight"), F.sum(F.size("positions")).alias("places"))
+    """Documents with all words of a question, from the rows of the written index."""
+    own = index_of(spark, d)
+    rows = written.occurrences(own, *own.state()[2:], INDEXED.split())
+    hit = rows.groupBy("id").agg(F.count("*").alias("words"), F.round(F.sum(search.TITLE * F.col("t") + search.BODY * F.col("b")), 6).alias("weight"), F.sum(F.size("at")).alias("places"))
     return hit.where("words = 2").drop("words")
 
 

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbatlas.functions.lineage import shared_folder
 from verbatlas.functions.text import lexemes, norm
+from verbatlas.operators import index as written
 from verbatlas.operators import search as s
+from verbatlas.operators import stems
 
 #: The question, the row whose vector is the query's, and the curated vocabulary of these queries.
 ASK, VECTOR_OF, LANG = "toxic language that and", 7, "en"
+DENSE_ASK = "idiot pathetic"
 PLAIN_ASK, NOT_ASK, PHRASE, ANY_ASK = "the and that", "the and -idiot", '"of the" and', "idiot or moron the"
 TERMS = [(1, "Toxic language", ["insults", "offensive words"]), (2, "High quality text", ["clean prose"]), (3, "Scum", ["that"])]
 
@@ -27,6 +33,25 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
+#: Indexes that this process has written, by application, folder of tables and kind.
+WRITTEN: dict[tuple[str, str, bool], written.Index] = {}
+
+
+def index_of(spark: SparkSession, d: str, stemmed: bool = False) -> written.Index:
+    """The index of the documents of ``d``: written by the first search of a session, read by all."""
+    key = (spark.sparkContext.applicationId, d, stemmed)
+    if key not in WRITTEN:
+        own = written.Index(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", stemmed=stemmed)
+        written.added(own, documents(spark, d))
+        WRITTEN[key] = own
+    return WRITTEN[key]
+
+
+def words_of(spark: SparkSession, d: str, ask: str):
+    """The lexical leg of a question, from the written index."""
+    return lambda only=None: written.lexical(index_of(spark, d), ask, only=only)
+
+
 def asked(spark: SparkSession, d: str) -> DataFrame:
     return vectors(spark, d).where(F.col("id") == VECTOR_OF).select(F.lit(1).alias("query_id"), "vector")
 
@@ -47,7 +72,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 def run(spark: SparkSession, d: str, ask: str = ASK, vector: bool = True, only: str | None = None, most: int = 12) -> DataFrame:
     hits = s.hybrid(
         documents(spark, d), vectors(spark, d), vocabulary(spark), edges(spark, d), ask,
-        asked(spark, d) if vector else None, most=most, only=None if only is None else F.col("lang") == only,
+        asked(spark, d) if vector else None, most=most, only=None if only is None else F.col("lang") == only, words=words_of(spark, d, ask),
     )
     return hits.drop("query_id")
 
@@ -130,7 +155,7 @@ def q_hybrid_no_vector(spark, d):
 
 
 def q_fusion_floor(spark, d):
-    hits = s.hybrid(documents(spark, d), vectors(spark, d), vocabulary(spark), edges(spark, d), PLAIN_ASK, asked(spark, d), most=60)
+    hits = s.hybrid(documents(spark, d), vectors(spark, d), vocabulary(spark), edges(spark, d), PLAIN_ASK, asked(spark, d), most=60, words=words_of(spark, d, PLAIN_ASK))
     return s.above_floor(hits).drop("query_id")
 
 
@@ -139,7 +164,7 @@ def legs(spark, d):
     docs = documents(spark, d)
     return {
         "term": s.term_leg(queries, vocabulary(spark), s.of_documents(edges(spark, d), docs), cap=None),
-        "lexical": s.lexical_leg(docs, ASK),
+        "lexical": words_of(spark, d, ASK)(),
         "vector": s.vector_leg(s.of_documents(vectors(spark, d), docs), asked(spark, d)),
     }
 
@@ -197,7 +222,44 @@ def q_cosine_batch(spark, d):
 
 
 def lexical(ask):
-    return lambda spark, d: s.lexical_leg(documents(spark, d), ask).select("id", "lex", "pos")
+    return lambda spark, d: words_of(spark, d, ask)().select("id", "lex", "pos")
+
+
+def q_lexical_scan(spark, d):
+    """The same as q_lexical_and, without an index."""
+    return s.lexical_leg(documents(spark, d), PLAIN_ASK).select("id", "lex", "pos")
+
+
+def q_lexical_density(spark, d):
+    """Ranked by cover density, of the words of the bodies and titles together."""
+    return written.lexical(index_of(spark, d), DENSE_ASK, density=True).select("id", "density", "lex", "pos")
+
+
+def q_stems(spark, d):
+    """The stem of every word of the documents."""
+    words = documents(spark, d).select(F.explode(F.array_distinct(lexemes("text"))).alias("word")).distinct()
+    return words.select("word", stems.stem("word").alias("stem"))
+
+
+def q_index_stems(spark, d):
+    """How many documents and places each stem of a stemmed index has."""
+    own = index_of(spark, d, stemmed=True)
+    rows = written.occurrences(own, *own.state()[2:])
+    return rows.groupBy("lexeme").agg(F.count("*").alias("documents"), F.sum(F.col("t") + F.col("b")).alias("places"))
+
+
+def q_index_increments(spark, d):
+    """An index by two increments, one of changed and one of returning documents, a removal and a merge: what it holds of each document."""
+    docs = documents(spark, d).where("id IS NOT NULL")
+    own = written.Index(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", buckets=4)
+    written.added(own, docs.where("id % 3 = 0"))
+    written.added(own, docs.where("id % 3 <> 0"))
+    written.added(own, docs.where("id % 5 = 0").withColumn("text", F.concat(F.lit("changed words "), F.col("text"))))
+    written.removed(own, docs.where("id % 7 = 0").select("id"))
+    written.added(own, docs.where("id % 35 = 0"))
+    written.merged(own)
+    rows = written.occurrences(own, *own.state()[2:])
+    return rows.groupBy("id").agg(F.count("*").alias("lexemes"), F.sum(F.col("t") + F.col("b")).alias("places"), F.count_if(F.col("lexeme") == "changed").alias("changed"))
 
 
 def q_cover_density(spark, d):
@@ -256,10 +318,50 @@ SQL = {
       ORDER BY asked, l_linenumber LIMIT 12""",
     "q_norm_group": "SELECT md5(strip_accents(lower(text))) AS same, count(*) AS n FROM documents GROUP BY 1",
 }
-for name, ask in {"q_lexical_and": PLAIN_ASK, "q_lexical_not": NOT_ASK, "q_phrase": PHRASE, "q_lexical_any": ANY_ASK}.items():
+def stem_sql(words: str) -> str:
+    """(word, stem) of a table of distinct words: the stemmer's rules, a step a row."""
+    r = stems
+
+    def end(w: str, ends: list[str]) -> str:
+        return f"regexp_extract({w}, '(?:{'|'.join(ends)})$')"
+
+    def less(w: str, ends: list[str], least: str) -> str:
+        return f"CASE WHEN {end(w, ends)} <> '' AND length({w}) - length({end(w, ends)}) >= {least} THEN left({w}, (length({w}) - length({end(w, ends)}))::INT) ELSE {w} END"
+
+    def among(ends: list[str]) -> str:
+        return "e IN (" + ", ".join(f"'{x}'" for x in ends) + ")"
+
+    start = "CASE WHEN regexp_extract(w, '{0}') = '' THEN length(w) ELSE length(regexp_extract(w, '{0}')) END".format
+    every = [*r.NOMINAL, *r.LOGIA, *r.AMENTE, *r.MENTE, *r.IDADE, *r.IVO, *r.IRA]
+    return f"""m AS (SELECT w, {start(r.R1)} AS r1, {start(r.R2)} AS r2, {start(r.RV)} AS rv, {end('w', every)} AS e FROM {words}),
+      l AS (SELECT *, left(w, (length(w) - length(e))::INT) AS l FROM m),
+      la AS (SELECT *, {less('l', ['iv', 'os', 'ic', 'ad'], 'r2')} AS am FROM l),
+      st AS (SELECT w, rv, CASE WHEN {among(r.NOMINAL)} AND length(l) >= r2 THEN l WHEN {among(r.LOGIA)} AND length(l) >= r2 THEN l || 'log'
+          WHEN {among(r.AMENTE)} AND length(l) >= r1 THEN CASE WHEN l LIKE '%iv' AND am <> l THEN {less('am', ['at'], 'r2')} ELSE am END
+          WHEN {among(r.MENTE)} AND length(l) >= r2 THEN {less('l', ['ante', 'avel'], 'r2')} WHEN {among(r.IDADE)} AND length(l) >= r2 THEN {less('l', ['abil', 'ic', 'iv'], 'r2')}
+          WHEN {among(r.IVO)} AND length(l) >= r2 THEN {less('l', ['at'], 'r2')} WHEN {among(r.IRA)} AND length(l) >= rv AND l LIKE '%e' THEN l || 'ir' ELSE w END AS now FROM la),
+      vb AS (SELECT w, rv, CASE WHEN now <> w THEN now ELSE left(w, (length(w) - length({end('substr(w, rv + 1)', r.VERBAL)}))::INT) END AS now FROM st),
+      rs AS (SELECT w, rv, CASE WHEN now = w THEN {less('w', r.RESIDUAL, 'rv')} WHEN now LIKE '%ci' AND length(now) - 1 >= rv THEN left(now, -1) ELSE now END AS now FROM vb),
+      fi AS (SELECT w, rv, now, now LIKE '%e' AND length(now) - 1 >= rv AS cut FROM rs),
+      stemmed AS (SELECT w AS word, CASE WHEN cut AND (now LIKE '%gue' OR now LIKE '%cie') AND length(now) - 2 >= rv THEN left(now, -2) WHEN cut THEN left(now, -1) ELSE now END AS stem FROM fi)"""
+
+
+SQL["q_stems"] = f"WITH ws AS (SELECT DISTINCT unnest({WORDS.format('text')}) AS w FROM documents), {stem_sql('ws')} SELECT word, stem FROM stemmed"
+SQL["q_index_stems"] = f"""WITH ea AS (SELECT doc_id AS id, unnest(list_concat({WORDS.format(FIRST_LINE)}, {WORDS.format('text')})) AS w FROM documents),
+      ws AS (SELECT DISTINCT w FROM ea WHERE w NOT IN ({', '.join(f"'{x}'" for x in sorted(s.STOP))})), {stem_sql('ws')}
+      SELECT stem AS lexeme, count(DISTINCT id) AS documents, count(*) AS places FROM ea JOIN stemmed ON w = word GROUP BY 1"""
+SQL["q_lexical_density"] = f"""WITH w AS (SELECT doc_id AS id, {WORDS.format(FIRST_LINE)} AS t, {WORDS.format('text')} AS b FROM documents),
+      p AS (SELECT id, unnest(list_concat(t, b)) AS x, unnest(range(1, len(t) + len(b) + 1)) AS i, len(t) AS n FROM w),
+      q AS (SELECT *, lag(x) OVER (PARTITION BY id ORDER BY i) AS bx, lag(i) OVER (PARTITION BY id ORDER BY i) AS bi FROM p WHERE x IN ('pathetic', 'idiot')),
+      g AS (SELECT id, round(sum(CASE WHEN x <> bx THEN 1.0::DOUBLE / (i - bi + 1) END), 6) AS density, round(sum(CASE WHEN i <= n THEN {s.TITLE} ELSE {s.BODY} END), 6)::DOUBLE AS lex FROM q GROUP BY 1 HAVING count(DISTINCT x) = 2)
+      SELECT id, density, lex, row_number() OVER (ORDER BY density DESC, lex DESC, id) AS pos FROM g QUALIFY pos <= {s.CAP}"""
+SQL["q_index_increments"] = f"""WITH d AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 AND doc_id % 35 <> 0 THEN 'changed words ' || text ELSE text END AS text, {FIRST_LINE} AS title FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 35 = 0),
+      w AS (SELECT id, unnest(list_concat({WORDS.format('title')}, {WORDS.format('text')})) AS x FROM d)
+      SELECT id, count(DISTINCT x) AS lexemes, count(*) AS places, count(DISTINCT CASE WHEN x = 'changed' THEN x END) AS changed FROM w GROUP BY 1"""
+for name, ask in {"q_lexical_scan": PLAIN_ASK, "q_lexical_and": PLAIN_ASK, "q_lexical_not": NOT_ASK, "q_phrase": PHRASE, "q_lexical_any": ANY_ASK}.items():
     SQL[name] = f"WITH {lexical_sql(ask)} SELECT id, lex, pos FROM lex"
 
 QUERIES = {f.__name__: f for f in (
     q_hybrid_rrf, q_hybrid_rrf_filtered, q_hybrid_no_vector, q_fusion_floor, q_hybrid_stacked, q_hybrid_full_outer, q_hybrid_left_joins, q_term_exact,
-    q_term_contained, q_cosine_topk, q_cosine_batch, q_cover_density, q_header_leg_fusion, q_direct_address, q_norm_group,
+    q_term_contained, q_lexical_scan, q_lexical_density, q_index_increments, q_stems, q_index_stems, q_cosine_topk, q_cosine_batch, q_cover_density, q_header_leg_fusion, q_direct_address, q_norm_group,
 )} | {"q_lexical_and": lexical(PLAIN_ASK), "q_lexical_not": lexical(NOT_ASK), "q_phrase": lexical(PHRASE), "q_lexical_any": lexical(ANY_ASK)}
