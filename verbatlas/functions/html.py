@@ -74,13 +74,3 @@ def blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFr
     each = pages.select(key, F.posexplode(pieces).alias("pos", "b"))
     body = F.regexp_replace("b", "(?is)</(p|h[1-6]|li|td|blockquote)>.*$", "")
     return each.select(key, (F.col("pos") + 1).alias("pos"), F.lower(F.regexp_extract("b", "^<([a-zA-Z0-9]+)", 1)).alias("kind"), text_of(body).alias("text"))
-
-
-def sanitised(x: Column | str) -> Column:
-    """HTML that a reader may show: no scripts, styles, frames, objects, forms or comments, no handlers, no styles of its own, and
-    no addresses but of the web, of mail, and within the page or site."""
-    t = F.regexp_replace(col(x), "(?s)<!--.*?-->", "")
-    t = F.regexp_replace(t, "(?is)<(script|style|iframe|object|embed|form|svg|math|template)\\b[^>]*>.*?</\\1\\s*>", "")
-    t = F.regexp_replace(t, "(?i)</?(script|style|iframe|object|embed|form|svg|math|template|link|meta|base|input|button)\\b[^>]*>", "")
-    t = F.regexp_replace(t, "(?i)\\s+(?:on[a-z]+|style|srcdoc|formaction)\\s*=\\s*(?:\"[^\"]*\"|'[^']*'|[^\\s>]+)", "")
-    return F.regexp_replace(t, "(?i)\\s+(?:href|src|action|xlink:href)\\s*=\\s*(?:\"(?!https?:|mailto:|#|/|\\.)[^\"]*\"|'(?!https?:|mailto:|#|/|\\.)[^']*'|(?![\"'])(?!https?:|mailto:|#|/|\\.)[^\\s>]+)", "")

@@ -113,6 +113,23 @@ def out_of_sequence(df: DataFrame, group: list[str], order: list[str], number: s
     return df.withColumn("highest", F.max(number).over(w)).where(F.col(number) <= F.col("highest"))
 
 
+#: A caput with fewer characters is suspicious.
+SHORT = 15
+
+
+def anomalies(df: DataFrame, group: list[str], number: str, order: list[str], caput: str) -> DataFrame:
+    """``df`` with ``problem`` and ``after``: a row for each number below the highest before it in its group ("out of order", after that one), and for each
+    caput that is too short ("short caput")."""
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    highest = F.max(number).over(w)
+    found = F.array(
+        F.when(F.col(number) < F.col("__h"), F.struct(F.lit("out of order").alias("problem"), F.col("__h").alias("after"))),
+        F.when(F.length(F.trim(F.coalesce(F.col(caput), F.lit("")))) < SHORT, F.struct(F.lit("short caput").alias("problem"), F.lit(None).cast(dict(df.dtypes)[number]).alias("after"))),
+    )
+    out = df.withColumn("__h", highest).withColumn("__p", F.explode(F.array_compact(found)))
+    return out.select(*df.columns, "__p.problem", "__p.after")
+
+
 def last_turns(df: DataFrame, thread: str, turn: str, most: int, before: int | None = None) -> DataFrame:
     """The last ``most`` turns of each thread, up to a turn (exclusive) if given."""
     part = df.where(F.col(turn) < before) if before is not None else df

@@ -102,6 +102,12 @@ def best_overlaps(pairs: DataFrame, key: str, other: str, most: int = 3) -> Data
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
+def citable_overlaps(df: DataFrame, known: DataFrame, key: str, other: str, items: str, others: str, citable: Column, thesis: str, most: int = 3) -> DataFrame:
+    """(key, other, shared, rank): of the rows of ``known`` that may be cited and have a thesis, the ``most`` that share most items with a row."""
+    final = known.where(citable & F.col(thesis).isNotNull())
+    return best_overlaps(overlapping(df, final, key, other, items, others), key, other, most)
+
+
 def first_match(df: DataFrame, rules: DataFrame, key: str, items: str, item: str, label: str, order: str, otherwise: Column) -> DataFrame:
     """``df`` with ``label``: of the rules (item, label, order) that own one of a row's ``items``, the first."""
     hit = df.select(key, F.explode(items).alias(item)).join(rules, item).groupBy(key).agg(F.min_by(label, order).alias("__l"))

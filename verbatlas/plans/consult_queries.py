@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from verbatlas.functions import blocks, display
 from verbatlas.operators import consult, curation, merge, ordered, reports, search
 from verbatlas.operators import index as written
-from verbatlas.plans.etl_queries import inline
+from verbatlas.plans.etl_queries import dealt, dealt_sql
 from verbatlas.plans.search_queries import ASK, documents, hybrid_sql, index_of, run, t
 
 LAWS = ["O", "P"]
@@ -138,8 +138,10 @@ LINES = ["§ 1o Texto um;", "I - item um", "a) letra", "b) outra", "IV – item
 
 
 def q_block_addresses(spark, d):
-    out = blocks.addressed(inline(spark, LINES, "text").withColumn("article", F.lit("art1")), "article", ["n"])
-    return out.select("n", "kind", "label", "suffix", "body")
+    """Every document as an article of the same lines, of which the last has the document's first line."""
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("article"), F.concat(F.lit("§ 12 "), F.coalesce(F.trim(F.substring_index("text", "\n", 1)), F.lit(""))).alias("own"))
+    rows = docs.select("article", F.posexplode(F.concat(F.array(*map(F.lit, LINES[:-1])), F.array("own"))).alias("n", "text"))
+    return blocks.addressed(rows, "article", ["n"]).select("article", "n", "kind", "label", "suffix", F.md5(F.col("body").cast("binary")).alias("body"))
 
 
 def q_inline_enumeration(spark, d):
@@ -147,11 +149,11 @@ def q_inline_enumeration(spark, d):
     return rows.select("doc_id", blocks.inline_enumeration("x").alias("inside"))
 
 
-NOTES = ["Art. 1º Texto. (Redação dada pela Lei nº 1, de 2020) (Vide Lei 2)", "II - (Revogado)", "sem nota (mas com parênteses)", "(Incluído pela Lei nº 3, de 2021)"]
+NOTES = ["Art. 1º Texto. (Redação dada pela Lei nº #, de 2020) (Vide Lei 2)", "II - (Revogado)", "sem nota (mas com parênteses)", "(Incluído pela Lei nº 3, de 2021)"]
 
 
 def q_annotations(spark, d):
-    return inline(spark, NOTES).select("n", F.array_join(blocks.annotations("x"), "|").alias("notes"), blocks.without_annotations("x").alias("text"))
+    return dealt(spark, d, NOTES).select("n", F.array_join(blocks.annotations("x"), "|").alias("notes"), blocks.without_annotations("x").alias("text"))
 
 
 def q_act_pages(spark, d):
@@ -233,7 +235,7 @@ STATUS = ["Cancelado", " sobrestado pelo tema 5", "Em julgamento", "Trânsito em
 
 
 def q_needs_care(spark, d):
-    return inline(spark, STATUS).select("n", display.needs_care("x").alias("care"))
+    return dealt(spark, d, STATUS).select("n", display.needs_care("x").alias("care"))
 
 
 def q_draft_objections(spark, d):
@@ -294,7 +296,7 @@ SQL = {
       (9, NULL, NULL, NULL, NULL), (10, 'paragrafo', '§ 12', '_p12', 'Longo')) v(n, kind, label, suffix, body)""",
     "q_inline_enumeration": r"""SELECT doc_id, coalesce(regexp_matches(x, '(?:^|[;:.]\s)\s*(?:[IVXLC]{1,7}\s*[-–—]\s+|[a-z]\s*\)\s)'), FALSE) AS inside FROM (
       SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN text || '; II - and more' WHEN 1 THEN 'a) one ' || text ELSE text END AS x FROM documents)""",
-    "q_annotations": """SELECT * FROM (VALUES (0, '(Redação dada pela Lei nº 1, de 2020)|(Vide Lei 2)', 'Art. 1º Texto.'), (1, '(Revogado)', 'II -'), (2, '', 'sem nota (mas com parênteses)'), (3, '(Incluído pela Lei nº 3, de 2021)', '')) v(n, notes, text)""",
+    "q_annotations": """SELECT * FROM (VALUES (0, '(Redação dada pela Lei nº #, de 2020)|(Vide Lei 2)', 'Art. 1º Texto.'), (1, '(Revogado)', 'II -'), (2, '', 'sem nota (mas com parênteses)'), (3, '(Incluído pela Lei nº 3, de 2021)', '')) v(n, notes, text)""",
     "q_act_pages": "SELECT page_id, 'DECRETO 12, de 2021' AS title, 2021 AS year, 'O governo decreta' AS preamble, unnest([1, 2]) AS pos FROM pages",
     "q_rule_samples": """WITH f AS (SELECT CASE WHEN l_quantity > 45 THEN 'many' WHEN l_discount > 0.08 THEN 'cheap' END AS rule, l_orderkey * 10 + l_linenumber AS key FROM lineitem)
       SELECT rule, max(n) AS n, string_agg(key::VARCHAR, ',' ORDER BY key) AS sample FROM (SELECT *, count(*) OVER (PARTITION BY rule) AS n, row_number() OVER (PARTITION BY rule ORDER BY key) AS k FROM f WHERE rule IS NOT NULL) WHERE k <= 5 GROUP BY 1""",
@@ -321,4 +323,9 @@ SQL = {
     "q_draft_objections": "SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'name' WHEN 1 THEN 'name' WHEN 2 THEN 'cpf' WHEN 3 THEN 'cpf' WHEN 4 THEN 'phone' WHEN 5 THEN 'email' WHEN 6 THEN 'note' END AS field FROM customer",
     "q_foreign_ids": "SELECT 'doc_x' || doc_id AS id FROM documents WHERE doc_id % 100 = 0",
 }
+SQL["q_annotations"] = dealt_sql(SQL["q_annotations"], NOTES, filled=("notes", "text"))
+SQL["q_needs_care"] = dealt_sql(SQL["q_needs_care"], STATUS)
+SQL["q_block_addresses"] = f"""SELECT doc_id AS article, n, kind, label, suffix, md5(CASE WHEN n = 10 THEN coalesce(trim(split_part(text, chr(10), 1), ' '), '') ELSE body END) AS body
+      FROM documents, ({SQL['q_block_addresses']})"""
+
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}

@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verbatlas.functions import html, text
+from verbatlas.functions import html, markup, text
 from verbatlas.operators import answers, compare, integrity, intent, merge, sentence
 from verbatlas.plans.search_queries import FIRST_LINE, t
 from verbatlas.sources import readers
 
 
-def inline(spark, values: list[str], name: str = "x") -> DataFrame:
-    """(n, x) of a list of strings."""
-    return spark.range(1).select(F.posexplode(F.array(*map(F.lit, values))).alias("n", name))
+def digit(key: Column, count: int) -> Column:
+    """One of the digits 1 to 9 by a key, independent of the key's remainder by ``count``."""
+    return (F.floor(key / count) % 9 + 1).cast("string")
+
+
+def dealt(spark, d, values: list[str], name: str = "x") -> DataFrame:
+    """(n, x): every order's key, with one of the texts by its remainder; # in a text becomes a digit of the key."""
+    k = F.col("o_orderkey")
+    text = F.get(F.array(*map(F.lit, values)), (k % len(values)).cast("int"))
+    return t(spark, d, "orders").select(k.alias("n"), F.replace(text, F.lit("#"), digit(k, len(values))).alias(name))
+
+
+def dealt_sql(sql: str, values: list, n: str = "n", filled: tuple[str, ...] = ()) -> str:
+    """The rows of ``sql``, which has a row, or several, for the number of each text, for every order; # in the columns ``filled`` is its digit."""
+    d = f"(o.o_orderkey // {len(values)} % 9 + 1)::VARCHAR"
+    put = f" REPLACE ({', '.join(f'replace({c}, chr(35), {d}) AS {c}' for c in filled)})" if filled else ""
+    return f"SELECT o.o_orderkey AS {n}, v.* EXCLUDE ({n}){put} FROM orders o JOIN ({sql}) v ON v.{n} = o.o_orderkey % {len(values)}"
 
 
 def sql_list(values: list[str]) -> str:
@@ -155,39 +169,44 @@ def q_clean_footnotes(spark, d):
     return made.select("doc_id", "pos", F.md5(x.cast("binary")).alias("line"), n.alias("removed"))
 
 
-TITLES = ["Pena suspensa. Fixação da pena", "art. 33 da lei. Pena - reclusão", "fica em vigor. Disposições Gerais.", "do crime; Dano em coisa de valor artístico", "só isto", "prescrição.4 Modo de conversão", "efeito. PARTE ESPECIAL"]
+TITLES = ["Pena suspensa. Fixação da pena", "art. 3# da lei. Pena - reclusão", "fica em vigor. Disposições Gerais.", "do crime; Dano em coisa de valor artístico", "só isto", "prescrição.4 Modo de conversão", "efeito. PARTE ESPECIAL"]
 
 
 def q_marginal_title(spark, d):
     body, title, against = text.marginal_title("x")
     rest, division = text.trailing_division("x")
-    return inline(spark, TITLES).select("n", body.alias("body"), title.alias("title"), F.array_join(against, ",").alias("against"), rest.alias("rest"), division.alias("division"))
+    return dealt(spark, d, TITLES).select("n", body.alias("body"), title.alias("title"), F.array_join(against, ",").alias("against"), rest.alias("rest"), division.alias("division"))
 
 
 HEADINGS = [
     "CAPÍTULO III – Da Aplicação da Pena Fixação da pena", "Seção II Das Disposições Gerais", "TÍTULO I – Dos Crimes contra a Pessoa Homicídio simples", "CAPÍTULO I – Do Furto Furto",
-    "CAPÍTULO II – Dos Crimes contra o Respeito aos Mortos", "CAPÍTULO V – Dos Crimes contra a Honra Calúnia", "SEÇÃO 4 - Da Prova", "TÍTULO IX-A – Das Penas Penas",
+    "CAPÍTULO II – Dos Crimes contra o Respeito aos Mortos", "CAPÍTULO V – Dos Crimes contra a Honra Calúnia", "SEÇÃO # - Da Prova", "TÍTULO IX-A – Das Penas Penas",
 ]
 
 
 def q_heading_split(spark, d):
     h = text.heading_split("x")
-    return inline(spark, HEADINGS).select("n", h["heading"].alias("heading"), h["title"].alias("title"), h["rule"].alias("rule"))
+    return dealt(spark, d, HEADINGS).select("n", h["heading"].alias("heading"), h["title"].alias("title"), h["rule"].alias("rule"))
 
 
-ROMANS = ["I", "IV", "IX", "XIV", "XL", "XC", "CD", "MCMXCIV", "xlii"]
+#: The digits of Roman numerals, from units to thousands.
+ROMAN_DIGITS = [["", *x.split()] for x in ("I II III IV V VI VII VIII IX", "X XX XXX XL L LX LXX LXXX XC", "C CC CCC CD D DC DCC DCCC CM", "M MM MMM")]
 
 
 def q_roman(spark, d):
-    return inline(spark, ROMANS).select("n", text.roman_value("x").alias("value"))
+    """Every order's key modulo 4,000, written in Roman digits and read again; 0 is written as nothing, and some numerals have a letter too many."""
+    k = F.col("o_orderkey") % 4000
+    numeral = F.concat(*[F.get(F.array(*map(F.lit, xs)), (F.floor(k / 10**i) % 10).cast("int")) for i, xs in reversed([*enumerate(ROMAN_DIGITS)])])
+    numeral = F.when(k % 7 == 0, F.lower(numeral)).when(k % 11 == 0, F.concat(numeral, F.lit("z"))).otherwise(numeral)
+    return t(spark, d, "orders").select(F.col("o_orderkey").alias("n"), text.roman_value(numeral).alias("value"))
 
 
-LABELS = ["§ 1º", "§ 12", "§ 2º-A", "Parágrafo único", "x"]
+LABELS = ["§ #º", "§ 1#", "§ #º-A", "Parágrafo único", "x"]
 
 
 def q_paragraph_labels(spark, d):
     p = text.paragraph("x")
-    return inline(spark, LABELS).select("n", p["number"].alias("number"), p["suffix"].alias("suffix"), p["label"].alias("label"))
+    return dealt(spark, d, LABELS).select("n", p["number"].alias("number"), p["suffix"].alias("suffix"), p["label"].alias("label"))
 
 
 def q_text_differences(spark, d):
@@ -210,22 +229,22 @@ def q_lexeme_counts(spark, d):
 
 TARGETS = {"lei_11343_2006": "11\\.?343|lei de drogas|lei antidrogas", "dl_2848_1940": "\\b2\\.848|codigo penal(?! militar)"}
 SUMMARIES = [
-    "Altera o art. 33 da Lei nº 11.343, de 2006", "Altera os arts. 33, 35 e 40 da Lei de Drogas", "Institui a semana do livro",
+    "Altera o art. 3# da Lei nº 11.343, de 2006", "Altera os arts. 33, 35 e 40 da Lei de Drogas", "Institui a semana do livro",
     "Altera a Lei nº 12.848, de 2013", "Altera o Código Penal e a Lei nº 11.343", "Revoga o art. 359-L do Decreto-Lei nº 2.848", "Altera o Código Penal Militar",
 ]
 
 
 def q_change_filter(spark, d):
     targets = compare.targets_of("x", TARGETS)
-    rows = inline(spark, SUMMARIES).select("n", "x", targets.alias("found"))
+    rows = dealt(spark, d, SUMMARIES).select("n", "x", targets.alias("found"))
     return rows.select("n", F.array_join("found", ",").alias("targets"), F.array_join(compare.articles_of("x", F.col("found")), ",").alias("articles"))
 
 
-STATUSES = ["Transformada na Lei nº 15.164 de 14/07/2025", "Aguardando parecer", "Convertida na Lei Complementar 200, de 2023", "Norma jurídica gerada: Decreto-Lei nº 2.848, de 1940"]
+STATUSES = ["Transformada na Lei nº 15.16# de 14/07/2025", "Aguardando parecer", "Convertida na Lei Complementar 200, de 2023", "Norma jurídica gerada: Decreto-Lei nº 2.848, de 1940"]
 
 
 def q_norm_named(spark, d):
-    return inline(spark, STATUSES).select("n", compare.became_norm("x").alias("became"), compare.norm_named("x").alias("norm"))
+    return dealt(spark, d, STATUSES).select("n", compare.became_norm("x").alias("became"), compare.norm_named("x").alias("norm"))
 
 
 OPENINGS = [
@@ -236,16 +255,17 @@ OPENINGS = [
 
 
 def q_scope_include_exclude(spark, d):
-    rows = inline(spark, OPENINGS)
+    rows = dealt(spark, d, OPENINGS)
     return rows.where(compare.in_scope("x", "seguranca|defesa civil|penal", "transito")).select("n", intent.species("x").alias("species"))
 
 
-DATES = ["31/01/2025", "2025-02-03T10:00", "1/2/25", "", "30/02/2025"]
-
-
 def q_parsed_dates(spark, d):
+    """The days of the orders, written as people and as machines write them, and in forms that are no day."""
+    day = F.col("o_orderdate").cast("date")
+    form = F.when(F.col("o_orderkey") % 5 == 0, F.date_format(day, "dd/MM/yyyy")).when(F.col("o_orderkey") % 5 == 1, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T10:00")))
+    form = form.when(F.col("o_orderkey") % 5 == 2, F.date_format(day, "d/M/yy")).when(F.col("o_orderkey") % 5 == 3, "").otherwise("30/02/2025")
     x = compare.parsed_date("x")
-    return inline(spark, DATES).select("n", x.alias("day"), compare.after_cut(x, "2025-01-31").alias("kept"))
+    return t(spark, d, "orders").select(F.col("o_orderkey").alias("n"), form.alias("x")).select("n", x.alias("day"), compare.after_cut(x, "1996-01-31").alias("kept"))
 
 
 # --- pages ---------------------------------------------------------------------------------------
@@ -270,6 +290,14 @@ def q_html_blocks(spark, d):
     return html.blocks(t(spark, d, "pages")).groupBy("page_id", "kind").agg(F.count("*").alias("n"))
 
 
+def q_sanitised(spark, d):
+    """Pages as they may be shown: how many paragraphs, items and links are left, and how many tags that no list has."""
+    shown = t(spark, d, "pages").select("page_id", markup.sanitised("html").alias("x"))
+    counts = [F.regexp_count("x", F.lit(f"<{k}[ >]")).alias(n) for k, n in (("p", "paragraphs"), ("li", "items"), ("a", "links"))]
+    listed = f"</?(?:{'|'.join(markup.TAGS)})[ >]"
+    return shown.select("page_id", *counts, (F.regexp_count("x", F.lit("<")) - F.regexp_count("x", F.lit(listed))).alias("unlisted"))
+
+
 def q_listing_regex(spark, d):
     return readers.listing(t(spark, d, "pages").select("page_id", "html"), '<li><a href="/([^"]*)">([^<]*)</a></li>', {"path": 1, "label": 2})
 
@@ -298,9 +326,8 @@ ANSWERS = [
 
 
 def q_answer_validation(spark, d):
-    a = inline(spark, ANSWERS, "raw").withColumnRenamed("n", "answer_id")
-    got = inline(spark, ["a", "b"], "doc_id").select("doc_id")
-    retrieved = a.select("answer_id").crossJoin(got)
+    a = dealt(spark, d, ANSWERS, "raw").withColumnRenamed("n", "answer_id")
+    retrieved = a.select("answer_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("doc_id"))
     return answers.violations(a, retrieved)
 
 
@@ -347,13 +374,13 @@ def q_cpf(spark, d):
 
 
 QUESTIONS = [
-    "réu primário preso com 2 kg de maconha perto de escola, confessou", "não é reincidente, tráfico privilegiado", "furto de madrugada, tentativa",
+    "réu primário preso com # kg de maconha perto de escola, confessou", "não é reincidente, tráfico privilegiado", "furto de madrugada, tentativa",
     "latrocínio com arma de fogo", "porte para consumo pessoal de drogas", "roubo com comparsa e revólver, reincidente", "associação, 500 gramas",
 ]
 
 
 def q_fact_extraction(spark, d):
-    q = inline(spark, QUESTIONS)
+    q = dealt(spark, d, QUESTIONS)
     return q.select("n", sentence.crime_in("x").alias("crime"), F.array_join(sentence.facts_in("x"), ",").alias("facts"), sentence.grams_in("x").alias("grams"))
 
 
@@ -403,18 +430,18 @@ SQL = {
       SELECT doc_id, pos, md5(y) AS cleaned, CASE pos % 5 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 0 END AS places FROM a""",
     "q_heading_split": """SELECT * FROM (VALUES (0, 'CAPÍTULO III – Da Aplicação da Pena', 'Fixação da pena', 'sentence-case'), (1, 'Seção II Das Disposições Gerais', NULL, 'uncut'),
       (2, 'TÍTULO I – Dos Crimes contra a Pessoa', 'Homicídio simples', 'sentence-case'), (3, 'CAPÍTULO I – Do Furto', 'Furto', 'repetition'), (4, 'CAPÍTULO II – Dos Crimes contra o Respeito aos Mortos', NULL, 'uncut'),
-      (5, 'CAPÍTULO V – Dos Crimes contra a Honra Calúnia', NULL, 'uncut'), (6, 'SEÇÃO 4 - Da Prova', NULL, 'uncut'), (7, 'TÍTULO IX-A – Das Penas', 'Penas', 'repetition')) v(n, heading, title, rule)""",
-    "q_marginal_title": """SELECT * FROM (VALUES (0, 'Pena suspensa.', 'Fixação da pena', '', 'Pena suspensa. Fixação da pena', NULL), (1, 'art. 33 da lei. Pena - reclusão', NULL, 'sanction', 'art. 33 da lei. Pena - reclusão', NULL),
+      (5, 'CAPÍTULO V – Dos Crimes contra a Honra Calúnia', NULL, 'uncut'), (6, 'SEÇÃO # - Da Prova', NULL, 'uncut'), (7, 'TÍTULO IX-A – Das Penas', 'Penas', 'repetition')) v(n, heading, title, rule)""",
+    "q_marginal_title": """SELECT * FROM (VALUES (0, 'Pena suspensa.', 'Fixação da pena', '', 'Pena suspensa. Fixação da pena', NULL), (1, 'art. 3# da lei. Pena - reclusão', NULL, 'sanction', 'art. 3# da lei. Pena - reclusão', NULL),
       (2, 'fica em vigor. Disposições Gerais.', NULL, '', 'fica em vigor. Disposições Gerais.', NULL), (3, 'do crime;', 'Dano em coisa de valor artístico', '', 'do crime; Dano em coisa de valor artístico', NULL), (4, 'só isto', NULL, '', 'só isto', NULL),
       (5, 'prescrição.4', 'Modo de conversão', '', 'prescrição.4 Modo de conversão', NULL), (6, 'efeito. PARTE ESPECIAL', NULL, 'capitals', 'efeito.', 'PARTE ESPECIAL')) v(n, body, title, against, rest, division)""",
-    "q_paragraph_labels": "SELECT * FROM (VALUES (0, '1', 'p1', '§ 1º'), (1, '12', 'p12', '§ 12'), (2, '2-A', 'p2-a', '§ 2º-A'), (3, 'único', 'pu', 'Parágrafo único'), (4, NULL, NULL, NULL)) v(n, number, suffix, label)",
-    "q_fact_extraction": """SELECT * FROM (VALUES (0, 'lei_11343_2006_art33', 'confissao,proximidade,quantidade expressiva', 2000.0::DOUBLE), (1, NULL, '', NULL), (2, 'dl_2848_1940_art155', 'repousoNoturno,tentativa', NULL), (3, NULL, '', NULL),
+    "q_paragraph_labels": "SELECT * FROM (VALUES (0, '#', 'p#', '§ #º'), (1, '1#', 'p1#', '§ 1#'), (2, '#-A', 'p#-a', '§ #º-A'), (3, 'único', 'pu', 'Parágrafo único'), (4, NULL, NULL, NULL)) v(n, number, suffix, label)",
+    "q_fact_extraction": """SELECT * FROM (VALUES (0, 'lei_11343_2006_art33', 'confissao,proximidade,quantidade expressiva', NULL::DOUBLE), (1, NULL, '', NULL), (2, 'dl_2848_1940_art155', 'repousoNoturno,tentativa', NULL), (3, NULL, '', NULL),
       (4, NULL, '', NULL), (5, 'dl_2848_1940_art157', 'armaDeFogo,concurso,reincidencia', NULL), (6, 'lei_11343_2006_art35', '', 500.0)) v(n, crime, facts, grams)""",
-    "q_change_filter": """SELECT * FROM (VALUES (0, 'lei_11343_2006', 'lei_11343_2006_art33'), (1, 'lei_11343_2006', 'lei_11343_2006_art33,lei_11343_2006_art35,lei_11343_2006_art40'), (2, '', ''), (3, '', ''), (4, 'lei_11343_2006,dl_2848_1940', ''),
+    "q_change_filter": """SELECT * FROM (VALUES (0, 'lei_11343_2006', 'lei_11343_2006_art3#'), (1, 'lei_11343_2006', 'lei_11343_2006_art33,lei_11343_2006_art35,lei_11343_2006_art40'), (2, '', ''), (3, '', ''), (4, 'lei_11343_2006,dl_2848_1940', ''),
       (5, 'dl_2848_1940', 'dl_2848_1940_art359-l'), (6, '', '')) v(n, targets, articles)""",
-    "q_norm_named": "SELECT * FROM (VALUES (0, TRUE, 'Lei 15.164/2025'), (1, FALSE, NULL), (2, TRUE, 'LC 200/2023'), (3, TRUE, 'DL 2.848/1940')) v(n, became, norm)",
+    "q_norm_named": "SELECT * FROM (VALUES (0, TRUE, 'Lei 15.16#/2025'), (1, FALSE, NULL), (2, TRUE, 'LC 200/2023'), (3, TRUE, 'DL 2.848/1940')) v(n, became, norm)",
     "q_html_blocks": "SELECT page_id, lower(k) AS kind, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<(p|h[1-6]|li|td|blockquote)[ >]', 1)) AS k FROM pages) GROUP BY 1, 2",
-    "q_roman": "SELECT n, v AS value FROM (VALUES (0, 1), (1, 4), (2, 9), (3, 14), (4, 40), (5, 90), (6, 400), (7, 1994), (8, 42)) x(n, v)",
+    "q_roman": "SELECT o_orderkey AS n, CASE WHEN k = 0 OR (k % 7 <> 0 AND k % 11 = 0) THEN NULL ELSE k END AS value FROM (SELECT o_orderkey, o_orderkey % 4000 AS k FROM orders)",
     "q_text_differences": """WITH a AS (SELECT doc_id, text AS a FROM documents), b AS (SELECT *, substr(a, 1, 20) || '##' || substr(a, 25) AS b FROM a),
       p AS (SELECT *, string_split(a, '') AS x, string_split(b, '') AS y, least(length(a), length(b)) AS n FROM b),
       q AS (SELECT *, coalesce(nullif(list_position(list_transform(list_zip(x[1:n], y[1:n]), lambda p: p[1] <> p[2]), TRUE), 0), n + 1) - 1 AS h,
@@ -422,7 +449,7 @@ SQL = {
       r AS (SELECT *, least(t0, n - h) AS t FROM q) SELECT doc_id, h AS prefix, length(a) - h - t AS old, length(b) - h - t AS new, t AS suffix FROM r""",
     "q_lexeme_counts": "SELECT w, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(strip_accents(lower(text)), '[^a-z0-9]+')) AS w FROM documents) WHERE w <> '' GROUP BY 1 HAVING count(*) >= 200",
     "q_scope_include_exclude": """SELECT * FROM (VALUES (0, 'Regulamenta'), (1, 'Institui'), (2, 'Institui'), (3, 'Altera'), (4, 'Altera'), (5, 'Aprova'), (6, 'Revoga'), (7, 'Emergência'), (8, 'Declara'), (9, 'Dispõe')) v(n, species)""",
-    "q_parsed_dates": "SELECT n, d AS day, d IS NULL OR d > DATE '2025-01-31' AS kept FROM (VALUES (0, DATE '2025-01-31'), (1, DATE '2025-02-03'), (2, NULL), (3, NULL), (4, NULL)) v(n, d)",
+    "q_parsed_dates": "SELECT n, d AS day, d IS NULL OR d > DATE '1996-01-31' AS kept FROM (SELECT o_orderkey AS n, CASE WHEN o_orderkey % 5 <= 1 THEN o_orderdate::DATE END AS d FROM orders)",
     "q_html_text": f"SELECT page_id, sha256(trim(regexp_replace(regexp_replace({decoded_sql(TEXT_SQL)}, '[ \\t]+', ' ', 'g'), ' *\\n[ \\n]*', chr(10), 'g'), ' ')) AS text FROM pages",
     "q_html_toc": f"""WITH p AS (SELECT page_id, replace(replace(html, '<li>', '<h2>'), '</li>', '</h2>') AS h FROM pages),
       a AS (SELECT page_id, regexp_extract_all(h, '(?is)<h([1-4])[^>]*>(.*?)</h[1-4]>', 1) AS l, regexp_extract_all(h, '(?is)<h([1-4])[^>]*>(.*?)</h[1-4]>', 2) AS x FROM p),
@@ -447,4 +474,15 @@ SQL = {
     "q_suspicions": """SELECT doubt, count(*) AS n FROM (SELECT unnest([CASE WHEN regexp_matches(s, '^[a-zà-ÿ]') THEN 'lower-case start' END, CASE WHEN NOT regexp_matches(s, '[.;:!?)»”"'']$') THEN 'no final mark' END]) AS doubt
       FROM (SELECT trim(text, ' ') AS s FROM documents)) WHERE doubt IS NOT NULL GROUP BY 1""",
 }
+for name, (values, n, filled) in {
+    "q_marginal_title": (TITLES, "n", ("body", "title", "rest", "division")), "q_heading_split": (HEADINGS, "n", ("heading",)), "q_paragraph_labels": (LABELS, "n", ("number", "suffix", "label")),
+    "q_change_filter": (SUMMARIES, "n", ("articles",)), "q_norm_named": (STATUSES, "n", ("norm",)), "q_scope_include_exclude": (OPENINGS, "n", ()),
+    "q_answer_validation": (ANSWERS, "answer_id", ()), "q_answer_corrections": (ANSWERS, "answer_id", ()), "q_fact_extraction": (QUESTIONS, "n", ()),
+}.items():
+    SQL[name] = dealt_sql(SQL[name], values, n, filled)
+SQL["q_fact_extraction"] = f"SELECT * REPLACE (CASE WHEN n % {len(QUESTIONS)} = 0 THEN (n // {len(QUESTIONS)} % 9 + 1) * 1000.0::DOUBLE ELSE grams END AS grams) FROM ({SQL['q_fact_extraction']})"
+
+SQL["q_sanitised"] = """WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style|textarea|option|noscript|iframe)[\\s/>].*?</(script|style|textarea|option|noscript|iframe)\\s*>', '', 'g') AS x FROM pages)
+      SELECT page_id, len(regexp_extract_all(x, '(?i)<p[ >]')) AS paragraphs, len(regexp_extract_all(x, '(?i)<li[ >]')) AS items, len(regexp_extract_all(x, '(?i)<a[ >]')) AS links, 0 AS unlisted FROM p"""
+
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}

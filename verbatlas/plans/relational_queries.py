@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verbatlas.functions.text import norm, slug
 from verbatlas.operators import intent, integrity, ordered, relate
+from verbatlas.plans.etl_queries import dealt, dealt_sql
 from verbatlas.plans.search_queries import t
 
 
@@ -279,17 +280,43 @@ def q_anti_join(spark, d):
     return e.select("user_id").distinct().join(e.where("event_type = 'purchase' AND value > 200"), "user_id", "left_anti")
 
 
+ASKS = ["art. 3# da lei de drogas", "o que diz a doutrina sobre furto", "prazo para resposta à acusação", "Artigo 217-A do Código Penal", "tráfico privilegiado", "recurso no CPP"]
+
+
 def q_intent(spark, d):
-    asks = ["art. 33 da lei de drogas", "o que diz a doutrina sobre furto", "prazo para resposta à acusação", "Artigo 217-A do Código Penal", "tráfico privilegiado", "recurso no CPP"]
-    q = spark.range(1).select(F.posexplode(F.array(*map(F.lit, asks))).alias("n", "q"))
+    q = dealt(spark, d, ASKS, "q")
     c = intent.classified("q")
     return q.select("n", c["kind"].alias("kind"), c["article"].alias("article"), c["law"].alias("law"), intent.wants_state_acts("q").alias("state"), intent.act_query("q").alias("rewritten"))
 
 
+def q_citable_precedents(spark, d):
+    """Suppliers as precedents on the brands that they supply, of which some are pending and some say nothing; for every fiftieth customer the
+    three that share most brands."""
+    line, part = t(spark, d, "lineitem"), t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    supplied = line.join(part, "l_partkey").groupBy("l_suppkey").agg(F.collect_set("p_brand").alias("articles"))
+    status = F.when(F.col("l_suppkey") % 3 == 0, "Em julgamento").otherwise("Trânsito em julgado")
+    known = supplied.select(F.col("l_suppkey").alias("precedent"), "articles", status.alias("status"), F.when(F.col("l_suppkey") % 5 > 0, "thesis").alias("thesis"))
+    bought = line.join(t(spark, d, "orders").where("o_custkey % 50 = 0").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").join(part, "l_partkey")
+    asked = bought.groupBy(F.col("o_custkey").alias("cust")).agg(F.collect_set("p_brand").alias("asked"))
+    return relate.citable_overlaps(asked, known, "cust", "precedent", "asked", "articles", F.col("status") == "Trânsito em julgado", "thesis").select("cust", "precedent", "shared", "rank")
+
+
+def q_first_headings(spark, d):
+    """Of the documents' first lines as they are written, in each language the first document that has it."""
+    docs = t(spark, d, "documents").select("lang", F.substring_index("text", "\n", 1).alias("heading"), "doc_id").where("heading <> ''")
+    return ordered.first_of(docs, ["lang", "heading"], ["doc_id"]).select("lang", F.md5(F.col("heading").cast("binary")).alias("heading"), "doc_id")
+
+
+def q_sequence_anomalies(spark, d):
+    """Documents as articles: numbers that run back within a source, and first lines that are too short."""
+    docs = t(spark, d, "documents").select("source", "doc_id", (F.col("doc_id") * 37 % 101).cast("int").alias("number"), F.substring_index("text", "\n", 1).alias("caput"))
+    return ordered.anomalies(docs, ["source"], "number", ["doc_id"], "caput").select("source", "doc_id", "problem", "after")
+
+
 B = "SELECT o_custkey AS cust, p_brand FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2"
 ORD = "ORDER BY ts DESC, event_id DESC"
 SQL = {
-    "q_intent": """SELECT * FROM (VALUES (0, 'dispositivo', '33', 'lei_11343_2006', FALSE, 'art 33 da lei de drogas'), (1, 'doutrina', NULL, NULL, FALSE, 'o que diz a doutrina sobre furto'), (2, 'processual', NULL, NULL, FALSE, 'prazo para resposta a acusacao'),
+    "q_intent": """SELECT * FROM (VALUES (0, 'dispositivo', '3#', 'lei_11343_2006', FALSE, 'art 3# da lei de drogas'), (1, 'doutrina', NULL, NULL, FALSE, 'o que diz a doutrina sobre furto'), (2, 'processual', NULL, NULL, FALSE, 'prazo para resposta a acusacao'),
       (3, 'dispositivo', '217-A', 'dl_2848_1940', FALSE, 'artigo 217-a do codigo penal'), (4, 'aberta', NULL, NULL, FALSE, 'trafico privilegiado'), (5, 'processual', NULL, NULL, FALSE, 'recurso no cpp')) v(n, kind, article, law, state, rewritten)""",
     "q_view_three_way": "SELECT s_suppkey, s_name, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "q_maybe_single": "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 7",
@@ -362,4 +389,13 @@ SQL = {
     "q_distinct_years": "SELECT DISTINCT year(o_orderdate) AS year FROM orders",
     "q_anti_join": "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 200)",
 }
+SQL["q_intent"] = dealt_sql(SQL["q_intent"], ASKS, filled=("article", "rewritten"))
+SQL["q_citable_precedents"] = """WITH p AS (SELECT DISTINCT l_suppkey AS precedent, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey % 3 <> 0 AND l_suppkey % 5 > 0),
+      a AS (SELECT DISTINCT o_custkey AS cust, p_brand FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE o_custkey % 50 = 0)
+      SELECT cust, precedent, shared, row_number() OVER (PARTITION BY cust ORDER BY shared DESC, precedent) AS rank FROM (SELECT cust, precedent, count(*) AS shared FROM a JOIN p USING (p_brand) GROUP BY 1, 2) QUALIFY rank <= 3"""
+SQL["q_first_headings"] = "SELECT lang, md5(h) AS heading, min(doc_id) AS doc_id FROM (SELECT lang, split_part(text, chr(10), 1) AS h, doc_id FROM documents) WHERE h <> '' GROUP BY lang, h"
+SQL["q_sequence_anomalies"] = """WITH a AS (SELECT source, doc_id, doc_id * 37 % 101 AS number, split_part(text, chr(10), 1) AS caput FROM documents),
+      b AS (SELECT *, max(number) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM a)
+      SELECT source, doc_id, 'out of order' AS problem, top::INT AS after FROM b WHERE number < top UNION ALL SELECT source, doc_id, 'short caput', NULL FROM b WHERE length(trim(caput, ' ')) < 15"""
+
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}

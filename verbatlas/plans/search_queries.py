@@ -12,6 +12,7 @@ from verbatlas.functions.text import lexemes, norm
 from verbatlas.operators import index as written
 from verbatlas.operators import search as s
 from verbatlas.operators import stems
+from verbatlas.operators import vectors as quantised
 
 #: The question, the row whose vector is the query's, and the curated vocabulary of these queries.
 ASK, VECTOR_OF, LANG = "toxic language that and", 7, "en"
@@ -221,6 +222,24 @@ def q_cosine_batch(spark, d):
     return s.vector_leg(vectors(spark, d), many, 5).select("query_id", "pos", "id", "dist")
 
 
+#: Rows of a query that are compared exactly, of those that its index promises.
+CANDIDATES = 40
+
+
+def q_vector_recall(spark, d):
+    """The five nearest of every fiftieth vector by the index, held against all pairs: how many there are, whether nine tenths of them are
+    found, and whether a tenth of all vectors at most was compared."""
+    rows = vectors(spark, d)
+    many = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+    book = quantised.learnt(rows)
+    at = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    quantised.write(quantised.indexed(rows, book), at)
+    found = quantised.nearest(spark.read.parquet(at), rows, many, book, 5, CANDIDATES).select("query_id", "id", F.lit(1).alias("found"))
+    exact = s.vector_leg(rows, many, 5).select("query_id", "id")
+    met = exact.join(found, ["query_id", "id"], "left").agg(F.count("*").alias("neighbours"), (F.count("found") >= 0.9 * F.count("*")).alias("enough"))
+    return met.crossJoin(rows.agg((F.count("*") >= 10 * CANDIDATES).alias("few")))  # one row each
+
+
 def lexical(ask):
     return lambda spark, d: words_of(spark, d, ask)().select("id", "lex", "pos")
 
@@ -350,6 +369,7 @@ SQL["q_stems"] = f"WITH ws AS (SELECT DISTINCT unnest({WORDS.format('text')}) AS
 SQL["q_index_stems"] = f"""WITH ea AS (SELECT doc_id AS id, unnest(list_concat({WORDS.format(FIRST_LINE)}, {WORDS.format('text')})) AS w FROM documents),
       ws AS (SELECT DISTINCT w FROM ea WHERE w NOT IN ({', '.join(f"'{x}'" for x in sorted(s.STOP))})), {stem_sql('ws')}
       SELECT stem AS lexeme, count(DISTINCT id) AS documents, count(*) AS places FROM ea JOIN stemmed ON w = word GROUP BY 1"""
+SQL["q_vector_recall"] = f"SELECT 5 * count(*) FILTER (WHERE vec_id % 50 = 0) AS neighbours, TRUE AS enough, count(*) >= {10 * CANDIDATES} AS few FROM embeddings"
 SQL["q_lexical_density"] = f"""WITH w AS (SELECT doc_id AS id, {WORDS.format(FIRST_LINE)} AS t, {WORDS.format('text')} AS b FROM documents),
       p AS (SELECT id, unnest(list_concat(t, b)) AS x, unnest(range(1, len(t) + len(b) + 1)) AS i, len(t) AS n FROM w),
       q AS (SELECT *, lag(x) OVER (PARTITION BY id ORDER BY i) AS bx, lag(i) OVER (PARTITION BY id ORDER BY i) AS bi FROM p WHERE x IN ('pathetic', 'idiot')),
@@ -363,5 +383,5 @@ for name, ask in {"q_lexical_scan": PLAIN_ASK, "q_lexical_and": PLAIN_ASK, "q_le
 
 QUERIES = {f.__name__: f for f in (
     q_hybrid_rrf, q_hybrid_rrf_filtered, q_hybrid_no_vector, q_fusion_floor, q_hybrid_stacked, q_hybrid_full_outer, q_hybrid_left_joins, q_term_exact,
-    q_term_contained, q_lexical_scan, q_lexical_density, q_index_increments, q_stems, q_index_stems, q_cosine_topk, q_cosine_batch, q_cover_density, q_header_leg_fusion, q_direct_address, q_norm_group,
+    q_term_contained, q_lexical_scan, q_lexical_density, q_index_increments, q_stems, q_index_stems, q_cosine_topk, q_cosine_batch, q_vector_recall, q_cover_density, q_header_leg_fusion, q_direct_address, q_norm_group,
 )} | {"q_lexical_and": lexical(PLAIN_ASK), "q_lexical_not": lexical(NOT_ASK), "q_phrase": lexical(PHRASE), "q_lexical_any": lexical(ANY_ASK)}

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbatlas.functions.lineage import cut
 from verbatlas.functions.text import ACCENTED, MARKS, PLAIN
 from verbatlas.operators.merge import last_of_key
 
@@ -63,14 +65,76 @@ def newest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(version(path, last or 0)).drop("__batch")
 
 
+def manifest(spark: SparkSession, path: str, below: int | None = None) -> dict[int, int]:
+    """The batch that wrote each bucket of a table last, as the newest batch (below a number) says."""
+    try:
+        rows = spark.read.schema("bucket int, batch int, n int").parquet(f"{path}/manifest")
+        last = (rows if below is None else rows.where(F.col("n") < below)).agg(F.max("n")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    return {r["bucket"]: r["batch"] for r in rows.where(F.col("n") == last).collect()} if last is not None else {}
+
+
+def in_buckets(spark: SparkSession, path: str, written: dict[int, int]) -> DataFrame:
+    """The rows of the buckets, each as the batch named wrote it."""
+    return spark.read.parquet(*[f"{path}/data/n={n}/bucket={b}" for b, n in sorted(written.items())])
+
+
+def upsert_buckets(path: str, keys: list[str], order: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that merges a batch into a Parquet table of ``buckets`` by hash of the key, and writes anew only those that the
+    batch has rows of.
+
+    A batch's buckets go to a folder of its own, then its manifest says which batch wrote each bucket last: a reader sees the table as
+    before, or all of the batch. A batch that is run again begins from the manifest before it and writes the same. Of a key's rows the latest by
+    ``order`` stays, of equals the batch's. Older folders stay for those who read them.
+    """
+
+    def merge(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        rows = cut(batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+        touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # ``buckets`` at most
+        before = manifest(spark, path, below=n)
+        if not touched:
+            return
+        rows = rows.withColumn("__new", F.lit(1))
+        if old := {b: before[b] for b in touched if b in before}:
+            stored = in_buckets(spark, path, old)
+            rows = rows.unionByName(stored.withColumns({"bucket": F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"), "__new": F.lit(0)}))
+        rows = last_of_key(rows, keys, F.col(order).desc_nulls_last(), F.col("__new").desc()).drop("__new")
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/n={n}")
+        now = before | dict.fromkeys(touched, n)
+        lines = spark.range(1).select(F.explode(F.map_from_arrays(F.lit([*now]), F.lit([*now.values()]))).alias("bucket", "batch"))
+        lines.selectExpr("CAST(bucket AS INT) bucket", "CAST(batch AS INT) batch").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/n={n}")
+
+    return merge
+
+
+def bucketed(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``upsert_buckets`` keeps, as its newest batch left it."""
+    return in_buckets(spark, path, manifest(spark, path))
+
+
+def in_time(left: DataFrame, right: DataFrame, on: str, at: str = "ts", other_at: str = "other_ts", within: str = "7 days", late: str = "1 day", how: str = "leftOuter") -> DataFrame:
+    """The rows of one stream with those of another that have the same ``on`` and come up to ``within`` after them, such as acts and their
+    details. Watermarks bound the state; with leftOuter a row without a partner comes out once no partner can come any more."""
+    a = left.withWatermark(at, late)
+    b = right.withColumnRenamed(on, "__on").withWatermark(other_at, late)
+    when = (F.col(other_at) >= F.col(at)) & (F.col(other_at) <= F.col(at) + F.expr(f"INTERVAL {within}"))
+    return a.join(b, (F.col(on) == F.col("__on")) & when, how).drop("__on")
+
+
 def run_once(df: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """All that has landed, in micro-batches, then stop: the shape of a daily job."""
     df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def recent(events: DataFrame, now: Column, back: str = "7 days", at: str = "ts") -> DataFrame:
-    """Rows no older than the look-back of a run at ``now``: what a daily job reads again, to catch what landed late."""
-    return events.where(F.col(at) >= now - F.expr(f"INTERVAL {back}"))
+def recent(events: DataFrame, now: Column, back: str = "7 days", at: str = "ts", cut_at: Column | None = None) -> DataFrame:
+    """Rows no older than the look-back of a run at ``now``, nor than the cut: what a daily job reads again, to catch what landed late. What is
+    before the cut date is in the collection already."""
+    since = now - F.expr(f"INTERVAL {back}")
+    return events.where(F.col(at) >= (since if cut_at is None else F.greatest(since, cut_at)))
 
 
 def refusals(events: DataFrame, key: str = "user_id", at: str = "ts", most: int = 3, seconds: int = 3600, late: str | None = "1 hour") -> DataFrame:
