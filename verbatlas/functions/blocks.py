@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .html import blocks as html_blocks
-from .text import col, roman_value
+from .html import unescaped
+from .text import col, collapsed, roman_value
 
 # How paragraphs, items and letters begin, and how a change is noted.
 ONLY_PARAGRAPH = "(?i)^Parágrafo\\s+único\\s*[.\\-–—]*\\s*"
@@ -66,6 +67,59 @@ def without_annotations(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(col(x), NOTE, " "), "\\s+", " "))
 
 
+# The elements that bound a line.
+BOUNDS = "p div h[1-6] li ul ol td th tr table tbody blockquote br hr center section article header footer body html title dl dt dd pre".split()
+
+
+def lines_of(html: Column | str) -> Column:
+    """The lines of a page, an array: bounded by block elements only, so that a note that is spread over links and spans, or over lines of the
+    source, is in one of them."""
+    t = F.regexp_replace(col(html), "(?is)<!--.*?-->|<(script|style)[^>]*>.*?</\\1\\s*>", "")
+    pieces = F.split(t, f"(?i)</?(?:{'|'.join(BOUNDS)})(?:\\s[^>]*)?/?>")
+    return F.filter(F.transform(pieces, line), lambda x: x != "")
+
+
+def line(x: Column) -> Column:
+    """A piece of HTML as one line of text, whose spaces before a comma go."""
+    return F.regexp_replace(collapsed(unescaped(F.regexp_replace(x, "<[^>]*>", ""))), " +(?=[,;.)])", "")
+
+
+def outline(html: Column | str) -> Column:
+    """The blocks of a page's act, an array of (article, suffix, kind, label, text), by one pass over its lines with what is open: the article, its paragraph,
+    its item. A letter hangs from the open item or paragraph, an item from the open paragraph or the article. A line that begins nothing is
+    more text of the block that is open; before the first article, it is a block of kind ``abertura``."""
+    kind = "array<struct<article:string,suffix:string,kind:string,label:string,text:string>>"
+
+    def entry(article: Column, suffix: Column, what: Column, label: Column, text: Column) -> Column:
+        return F.array(F.struct(article.alias("article"), suffix.alias("suffix"), what.alias("kind"), label.alias("label"), text.alias("text")))
+
+    def step(acc: Column, x: Column) -> Column:
+        is_article, none = x.rlike(ARTICLE), F.lit("")
+        number = F.lower(F.concat(F.regexp_extract(x, ARTICLE, 1), F.regexp_extract(x, ARTICLE, 2)))
+        b = block(x)
+        what = b["kind"]
+        inside = b.isNotNull() & (acc["article"] != "")
+        suffix = F.when(what == "paragrafo", b["key"]).when(what == "inciso", F.concat(acc["p"], b["key"])).otherwise(F.concat(F.when(acc["i"] != "", acc["i"]).otherwise(acc["p"]), b["key"]))
+        out, n = acc["out"], F.size(acc["out"])
+        last = F.element_at(out, -1)
+        longer = F.concat(F.slice(out, F.lit(1), n - 1), entry(last["article"], last["suffix"], last["kind"], last["label"], F.concat(last["text"], F.lit(" "), x)))
+        new = (
+            F.when(is_article, F.concat(out, entry(number, none, F.lit("artigo"), F.concat(F.lit("Art. "), number), F.trim(F.regexp_replace(x, ARTICLE, "")))))
+            .when(inside, F.concat(out, entry(acc["article"], suffix, what, b["label"], b["text"])))
+            .when(n > 0, longer)
+            .otherwise(F.concat(out, entry(none, none, F.lit("abertura"), none, x)))
+        )
+        return F.struct(
+            F.when(is_article, number).otherwise(acc["article"]).alias("article"),
+            F.when(is_article, "").when(inside & (what == "paragrafo"), suffix).otherwise(acc["p"]).alias("p"),
+            F.when(is_article | (inside & (what == "paragrafo")), "").when(inside & (what == "inciso"), suffix).otherwise(acc["i"]).alias("i"),
+            new.alias("out"),
+        )
+
+    start = F.struct(*[F.lit("").alias(c) for c in ("article", "p", "i")], F.array().cast(kind).alias("out"))
+    return F.aggregate(lines_of(html), start, step, lambda acc: acc["out"])
+
+
 def scanned(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, pos, kind, text, notes) of a page's blocks, those that go on where the one before breaks off merged.
 

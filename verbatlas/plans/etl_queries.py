@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verbatlas.functions import html, markup, text
-from verbatlas.operators import answers, compare, integrity, intent, merge, sentence
+from verbatlas.functions import blocks, html, markup, text
+from verbatlas.operators import acts, answers, compare, integrity, intent, merge, sentence
 from verbatlas.plans.search_queries import FIRST_LINE, t
 from verbatlas.sources import readers
 
@@ -290,6 +290,26 @@ def q_html_blocks(spark, d):
     return html.blocks(t(spark, d, "pages")).groupBy("page_id", "kind").agg(F.count("*").alias("n"))
 
 
+def act_page(last: str):
+    """A page of an act made of a page's heading and a digit of its key."""
+    d = (F.col("page_id") % 9 + 1).cast("string")
+    h = F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1)
+    return F.concat(
+        F.lit("<h1>DECRETO</h1><p>O governo\n decreta<p>Art. 1º "), h, F.lit(" (Redação dada pela\n Lei nº 1.23"), d, F.lit(', de 2020)<br>and more<p>§ 1º Texto (Incluído pela <a href="/l'), d, F.lit('">Lei <span>nº 5.55'), d,
+        F.lit("</span>, de 2021</a>)<p>I - item<p>a) letra<p>loose\n text<p>Art. 2º-A Outro (Revogado)<p>II – item (Incluído pela Lei nº 5.55"), d, F.lit(", de 2021)(Incluído pela Lei nº 5.55"), d, F.lit(f", de 2021)<p>{last}"),
+    )
+
+
+def q_page_changes(spark, d):
+    p = t(spark, d, "pages").select("page_id", "url", act_page("Parágrafo único. Fim").alias("html"))
+    return acts.changes(p, base="url").select("page_id", "article", "verb", "norm", "year", "href")
+
+
+def q_page_outline(spark, d):
+    p = t(spark, d, "pages").select("page_id", act_page("Parágrafo único. Fim").alias("html"))
+    return p.select("page_id", F.posexplode(blocks.outline("html")).alias("pos", "b")).select("page_id", "pos", "b.article", "b.suffix", "b.kind", "b.label", F.md5(F.col("b.text").cast("binary")).alias("text"))
+
+
 def q_sanitised(spark, d):
     """Pages as they may be shown: how many paragraphs, items and links are left, and how many tags that no list has."""
     shown = t(spark, d, "pages").select("page_id", markup.sanitised("html").alias("x"))
@@ -485,4 +505,14 @@ SQL["q_fact_extraction"] = f"SELECT * REPLACE (CASE WHEN n % {len(QUESTIONS)} =
 SQL["q_sanitised"] = """WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style|textarea|option|noscript|iframe)[\\s/>].*?</(script|style|textarea|option|noscript|iframe)\\s*>', '', 'g') AS x FROM pages)
       SELECT page_id, len(regexp_extract_all(x, '(?i)<p[ >]')) AS paragraphs, len(regexp_extract_all(x, '(?i)<li[ >]')) AS items, len(regexp_extract_all(x, '(?i)<a[ >]')) AS links, 0 AS unlisted FROM p"""
 
+#: A page's heading as one line, and a digit of its key.
+HEADING_SQL = decoded_sql("regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g')")
+PAGE_SQL = f"SELECT page_id, url, (page_id % 9 + 1)::VARCHAR AS d, trim(regexp_replace(regexp_replace({HEADING_SQL}, '[\\s\u00a0]+', ' ', 'g'), ' +([,;.)])', '\\1', 'g'), ' ') AS h FROM pages"
+SQL["q_page_changes"] = f"""SELECT page_id, article, verb, replace(norm, '#', d) AS norm, year, CASE WHEN link THEN regexp_extract(url, '^([a-z]+://[^/]+)', 1) || '/l' || d END AS href FROM ({PAGE_SQL}),
+      (VALUES ('1', 'redação dada', 'Lei 1.23#/2020', 2020, FALSE), ('1', 'incluído', 'Lei 5.55#/2021', 2021, TRUE), ('2-a', 'incluído', 'Lei 5.55#/2021', 2021, TRUE)) v(article, verb, norm, year, link)"""
+SQL["q_page_outline"] = f"""SELECT page_id, pos, article, suffix, kind, label, md5(replace(replace(text, '~', h), '#', d)) AS text FROM ({PAGE_SQL}),
+      (VALUES (0, '', '', 'abertura', '', 'DECRETO O governo decreta'), (1, '1', '', 'artigo', 'Art. 1', '~ (Redação dada pela Lei nº 1.23#, de 2020) and more'), (2, '1', '_p1', 'paragrafo', '§ 1º', 'Texto (Incluído pela Lei nº 5.55#, de 2021)'),
+        (3, '1', '_p1_inc1', 'inciso', 'I', 'item'), (4, '1', '_p1_inc1_ala', 'alinea', 'a)', 'letra loose text'), (5, '2-a', '', 'artigo', 'Art. 2-a', 'Outro (Revogado)'),
+        (6, '2-a', '_inc2', 'inciso', 'II', 'item (Incluído pela Lei nº 5.55#, de 2021)(Incluído pela Lei nº 5.55#, de 2021)'), (7, '2-a', '_pu', 'paragrafo', 'Parágrafo único', 'Fim')) v(pos, article, suffix, kind, label, text)"""
+
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}
