@@ -115,3 +115,28 @@ def test_embedded_json_and_references(spark):
     assert [r[0] and r[0]["a"] for r in df.select(html.embedded_json("h", "a array<int>")).collect()] == [[1, 2], None]
     refs = spark.createDataFrame([("&#233;&#xE9;&eacute;&amp;lt; &nope; &#0; &amp &rarr;&#x1F600;",)], "t string")
     assert refs.select(html.unescaped(F.col("t"))).first()[0] == "ééé&lt; &nope; � &amp →😀"
+
+
+def columns(lefts, top, rows, name, width=80):
+    """Words of text columns that begin at ``lefts``: three words a line."""
+    step = width / 3
+    return [("d", 1, x + step * j, x + step * j + step - 4, top + 12.0 * r, f"{name}{c}.{r}.{j}") for c, x in enumerate(lefts) for r in range(rows) for j in range(3)]
+
+
+def test_three_columns_under_a_title_and_over_a_footer(spark):
+    title = [("d", 1, 20.0 + 60 * j, 78.0 + 60 * j, 10.0, f"t{j}") for j in range(5)]
+    body = columns([20.0, 120.0, 220.0], 40.0, 6, "c")
+    between = [("d", 1, 20.0 + 60 * j, 78.0 + 60 * j, 130.0, f"m{j}") for j in range(5)]
+    more = columns([20.0, 170.0], 150.0, 4, "k", 130)
+    rows = [*title, *body, *between, *more]
+    df = spark.createDataFrame(rows[::-1], "doc string, page long, x0 double, x1 double, top double, text string")
+    got = [r["text"] for r in readers.lines_of_words(df).orderBy("page", "line").collect()]
+    want = ["t0 t1 t2 t3 t4"] + [" ".join(f"c{c}.{r}.{j}" for j in range(3)) for c in range(3) for r in range(6)] + ["m0 m1 m2 m3 m4"] + [" ".join(f"k{c}.{r}.{j}" for j in range(3)) for c in range(2) for r in range(4)]
+    assert got == want
+
+
+def test_one_column_with_a_wide_space_stays_one():
+    words = [(10.0 + 30 * j, 36.0 + 30 * j, 12.0 * r) for r in range(8) for j in range(6)]
+    assert readers.reading_order(words, 12.0) == [[*range(48)]]
+    del words[2:4]  # a gap in one line
+    assert len(readers.reading_order(words, 12.0)) == 1 and readers.reading_order([], 12.0) == []

@@ -510,7 +510,7 @@ HEADING_SQL = decoded_sql("regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h
 PAGE_SQL = f"SELECT page_id, url, (page_id % 9 + 1)::VARCHAR AS d, trim(regexp_replace(regexp_replace({HEADING_SQL}, '[\\s\u00a0]+', ' ', 'g'), ' +([,;.)])', '\\1', 'g'), ' ') AS h FROM pages"
 SQL["q_page_changes"] = f"""SELECT page_id, article, verb, replace(norm, '#', d) AS norm, year, CASE WHEN link THEN regexp_extract(url, '^([a-z]+://[^/]+)', 1) || '/l' || d END AS href FROM ({PAGE_SQL}),
       (VALUES ('1', 'redação dada', 'Lei 1.23#/2020', 2020, FALSE), ('1', 'incluído', 'Lei 5.55#/2021', 2021, TRUE), ('2-a', 'incluído', 'Lei 5.55#/2021', 2021, TRUE)) v(article, verb, norm, year, link)"""
-SQL["q_page_outline"] = f"""SELECT page_id, pos, article, suffix, kind, label, md5(replace(replace(text, '~', h), '#', d)) AS text FROM ({PAGE_SQL}),
+SQL["q_page_outline"] = f"""SELECT page_id, pos, article, suffix, kind, label, md5(replace(replace(text, '#', d), '~', h)) AS text FROM ({PAGE_SQL}),
       (VALUES (0, '', '', 'abertura', '', 'DECRETO O governo decreta'), (1, '1', '', 'artigo', 'Art. 1', '~ (Redação dada pela Lei nº 1.23#, de 2020) and more'), (2, '1', '_p1', 'paragrafo', '§ 1º', 'Texto (Incluído pela Lei nº 5.55#, de 2021)'),
         (3, '1', '_p1_inc1', 'inciso', 'I', 'item'), (4, '1', '_p1_inc1_ala', 'alinea', 'a)', 'letra loose text'), (5, '2-a', '', 'artigo', 'Art. 2-a', 'Outro (Revogado)'),
         (6, '2-a', '_inc2', 'inciso', 'II', 'item (Incluído pela Lei nº 5.55#, de 2021)(Incluído pela Lei nº 5.55#, de 2021)'), (7, '2-a', '_pu', 'paragrafo', 'Parágrafo único', 'Fim')) v(pos, article, suffix, kind, label, text)"""

@@ -155,25 +155,74 @@ def template_literals(df: DataFrame, name: str, text: str = "value") -> DataFram
 # --- words on pages ----------------------------------------------------------------------------
 
 
-def lines_of_words(words: DataFrame, gap: float = 12.0) -> DataFrame:
-    """(doc, page, col, line, text): word boxes (doc, page, x0, x1, top, text) to lines in reading order.
+#: Words whose tops differ by less share a line; fewer lines side by side are no columns.
+LINE_HEIGHT, LEAST_LINES = 3.0, 3
+
+
+def empty_bands(boxes: list[tuple[float, float]], gap: float) -> list[float]:
+    """The middles of the empty bands, at least ``gap`` wide, between intervals."""
+    out, reach = [], None
+    for x0, x1 in sorted(boxes):
+        if reach is not None and x0 - reach >= gap:
+            out.append((x0 + reach) / 2)
+        reach = x1 if reach is None else max(reach, x1)
+    return out
+
+
+def reading_order(words: list[tuple[float, float, float]], gap: float) -> list[list[int]]:
+    """The numbers of the words (x0, x1, top) of each region of a page, in reading order.
 
-    Words share a line within 3 points of height; a page's columns are split at the widest empty band
-    near its middle, if it is at least ``gap`` wide. One group is one page.
+    A region with empty bands from top to bottom is cut there into columns, which are read from left to right, each cut further in the same way. One without is
+    cut into stretches of lines, the longest that have a band of their own, such as columns under a title; what is between them is read line by line.
     """
 
+    def lines(own: list[int]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for i in sorted(own, key=lambda i: words[i][2]):
+            if not out or words[i][2] - words[out[-1][-1]][2] > LINE_HEIGHT:
+                out.append([])
+            out[-1].append(i)
+        return out
+
+    def bands(own: list[int]) -> list[float]:
+        return empty_bands([words[i][:2] for i in own], gap)
+
+    def regions(own: list[int]) -> list[list[int]]:
+        rows = lines(own)
+        if len(rows) >= LEAST_LINES and (cuts := bands(own)):
+            edges = [float("-inf"), *cuts, float("inf")]
+            columns = [[i for i in own if a <= words[i][0] < b] for a, b in zip(edges, edges[1:])]
+            return [r for c in columns for r in regions(c)]
+        out: list[list[int]] = []
+        plain: list[int] = []
+        k = 0
+        while k < len(rows):
+            n, run = 0, []
+            for row in rows[k:]:
+                if not bands(run + row):
+                    break
+                run, n = run + row, n + 1
+            if n >= LEAST_LINES and n < len(rows):
+                out += [plain] * bool(plain) + regions(run)
+                plain, k = [], k + n
+            else:
+                plain, k = plain + rows[k], k + 1
+        return out + [plain] * bool(plain)
+
+    return regions([*range(len(words))])
+
+
+def lines_of_words(words: DataFrame, gap: float = 12.0) -> DataFrame:
+    """(doc, page, col, line, text): word boxes (doc, page, x0, x1, top, text) to lines in reading order, of any number of columns; ``col`` numbers
+    a page's regions. One group is one page."""
+
     def page(pdf):
-        import numpy as np
         import pandas as pd
 
-        lo, hi = pdf["x0"].min(), pdf["x1"].max()
-        xs = np.linspace(lo + (hi - lo) * 0.3, lo + (hi - lo) * 0.7, 81)
-        free = [x for x in xs if not ((pdf["x0"] < x) & (pdf["x1"] > x)).any()]
-        split = None
-        if free and max(free) - min(free) >= gap and (pdf["x1"] <= min(free)).any() and (pdf["x0"] >= max(free)).any():
-            split = (min(free) + max(free)) / 2
-        pdf = pdf.assign(col=0 if split is None else (pdf["x0"] >= split).astype(int)).sort_values(["col", "top", "x0"])
-        new = (pdf["col"].diff().fillna(1) != 0) | (pdf["top"].diff().abs().fillna(99) > 3)
+        pdf = pdf.reset_index(drop=True)
+        of = {i: k for k, own in enumerate(reading_order(list(zip(pdf["x0"], pdf["x1"], pdf["top"], strict=True)), gap)) for i in own}
+        pdf = pdf.assign(col=[of[i] for i in range(len(pdf))]).sort_values(["col", "top", "x0"])
+        new = (pdf["col"].diff().fillna(1) != 0) | (pdf["top"].diff().abs().fillna(99) > LINE_HEIGHT)
         pdf["line"] = new.cumsum()
         out = pdf.sort_values(["line", "x0"]).groupby(["doc", "page", "col", "line"], as_index=False)["text"].agg(" ".join)
         return pd.DataFrame(out)[["doc", "page", "col", "line", "text"]]
