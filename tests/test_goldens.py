@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from verbatlas.operators import ordered, relate, search
+from verbatlas.operators import compare, ordered, relate, search
 from verbatlas.plans import catalog
 from verbatlas.streaming import collect
 
@@ -32,19 +32,20 @@ def test_ids_that_no_document_has_take_no_place(spark):
 
 
 def test_norms_named(spark):
+    said = ["Transformada na Lei nº 15.164 de 14/07/2025", "Aguardando parecer", "Convertida na Lei Complementar 200, de 2023"]
+    df = spark.createDataFrame([(x,) for x in said], "x string").select(compare.became_norm("x"), compare.norm_named("x"))
+    assert [tuple(r) for r in df.collect()] == [(True, "Lei 15.164/2025"), (False, None), (True, "LC 200/2023")]
     found = rows(spark, "q_norm_named")
-    assert found[0]["became"] and found[0]["norm"] == "Lei 15.164/2025"
-    assert not found[1]["became"]
+    assert all(r["became"] == (n % 4 != 1) for n, r in found.items()) and len(found) > 1000
 
 
 def test_a_longer_number_is_no_target(spark):
     found = rows(spark, "q_change_filter")
-    assert found[0]["targets"] == "lei_11343_2006" and found[2]["targets"] == found[3]["targets"] == ""
-    assert found[6]["targets"] == ""
+    assert {r["targets"] for n, r in found.items() if n % 7 == 0} == {"lei_11343_2006"} and {r["targets"] for n, r in found.items() if n % 7 in (2, 3, 6)} == {""}
 
 
 def test_ordinals_and_headings(spark):
-    first = rows(spark, "q_heading_split")[0]
+    first = next(r for n, r in rows(spark, "q_heading_split").items() if n % 8 == 0)
     assert (first["heading"], first["title"]) == ("CAPÍTULO III – Da Aplicação da Pena", "Fixação da pena")
 
 
