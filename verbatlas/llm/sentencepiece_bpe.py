@@ -31,7 +31,7 @@ from .common import map_texts
 
 MARK = "▁"
 #: Bytes of the parts kept in a Python worker's memory, in each of two generations; and the characters of a part that is kept, at most.
-KEPT_BYTES, MOST_CACHED = 32 << 20, 48
+KEPT_BYTES, MOST_CACHED = 56 << 20, 48
 #: What a part's place in a dictionary takes, besides itself and its ids.
 PLACE_BYTES = 100
 #: Characters whose texts are encoded and checked together.
