@@ -12,10 +12,10 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbatlas.functions.text import lexemes, norm, plain
+from verbatlas.functions.text import norm, plain
 
 #: Constants of the fusion.
 K, CAP, CONTAINED = 60, 200, 12

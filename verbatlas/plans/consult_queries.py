@@ -8,7 +8,7 @@ from verbatlas.functions import blocks, display
 from verbatlas.operators import consult, curation, merge, ordered, reports, search
 from verbatlas.operators import index as written
 from verbatlas.plans.etl_queries import dealt, dealt_sql
-from verbatlas.plans.search_queries import ASK, documents, hybrid_sql, index_of, run, t
+from verbatlas.plans.search_queries import ASK, hybrid_sql, index_of, run, t
 
 LAWS = ["O", "P"]
 
