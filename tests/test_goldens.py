@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from verbatlas.functions import blocks, text
 from verbatlas.operators import compare, ordered, relate, search
 from verbatlas.plans import catalog
 from verbatlas.streaming import collect
@@ -49,6 +50,14 @@ def test_ordinals_and_headings(spark):
     assert (first["heading"], first["title"]) == ("CAPÍTULO III – Da Aplicação da Pena", "Fixação da pena")
 
 
+def test_a_word_behind_a_number_keeps_its_first_letter(spark):
+    said = ["§ 12 orwher thouanan", "§ 12 o juiz", "§ 1o Texto", "§ 1 º Texto", "§ 2º-A. Texto", "§ 1oTexto", "Art. 5 os bens"]
+    df = spark.createDataFrame([(x,) for x in said], "x string")
+    found = df.select(F.coalesce(blocks.block("x")["text"], F.regexp_replace("x", blocks.ARTICLE, ""))).collect()
+    assert [r[0] for r in found] == ["orwher thouanan", "o juiz", "Texto", "Texto", "Texto", "Texto", "os bens"]
+    assert df.limit(1).select(text.without_marker("x", F.lit("paragrafo"))).first()[0] == "orwher thouanan"
+
+
 def test_nested_children_of_nothing(spark):
     parents = spark.createDataFrame([(1,), (2,)], "k int")
     children = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "k int, o int, x string")

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from .html import blocks as html_blocks
 from .html import unescaped
-from .text import col, collapsed, roman_value
+from .text import SIGN, col, collapsed, roman_value
 
 # How paragraphs, items and letters begin, and how a change is noted.
 ONLY_PARAGRAPH = "(?i)^Parágrafo\\s+único\\s*[.\\-–—]*\\s*"
-PARAGRAPH = "^§\\s*([0-9]+)\\s*[oº°]?(?:\\s*-\\s*([A-Za-z])(?![a-zA-Z]))?\\s*[.\\-–—]*\\s*"
+PARAGRAPH = f"^§\\s*([0-9]+){SIGN}(?:\\s*-\\s*([A-Za-z])(?![a-zA-Z]))?\\s*[.\\-–—]*\\s*"
 ITEM = "^([IVXLC]+)\\s*[-–—]\\s*"
 LETTER = "^([a-z])\\s*\\)\\s*"
-ARTICLE = "^Art\\.?\\s*([0-9]+)\\s*[oº°]?(-[A-Z])?\\s*[.\\-–—]*\\s*"
+ARTICLE = f"^Art\\.?\\s*([0-9]+){SIGN}(-[A-Z])?\\s*[.\\-–—]*\\s*"
 INLINE = "(?:^|[;:.]\\s)\\s*(?:[IVXLC]{1,7}\\s*[-–—]\\s+|[a-z]\\s*\\)\\s)"
 NOTE = "\\((?:[^()]*(?:Redação dada|Incluíd[oa]|Acrescentad[oa]|Revogad[oa]|Vide|Vigência|Renumerad[oa])[^()]*)\\)"
 

@@ -67,6 +67,8 @@ def collapsed(x: Column | str) -> Column:
 
 # --- cleaning: each step gives the new text and how many places it changed ------------------------
 
+# The sign of an ordinal behind its digits; an o is one only if it is glued to them and begins no word.
+SIGN = "(?:\\s*[º°]|o(?!\\p{Ll}))?"
 # Where a small o, or a degree sign, stands for an ordinal sign.
 ORDINAL_STEPS = [
     ("([0-9])[o°](?![a-zà-ÿ])", "$1º"),
@@ -219,10 +221,10 @@ def without_marker(x: Column | str, kind: Column | str) -> Column:
     """A block's text without the sign that its kind begins with."""
     t, k = F.trim(col(x)), col(kind)
     return (
-        F.when(k == "paragrafo", F.regexp_replace(t, "^(§\\s*[0-9]+\\s*[ºo°]?(-[A-Z])?\\.?|Parágrafo único\\.?)\\s*[-–—]?\\s*", ""))
+        F.when(k == "paragrafo", F.regexp_replace(t, f"^(§\\s*[0-9]+{SIGN}(-[A-Z])?\\.?|Parágrafo único\\.?)\\s*[-–—]?\\s*", ""))
         .when(k == "inciso", F.regexp_replace(t, "^[IVXLCDM]+\\s*[-–—]\\s*", ""))
         .when(k == "alinea", F.regexp_replace(t, "^[a-z]\\)\\s*", ""))
-        .otherwise(F.regexp_replace(t, "^Art\\.?\\s*[0-9]+[ºo°]?(-[A-Z])?\\.?\\s*[-–—]?\\s*", ""))
+        .otherwise(F.regexp_replace(t, f"^Art\\.?\\s*[0-9]+{SIGN}(-[A-Z])?\\.?\\s*[-–—]?\\s*", ""))
     )
 
 
