@@ -58,6 +58,12 @@ def test_a_word_behind_a_number_keeps_its_first_letter(spark):
     assert df.limit(1).select(text.without_marker("x", F.lit("paragrafo"))).first()[0] == "orwher thouanan"
 
 
+def test_an_address_is_no_number_with_thousands_points(spark):
+    said = ["el no 88.105.82.241 mi", "el no 88.105.182.241", "do no 1.234.", "do no 1.234.567, de", "do no 12.848"]
+    df = spark.createDataFrame([(x,) for x in said], "x string").select(*text.ordinals("x"))
+    assert [tuple(r) for r in df.collect()] == [(said[0], 0), (said[1], 0), ("do nº 1.234.", 1), ("do nº 1.234.567, de", 1), ("do nº 12.848", 1)]
+
+
 def test_nested_children_of_nothing(spark):
     parents = spark.createDataFrame([(1,), (2,)], "k int")
     children = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "k int, o int, x string")

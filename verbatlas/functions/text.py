@@ -73,13 +73,13 @@ SIGN = "(?:\\s*[º°]|o(?!\\p{Ll}))?"
 ORDINAL_STEPS = [
     ("([0-9])[o°](?![a-zà-ÿ])", "$1º"),
     (f"(?U)\\b({ACTS})(\\s+)n[o°](?=\\s*[0-9])", "$1$2nº"),
-    ("(?U)\\bn[o°](?=\\s+[0-9]{1,3}\\.[0-9]{3})", "nº"),
+    ("(?U)\\bn[o°](?=\\s+[0-9]{1,3}(?:\\.[0-9]{3}){1,2}(?!\\.?[0-9]))", "nº"),
 ]
 
 
 def ordinals(x: Column | str) -> tuple[Column, Column]:
     """Ordinal signs where a letter o stands for one: after a digit, after the name of an act and
-    before a number, and before a number with a thousands point."""
+    before a number, and before a number with one or two thousands points; four groups of digits are an address."""
     text, n = col(x), F.lit(0)
     for pattern, to in ORDINAL_STEPS:
         n = n + F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
