@@ -128,6 +128,22 @@ def test_stemmed_index(spark, docs, tmp_path):
     assert {r["id"] for r in ix.lexical(own, "droga", cap=None).collect()} == {r["id"] for r in s.lexical_leg(docs, "drogas", cap=None).collect()}
 
 
+def test_a_segment_is_written_by_one_shuffle_in_files_of_bounded_size(spark, docs, tmp_path, monkeypatch):
+    own = ix.Index(spark, str(tmp_path / "a"), buckets=2, blocks=2, stemmed=True)
+    assert "Exchange" not in ix.postings_of(own, docs)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ix, "PLACES_A_FILE", 20)
+    ix.added(own, docs)
+    ix.added(own, docs.limit(3))
+    ix.merged(own)
+    for n in (1, 3):  # as written, and as merged
+        assert max(len([*b.glob("*.parquet")]) for b in (tmp_path / f"a/s={n}/postings").glob("bucket=*")) > 1
+    whole = ix.Index(spark, str(tmp_path / "b"), buckets=2, blocks=2, stemmed=True)
+    monkeypatch.setattr(ix, "PLACES_A_FILE", 1_000_000)
+    ix.added(whole, docs)
+    flat = lambda i: sorted(tuple(r) for r in ix.occurrences(i, i.segments(), "bigint").select("lexeme", "block", "id", "size", "t", "b", "at").collect())
+    assert flat(own) == flat(whole) != []
+
+
 # --- stems ----------------------------------------------------------------------------------------
 
 
