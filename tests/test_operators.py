@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -338,3 +339,18 @@ def test_windows_of_a_full_join_are_not_ranked(spark):
     b = search.ranked(spark.createDataFrame([(1, 3, 9.0), (1, 2, 8.0)], "query_id int, id long, lex double"), F.col("lex").desc(), F.col("id"))
     out = {r["id"]: r for r in search.fused({"vector": a, "lexical": b}).collect()}
     assert {i: (r["vector_pos"], r["lexical_pos"]) for i, r in out.items()} == {1: (1, None), 2: (2, 2), 3: (None, 1)}
+
+
+def test_best_overlaps_leave_out_surpassed_rows_alone(spark):
+    rng = random.Random(5)
+    rows = [(k, sorted(x for x in "abcdefgh" if rng.random() < 0.8)) for k in range(300)]
+    df = spark.createDataFrame(rows, "k long, own array<string>")
+    asked, all_of = df.where("k % 10 = 0"), df.select(F.col("k").alias("other"), F.col("own").alias("theirs"))
+    pairs = relate.overlapping(asked, all_of, "k", "other", "own", "theirs", 3).where("k <> other").cache()
+    assert pairs.count() < 30 * 299 / 4
+    found = {(r["k"], r["other"], r["shared"], r["rank"]) for r in relate.best_overlaps(pairs, "k", "other", 3).collect()}
+    want = set()
+    for k, own in rows[::10]:
+        each = sorted((-len({*own} & {*x}), o) for o, x in rows if o != k and {*own} & {*x})
+        want |= {(k, o, -n, i + 1) for i, (n, o) in enumerate(each[:3])}
+    assert found == want

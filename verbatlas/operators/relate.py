@@ -51,15 +51,20 @@ def like_any(query: str, *fields: str, digits: str | None = None) -> Column:
 BLOCK, MOST_ITEMS = 2_000, 512
 
 
-def overlapping(a: DataFrame, b: DataFrame, a_key: str, b_key: str, items_a: str, items_b: str) -> DataFrame:
-    """(a_key, b_key, shared): pairs whose arrays meet; ``a`` is the stated side. A key is there once on each side.
+#: Sets of items that rows are held against to see that they can be among no row's best.
+SETS = 64
+
+
+def overlapping(a: DataFrame, b: DataFrame, a_key: str, b_key: str, items_a: str, items_b: str, most: int | None = None) -> DataFrame:
+    """(a_key, b_key, shared): pairs whose arrays meet; ``a`` is the stated side. A key is there once on each side. With ``most`` pairs may be missing
+    that are not among the first ``most`` of their ``a_key`` by (shared, b_key), even where its own key is left out.
 
     Items are counted first. If they are selective, or more than MOST_ITEMS, they are joined. If they are few, and so common that a
     join would make more rows than there are pairs, each array becomes a bitmap of the items; blocks of ``a`` are
     broadcast, and each pair is one comparison of bits, without a hot key and without a shuffle. Both give the same rows.
     """
-    left = a.select(F.col(a_key).alias("__a"), F.explode(F.array_distinct(items_a)).alias("i"))
-    right = b.select(F.col(b_key).alias("__b"), F.explode(F.array_distinct(items_b)).alias("i"))
+    left = cut(a.select(F.col(a_key).alias("__a"), F.array_distinct(items_a).alias("i"))).select("__a", F.explode("i").alias("i"))
+    right = cut(b.select(F.col(b_key).alias("__b"), F.array_distinct(items_b).alias("i"))).select("__b", F.explode("i").alias("i"))
     n, m = left.select("__a").distinct().count(), right.select("__b").distinct().count()
     of = lambda df, name: df.groupBy("i").agg(F.count("*").alias(name))
     items = cut(of(left, "n").join(of(right, "m"), "i"))
@@ -75,6 +80,8 @@ def overlapping(a: DataFrame, b: DataFrame, a_key: str, b_key: str, items_a: str
         return met.groupBy(key).agg(*[F.bit_or(F.when(F.floor(F.col("at") / 64) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"{name}{w}") for w in words])
 
     one, other = cut(bitmaps(left, "__a", "x")), bitmaps(right, "__b", "y")
+    if most is not None:
+        other = unsurpassed(cut(other), "__b", [f"y{w}" for w in words], most + 1)  # one more, as a row may be left out for itself
     shared = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x{w}").bitwiseAND(F.col(f"y{w}"))) for w in words]).cast("long")
     parts = -(-n // BLOCK)
     out = []
@@ -84,6 +91,16 @@ def overlapping(a: DataFrame, b: DataFrame, a_key: str, b_key: str, items_a: str
     return reduce(DataFrame.unionByName, out)
 
 
+def unsurpassed(df: DataFrame, key: str, bits: list[str], most: int) -> DataFrame:
+    """``df`` without rows that ``most`` rows with a lower key surpass, as each has all of their items: these share at least as much with any set, and
+    come first. Rows are held against the SETS largest sets that ``most`` rows have; whatever these say of few rows, no row goes that counts."""
+    size = reduce(lambda p, q: p + q, [F.bit_count(c) for c in bits])
+    nth = df.withColumn("__n", F.row_number().over(Window.partitionBy(*bits).orderBy(key))).where(F.col("__n") == most)
+    sets = nth.orderBy(size.desc(), key).limit(SETS).select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in bits])
+    within = [F.col(c).bitwiseAND(F.bitwise_not(F.col(f"__{c}"))) == 0 for c in bits]
+    return df.join(F.broadcast(sets), reduce(lambda p, q: p & q, [F.col(key) > F.col("__k"), *within]), "left_anti")
+
+
 def having_any(df: DataFrame, items: str, wanted: list) -> DataFrame:
     """Rows whose array is there and has one of the wanted items."""
     kind = dict(df.dtypes)[items]
@@ -105,7 +122,7 @@ def best_overlaps(pairs: DataFrame, key: str, other: str, most: int = 3) -> Data
 def citable_overlaps(df: DataFrame, known: DataFrame, key: str, other: str, items: str, others: str, citable: Column, thesis: str, most: int = 3) -> DataFrame:
     """(key, other, shared, rank): of the rows of ``known`` that may be cited and have a thesis, the ``most`` that share most items with a row."""
     final = known.where(citable & F.col(thesis).isNotNull())
-    return best_overlaps(overlapping(df, final, key, other, items, others), key, other, most)
+    return best_overlaps(overlapping(df, final, key, other, items, others, most), key, other, most)
 
 
 def first_match(df: DataFrame, rules: DataFrame, key: str, items: str, item: str, label: str, order: str, otherwise: Column) -> DataFrame:
