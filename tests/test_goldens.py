@@ -22,6 +22,16 @@ def test_first_place_of_the_term_leg(spark):
     assert hit["id"] == 7 and round(hit["score"], 6) == 0.04918
 
 
+def test_terms_are_counted_without_pairs_of_copies(spark):
+    terms = spark.range(600).select(F.col("id").alias("term_id"), F.when(F.col("id") % 3 == 0, "Ação de Despejo").when(F.col("id") % 3 == 1, "acao de despejo rural").otherwise("short").alias("term"))
+    asks = spark.range(300).select(F.col("id").alias("query_id"), F.when(F.col("id") == 7, "nothing").when(F.col("id") == 8, "Short").otherwise("a ACAO DE DESPEJO rural e mais").alias("query"))
+    counts = search.term_counts(asks, terms)
+    found = {tuple(r) for r in counts.collect()}
+    assert found == {(i, 200, 2) if i == 8 else (i, 400, 0) for i in range(300) if i != 7}
+    pairs = search.matched_terms(asks.where("query_id < 12"), terms.withColumn("variants", F.array().cast("array<string>"))).groupBy("query_id").agg(F.count("*"), F.min("term_id"))
+    assert {tuple(r) for r in pairs.collect()} == {r for r in found if r[0] < 12}
+
+
 def test_ids_that_no_document_has_take_no_place(spark):
     docs = spark.createDataFrame([(1, "a", "apple pie"), (2, "b", "apple tart")], "id long, title string, text string")
     vectors = spark.createDataFrame([(9, [1.0, 0.0]), (2, [0.9, 0.1]), (1, [0.0, 1.0])], "id long, vector array<double>")
