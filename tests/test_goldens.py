@@ -1,6 +1,7 @@
 """Known values of the operators that no SQL expresses, and the streaming path."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -22,6 +23,18 @@ def test_first_place_of_the_term_leg(spark):
     assert hit["id"] == 7 and round(hit["score"], 6) == 0.04918
 
 
+def test_nearest_vectors_by_products_are_those_of_all_pairs(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(400)]
+    rows += [(400 + i, rows[i][1]) for i in range(40)] + [(900, None), (901, [1.0]), (902, [1.0, None, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    asked = df.where("id % 20 = 0 AND id < 400").select(F.col("id").alias("query_id"), "vector")
+    every = search.ranked(search.vector_leg(df, asked, None).drop("pos"), F.col("dist"), F.col("id"), cap=6)
+    assert sorted(map(tuple, search.vector_leg(df, asked, 6).collect())) == sorted(map(tuple, every.collect()))
+    usual = df.where("id < 900")
+    assert search.near(search.normed(usual), search.normed(asked).select("query_id", F.col("vector").alias("__q"), F.col("norm").alias("__n")), 6).count() < 20 * 440 / 4
+
+
 def test_terms_are_counted_without_pairs_of_copies(spark):
     terms = spark.range(600).select(F.col("id").alias("term_id"), F.when(F.col("id") % 3 == 0, "Ação de Despejo").when(F.col("id") % 3 == 1, "acao de despejo rural").otherwise("short").alias("term"))
     asks = spark.range(300).select(F.col("id").alias("query_id"), F.when(F.col("id") == 7, "nothing").when(F.col("id") == 8, "Short").otherwise("a ACAO DE DESPEJO rural e mais").alias("query"))
