@@ -354,3 +354,13 @@ def test_best_overlaps_leave_out_surpassed_rows_alone(spark):
         each = sorted((-len({*own} & {*x}), o) for o, x in rows if o != k and {*own} & {*x})
         want |= {(k, o, -n, i + 1) for i, (n, o) in enumerate(each[:3])}
     assert found == want
+
+
+def test_precedents_are_met_by_those_that_none_surpasses(spark, monkeypatch):
+    known = spark.range(1, 400).select(F.col("id").alias("p"), F.sequence(F.lit(1), F.lit(9)).alias("own"), F.lit("ok").alias("status"), F.lit("t").alias("thesis"))
+    asked = spark.range(50).select(F.col("id").alias("c"), F.sequence(F.lit(1), F.col("id") % 9 + 1).alias("want"))
+    made = []
+    best = relate.best_overlaps
+    monkeypatch.setattr(relate, "best_overlaps", lambda pairs, *rest: (made.append(pairs.count()), best(pairs, *rest))[1])
+    found = relate.citable_overlaps(asked, known, "c", "p", "want", "own", F.col("status") == "ok", "thesis").collect()
+    assert {tuple(r) for r in found} == {(i, r, i % 9 + 1, r) for i in range(50) for r in (1, 2, 3)} and made[0] == 50 * 4
