@@ -364,3 +364,12 @@ def test_precedents_are_met_by_those_that_none_surpasses(spark, monkeypatch):
     monkeypatch.setattr(relate, "best_overlaps", lambda pairs, *rest: (made.append(pairs.count()), best(pairs, *rest))[1])
     found = relate.citable_overlaps(asked, known, "c", "p", "want", "own", F.col("status") == "ok", "thesis").collect()
     assert {tuple(r) for r in found} == {(i, r, i % 9 + 1, r) for i in range(50) for r in (1, 2, 3)} and made[0] == 50 * 4
+
+
+def test_a_difference_makes_no_value_of_a_character(spark):
+    cases = [("aé€😀z", "aè€😁z", ("a", "é€😀", "è€😁", "z")), ("aa", "aaa", ("aa", "", "a", "")), ("xé", "xè", ("x", "é", "è", "")), ("éx", "ãx", ("", "é", "ã", "x")), ("", "", ("", "", "", ""))]
+    long = "é" * 100_000
+    cases += [(long + "a" + long, long + "b" + long, (long, "a", "b", long)), (None, "x", (None,) * 4), ("x", None, (None,) * 4)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string").select("i", text.difference("a", "b").alias("d"))
+    assert {r["i"]: tuple(r["d"]) for r in df.collect()} == {i: want for i, (_, _, want) in enumerate(cases)}
+    assert "split(" not in df._jdf.queryExecution().optimizedPlan().toString()

@@ -249,24 +249,47 @@ def embedding_text(heading: Column, title: Column, caput: Column, text: Column)
 
 def difference(a: Column | str, b: Column | str) -> Column:
     """struct(prefix, old, new, suffix): the longest common beginning and end of two texts, and what
-    stands between them. Linear in the texts' length, without a function per character in Python."""
-    a, b = col(a), col(b)
-    n = F.least(F.length(a), F.length(b))
-
-    def shared(x: Column, y: Column) -> Column:
-        # characters agree up to here: the position of the first pair that differs
-        pairs = F.zip_with(F.slice(F.split(x, ""), F.lit(1), n), F.slice(F.split(y, ""), F.lit(1), n), lambda p, q: p.eqNullSafe(q))
-        first = F.array_position(pairs, F.lit(False))
-        return F.when(first == 0, n).otherwise(first - 1).cast("int")
-
-    head = F.when(n == 0, 0).otherwise(shared(a, b))
-    tail = F.least(F.when(n == 0, 0).otherwise(shared(F.reverse(a), F.reverse(b))), n - head)
-    return F.struct(
-        F.substring(a, F.lit(1), head).alias("prefix"),
-        F.substring(a, head + 1, F.length(a) - head - tail).alias("old"),
-        F.substring(b, head + 1, F.length(b) - head - tail).alias("new"),
-        F.substring(a, F.length(a) - tail + 1, tail).alias("suffix"),
-    )
+    stands between them. The texts' bytes are halved and compared, so that no character has a value of its own."""
+
+    def parts(x: Column) -> Column:
+        head = F.length(F.substring(x["p"], F.lit(1), whole(x["p"], shared(x["p"], x["q"], False))).cast("string"))
+        tail = F.length(behind(x["p"], shared(x["p"], x["q"], True)).cast("string"))
+        return F.struct(x["a"].alias("a"), x["b"].alias("b"), head.alias("head"), F.least(tail, F.least(F.length(x["a"]), F.length(x["b"])) - head).alias("tail"))
+
+    def cut(x: Column) -> Column:
+        a, b, head, tail = (x[c] for c in ("a", "b", "head", "tail"))
+        return F.struct(
+            F.substring(a, F.lit(1), head).alias("prefix"),
+            F.substring(a, head + 1, F.length(a) - head - tail).alias("old"),
+            F.substring(b, head + 1, F.length(b) - head - tail).alias("new"),
+            F.substring(a, F.length(a) - tail + 1, tail).alias("suffix"),
+        )
+
+    both = F.struct(col(a).alias("a"), col(b).alias("b"))
+    return once(once(once(both, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.when(x["b"].isNotNull(), x["a"].cast("binary")).alias("p"), x["b"].cast("binary").alias("q"))), parts), cut)
+
+
+def shared(p: Column, q: Column, back: bool) -> Column:
+    """How many bytes two binaries have in common from their start, or ``back`` from their end: what is held to be equal grows by halves of what may be."""
+    size = lambda x: F.octet_length(x)
+    at = lambda x, n, step: F.substring(x, size(x) - n - step + 1 if back else n + 1, step)
+    steps = F.array(*[F.lit(1 << i) for i in range(30, -1, -1)])
+    longer = lambda n, step: F.when((step <= F.least(size(p), size(q)) - n) & (at(p, n, step) == at(q, n, step)), n + step).otherwise(n)
+    return F.aggregate(steps, F.lit(0), longer)
+
+
+def whole(p: Column, n: Column) -> Column:
+    """The bytes that the whole characters among the first ``n`` take up."""
+    inside = lambda i: F.hex(F.substring(p, i + 1, F.lit(1))).between("80", "BF")  # noqa: E731  a byte that continues a character
+    return once(n, lambda n: F.when(~inside(n), n).when(~inside(n - 1), n - 1).when(~inside(n - 2), n - 2).otherwise(n - 3))
+
+
+def behind(p: Column, n: Column) -> Column:
+    """The whole characters among the last ``n`` bytes."""
+    last = once(n, lambda n: F.substring(p, F.octet_length(p) - n + 1, n))
+    inside = lambda x, i: F.hex(F.substring(x, i, 1)).between("80", "BF")
+    rest = lambda x, i: F.substring(x, F.lit(i), F.octet_length(x))
+    return once(last, lambda x: F.when(~inside(x, 1), x).when(~inside(x, 2), rest(x, 2)).when(~inside(x, 3), rest(x, 3)).otherwise(rest(x, 4)))
 
 
 def once(x: Column, f: Callable[[Column], Column]) -> Column:
