@@ -373,3 +373,13 @@ def test_a_difference_makes_no_value_of_a_character(spark):
     df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string").select("i", text.difference("a", "b").alias("d"))
     assert {r["i"]: tuple(r["d"]) for r in df.collect()} == {i: want for i, (_, _, want) in enumerate(cases)}
     assert "split(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_question_is_read_once(spark):
+    ask = ["réu preso com 2,5 kg perto de escola, confessou", "não é reincidente; furto de madrugada", None]
+    df = spark.createDataFrame([(x,) for x in ask], "x string").select(sentence.read_from("x").alias("r")).select("r.*")
+    assert [tuple(r) for r in df.collect()] == [
+        ("lei_11343_2006_art33", ["confissao", "proximidade", "quantidade expressiva"], 2500.0), ("dl_2848_1940_art155", ["repousoNoturno"], None), (None, [], None)
+    ]
+    facts = spark.createDataFrame([], "x string").select(sentence.facts_in("x").alias("f"))
+    assert facts._jdf.queryExecution().optimizedPlan().toString().count("latrocinio") <= 3

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from verbatlas.functions.text import col, norm
+from verbatlas.functions.text import col, norm, once
 
 # For each crime its months and fine days, least and most, whether the ninth vector
 # counts (twice), and the causes that it admits.
@@ -112,33 +112,47 @@ def stated(q: Column, pattern: str) -> Column:
 
 def crime_in(question: Column | str) -> Column:
     """The crime a question is about; null for none, for consumption, and for crimes that aren't computed."""
-    q = norm(question)
+    return once(norm(question), crime_of)
+
+
+def crime_of(q: Column) -> Column:
+    """``crime_in`` of a question in normal form."""
     found = F.coalesce(*[F.when(stated(q, p), F.lit(k)) for p, k in CRIME_WORDS])
     consumption = q.rlike("consumo pessoal|uso proprio|porte para consumo|art\\.? ?28\\b") & ~q.rlike("\\btrafic")
-    return F.when(~consumption, F.nullif(found, F.lit("")))
+    return F.when(~consumption, once(found, lambda x: F.nullif(x, F.lit(""))))
 
 
 def grams_in(question: Column | str) -> Column:
     """The largest quantity that a text states, in grams; null without any."""
     pattern = "([0-9]+(?:[.,][0-9]+)?)\\s*(kg\\b|quilos?\\b|gramas?\\b|g\\b)"
-    q = F.lower(col(question))
-    pairs = F.arrays_zip(F.regexp_extract_all(q, F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all(q, F.lit(pattern), F.lit(2)).alias("u"))
-    each = F.transform(pairs, lambda p: F.replace(p["n"], F.lit(","), F.lit(".")).cast("double") * F.when(p["u"].rlike("^(kg|quilo)"), 1000).otherwise(1))
-    return F.array_max(each)
+    found = F.regexp_extract_all(F.lower(col(question)), F.lit(pattern), F.lit(0))
+    number = lambda x: F.replace(F.regexp_extract(x, pattern, 1), F.lit(","), F.lit(".")).cast("double")
+    return F.array_max(F.transform(found, lambda x: number(x) * F.when(F.regexp_extract(x, pattern, 2).rlike("^(kg|quilo)"), 1000).otherwise(1)))
 
 
 def facts_in(question: Column | str) -> Column:
     """The facts a question states, sorted; causes that its crime doesn't admit are left out, and no
     one is both a repeat offender and privileged."""
-    q, crime = norm(question), F.coalesce(crime_in(question), F.lit(next(iter(CRIMES))))
+    return read_from(question)["facts"]
+
+
+def read_from(question: Column | str) -> Column:
+    """struct(crime, facts, grams) as ``crime_in``, ``facts_in`` and ``grams_in`` give them. What several of them need is computed once for a question."""
+    text = F.struct(norm(question).alias("q"), grams_in(question).alias("grams"))
+    crime = lambda x: F.struct(x["q"].alias("q"), x["grams"].alias("grams"), crime_of(x["q"]).alias("crime"))
+    return once(once(text, crime), lambda x: F.struct(x["crime"].alias("crime"), facts_of(x["q"], F.coalesce(x["crime"], F.lit(next(iter(CRIMES)))), x["grams"]).alias("facts"), x["grams"].alias("grams")))
+
+
+def facts_of(q: Column, crime: Column, grams: Column) -> Column:
+    """The facts of a question in normal form, for a crime and a quantity."""
     found = []
     for name, pattern in FACT_WORDS:
         ok = stated(q, pattern)
         if name in INCREASES or name in DECREASES:
-            ok = ok & crime.isin([k for k, v in CRIMES.items() if name in v[5]])
+            ok = crime.isin([k for k, v in CRIMES.items() if name in v[5]]) & ok
         if name == "privilegiado":
             ok = ok & ~stated(q, dict(FACT_WORDS)["reincidencia"])
         found.append(F.when(ok, F.lit(name)))
     drugs = crime.isin([k for k, v in CRIMES.items() if v[4]])
-    found.append(F.when(drugs & (F.coalesce(grams_in(question), F.lit(0.0)) >= EXPRESSIVE), F.lit("quantidade expressiva")))
+    found.append(F.when(drugs & (F.coalesce(grams, F.lit(0.0)) >= EXPRESSIVE), F.lit("quantidade expressiva")))
     return F.array_sort(F.array_compact(F.array(*found)))

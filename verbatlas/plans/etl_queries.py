@@ -400,8 +400,8 @@ QUESTIONS = [
 
 
 def q_fact_extraction(spark, d):
-    q = dealt(spark, d, QUESTIONS)
-    return q.select("n", sentence.crime_in("x").alias("crime"), F.array_join(sentence.facts_in("x"), ",").alias("facts"), sentence.grams_in("x").alias("grams"))
+    q = dealt(spark, d, QUESTIONS).select("n", sentence.read_from("x").alias("r"))
+    return q.select("n", "r.crime", F.array_join("r.facts", ",").alias("facts"), "r.grams")
 
 
 CPF_DIGIT = "CAST(substr(cpf, {}, 1) AS INT)"
