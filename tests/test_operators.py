@@ -383,3 +383,13 @@ def test_a_question_is_read_once(spark):
     ]
     facts = spark.createDataFrame([], "x string").select(sentence.facts_in("x").alias("f"))
     assert facts._jdf.queryExecution().optimizedPlan().toString().count("latrocinio") <= 3
+
+
+def test_an_answer_is_held_against_its_own_sources_in_its_row(spark):
+    raw = ['{"paragraphs":[{"text":"a","citations":[1,5]},{"text":"ж"}],"sources":[{"id":1,"doc_id":"x"},{"id":2,"doc_id":"y"}]}', '{"paragraphs":[],"sources":[{"id":5,"doc_id":null}]}', None]
+    given = spark.createDataFrame([*enumerate(raw)], "answer_id int, raw string")
+    found = answers.violations(given, spark.createDataFrame([(0, "x"), (1, "y")], "answer_id int, doc_id string"))
+    want = [(0, "orphan citation", "5"), (0, "no citation", "2"), (0, "other script", "2"), (0, "unknown source", "y"), (1, "empty", ""), (1, "unknown source", None), (2, "shape", "")]
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("LogicalRDD") <= 3  # the answers twice, and what was retrieved

@@ -43,19 +43,30 @@ def non_latin(text: Column | str) -> Column:
 def violations(answers: DataFrame, retrieved: DataFrame) -> DataFrame:
     """(answer_id, rule, detail) of answers (answer_id, raw): broken shape, no text, a source that wasn't
     retrieved (answer_id, doc_id), a citation without a source, a paragraph without a citation, and letters
-    of other scripts."""
+    of other scripts. What an answer says of itself is seen in its row; only the ids of sources are shuffled."""
     a = parsed_answers(answers)
-    shape = a.where("a IS NULL OR a.paragraphs IS NULL OR a.sources IS NULL").select("answer_id", F.lit("shape").alias("rule"), F.lit("").alias("detail"))
-    good = a.where("a IS NOT NULL AND a.paragraphs IS NOT NULL AND a.sources IS NOT NULL")
-    empty = good.where(~F.exists("a.paragraphs", lambda p: F.trim(p["text"]) != "")).select("answer_id", F.lit("empty").alias("rule"), F.lit("").alias("detail"))
-    named = good.select("answer_id", F.explode("a.sources").alias("s"))
-    unknown = named.select("answer_id", F.col("s.doc_id").alias("doc_id")).join(retrieved, ["answer_id", "doc_id"], "left_anti").select("answer_id", F.lit("unknown source").alias("rule"), F.col("doc_id").alias("detail"))
-    cited = good.select("answer_id", F.explode(F.array_distinct(F.flatten(F.transform("a.paragraphs", lambda p: F.coalesce(p["citations"], F.array().cast("array<int>")))))).alias("id"))
-    orphan = cited.join(named.select("answer_id", F.col("s.id").alias("id")), ["answer_id", "id"], "left_anti").select("answer_id", F.lit("orphan citation").alias("rule"), F.col("id").cast("string").alias("detail"))
-    paragraph = good.select("answer_id", F.posexplode("a.paragraphs").alias("pos", "p"))
-    bare = paragraph.where("trim(p.text) <> '' AND coalesce(size(p.citations), 0) <= 0").select("answer_id", F.lit("no citation").alias("rule"), (F.col("pos") + 1).cast("string").alias("detail"))
-    script = paragraph.where(non_latin(F.col("p.text"))).select("answer_id", F.lit("other script").alias("rule"), (F.col("pos") + 1).cast("string").alias("detail"))
-    return reduce(DataFrame.unionByName, [shape, empty, unknown, orphan, bare, script])
+    whole = F.col("a").isNotNull() & F.col("a.paragraphs").isNotNull() & F.col("a.sources").isNotNull()
+    own = a.select("answer_id", F.explode(F.when(whole, in_itself(F.col("a"))).otherwise(F.array(broken("shape", F.lit(""))))).alias("v")).select("answer_id", "v.*")
+    named = a.where(whole).select("answer_id", F.explode(F.transform("a.sources", lambda s: s["doc_id"])).alias("doc_id"))
+    unknown = named.join(retrieved, ["answer_id", "doc_id"], "left_anti").select("answer_id", F.lit("unknown source").alias("rule"), F.col("doc_id").alias("detail"))
+    return own.unionByName(unknown)
+
+
+def broken(rule: str, detail: Column) -> Column:
+    return F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))
+
+
+def in_itself(a: Column) -> Column:
+    """array of (rule, detail): what is wrong in a parsed answer, whatever was retrieved."""
+    paragraphs = F.transform(a["paragraphs"], lambda p, i: F.struct(p["text"].alias("text"), p["citations"].alias("citations"), (i + 1).alias("n")))
+    empty = F.when(~F.exists(a["paragraphs"], lambda p: F.trim(p["text"]) != ""), F.array(broken("empty", F.lit("")))).otherwise(F.array().cast("array<struct<rule:string,detail:string>>"))
+    cited = F.array_distinct(F.flatten(F.transform(a["paragraphs"], lambda p: F.coalesce(p["citations"], F.array().cast("array<int>")))))
+    has = F.transform(a["sources"], lambda s: s["id"])
+    orphan = F.filter(cited, lambda c: ~F.coalesce(F.array_contains(has, c), F.lit(False)))
+    bare = F.filter(paragraphs, lambda p: (F.trim(p["text"]) != "") & (F.coalesce(F.size(p["citations"]), F.lit(0)) <= 0))
+    script = F.filter(paragraphs, lambda p: non_latin(p["text"]))
+    each = lambda rule, xs, f: F.transform(xs, lambda x: broken(rule, f(x)))
+    return F.concat(empty, each("orphan citation", orphan, lambda c: c), each("no citation", bare, lambda p: p["n"]), each("other script", script, lambda p: p["n"]))
 
 
 def corrections(found: DataFrame) -> DataFrame:
