@@ -128,6 +128,18 @@ def test_stemmed_index(spark, docs, tmp_path):
     assert {r["id"] for r in ix.lexical(own, "droga", cap=None).collect()} == {r["id"] for r in s.lexical_leg(docs, "drogas", cap=None).collect()}
 
 
+def test_documents_that_are_counted_together_share_rows(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, "pena", "crime e pena" if i % 2 else None) for i in range(60)], "id long, title string, text string").coalesce(1)
+    own = ix.Index(spark, str(tmp_path / "i"), blocks=2)
+    rows = ix.postings_of(own, docs).where("lexeme = 'pena'").collect()
+    assert len(rows) <= 4 and sorted(p["id"] for r in rows for p in r["postings"]) == [*range(60)]
+    assert {(p["id"] % 2, p["size"], p["t"], p["b"], tuple(p["at"])) for r in rows for p in r["postings"]} == {(1, 4, 1, 1, (0, 3)), (0, 1, 1, 0, (0,))}
+    assert all(r["top"] == max(s.TITLE * p["t"] + s.BODY * p["b"] for p in r["postings"]) for r in rows)
+    monkeypatch.setattr(ix, "WORDS_AT_ONCE", 1)
+    alone = ix.postings_of(own, docs)
+    assert ix.postings_of(own, docs.limit(0)).count() == 0 and alone.where("lexeme = 'pena'").selectExpr("sum(size(postings))").first()[0] == 60
+
+
 def test_a_segment_is_written_by_one_shuffle_in_files_of_bounded_size(spark, docs, tmp_path, monkeypatch):
     own = ix.Index(spark, str(tmp_path / "a"), buckets=2, blocks=2, stemmed=True)
     assert "Exchange" not in ix.postings_of(own, docs)._jdf.queryExecution().executedPlan().toString()
