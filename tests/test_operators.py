@@ -110,6 +110,21 @@ def test_overlaps_by_either_way(spark, monkeypatch):
     assert {tuple(r) for r in relate.overlapping(df, other, "k", "o", "x", "y").collect()} == {(a, b, 1) for a, _ in rare for b, _ in rare if a // 2 == b // 2}
 
 
+def test_pairs_of_common_items_are_spread_over_tasks_and_never_shuffled(spark, monkeypatch):
+    rows = [(k, [f"i{j}" for j in range(12) if (k * 7 + j * j) % 5]) for k in range(90)]
+    df = spark.createDataFrame(rows, "k int, x array<string>")
+    want = {(a, b, len({*x} & {*y})) for a, x in rows for b, y in rows if {*x} & {*y}}
+    monkeypatch.setattr(relate, "BLOCK", 11)
+    pairs = relate.overlapping(df, df.select(F.col("k").alias("o"), F.col("x").alias("y")), "k", "o", "x", "y")
+    assert {tuple(r) for r in pairs.collect()} == want
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Aggregate" not in plan and pairs.rdd.getNumPartitions() >= 9 * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(relate, "PAIRS", 100)
+    inner = relate.overlapping_within(df, F.expr("k % 10 = 0"), "k", "o", "x")
+    assert {tuple(r) for r in inner.collect()} == {(a, b, n) for a, b, n in want if a % 10 == 0 and a != b} and inner.columns == ["k", "o", "shared"]
+    assert inner.rdd.getNumPartitions() == 9  # nine rows with ninety, a hundred pairs in a task
+
+
 def test_natural_and_priority_orders(spark):
     df = spark.createDataFrame([(x,) for x in ("10", "7-B", "7", "7-A", "x", "359-M-B", "359-M-A")], "n string")
     assert [r[0] for r in df.orderBy(*consult.natural("n")).collect()] == ["7", "7-A", "7-B", "10", "359-M-A", "359-M-B", "x"]
