@@ -381,6 +381,16 @@ def test_precedents_are_met_by_those_that_none_surpasses(spark, monkeypatch):
     assert {tuple(r) for r in found} == {(i, r, i % 9 + 1, r) for i in range(50) for r in (1, 2, 3)} and made[0] == 50 * 4
 
 
+def test_of_rows_with_the_same_items_the_first_are_met_however_many_sets_there_are(spark):
+    rows = [(k, [*"abcdefghi", f"i{k % 200}"]) for k in range(2_000)]  # 200 sets of ten rows each, of which none surpasses another
+    known = spark.createDataFrame(rows, "p long, own array<string>")
+    asked = spark.createDataFrame(rows[:200], "c long, want array<string>")
+    pairs = relate.overlapping(asked, known, "c", "p", "want", "own", 3).cache()
+    found = {(r["c"], r["p"], r["shared"], r["rank"]) for r in relate.best_overlaps(pairs, "c", "p", 3).collect()}
+    assert found == {(c, c + 200 * i, 10, i + 1) for c in range(200) for i in range(3)}
+    assert pairs.count() == 200 * 200 * 4
+
+
 def test_a_difference_makes_no_value_of_a_character(spark):
     cases = [("aé€😀z", "aè€😁z", ("a", "é€😀", "è€😁", "z")), ("aa", "aaa", ("aa", "", "a", "")), ("xé", "xè", ("x", "é", "è", "")), ("éx", "ãx", ("", "é", "ã", "x")), ("", "", ("", "", "", ""))]
     long = "é" * 100_000
