@@ -3,13 +3,14 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from verbatlas.functions.text import lexemes
 from verbatlas.operators import index as ix
 from verbatlas.operators import search as s
-from verbatlas.operators.stems import NOMINAL, RESIDUAL, VERBAL, stem, stems_of
+from verbatlas.operators.stems import NOMINAL, RESIDUAL, VERBAL, stem, stem_of_word, stems_of
 
 WORDS = "crime pena lei artigo trafico drogas prisao multa juiz reu defesa prova recurso sentença ação de do a o que não".split()
 
@@ -156,6 +157,60 @@ def test_a_segment_is_written_by_one_shuffle_in_files_of_bounded_size(spark, doc
     assert flat(own) == flat(whole) != []
 
 
+def batch_of(docs):
+    """Documents (id, words of the title, words of the body) as they come to be counted."""
+    rows = [{"id": i, "n": len(t), "w": [*t, *b], "block": i % 2} for i, t, b in docs]
+    return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("id", pa.int64()), ("n", pa.int32()), ("w", pa.list_(pa.string())), ("block", pa.int64())]))
+
+
+def test_a_word_is_stemmed_once_for_documents_that_are_counted_together(monkeypatch):
+    asked = []
+    monkeypatch.setattr(ix, "stem_of_word", lambda w: (asked.append(w), stem_of_word(w))[1])
+    batch = batch_of([(i, ["crimes"], ["crime", "de", "penas", "crimes"]) for i in range(50)] + [(50, [], []), (51, ["de"], [])])
+    rows = [r for b in ix.counted(iter([batch]), True, False) for r in b.to_pylist()]
+    assert sorted(asked) == ["crime", "crimes", "penas"] and {r["lexeme"] for r in rows} == {"crim", "pen"}
+    found = {(p["t"], p["b"], tuple(p["at"])) for r in rows if r["lexeme"] == "crim" for p in r["postings"]}
+    assert found == {(1, 2, (0, 1, 4))} and sum(len(r["postings"]) for r in rows) == 100
+
+
+def test_packed_rows_are_put_together_across_batches():
+    """However the sorted rows are cut into batches, each lexeme and block gives one row with all postings and the highest weight."""
+    random.seed(6)
+    docs = [(i, random.choices(WORDS[:9], k=random.randint(0, 3)), random.choices(WORDS[:9], k=random.randint(0, 9))) for i in range(40)]
+    plain = [r for k in range(0, 40, 7) for b in ix.counted(iter([batch_of(docs[k : k + 7])]), False, False) for r in b.to_pylist()]
+    packed = [b for k in range(0, 40, 7) for b in ix.counted(iter([batch_of(docs[k : k + 7])]), False, True)]
+    whole = pa.Table.from_batches(packed).append_column("bucket", pa.array([3] * len(plain), pa.int32())).sort_by([("lexeme", "ascending"), ("block", "ascending")])
+    want = {}
+    for r in plain:
+        top, postings = want.get((r["lexeme"], r["block"]), (0.0, []))
+        want[r["lexeme"], r["block"]] = (max(top, r["top"]), postings + r["postings"])
+    for size in (1, 2, 5, 1000):
+        got = [r for b in ix.together(iter(whole.combine_chunks().to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert len(got) == len(want) and all(r["bucket"] == 3 for r in got)
+        assert {(r["lexeme"], r["block"]): (r["top"], sorted(r["postings"], key=str)) for r in got} == {k: (t, sorted(p, key=str)) for k, (t, p) in want.items()}
+    assert [*ix.together(iter([]))] == []
+
+
+def test_counts_of_an_index_are_those_of_its_occurrences(spark, docs, tmp_path):
+    own = ix.Index(spark, str(tmp_path / "a"), buckets=2, blocks=3, stemmed=True)
+    flat = lambda: sorted(tuple(r) for r in ix.without_gone(own, ix.occurrences(own, own.segments(), "bigint"), own.segments(), "bigint").select("lexeme", "t", "b").collect())
+    ix.added(own, docs)
+    one = ix.counts(own, own.segments(), "bigint")
+    assert sorted(map(tuple, one.collect())) == flat() != []
+    assert "at:array" not in one._jdf.queryExecution().executedPlan().toString()
+    ix.added(own, docs.where("id % 3 = 0").withColumn("text", F.lit("pena")))
+    ix.removed(own, docs.where("id % 5 = 0").select("id"))
+    assert sorted(map(tuple, ix.counts(own, own.segments(), "bigint").collect())) == flat()
+
+
+def test_ids_of_any_kind_go_through_an_index(spark, tmp_path):
+    docs = spark.createDataFrame([("a", None, "pena crime"), ("b", "pena", None), (None, "x", "pena")], "id string, title string, text string")
+    own = ix.Index(spark, str(tmp_path / "a"), buckets=1, blocks=2)
+    ix.added(own, docs)
+    found = {(r["lexeme"], r["id"], r["t"], r["b"], tuple(r["at"])) for r in ix.occurrences(own, own.segments(), "string").collect()}
+    assert found == {("pena", "a", 0, 1, (0,)), ("crime", "a", 0, 1, (1,)), ("pena", "b", 1, 0, (0,)), ("x", None, 1, 0, (0,)), ("pena", None, 0, 1, (1,))}
+
+
 # --- stems ----------------------------------------------------------------------------------------
 
 
@@ -246,6 +301,7 @@ def test_stems_follow_the_rules(spark):
     assert len(words) > 3500
     assert {w: (got[w], plain_stem(w)) for w in words if got[w] != plain_stem(w)} == {}
     assert {w: got[w] for w in SAMPLE} == SAMPLE
+    assert {w: (stem_of_word(w), got[w]) for w in words if stem_of_word(w) != got[w]} == {}
 
 
 def test_stems_of_a_query(spark):

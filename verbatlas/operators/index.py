@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 from typing import NamedTuple
 from zlib import crc32
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from verbatlas.functions.text import lexemes
 from verbatlas.operators import search as s
-from verbatlas.operators.stems import stem, stems_of
+from verbatlas.operators.stems import stem_of_word, stems_of
 
 #: Segments beyond which an increment has them merged.
 MOST_SEGMENTS = 8
@@ -90,52 +90,50 @@ class Index:
         return self.read("gone", segments, f"id {id_type}").select("id", F.col("segment").alias("before"))
 
 
-def postings_of(index: Index, docs: DataFrame) -> DataFrame:
+def postings_of(index: Index, docs: DataFrame, packed: bool = False) -> DataFrame:
     """(lexeme, block, top, postings): of each document's lexemes how often they are in the title and the body, and where, titles first. Documents are
-    counted where they are read, some together: their places are sorted by word and block in their task, so that nothing is shuffled."""
+    counted where they are read, some together: their places are sorted by word and block in their task, so that nothing is shuffled. ``packed``, as they are shuffled."""
     some = lambda c: lexemes(F.coalesce(F.col(c), F.lit("")) if c else F.lit(""))  # noqa: E731  null is empty
     words = docs.select("id", some(index.title).alias("t"), some(index.body).alias("b"))
     words = words.select("id", F.size("t").alias("n"), F.concat("t", "b").alias("w")).withColumn("block", block_of(index, F.size("w")))
-    if index.stemmed:
-        words = words.withColumn("from", F.array_except("w", F.lit([*sorted(s.STOP)]))).withColumn("to", F.transform("from", stem))
-    return words.mapInArrow(counted, rows_schema(dict(docs.dtypes)["id"]))
+    kind = dict(docs.dtypes)["id"]
+    return words.mapInArrow(partial(counted, stemmed=index.stemmed, packed=packed), packed_schema(kind) if packed else rows_schema(kind))
 
 
 def block_of(index: Index, size: Column) -> Column:
     return F.floor(F.log2(size + 1)).cast("long") * 65536 + F.pmod(F.xxhash64("id"), F.lit(index.blocks))
 
 
-def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents (id, n, w, block), the first n of whose words are the title's, as posting rows; those with (from, to) by the stems of the words that have any."""
+def counted(batches: Iterator[pa.RecordBatch], stemmed: bool, packed: bool) -> Iterator[pa.RecordBatch]:
+    """Documents (id, n, w, block), the first n of whose words are the title's, as posting rows, by words or by the stems of the words that say something."""
     for batch in batches:
         ends = np.cumsum(pc.list_value_length(batch.column("w")).to_numpy(zero_copy_only=False))
         i = 0
         while i < batch.num_rows:
             # documents with so many words that a step's arrays stay small, one at least
             j = max(int(np.searchsorted(ends, (ends[i - 1] if i else 0) + WORDS_AT_ONCE, "right")), i + 1)
-            yield of_documents(batch.slice(i, j - i))
+            rows = of_documents(batch.slice(i, j - i), stemmed)
+            yield pack(rows) if packed else rows
             i = j
 
 
-def of_documents(batch: pa.RecordBatch) -> pa.RecordBatch:
+def of_documents(batch: pa.RecordBatch, stemmed: bool) -> pa.RecordBatch:
     size = pc.list_value_length(batch.column("w")).to_numpy(zero_copy_only=False).astype(np.int64)
     doc = np.repeat(np.arange(len(size)), size)
     at = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
-    words = batch.column("w").flatten()
-    if "from" in batch.schema.names:
-        known = pa.table([batch.column("from").flatten(), batch.column("to").flatten()], names=["from", "to"]).group_by("from").aggregate([("to", "min")])
-        words = known.column("to_min").combine_chunks().take(pc.index_in(words, value_set=known.column("from").combine_chunks()))
-        has = words.is_valid().to_numpy(zero_copy_only=False)
-        words, doc, at = words.drop_null(), doc[has], at[has]
-    coded = words.dictionary_encode()
-    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = batch.column("w").flatten().dictionary_encode()
+    words, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    if stemmed:  # a word is stemmed once, however many documents have it
+        own = pa.array([None if w in s.STOP else stem_of_word(w) for w in words.to_pylist()], pa.string()).dictionary_encode()
+        words, code = own.dictionary, own.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)[code]
+        has = code >= 0
+        code, doc, at = code[has], doc[has], at[has]
     blocks, own = np.unique(batch.column("block").to_numpy(zero_copy_only=False), return_inverse=True)
     row = code * max(len(blocks), 1) + own[doc]
-    key = row * max(batch.num_rows, 1) + doc
-    order = np.argsort(key, kind="stable")
-    key, row, at, doc = key[order], row[order], at[order].astype(np.int32), doc[order]
-    first = np.flatnonzero(np.diff(key, prepend=-1))  # where a document's places of a word begin
-    ends = np.append(first, len(key)).astype(np.int32)
+    order = np.sort(row * len(row) + np.arange(len(row))) % max(len(row), 1)  # by rows, then as they stand: by documents and places
+    row, at, doc = row[order], at[order].astype(np.int32), doc[order]
+    first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))  # where a document's places of a word begin
+    ends = np.append(first, len(row)).astype(np.int32)
     n = batch.column("n").to_numpy(zero_copy_only=False)
     t = np.add.reduceat((at < n[doc]).astype(np.int32), first) if len(first) else np.zeros(0, np.int32)
     b = np.diff(ends) - t
@@ -149,26 +147,100 @@ def of_documents(batch: pa.RecordBatch) -> pa.RecordBatch:
     ]
     postings = pa.StructArray.from_arrays(each, names=["id", "size", "t", "b", "at"])
     columns = [
-        coded.dictionary.take(pa.array(row // max(len(blocks), 1))), pa.array(blocks[row % max(len(blocks), 1)], pa.int64()), pa.array(top, pa.float64()),
+        words.take(pa.array(row // max(len(blocks), 1))), pa.array(blocks[row % max(len(blocks), 1)], pa.int64()), pa.array(top, pa.float64()),
         pa.ListArray.from_arrays(pa.array(np.append(start, len(doc)).astype(np.int32)), postings),
     ]
     return pa.RecordBatch.from_arrays(columns, names=["lexeme", "block", "top", "postings"])
 
 
+def pack(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Posting rows with their numbers as bytes, three of each posting and its places, as many rows of nested values take long to shuffle."""
+    lists = rows.column("postings")
+    ends = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
+    postings = lists.flatten()
+    size, t, b, at = (postings.field(c) for c in ("size", "t", "b", "at"))
+    counts = np.column_stack([c.to_numpy(zero_copy_only=False) for c in (size, t, b)]).astype(np.int32)
+    places = np.append(0, np.cumsum(pc.list_value_length(at).to_numpy(zero_copy_only=False)))[ends]
+    columns = [
+        rows.column("lexeme"), rows.column("block"), rows.column("top"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), postings.field("id")),
+        as_bytes(counts, 12 * ends), as_bytes(at.flatten().to_numpy(zero_copy_only=False).astype(np.int32), 4 * places),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["lexeme", "block", "top", "ids", "counts", "places"])
+
+
+def as_bytes(numbers: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(numbers))])
+
+
+def numbers_of(column: pa.Array) -> np.ndarray:
+    """The numbers of all rows, one after another."""
+    _, ends, data = column.buffers()
+    first, last = np.frombuffer(ends, np.int32)[[column.offset, column.offset + len(column)]]
+    return np.frombuffer(data, np.int32, (last - first) // 4, first) if last > first else np.zeros(0, np.int32)
+
+
+def packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from map(pack, batches)
+
+
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows that are sorted by lexeme and block, as posting rows, one of each lexeme and block. One is held back until another comes, which may be
+    batches later."""
+    held: list[pa.RecordBatch] = []  # rows of one lexeme and block
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        start = starts_of(batch)
+        if held and any(held[0].column(c)[0] != batch.column(c)[0] for c in ("lexeme", "block")):
+            yield one_a_row(held)
+            held = []
+        if len(start) > 1:
+            yield one_a_row([*held, batch.slice(0, start[-1])])
+            held = []
+        held.append(batch.slice(start[-1]))
+    if held:
+        yield one_a_row(held)
+
+
+def starts_of(batch: pa.RecordBatch) -> np.ndarray:
+    """Where the rows of a lexeme and block begin."""
+    new = [pc.not_equal(batch.column(c).slice(1), batch.column(c).slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False) for c in ("lexeme", "block")]
+    return np.flatnonzero(np.append(True, new[0] | new[1]))
+
+
+def one_a_row(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Packed rows as posting rows, those of a lexeme and block as one: what they hold stands side by side already."""
+    batch = batches[0] if len(batches) == 1 else pa.concat_batches(batches)
+    start = starts_of(batch)
+    ends = np.append(0, np.cumsum(pc.list_value_length(batch.column("ids")).to_numpy(zero_copy_only=False)))
+    size, t, b = np.ascontiguousarray(numbers_of(batch.column("counts")).reshape(-1, 3).T)
+    at = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(t + b)), pa.int32()), pa.array(numbers_of(batch.column("places"))))
+    postings = pa.StructArray.from_arrays([batch.column("ids").flatten(), pa.array(size), pa.array(t), pa.array(b), at], names=["id", "size", "t", "b", "at"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(ends[start], ends[-1]), pa.int32()), postings)
+    top = np.maximum.reduceat(batch.column("top").to_numpy(zero_copy_only=False), start)
+    lexeme, block, bucket = (batch.column(c).take(pa.array(start)) for c in ("lexeme", "block", "bucket"))
+    return pa.RecordBatch.from_arrays([lexeme, block, pa.array(top), lists, bucket], names=["lexeme", "block", "top", "postings", "bucket"])
+
+
 def rows_schema(kind: str) -> str:
     return f"lexeme string, block long, top double, postings array<struct<id:{kind},size:int,t:int,b:int,at:array<int>>>"
 
 
+def packed_schema(kind: str) -> str:
+    return f"lexeme string, block long, top double, ids array<{kind}>, counts binary, places binary"
+
+
 def write(index: Index, number: int, each: DataFrame, docs: DataFrame, gone: DataFrame, places: int = 0) -> None:
-    """A segment of ``each`` (as from ``postings_of``), the ids ``docs`` and those ``gone``. Of about so many ``places`` a bucket gets a file for every
+    """A segment of ``each`` (as from ``postings_of``, packed), the ids ``docs`` and those ``gone``. Of about so many ``places`` a bucket gets a file for every
     PLACES_A_FILE, so that no task's share grows with the documents; a lexeme is in SPREAD of a bucket's files at most."""
     at = f"{index.path}/s={number}"
     files = max(1, -(-places // (index.buckets * PLACES_A_FILE)))
     bucket = (F.crc32(F.col("lexeme").cast("binary")) % index.buckets).cast("int")
     each = each.withColumn("bucket", bucket)
     each = each.withColumn("file", F.col("bucket") * files + F.pmod(F.xxhash64("lexeme", F.col("block") % SPREAD), F.lit(files)))
-    rows = each.repartition(index.buckets * files, "file").groupBy("file", "bucket", "lexeme", "block").agg(F.max("top").alias("top"), F.flatten(F.collect_list("postings")).alias("postings"))
-    rows.drop("file").sortWithinPartitions("bucket", "lexeme", "block").write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(f"{at}/postings")
+    rows = each.repartition(index.buckets * files, "file").drop("file").sortWithinPartitions("lexeme", "block")
+    kind = dict(docs.dtypes)["id"]
+    rows.mapInArrow(together, schema_of(kind)).write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(f"{at}/postings")
     docs.select("id").write.mode("overwrite").parquet(f"{at}/docs")
     gone.select("id").write.mode("overwrite").parquet(f"{at}/gone")
 
@@ -193,7 +265,7 @@ def added(index: Index, docs: DataFrame, most: int = MOST_SEGMENTS) -> None:
     places = (docs.agg(F.sum(texts)).first()[0] or 0) // LETTERS
     ids = docs.select("id")
     gone = live_docs(index).select("id").join(ids, "id", "left_semi") if segments else ids.limit(0)
-    write(index, number + 1, postings_of(index, docs), ids, gone, places)
+    write(index, number + 1, postings_of(index, docs, packed=True), ids, gone, places)
     index.publish(version + 1, [*segments, number + 1], dict(docs.dtypes)["id"])
     if len(segments) + 1 > most:
         merged(index)
@@ -202,7 +274,7 @@ def added(index: Index, docs: DataFrame, most: int = MOST_SEGMENTS) -> None:
 def removed(index: Index, ids: DataFrame) -> None:
     """Takes out the documents with these ids."""
     version, number, segments, kind = index.state()
-    none = index.spark.createDataFrame([], rows_schema(kind))
+    none = index.spark.createDataFrame([], packed_schema(kind))
     write(index, number + 1, none, index.spark.createDataFrame([], f"id {kind}"), ids.select(F.col("id").cast(kind)).distinct())
     index.publish(version + 1, [*segments, number + 1], kind)
 
@@ -215,7 +287,7 @@ def merged(index: Index) -> None:
     rows = occurrences(index, segments, kind)
     left = without_gone(index, rows, segments, kind)
     weight = s.TITLE * F.col("t") + s.BODY * F.col("b")
-    each = left.select("lexeme", block_of(index, F.col("size")).alias("block"), weight.alias("top"), F.array(F.struct("id", "size", "t", "b", "at")).alias("postings"))
+    each = left.select("lexeme", block_of(index, F.col("size")).alias("block"), weight.alias("top"), F.array(F.struct("id", "size", "t", "b", "at")).alias("postings")).mapInArrow(packed_rows, packed_schema(kind))
     write(index, number + 1, each, live_docs(index), live_docs(index).limit(0), rows.agg(F.sum(F.col("t") + F.col("b"))).first()[0] or 0)
     index.publish(version + 1, [number + 1], kind)
 
@@ -233,6 +305,14 @@ def rows_of(index: Index, segments: list[int], kind: str, words: list[str] | Non
     return rows.where(F.col("bucket").isin(mine) & F.col("lexeme").isin(words))
 
 
+def counts(index: Index, segments: list[int], kind: str) -> DataFrame:
+    """(lexeme, t, b) of every lexeme and document. Where nothing has gone, ids and places aren't read."""
+    if len(segments) > 1:
+        return without_gone(index, occurrences(index, segments, kind), segments, kind).select("lexeme", "t", "b")
+    rows = index.read("postings", segments, "lexeme string, postings array<struct<t:int,b:int>>")
+    return rows.select("lexeme", F.inline("postings"))
+
+
 def occurrences(index: Index, segments: list[int], kind: str, words: list[str] | None = None, blocks: DataFrame | list[int] | None = None) -> DataFrame:
     """(lexeme, block, segment, id, size, t, b, at)."""
     rows = rows_of(index, segments, kind, words)

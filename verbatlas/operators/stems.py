@@ -1,4 +1,4 @@
-"""Stems of Portuguese words by regions, as column expressions over words in normal form.
+"""Stems of Portuguese words by regions, as column expressions over words in normal form, and as a function of one word.
 
 The rules are those of the published Portuguese stemmer of the Snowball project. As the words have lost their accents before,
 its endings with accents meet no word, and are not listed. R1 is what follows the first consonant behind a vowel, R2 the same within
@@ -8,6 +8,8 @@ goes only if it lies in the region that its rule names.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +101,66 @@ def stem(word: Column | str) -> Column:
     return once(once(once(once(marked, first), verbs), rest), final)
 
 
+FIRST, SECOND, VERB = re.compile(R1), re.compile(R2), re.compile(RV)
+#: By the ending, what it may leave behind; by an ending's kind, the endings that go as well.
+ENDINGS = {e: kind for kind in (NOMINAL, LOGIA, AMENTE, MENTE, IDADE, IVO, IRA) for e in kind}
+ALSO = {"mente": ["ante", "avel"]} | dict.fromkeys(IDADE, ["abil", "ic", "iv"]) | dict.fromkeys(IVO, ["at"])
+VERBS, REST = dict.fromkeys(VERBAL), dict.fromkeys(RESIDUAL)
+LAST = frozenset(e[-1] for e in [*ENDINGS, *VERBS, *REST, "e"])
+
+
+def longest(word: str, endings: dict, start: int = 0) -> str:
+    """The longest of the endings, of seven letters at most, that a word has behind its first ``start`` letters, or ''."""
+    for i in range(max(start, len(word) - 7), len(word)):
+        if word[i:] in endings:
+            return word[i:]
+    return ""
+
+
+def less(word: str, endings: list[str], least: int) -> str:
+    """``shorter`` of one word."""
+    end = max((e for e in endings if word.endswith(e)), key=len, default="")
+    return word[: len(word) - len(end)] if end and len(word) - len(end) >= least else word
+
+
+def stem_of_word(word: str) -> str:
+    """``stem`` of one word; where the words of many documents are counted together, each is worked off once."""
+    if word[-1:] not in LAST:
+        return word
+    size = len(word)
+    rv = m.end() if (m := VERB.match(word)) else size
+    end = longest(word, ENDINGS)
+    now = without_nominal(word, end, rv) if end else word
+    if now == word:
+        now = word[: size - len(longest(word, VERBS, rv))]
+    if now == word:
+        now = word[: size - len(longest(word, REST, rv))]
+    elif now.endswith("ci") and len(now) - 1 >= rv:
+        now = now[:-1]
+    if now.endswith("e") and len(now) - 1 >= rv:
+        now = now[:-1]
+        if now.endswith(("gu", "ci")) and len(now) - 1 >= rv:
+            now = now[:-1]
+    return now
+
+
+def without_nominal(word: str, end: str, rv: int) -> str:
+    """``standard`` of one word with the nominal ending ``end``."""
+    left, kind = word[: -len(end)], ENDINGS[end]
+    if kind is IRA:
+        return f"{left}ir" if len(left) >= rv and left.endswith("e") else word
+    region = lambda r: m.end() if (m := r.match(word)) else len(word)
+    r2 = region(SECOND)
+    if len(left) < (region(FIRST) if kind is AMENTE else r2):
+        return word
+    if kind is LOGIA:
+        return f"{left}log"
+    if kind is AMENTE:
+        now = less(left, ["iv", "os", "ic", "ad"], r2)
+        return less(now, ["at"], r2) if now != left and left.endswith("iv") else now
+    return less(left, ALSO.get(end, []), r2)
+
+
 def stems_of(spark: SparkSession, words: list[str], left_out: frozenset[str] = frozenset()) -> list[str]:
     """The stems of a query's few words, without those left out, each once, by the same expressions."""
     words = [w for w in dict.fromkeys(words) if w not in left_out]

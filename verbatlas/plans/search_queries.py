@@ -263,7 +263,7 @@ def q_stems(spark, d):
 def q_index_stems(spark, d):
     """How many documents and places each stem of a stemmed index has."""
     own = index_of(spark, d, stemmed=True)
-    rows = written.occurrences(own, *own.state()[2:])
+    rows = written.counts(own, *own.state()[2:])
     return rows.groupBy("lexeme").agg(F.count("*").alias("documents"), F.sum(F.col("t") + F.col("b")).alias("places"))
 
 
