@@ -125,6 +125,18 @@ def test_pairs_of_common_items_are_spread_over_tasks_and_never_shuffled(spark, m
     assert inner.rdd.getNumPartitions() == 9  # nine rows with ninety, a hundred pairs in a task
 
 
+def test_pairs_of_rows_with_the_same_items_are_written_in_few_bytes(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(k, sorted(x for x in "abcdefgh" if rng.random() < 0.8)) for k in range(3_000)]
+    df = spark.createDataFrame(rows, "k long, x array<string>")
+    relate.overlapping_within(df, F.expr("k % 10 = 0"), "k", "o", "x").write.parquet(str(tmp_path / "pairs"))
+    found = spark.read.parquet(str(tmp_path / "pairs"))
+    want = {(a, b): n for a, x in rows[::10] for b, y in rows if a != b and (n := len({*x} & {*y}))}
+    assert {(r["k"], r["o"]): r["shared"] for r in found.collect()} == want and found.count() == len(want)
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.7 * len(want)
+    assert max(r["n"] for r in found.groupBy(F.input_file_name()).agg(F.count_distinct("k").alias("n")).collect()) <= 256
+
+
 def test_natural_and_priority_orders(spark):
     df = spark.createDataFrame([(x,) for x in ("10", "7-B", "7", "7-A", "x", "359-M-B", "359-M-A")], "n string")
     assert [r[0] for r in df.orderBy(*consult.natural("n")).collect()] == ["7", "7-A", "7-B", "10", "359-M-A", "359-M-B", "x"]
