@@ -157,6 +157,33 @@ def test_a_segment_is_written_by_one_shuffle_in_files_of_bounded_size(spark, doc
     assert flat(own) == flat(whole) != []
 
 
+def test_each_file_of_a_segment_has_a_task_of_its_own(spark, tmp_path, monkeypatch):
+    """No task gets two files: the part numbers of a segment's files differ, and there are as many as files."""
+    docs = spark.createDataFrame([(i, None, " ".join(f"w{i * 7 + j}" for j in range(40))) for i in range(200)], "id long, title string, text string")
+    own = ix.Index(spark, str(tmp_path / "a"), buckets=4, blocks=4)
+    places = docs.selectExpr("sum(length(text))").first()[0] // ix.LETTERS
+    monkeypatch.setattr(ix, "PLACES_A_FILE", places // (4 * 5))
+    files = -(-places // (4 * ix.PLACES_A_FILE))
+    ix.added(own, docs)
+    parts = [f.name.split("-")[1] for f in (tmp_path / "a/s=1/postings").glob("bucket=*/*.parquet")]
+    assert files > 1 and len(parts) == len(set(parts)) == 4 * files
+    assert ix.occurrences(own, own.segments(), "bigint").count() == 200 * 40
+
+
+def test_odd_rows_are_written_in_many_files_as_in_one(spark, tmp_path, monkeypatch):
+    """Null and repeated ids, null and empty texts: every row gives its own postings, in however many files."""
+    rows = [(i, f"t{i % 7}", " ".join(f"w{i * 7 + j}" for j in range(20))) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (5, "t5", "w1 w1"), (5, "t5", "w1 w1"), (None, None, "w1 x"), (70, None, None), (71, "", "")], "id long, title string, text string")
+    flat = lambda i: sorted(map(str, ix.occurrences(i, i.segments(), "bigint").select("lexeme", "block", "id", "size", "t", "b", "at").collect()))
+    one, many = (ix.Index(spark, str(tmp_path / x), buckets=2, blocks=3) for x in "ab")
+    ix.added(one, docs)
+    monkeypatch.setattr(ix, "PLACES_A_FILE", 30)
+    ix.added(many, docs)
+    assert flat(many) == flat(one) and len(flat(one)) == 60 * 21 + 2 * 2 + 2
+    count = lambda i: len([*(tmp_path / i / "s=1/postings").glob("bucket=*/*.parquet")])
+    assert count("b") > count("a") == 2
+
+
 def batch_of(docs):
     """Documents (id, words of the title, words of the body) as they come to be counted."""
     rows = [{"id": i, "n": len(t), "w": [*t, *b], "block": i % 2} for i, t, b in docs]

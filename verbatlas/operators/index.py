@@ -236,9 +236,9 @@ def write(index: Index, number: int, each: DataFrame, docs: DataFrame, gone: Dat
     at = f"{index.path}/s={number}"
     files = max(1, -(-places // (index.buckets * PLACES_A_FILE)))
     bucket = (F.crc32(F.col("lexeme").cast("binary")) % index.buckets).cast("int")
-    each = each.withColumn("bucket", bucket)
-    each = each.withColumn("file", F.col("bucket") * files + F.pmod(F.xxhash64("lexeme", F.col("block") % SPREAD), F.lit(files)))
-    rows = each.repartition(index.buckets * files, "file").drop("file").sortWithinPartitions("lexeme", "block")
+    file = F.col("bucket") * files + F.pmod(F.xxhash64("lexeme", F.col("block") % SPREAD), F.lit(files)).cast("int")
+    # a file is a partition by its number: dealt by a hash of it, some tasks get several files and some none
+    rows = each.withColumn("bucket", bucket).repartitionById(index.buckets * files, file).sortWithinPartitions("lexeme", "block")
     kind = dict(docs.dtypes)["id"]
     rows.mapInArrow(together, schema_of(kind)).write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(f"{at}/postings")
     docs.select("id").write.mode("overwrite").parquet(f"{at}/docs")
