@@ -5,6 +5,7 @@ import re
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from verbatlas.functions.text import lexemes
@@ -170,6 +171,29 @@ def test_each_file_of_a_segment_has_a_task_of_its_own(spark, tmp_path, monkeypat
     assert ix.occurrences(own, own.segments(), "bigint").count() == 200 * 40
 
 
+def test_a_segment_is_written_without_a_second_sort(spark, docs, tmp_path, monkeypatch):
+    """Rows that are sorted by lexeme go to their bucket's folder as they come, with no sort by bucket; other writes of the session sort as before."""
+    spark.sql(f"CREATE TABLE probe (lexeme string, bucket int) USING parquet PARTITIONED BY (bucket) LOCATION '{tmp_path / 'probe'}'")
+    sorts = lambda: "Sort" in spark.sql("EXPLAIN INSERT INTO probe SELECT 'a', CAST(id AS int) FROM range(9)").first()[0]
+    seen, parquet = {}, DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: (seen.setdefault(path.rpartition("/")[2], sorts()), parquet(self, path, *a, **b))[1])
+    try:
+        own = ix.Index(spark, str(tmp_path / "a"), buckets=2, blocks=3)
+        ix.added(own, docs)
+        assert seen["postings"] is False and seen["docs"] and sorts()
+        with pytest.raises(ValueError), ix.as_they_come(spark):
+            assert not sorts()
+            raise ValueError
+        assert sorts()
+    finally:
+        spark.sql("DROP TABLE probe")
+    ordered = ix.rows_of(own, [1], "bigint").where("bucket = 1").coalesce(1)
+    found = [(r["lexeme"], r["block"]) for r in ordered.collect()]
+    assert found == sorted(set(found)) and len(found) > 20
+    tops = {(r["lexeme"], r["block"]): r["top"] for r in ordered.collect()}
+    assert tops == {(r["lexeme"], r["block"]): max(s.TITLE * p["t"] + s.BODY * p["b"] for p in r["postings"]) for r in ordered.collect()}
+
+
 def test_odd_rows_are_written_in_many_files_as_in_one(spark, tmp_path, monkeypatch):
     """Null and repeated ids, null and empty texts: every row gives its own postings, in however many files."""
     rows = [(i, f"t{i % 7}", " ".join(f"w{i * 7 + j}" for j in range(20))) for i in range(60)]

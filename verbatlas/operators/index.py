@@ -14,6 +14,7 @@ the score of the last row that these give; the rows are those of a scan.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import partial, reduce
 from typing import NamedTuple
@@ -154,7 +155,8 @@ def of_documents(batch: pa.RecordBatch, stemmed: bool) -> pa.RecordBatch:
 
 
 def pack(rows: pa.RecordBatch) -> pa.RecordBatch:
-    """Posting rows with their numbers as bytes, three of each posting and its places, as many rows of nested values take long to shuffle."""
+    """Posting rows with their numbers as bytes, three of each posting and its places, as many rows of nested values take long to shuffle. Their highest
+    weight follows from these and isn't shuffled."""
     lists = rows.column("postings")
     ends = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
     postings = lists.flatten()
@@ -162,10 +164,10 @@ def pack(rows: pa.RecordBatch) -> pa.RecordBatch:
     counts = np.column_stack([c.to_numpy(zero_copy_only=False) for c in (size, t, b)]).astype(np.int32)
     places = np.append(0, np.cumsum(pc.list_value_length(at).to_numpy(zero_copy_only=False)))[ends]
     columns = [
-        rows.column("lexeme"), rows.column("block"), rows.column("top"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), postings.field("id")),
+        rows.column("lexeme"), rows.column("block"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), postings.field("id")),
         as_bytes(counts, 12 * ends), as_bytes(at.flatten().to_numpy(zero_copy_only=False).astype(np.int32), 4 * places),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["lexeme", "block", "top", "ids", "counts", "places"])
+    return pa.RecordBatch.from_arrays(columns, names=["lexeme", "block", "ids", "counts", "places"])
 
 
 def as_bytes(numbers: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -217,7 +219,7 @@ def one_a_row(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     at = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(t + b)), pa.int32()), pa.array(numbers_of(batch.column("places"))))
     postings = pa.StructArray.from_arrays([batch.column("ids").flatten(), pa.array(size), pa.array(t), pa.array(b), at], names=["id", "size", "t", "b", "at"])
     lists = pa.ListArray.from_arrays(pa.array(np.append(ends[start], ends[-1]), pa.int32()), postings)
-    top = np.maximum.reduceat(batch.column("top").to_numpy(zero_copy_only=False), start)
+    top = np.maximum.reduceat(s.TITLE * t + s.BODY * b, ends[start])
     lexeme, block, bucket = (batch.column(c).take(pa.array(start)) for c in ("lexeme", "block", "bucket"))
     return pa.RecordBatch.from_arrays([lexeme, block, pa.array(top), lists, bucket], names=["lexeme", "block", "top", "postings", "bucket"])
 
@@ -227,7 +229,7 @@ def rows_schema(kind: str) -> str:
 
 
 def packed_schema(kind: str) -> str:
-    return f"lexeme string, block long, top double, ids array<{kind}>, counts binary, places binary"
+    return f"lexeme string, block long, ids array<{kind}>, counts binary, places binary"
 
 
 def write(index: Index, number: int, each: DataFrame, docs: DataFrame, gone: DataFrame, places: int = 0) -> None:
@@ -236,15 +238,29 @@ def write(index: Index, number: int, each: DataFrame, docs: DataFrame, gone: Dat
     at = f"{index.path}/s={number}"
     files = max(1, -(-places // (index.buckets * PLACES_A_FILE)))
     bucket = (F.crc32(F.col("lexeme").cast("binary")) % index.buckets).cast("int")
-    file = F.col("bucket") * files + F.pmod(F.xxhash64("lexeme", F.col("block") % SPREAD), F.lit(files)).cast("int")
-    # a file is a partition by its number: dealt by a hash of it, some tasks get several files and some none
-    rows = each.withColumn("bucket", bucket).repartitionById(index.buckets * files, file).sortWithinPartitions("lexeme", "block")
+    file = bucket * files + F.pmod(F.xxhash64("lexeme", F.col("block") % SPREAD), F.lit(files)).cast("int")
+    # a file is a partition by its number: dealt by a hash of it, some tasks get several files and some none; the bucket is known after the sort
+    rows = each.repartitionById(index.buckets * files, file).sortWithinPartitions("lexeme", "block").withColumn("bucket", bucket)
     kind = dict(docs.dtypes)["id"]
-    rows.mapInArrow(together, schema_of(kind)).write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(f"{at}/postings")
+    with as_they_come(index.spark):
+        rows.mapInArrow(together, schema_of(kind)).write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(f"{at}/postings")
     docs.select("id").write.mode("overwrite").parquet(f"{at}/docs")
     gone.select("id").write.mode("overwrite").parquet(f"{at}/gone")
 
 
+@contextmanager
+def as_they_come(spark: SparkSession) -> Iterator[None]:
+    """Within, a write by folders of a column doesn't sort rows by that column first, which would hold a task's rows once more. A task that meets another
+    folder sorts what is left, as tasks do without this, so it only saves where a task's rows are of one folder."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(max(int(was), 2)))  # a task sorts once it opens as many files
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def live_docs(index: Index) -> DataFrame:
     """(id, segment) of the documents that count."""
     _, _, segments, kind = index.state()
@@ -286,8 +302,7 @@ def merged(index: Index) -> None:
         return
     rows = occurrences(index, segments, kind)
     left = without_gone(index, rows, segments, kind)
-    weight = s.TITLE * F.col("t") + s.BODY * F.col("b")
-    each = left.select("lexeme", block_of(index, F.col("size")).alias("block"), weight.alias("top"), F.array(F.struct("id", "size", "t", "b", "at")).alias("postings")).mapInArrow(packed_rows, packed_schema(kind))
+    each = left.select("lexeme", block_of(index, F.col("size")).alias("block"), F.array(F.struct("id", "size", "t", "b", "at")).alias("postings")).mapInArrow(packed_rows, packed_schema(kind))
     write(index, number + 1, each, live_docs(index), live_docs(index).limit(0), rows.agg(F.sum(F.col("t") + F.col("b"))).first()[0] or 0)
     index.publish(version + 1, [number + 1], kind)
 
