@@ -194,6 +194,55 @@ def test_a_segment_is_written_without_a_second_sort(spark, docs, tmp_path, monke
     assert tops == {(r["lexeme"], r["block"]): max(s.TITLE * p["t"] + s.BODY * p["b"] for p in r["postings"]) for r in ordered.collect()}
 
 
+def test_a_merge_sorts_no_postings_by_id(spark, docs, tmp_path, monkeypatch):
+    """Ids that have gone, too many to be broadcast, are hashed; the merged rows are those of an index made at once, with null and repeated ids too."""
+    odd = docs.unionByName(spark.createDataFrame([(None, "x", "pena crime"), (1003, "x", "lei pena")], docs.schema))
+    own = ix.Index(spark, str(tmp_path / "a"), buckets=2, blocks=3)
+    ix.added(own, odd)
+    ix.added(own, docs.where("id % 3 = 0"))
+    ix.removed(own, docs.where("id % 7 = 0").select("id"))
+    gone = sum(f.stat().st_size for f in (tmp_path / "a").glob("s=[23]/gone/*.parquet"))
+    plans, parquet = {}, DataFrameWriter.parquet
+
+    def seen(self, path, *a, **b):
+        plans[path.rpartition("/")[2]] = self._df._jdf.queryExecution().executedPlan().toString()
+        parquet(self, path, *a, **b)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    for most in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(most, str(gone // 2))
+    try:
+        ix.merged(own)
+    finally:
+        for most in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(most)
+    assert "ShuffledHashJoin" in plans["postings"] and "SortMergeJoin" not in plans["postings"]
+    assert spark.conf.get("spark.sql.join.preferSortMergeJoin") == "true"
+    fresh = ix.Index(spark, str(tmp_path / "b"), buckets=2, blocks=3)
+    ix.added(fresh, odd.where("id IS NULL OR id % 7 <> 0"))
+    flat = lambda i: sorted(map(str, ix.occurrences(i, i.segments(), "bigint").select("lexeme", "block", "id", "size", "t", "b", "at").collect()))
+    tops = lambda i: sorted(map(tuple, ix.rows_of(i, i.segments(), "bigint").select("lexeme", "block", "top").collect()))
+    assert flat(own) == flat(fresh) != [] and tops(own) == tops(fresh)
+
+
+def test_neighbours_are_packed_together():
+    """Postings of one lexeme and block that follow each other make one packed row, in their order; others stay apart."""
+    kind = pa.struct([("id", pa.int64()), ("size", pa.int32()), ("t", pa.int32()), ("b", pa.int32()), ("at", pa.list_(pa.int32()))])
+    keys = [("a", 1), ("a", 1), ("a", 2), ("b", 2), ("b", 2), ("b", 2), ("a", 1)]
+    rows = [{"lexeme": x, "block": k, "postings": [{"id": i, "size": 9, "t": i % 2, "b": 1, "at": [*range(i % 2 + 1)]}]} for i, (x, k) in enumerate(keys)]
+    batch = pa.RecordBatch.from_pylist(rows, schema=pa.schema([("lexeme", pa.string()), ("block", pa.int64()), ("postings", pa.list_(kind))]))
+    for part in (batch, batch.slice(1), batch.slice(3, 3)):
+        got = [r for b in ix.packed_rows(iter([part, part.slice(0, 0)])) for r in b.to_pylist()]
+        apart = [r for b in map(ix.pack, [part.slice(i, 1) for i in range(part.num_rows)]) for r in b.to_pylist()]
+        want = []
+        for r in apart:
+            if want and (want[-1]["lexeme"], want[-1]["block"]) == (r["lexeme"], r["block"]):
+                want[-1] |= {c: want[-1][c] + r[c] for c in ("ids", "counts", "places")}
+            else:
+                want.append(dict(r))
+        assert got == want and len(got) < len(apart)
+
+
 def test_odd_rows_are_written_in_many_files_as_in_one(spark, tmp_path, monkeypatch):
     """Null and repeated ids, null and empty texts: every row gives its own postings, in however many files."""
     rows = [(i, f"t{i % 7}", " ".join(f"w{i * 7 + j}" for j in range(20))) for i in range(60)]
